@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, licenses, mixing, packing, projection_search
+from . import cover_tree, jaccard, licenses, mixing, packing, projection_search
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_cover_tree": op3_cover_tree,
     "op5_mixing": op5_mixing,
+    "op6_jaccard": op6_jaccard,
     "op8_licenses": op8_licenses,
     "op9_projections": op9_projections,
 }
