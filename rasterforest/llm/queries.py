@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard, licenses, mixing, packing, projection_search
+from . import cover_tree, jaccard, licenses, mixing, packing, projection_search, suffixes
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cover_tree": op3_cover_tree,
     "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
+    "op7_suffixes": op7_suffixes,
     "op8_licenses": op8_licenses,
     "op9_projections": op9_projections,
 }
