@@ -8,6 +8,7 @@ consecutive rows, so it needs no shuffle and its memory is bounded by a block.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -128,29 +129,59 @@ def split_powers(members: list[tuple[int, int, int]]) -> list[list[tuple[int, in
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins across white space, so a text's ids are those of its
-    space-separated runs; known runs come from a memo of bounded size.
+    The tokenizer lower-cases and never joins across white space or between a letter and a
+    punctuation mark, so a text's ids are those of its parts; known parts come from a memo
+    of bounded size, and new plain words are encoded many at a time.
     """
 
-    def __init__(self, path: str, end_id: int, memo_size: int = 1 << 20):
+    #: Texts without other characters may be lower-cased beforehand: each has one simple lower case.
+    PLAIN = re.compile("[^\x00-\u012f]")
+    CLAUSE = re.compile("([a-z\u00e0-\u00f6\u00f8-\u00ff])([.,])(?=[ \n])")
+    LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, path: str, memo_size: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], dtype="<u4").tobytes()
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
         self.memo_size = memo_size
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > self.memo_size:
-            self.memo.clear()
-        new = list({r for rs in runs for r in rs if r not in self.memo})
+    def learn(self, new: list[str]) -> None:
+        words = [w for w in new if self.LETTERS.fullmatch(w)]
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):  # one word, one run of ids up to a word's end
+                data = ids.tobytes()
+                self.memo.update(zip(part, (data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))))
+        new = [w for w in new if w not in self.memo]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for r, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 self.memo[r] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        plain = ((t or "") if self.PLAIN.search(t or "") else self.CLAUSE.sub(r"\1 \2", (t or "").lower()) for t in texts)
+        parts = [t.replace("\n", " ").split(" ") for t in plain]
+        if len(self.memo) > self.memo_size:
+            self.memo.clear()
+        self.learn(list({r for rs in parts for r in rs if r not in self.memo}))
         get = self.memo.__getitem__
-        return [b"".join(map(get, rs)) + self.end for rs in runs]
+        return [b"".join(map(get, rs)) for rs in parts]
+
+
+#: Kept by a Python worker from task to task.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
@@ -163,8 +194,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
     sequence_id is unique: the task's number and a counter within it.
     """
 
+    end = np.array([end_id], dtype="<u4").tobytes()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, sequence = Encoder(tokenizer_path, end_id), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        encode, sequence = encoder(tokenizer_path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
         def flush(ids: list, codes: list[bytes]) -> pd.DataFrame:
             nonlocal sequence
@@ -183,7 +216,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                got = encode([t if isinstance(t, str) else None for t in part["text"]])
+                got = [x + end for x in encode([t if isinstance(t, str) else None for t in part["text"]])]
                 ids += [None if pd.isna(x) else int(x) for x in part["doc_id"]]
                 codes += got
                 held += sum(map(len, got)) // 4
