@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard, licenses, mixing, packing, projection_search, suffixes
+from . import cover_tree, jaccard, licenses, mixing, packing, projection_search, suffixes, toxicity
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_inner_products(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, lexicon, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = mixing.label_quality(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(table(spark, sf_dir, "documents"), quality)
@@ -54,6 +60,7 @@ def op9_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_cover_tree": op3_cover_tree,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
     "op7_suffixes": op7_suffixes,
