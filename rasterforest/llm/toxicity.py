@@ -65,8 +65,8 @@ class Fit:
     max_terms: int = 5000
     shortest: int = 4
     longest: int = 10
-    certainty: float = 2.0
-    least_weight: float = 1.0
+    certainty: float = 3.2
+    least_weight: float = 2.0
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: frozenset[str] = frozenset()
-    model: tuple[float, ...] = (-4.0, 1.0, 1.0, 0.0)
+    model: tuple[float, ...] = (-4.0, 1.0, 1.0)
     automaton: object = field(default=None, compare=False)
 
     def compiled(self) -> "Lexicon":
@@ -117,8 +117,8 @@ class Lexicon:
 
 
 def design(x: np.ndarray) -> np.ndarray:
-    """Model columns from features: constant, any weight, by root of length, by length."""
-    return np.stack([np.ones(len(x)), np.log1p(x[:, 2]), np.log1p(x[:, 3]), np.log1p(x[:, 4])], axis=1)
+    """Model columns from features: constant, weight, and weight by length."""
+    return np.stack([np.ones(len(x)), np.log1p(x[:, 2]), np.log1p(x[:, 4])], axis=1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -181,13 +181,13 @@ def pair_terms(lexicon: Lexicon) -> object:
     return terms
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, ...]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, ...]:
     """Weighted logistic regression by Newton's method."""
-    a, b = design(x), np.zeros(4)
+    a, b = design(x), np.zeros(3)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -40, 40)))
         gradient = a.T @ (weight * (y - p)) - ridge * b
-        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(4)
+        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(3)
         step = np.linalg.solve(hessian, gradient)
         b = b + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
@@ -198,11 +198,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Lexicon:
     """A lexicon from the labelled rows that aren't held out; without any, one that matches nothing.
 
-    A term counts when its log-odds between toxic and clean documents, less `certainty`
-    standard errors, reach least_weight. A word pair around a term is an exception when it
-    is as surely a sign of clean documents.
+    A term counts when its log-odds between toxic and clean documents reach least_weight
+    and `certainty` standard errors. A word pair around a term is an exception when it is
+    as surely a sign of clean documents.
     """
     sample = training_sample(docs, labels, fit)
+    # Terms come from two thirds of the sample, the model from the rest, where they weren't picked.
+    third = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) == 0
+    sample, rest = sample.where(~third), sample.where(third)
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -210,13 +213,15 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Lexicon:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     error = fit.certainty * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     terms = counted(sample, word_terms(fit)).withColumn("weight", odds)
-    terms = terms.where(odds - error >= fit.least_weight).orderBy(F.desc("weight"), "term").limit(fit.max_terms)
+    terms = terms.where((odds >= error) & (odds >= fit.least_weight)).orderBy(F.desc("weight"), "term").limit(fit.max_terms)
     lexicon = Lexicon({r["term"]: r["weight"] for r in terms.collect()})
     if lexicon.weights:
-        pairs = counted(sample, pair_terms(lexicon)).where((odds + error <= -fit.least_weight) & (F.col("clean") >= 3))
+        pairs = counted(sample, pair_terms(lexicon)).where((odds <= -error) & (odds <= -fit.least_weight))
         lexicon = Lexicon(lexicon.weights, frozenset(r["term"] for r in pairs.orderBy(F.desc("clean"), "term").limit(fit.max_terms).collect()))
-    rows = measured(sample.select("doc_id", "text"), lexicon).drop("terms")
-    rows = rows.join(sample.select("doc_id", "toxic", "share").dropDuplicates(["doc_id"]), "doc_id").toPandas()
+    rows = measured(rest.select("doc_id", "text"), lexicon).drop("terms")
+    rows = rows.join(rest.select("doc_id", "toxic", "share").dropDuplicates(["doc_id"]), "doc_id").toPandas()
+    if rows["toxic"].nunique() < 2:
+        return lexicon
     x = rows[["n_words", "n_hits", "weight", "by_root", "by_length"]].to_numpy(np.float64)
     model = logistic(x, rows["toxic"].to_numpy(np.float64), 1 / rows["share"].to_numpy())
     return Lexicon(lexicon.weights, lexicon.exceptions, model)
