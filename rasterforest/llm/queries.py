@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard, licenses, mixing, packing, projection_search, suffixes, toxicity
+from . import backoff, cover_tree, jaccard, licenses, mixing, packing, projection_search, suffixes, toxicity
 from .common import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.backoff_scores(table(spark, sf_dir, "documents"), order=3, backoff=0.4)
+    return found.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -58,6 +63,7 @@ def op9_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_backoff": op1_backoff,
     "op2_packing": op2_packing,
     "op3_cover_tree": op3_cover_tree,
     "op4_toxicity": op4_toxicity,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_backoff": backoff.ORACLE,
     "op3_cover_tree": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS vector FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
