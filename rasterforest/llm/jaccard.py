@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 SKETCH_BITS = 1024
 #: Partitions beyond the least number: a set may have so many with an empty half and need not announce them.
@@ -151,19 +151,23 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>")
 
 
+def apart() -> Column:
+    """Bits in which the sketches of the sides a and b differ."""
+    return F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def may_link(percent: int) -> Column:
     """By sizes and sketches of the sides a and b: False for pairs that can't reach the threshold."""
     n1, n2 = F.col("a_n"), F.col("b_n")
     most = F.floor((n1 + n2) * (100 - percent) / (100 + percent))
-    bits = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (bits <= most)
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (apart() <= most)
 
 
 def with_sides(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that sizes and sketches don't rule out."""
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
-    return pairs.where(may_link(percent)).select("a", "b")
+    return pairs.where(may_link(percent)).select("a", "b", apart().alias("apart"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, texts_per_group: int = 256) -> DataFrame:
@@ -215,6 +219,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def split(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    for side in ("a", "b"):
+        labels = found.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        pairs = pairs.join(labels, side, "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", side))
+    return pairs.where(F.col("a_label") != F.col("b_label")).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -228,14 +240,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     Every signature's sets are first compared with two centers; members still in different
     components are then compared with each other, so that no link is lost.
     """
-    info = materialize(set_table(docs, n, percent), "jaccard-sets")
-    own = info.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    sets = materialize(set_table(docs, n, percent), "jaccard-sets")
+    info = materialize(sets.drop("sketch", "signatures"), "jaccard-info")
+    own = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = own.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.first("sketch", ignorenulls=True).alias("sketch"))
     nodes = materialize(nodes, "jaccard-nodes")
     rows = own.select(F.explode("signatures").alias("sig"), "d1")
     span = W.partitionBy("sig")
     shared = rows.select("sig", "d1", F.min("d1").over(span).alias("center"), F.max("d1").over(span).alias("last")).where(F.col("center") < F.col("last"))
     shared = materialize(shared.select("sig", "d1", "center"), "jaccard-shared")
+    discard(sets)
 
     # Centers: the smallest digest of a signature, and the member met most often.
     key = nodes.select("d1", "node", "n", "sketch")
@@ -247,7 +261,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     more = shared.join(top, "sig").where(F.col("d1") != F.col("top")).select(F.col("top").alias("a_d1"), F.col("d1").alias("b_d1")).distinct()
     stars = materialize(stars.unionByName(more).distinct(), "jaccard-stars")
     pairs = stars.join(of("a"), "a_d1").join(of("b"), "b_d1").where(F.col("a") != F.col("b")).select("a", "b")
-    links = materialize(verify(with_sides(pairs, key, percent), docs, n, percent), "jaccard-links")
+    pairs = materialize(with_sides(pairs, key, percent), "jaccard-candidates")
+    # First each set with the nearest of its centers, then the pairs that this left apart.
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).getField("a").alias("a")).select("a", "b")
+    links = materialize(verify(nearest, docs, n, percent), "jaccard-links")
+    found = components(links)
+    rest = split(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), found)
+    links = materialize(links.unionByName(verify(rest, docs, n, percent)), "jaccard-links")
     found = components(links)
 
     # Signatures whose members aren't in one component yet.
@@ -258,8 +278,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     side = lambda s: members.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "n", "sketch")])
     cross = side("a").join(side("b"), "sig").where((F.col("a_label") < F.col("b_label")) & may_link(percent))
     cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    tried = with_sides(pairs, key, percent)
-    tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     late = materialize(verify(cross.join(tried, ["a", "b"], "left_anti"), docs, n, percent), "jaccard-late")
     if not late.isEmpty():
         found = components(links.unionByName(late))
