@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, cover_tree, jaccard, licenses, mixing, packing, projection_search, suffixes, toxicity
+from . import backoff, cover_tree, html_extract, jaccard, licenses, mixing, packing, projection_search, suffixes, toxicity
 from .common import table
 
 
@@ -62,6 +62,12 @@ def op9_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_search.nearest_neighbours(vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    chain = html_extract.fit(pages)
+    return html_extract.extract(pages.select("page_id", "url", "html"), chain).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": op1_backoff,
     "op2_packing": op2_packing,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffixes": op7_suffixes,
     "op8_licenses": op8_licenses,
     "op9_projections": op9_projections,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -245,3 +245,13 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     done = joined.mapInPandas(cut, f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept binary")
     return done.withColumnRenamed("new_spans", "spans")
+
+
+def decoded(kept: Column) -> Column:
+    """Kept bytes as text; what is left of a character that was cut is taken out."""
+
+    @F.pandas_udf("string")
+    def text(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return text(kept)
