@@ -26,6 +26,8 @@ from .jaccard import mixed
 GRAM = 32
 #: Contexts in one task's group, and beyond how many a gram's contexts are dealt out by window.
 GROUP_CONTEXTS = 4096
+#: Strings of hot grams in one task's group.
+BUCKET_STRINGS = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A fixed 64-bit number for each byte.
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -134,6 +136,16 @@ def place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mixed(mixed(key.view(np.uint64)) + start.astype(np.uint64))
 
 
+def equal(key: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose hash also stands at another place, and one row for each hash."""
+    spot, order = place(key, start), np.argsort(h, kind="stable")
+    if not len(h):
+        return order, order
+    cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    low, high = np.minimum.reduceat(spot[order], cut), np.maximum.reduceat(spot[order], cut)
+    return order[np.repeat(low != high, np.diff(np.append(cut, len(h))))], order[cut]
+
+
 def runs(key: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
     """Union of the spans from each start, by key."""
     order = np.lexsort((start, key))
@@ -175,31 +187,38 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         row, start, h = window_hashes(pdf, length)
         key = pdf["key"].to_numpy()[row]
-        spot, order = place(key, start), np.argsort(h, kind="stable")
-        cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.empty(0, dtype=np.int64)
-        if not len(cut):
-            return runs(key[:0], start[:0], length)
-        low, high = np.minimum.reduceat(spot[order], cut), np.maximum.reduceat(spot[order], cut)
-        hit = order[np.repeat(low != high, np.diff(np.append(cut, len(h))))]
+        hit, _ = equal(key, start, h)
         return runs(key[hit], start[hit], length)
 
     few = sized.where(F.col("n") <= GROUP_CONTEXTS).withColumn("group", F.pmod(F.xxhash64("gram"), F.lit(groups)))
     spans = few.groupBy("group").applyInPandas(compare, span)
     if total[1] > GROUP_CONTEXTS:
-        # A hot gram's strings are dealt by their own hashes and pre-aggregated.
+        # A hot gram's strings are dealt by their own hashes, once for each batch of contexts;
+        # those that a batch has twice are known to be repeated at once.
+        hot = sized.where(F.col("n") > GROUP_CONTEXTS)
+        buckets = max(1, -(-hot.count() * (left + 1) // BUCKET_STRINGS))
+
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for begin in range(0, len(pdf), 1024):
-                    part = pdf.iloc[begin : begin + 1024]
+                for begin in range(0, len(pdf), 4096):
+                    part = pdf.iloc[begin : begin + 4096]
                     row, start, h = window_hashes(part, length)
                     key = part["key"].to_numpy()[row]
-                    yield pd.DataFrame({"key": key, "begin": start, "hash": h.view(np.int64), "spot": place(key, start).view(np.int64)})
-
-        many = sized.where(F.col("n") > GROUP_CONTEXTS).mapInPandas(deal, "key long, begin long, hash long, spot long")
-        many = materialize(many, "suffix-strings")
-        both = many.groupBy("hash").agg(F.min("spot").alias("x"), F.max("spot").alias("y")).where(F.col("x") != F.col("y")).select("hash")
-        hot = many.join(materialize(both, "suffix-hot"), "hash", "left_semi")
-        spans = spans.unionByName(hot.select("key", "begin", (F.col("begin") + length).alias("end")))
+                    hit, first = equal(key, start, h)
+                    yield runs(key[hit], start[hit], length).assign(bucket=None, data=None)
+                    bucket = (h[first] % np.uint64(buckets)).astype(np.int64)
+                    data = np.stack([h[first].view(np.int64), key[first], start[first]], axis=1)
+                    rows = [(int(b), data[bucket == b].tobytes()) for b in np.unique(bucket)]
+                    yield pd.DataFrame(rows, columns=["bucket", "data"]).assign(key=None, begin=None, end=None)
+
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            h, key, start = np.concatenate([np.frombuffer(b, dtype=np.int64).reshape(-1, 3) for b in pdf["data"]]).T
+            hit, _ = equal(key.copy(), start, h.astype(np.int64).view(np.uint64))
+            return runs(key[hit], start[hit], length)
+
+        dealt = materialize(hot.mapInPandas(deal, f"{span}, bucket long, data binary"), "suffix-strings")
+        spans = spans.unionByName(dealt.where(F.col("bucket").isNull()).select("key", "begin", "end"))
+        spans = spans.unionByName(dealt.where(F.col("bucket").isNotNull()).select("bucket", "data").groupBy("bucket").applyInPandas(meet, span))
     spans = spans.select("key", F.struct("begin", "end").alias("span"))
     # Surroundings met twice are covered as far as the text goes; the end is clipped there.
     sure = lists.select("key", F.explode("whole").alias("p")).select("key", F.struct(F.greatest(F.col("p") - left, F.lit(0)).alias("begin"), (F.col("p") + length).alias("end")).alias("span"))
