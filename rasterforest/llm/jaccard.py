@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-SKETCH_BITS = 1024
+LEAST_BITS = 1024
 #: Partitions beyond the least number: a set may have so many with an empty half and need not announce them.
 SPARE = 3
 #: Beyond so many rows the texts to compare are joined by a shuffle, not by broadcasting their ids.
@@ -121,8 +121,12 @@ class PartEnum:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the counts by hashed bit: two sketches differ in no more bits than their sets in elements."""
-    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    """Parities of the counts by hashed bit: two sketches differ in no more bits than their sets in elements.
+
+    At least a bit for each element, a power of two; half as many by folding the halves together.
+    """
+    n = max(LEAST_BITS, 1 << max(len(hashes) - 1, 0).bit_length())
+    bits = np.bincount(((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64), minlength=n) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -151,9 +155,16 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>")
 
 
+def folded(x: Column, y: Column) -> Column:
+    """Sketch x in the length of y, if that is half of its own."""
+    halves = F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(x) == 2 * F.size(y), halves).otherwise(x)
+
+
 def apart() -> Column:
-    """Bits in which the sketches of the sides a and b differ."""
-    return F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Bits in which the sketches of the sides a and b differ; null if their sizes are too far apart."""
+    x, y = F.col("a_sketch"), F.col("b_sketch")
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
 
 
 def may_link(percent: int) -> Column:
