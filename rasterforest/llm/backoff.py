@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize, word_count
 from .jaccard import mixed
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Distinct n-grams that one partition of the count table should hold about.
 BUCKET_GRAMS = 1 << 21
 REST_BITS = 40
@@ -91,7 +91,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         import zstandard
 
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=9).compress
 
         def row(held: list) -> pd.DataFrame:
             return pd.DataFrame({"block": [number], "docs": [pack(pickle.dumps(held))]})
@@ -156,7 +156,6 @@ def backoff_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_
     """
     all_words = docs.agg(F.sum(word_count(F.col("text"))).alias("n")).first()["n"] or 0
     bits = max(1, int(np.ceil(np.log2(max(2, all_words * order * 0.6 / BUCKET_GRAMS)))))
-    # Without the empty cells of few words in many partitions.
     stored = materialize(blocks(docs, block_bytes), "lm-blocks")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
