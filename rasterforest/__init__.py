@@ -1,0 +1 @@
+"""Connected filtering of rasters held in Spark tables."""

@@ -1,0 +1 @@
+"""Plans that operators share: components and component trees."""

@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import settle
 
-#: Vertex ids that one tile's task unites.
+#: Vertex ids of one tile, whose edges one task unites.
 TILE = 1 << 16
+#: Vertices that a task holds at once.
+HELD = 1 << 20
 
 
 def components(edges: DataFrame, keys: list[str], tile: int = TILE, most_rounds: int = 64) -> DataFrame:
     """keys, vid and label (the least vertex reachable) for every vertex of the edges (keys, u, v).
 
-    Each tile of vertex ids is contracted in one task to a star; only where tiles meet do
+    Each tile of vertex ids is contracted in one task to stars; only where tiles meet do
     labels travel between them, with pointer jumping. Raises if that doesn't settle.
     """
-    schema = edges.select(*keys).schema
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*keys).schema)
 
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
+    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One forest for all tiles of a partition; any part of the edges gives true stars.
+        parent: dict[tuple, tuple] = {}
 
-        def find(x: int) -> int:
+        def find(x: tuple) -> tuple:
             while (p := parent.setdefault(x, x)) != x:
                 parent[x] = x = parent[p]
             return x
 
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            a, b = find(u), find(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        out = pd.DataFrame({"vid": list(parent), "label": [find(x) for x in list(parent)]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "vid", "label"]]
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    tiled = edges.select(*keys, "u", "v").withColumn("tile", F.floor(F.least("u", "v") / tile))
-    stars = settle(tiled.groupBy(*keys, "tile").applyInPandas(unite, f"{fields}, vid long, label long"), "stars")
+        def stars() -> pd.DataFrame:
+            rows = [(*x[0], x[1], find(x)[1]) for x in list(parent)]
+            parent.clear()
+            return pd.DataFrame(rows, columns=[*keys, "vid", "label"])
+
+        for pdf in batches:
+            for row in zip(zip(*[pdf[k].tolist() for k in keys]), pdf["u"].tolist(), pdf["v"].tolist()):
+                a, b = find((row[0], row[1])), find((row[0], row[2]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > HELD:
+                yield stars()
+        yield stars()
+
+    tiled = edges.select(*keys, "u", "v").repartition(*keys, F.floor(F.least("u", "v") / tile))
+    stars = settle(tiled.mapInPandas(unite, f"{fields}, vid long, label long"), "stars")
     labels = stars.groupBy(*keys, "vid").agg(F.min("label").alias("label"), F.max("label").alias("other"))
     labels = settle(labels, "labels")
     if labels.where(F.col("label") != F.col("other")).isEmpty():

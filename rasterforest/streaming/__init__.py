@@ -1,0 +1,25 @@
+"""Incremental statistics over a stream of node attributes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.stats import fit_stats, merge_stats
+
+
+def stream_stats(stream: DataFrame, names: list[str], table: str, checkpoint: str, tree_key: str = "max") -> StreamingQuery:
+    """Fold a stream of attribute rows into statistics below `table`, one folder per micro-batch.
+
+    A replayed batch overwrites its own folder, so each counts once; read_stats merges them.
+    """
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        fit_stats(batch, names, tree_key).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_stats(spark: object, table: str) -> DataFrame:
+    return merge_stats(spark.read.parquet(table).drop("batch_id").where(F.col("count") > 0))
