@@ -41,7 +41,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The distinct n-word shingles of a text as sorted 64-bit hashes."""
 
-    def __init__(self, n: int, memo_size: int = 1 << 20):
+    def __init__(self, n: int, memo_size: int = 1 << 18):
         self.n, self.memo, self.memo_size = n, {}, memo_size
 
     def __call__(self, text: str | None) -> np.ndarray:

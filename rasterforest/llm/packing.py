@@ -139,7 +139,7 @@ class Encoder:
     CLAUSE = re.compile("([a-z\u00e0-\u00f6\u00f8-\u00ff])([.,])(?=[ \n])")
     LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
 
-    def __init__(self, path: str, memo_size: int = 700_000):
+    def __init__(self, path: str, memo_size: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
