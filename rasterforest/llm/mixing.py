@@ -111,11 +111,12 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     docs need unique doc_id here. Returns the columns of docs; documents of which
     nothing is taken are left out.
     """
-    m = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("m_id"), "size", "taken")
-    joined = docs.join(m, F.col("doc_id").eqNullSafe(F.col("m_id")))
-    left = F.col("taken") - F.col("copy") * F.col("size")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), left))
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    m = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    size, taken = F.col("_mix_size"), F.col("_mix_taken")
+    joined = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    joined = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.ceil(taken / size).cast("int") - 1)))
+    left = taken - F.col("_mix_copy") * size
+    text = F.when(left >= size, F.col("text")).otherwise(first_words(F.col("text"), left))
     return joined.withColumn("text", text).select(docs.columns)
 
 

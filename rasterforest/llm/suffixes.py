@@ -237,8 +237,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    keyed = docs.drop("n_bytes", "spans", "kept").withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = materialize(repeated_spans(keyed.select("key", "text"), length), "suffix-spans")
+    keyed = docs.drop("n_bytes", "spans", "kept").withColumn("_suffix_key", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(keyed.select(F.col("_suffix_key").alias("key"), "text"), length)
+    spans = materialize(spans.select(F.col("key").alias("_suffix_key"), "spans"), "suffix-spans")
     schema = docs.drop("n_bytes", "spans", "kept").schema
     names = schema.names
 
@@ -260,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                 new = pd.DataFrame(out, columns=["n_bytes", "new_spans", "kept"], index=part.index)
                 yield pd.concat([part[names], new], axis=1)
 
-    joined = keyed.join(spans, "key", "left").select(*names, "spans")
+    joined = keyed.join(spans, "_suffix_key", "left").select(*names, "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     done = joined.mapInPandas(cut, f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept binary")
     return done.withColumnRenamed("new_spans", "spans")

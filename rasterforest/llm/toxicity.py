@@ -233,11 +233,13 @@ def measured(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lexicon.compiled()
         for pdf in batches:
-            texts = [folded(t if isinstance(t, str) else None) for t in pdf["text"]]
-            x = np.array([own.features(t) for t in texts], dtype=np.float64).reshape(-1, 5)
-            terms = [sorted({term.strip() for _, term in own.hits(t).values()}) if hit else [] for t, hit in zip(texts, x[:, 1])]
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": x[:, 0].astype(np.int64), "n_hits": x[:, 1].astype(np.int64)})
-            yield out.assign(weight=x[:, 2], by_root=x[:, 3], by_length=x[:, 4], score=own.score(x), terms=terms)
+            for begin in range(0, len(pdf), 512):
+                part = pdf.iloc[begin : begin + 512]
+                texts = [folded(t if isinstance(t, str) else None) for t in part["text"]]
+                x = np.array([own.features(t) for t in texts], dtype=np.float64).reshape(-1, 5)
+                terms = [sorted({term.strip() for _, term in own.hits(t).values()}) if hit else [] for t, hit in zip(texts, x[:, 1])]
+                out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_words": x[:, 0].astype(np.int64), "n_hits": x[:, 1].astype(np.int64)})
+                yield out.assign(weight=x[:, 2], by_root=x[:, 3], by_length=x[:, 4], score=own.score(x), terms=terms)
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_hits long, weight double, by_root double, by_length double, score double, terms array<string>")
 
