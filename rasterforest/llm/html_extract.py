@@ -249,7 +249,11 @@ def fit(pages: DataFrame, sample: int = 400, variants: int = 2, seed: int = 3) -
     Pages without an article element only tell what surrounds one. If no page is marked,
     the variants are built from a few words.
     """
-    rows = pages.where(F.col("html").isNotNull()).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    # The ids are chosen first, so that tasks send ids and not pages to be compared.
+    known = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    ids = known.select(F.col("page_id").alias("_chosen")).distinct().orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
+    rows = known.join(F.broadcast(ids), F.col("page_id") == F.col("_chosen")).select("page_id", "html").limit(sample).collect()
+    rows.sort(key=lambda r: (r["page_id"], r["html"]))
     rng, labelled = np.random.default_rng(seed), []
     for r in rows:
         blocks = leaves(r["html"])
