@@ -91,7 +91,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         import zstandard
 
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        pack = zstandard.ZstdCompressor(level=9).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
 
         def row(held: list) -> pd.DataFrame:
             return pd.DataFrame({"block": [number], "docs": [pack(pickle.dumps(held))]})
