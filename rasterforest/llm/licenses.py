@@ -55,12 +55,24 @@ SPELLINGS = (
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null stays null, punctuation alone becomes ''."""
+def spelled(text: Column) -> Column:
+    """Lower case, without copyright lines, spellings unified; the lines stay as they are dealt.
+
+    No pattern crosses a line's end, so each line comes out as it would alone.
+    """
     out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    return out
+
+
+def words(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form; null stays null, punctuation alone becomes ''."""
+    return words(spelled(text))
 
 
 def digest(text: Column) -> Column:
@@ -73,33 +85,27 @@ def known_digests(df: DataFrame, known: tuple[tuple[str, str], ...]) -> DataFram
     return rows.groupBy(digest(F.col("known_text")).alias("known_digest")).agg(F.min("license").alias("whole_license"))
 
 
-def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, hint: str = r"(?i)licen[cs]|public|copyright|rights reserved|software") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """Per row of docs: doc_id, whole_license (of the entire text), n_lines, n_license_lines and licenses.
 
-    docs: doc_id, text; other columns are ignored. Every line of every text is looked up;
-    lines that hold none of the hint's words can't be a known licence and skip the
-    canonical form (each known text must match the hint, which is checked). licenses lists
-    the distinct identifiers in order, joined by commas. Null and empty texts have no line
-    and no licence; a null doc_id keeps its row; repeated rows are each reported; an empty
-    table gives no rows.
+    docs: doc_id, text; other columns are ignored. Every text and every line of it is put
+    into its canonical form and looked up. licenses lists the distinct identifiers in
+    order, joined by commas. Null and empty texts have no line and no licence; a null
+    doc_id keeps its row; repeated rows are each reported; an empty table gives no rows.
     """
-    import re
-
-    missed = [t for _, t in known if not re.search(hint.replace("(?i)", ""), t, re.I)]
-    if missed:
-        raise ValueError(f"the hint matches no part of: {missed[:3]}")
     digests = known_digests(docs, known)
     # As many rows as known licences: two constant arrays for the look-up of lines.
     rows = digests.collect()
     keys, ids = (F.array(*[F.lit(r[c]) for r in rows]) for c in ("known_digest", "whole_license"))
-    look = lambda x: F.get(ids, F.array_position(keys, digest(x)).cast("int") - 1)
-    lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
-    hits = F.transform(F.filter(lines, lambda x: x.rlike(hint)), look)
-    found = docs.select(
+    look = lambda x: F.get(ids, F.array_position(keys, F.sha2(words(x), 256)).cast("int") - 1)
+    # A step of its own: the whole text and its lines are read from one spelled form.
+    forms = docs.select("doc_id", spelled(F.col("text")).alias("form"), (F.coalesce(F.col("text"), F.lit("")) == "").alias("bare"))
+    lines = F.when(F.col("bare"), F.array().cast("array<string>")).otherwise(F.split("form", "\n"))
+    found = forms.select(
         "doc_id",
         F.size(lines).cast("long").alias("n_lines"),
-        F.filter(hits, lambda x: x.isNotNull()).alias("hits"),
-        F.when(F.col("text").rlike(hint), digest(F.col("text"))).alias("digest"),
+        F.filter(F.transform(lines, look), lambda x: x.isNotNull()).alias("hits"),
+        F.sha2(words(F.col("form")), 256).alias("digest"),
     )
     # As many rows as known licences, whatever the size of docs.
     whole = found.join(F.broadcast(digests), F.col("digest") == F.col("known_digest"), "left")

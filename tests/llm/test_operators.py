@@ -266,6 +266,25 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_in_other_spellings(spark):
+    texts = {
+        "Released under Creative Commons Attribution 4.0 International.": "CC-BY-4.0",
+        "Released under CC BY 4.0.": "CC-BY-4.0",
+        "Released under CC0 1.0.": "CC0-1.0",
+        "Released under the GPL, version 3.": "GPL-3.0-only",
+        "Released under cc by nc v4.0": "CC-BY-NC-4.0",
+    }
+    rows = list(enumerate(texts)) + [(10 + i, f"first\n{t}\n\nCopyright 2020 x") for i, t in enumerate(texts)] + [(99, "Copyright 2020 x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    for i, name in enumerate(texts.values()):
+        assert (got[i]["whole_license"], got[i]["n_lines"], got[i]["n_license_lines"], got[i]["licenses"]) == (name, 1, 1, name)
+        assert (got[10 + i]["whole_license"], got[10 + i]["n_lines"], got[10 + i]["n_license_lines"], got[10 + i]["licenses"]) == (None, 4, 1, name)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    same(licenses.scan_licenses(df), con.sql(ORACLES["op8_licenses"]))
+
+
 PAGE = "<html><head><title>{t}</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav><article><h1>{t}</h1><p>{a}<p>{b} &amp; more</article><footer>&copy; us</footer></body></html>"
 
 
