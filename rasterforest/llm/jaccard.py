@@ -133,7 +133,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, its sketch and its signatures.
 
-    A copy of a set that the same task met before has no signatures.
+    A copy of a set that the same task met before has no signatures, nor has a row with a
+    null doc_id; such rows don't count as met.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,10 +145,11 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 for doc_id, text in zip(part["doc_id"], part["text"]):
                     h = shingles(text if isinstance(text, str) else None)
                     d1, d2 = (int(mixed(h ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (0x51ED27, 0xA3B19535))
-                    new = (d1, d2) not in seen and len(h) > 0
+                    new = (d1, d2) not in seen and len(h) > 0 and not pd.isna(doc_id)
                     if len(seen) > 1 << 20:
                         seen.clear()
-                    seen.add((d1, d2))
+                    if new:
+                        seen.add((d1, d2))
                     rows.append((doc_id, len(h), d1, d2, sketch(h) if new else None, signatures(h).view(np.int64) if new else None))
                 out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2", "sketch", "signatures"])
                 yield out.astype({"doc_id": "Int64"})

@@ -228,6 +228,14 @@ def test_jaccard(spark, docs, loose, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_null_id_copy_first(spark):
+    words = sentence(200).split()
+    near = " ".join([*words[:100], "other", *words[101:]])
+    df = spark.createDataFrame([(None, " ".join(words)), (5, " ".join(words)), (7, near), (None, near)], "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard.jaccard_components(df).collect())
+    assert got == [(0, None), (0, None), (5, 5), (7, 5)]
+
+
 def without_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
