@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterforest.llm import jaccard, mixing, packing, suffixes, toxicity
-from rasterforest.llm.common import materialize, table, word_count
+from rasterforest.llm.common import materialize, numbered, table, word_count
 from rasterforest.llm.queries import tokenizer_path
 
 #: No single SQL statement expresses the learned lexicon, the components or the packing.
@@ -41,8 +41,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deal 150 % of all words to the sources by weight; a document comes once per take."""
-    mixed = mixing.mix(docs, mixing.label_quality(table(spark, sf_dir, "labels")))
-    return mixing.apply_mix(docs, mixed).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows = numbered(docs, "mix-rows")
+    mixed = mixing.mix(rows, mixing.label_quality(table(spark, sf_dir, "labels")), row="_row")
+    return mixing.apply_mix(rows, mixed, "_row").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str, row: str = "_row") -> DataFrame:
+    """docs with a unique key for each row, written once so that every reader meets the same keys."""
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once all that is read from it is written elsewhere."""
     spark = df.sparkSession

@@ -53,18 +53,20 @@ def source_targets(sized: DataFrame, share: float = 1.5, epochs: int = 2, cycle:
     return by.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, share: float = 1.5, epochs: int = 2, rows_per_range: int = 4096, cycle: tuple[float, ...] = CYCLE) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, share: float = 1.5, epochs: int = 2, rows_per_range: int = 4096, cycle: tuple[float, ...] = CYCLE, row: str | None = None) -> DataFrame:
     """How many words of each document the mix takes.
 
     docs: doc_id, source, text; other columns are ignored. quality (doc_id, weight > 0)
     may lack documents (weight 1) and may repeat ids (the largest weight counts).
-    Returns doc_id, source, size, source_size, target, taken, one row per row of docs.
+    Returns doc_id, source, size, source_size, target, taken, one row per row of docs, and
+    the column row of docs, if named: a unique key, so that each row finds its own taken.
     Null and empty texts have size 0 and are taken with 0 words; a null source is a
     source of its own; repeated rows share a key and are taken one after the other;
     an empty table gives no rows. Reruns with the same seed agree. The document at the
     budget's edge is taken in part, so a source misses its target by under one word.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    own = [row] if row else []
+    sized = docs.select(*own, "doc_id", "source", word_count(F.col("text")).alias("size"))
     if quality is not None:
         best = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("weight").alias("weight"))
         sized = sized.join(best, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
@@ -85,13 +87,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, share
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_before"))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range"))).drop("s_source", "s_range")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("range_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor(F.col("target")).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select(*own, "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
 
 
 def label_quality(labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
@@ -105,15 +107,16 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataFrame:
     """The mixed corpus: each document once per complete take, and its head for a partial one.
 
-    docs need unique doc_id here. Returns the columns of docs; documents of which
-    nothing is taken are left out.
+    The column row of docs and mixed is a unique key: doc_id only where no id is repeated
+    or null twice, else one of numbered() that mix() carried. Returns the columns of docs;
+    documents of which nothing is taken are left out.
     """
-    m = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    m = mixed.where(F.col("taken") > 0).select(F.col(row).alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
     size, taken = F.col("_mix_size"), F.col("_mix_taken")
-    joined = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    joined = docs.join(m, F.col(row).eqNullSafe(F.col("_mix_id")))
     joined = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.ceil(taken / size).cast("int") - 1)))
     left = taken - F.col("_mix_copy") * size
     text = F.when(left >= size, F.col("text")).otherwise(first_words(F.col("text"), left))

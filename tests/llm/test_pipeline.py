@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from rasterforest.llm import mixing
 
 
 def test_stages(spark, tmp_path):
@@ -37,3 +40,19 @@ def test_stages(spark, tmp_path):
     assert seen["suffix_dedup"][1] == docs[1][1] and len(seen["suffix_dedup"]) == 201
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and pieces.count() > 200
+
+
+def test_mixing_of_null_and_repeated_ids(spark, tmp_path):
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    sizes = [(None, 5), (None, 9), (None, 3), (None, 9), (1, 6), (1, 4), (1, 6), (2, 7)]
+    rows = [(i, " ".join(f"r{k}w{j}" for j in range(n)), "en", f"s{k % 2}", 0) for k, (i, n) in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["text"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()]
+    taken = mixing.mix(docs, mixing.label_quality(spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    assert sum(len(t.split()) for t in got) == taken.agg(F.sum("taken")).first()[0]
+    # Each text comes at most twice, as epochs allow, and in part at most once.
+    for _, text, *_ in rows:
+        parts = [t for t in got if text.startswith(t)]
+        assert len(parts) <= 2 and sum(t != text for t in parts) <= 1
+    assert all(any(text.startswith(t) for _, text, *_ in rows) for t in got)
