@@ -18,16 +18,14 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the lexicon marks toxic; rows without an id stay."""
+    """Drop the rows that the lexicon marks toxic, each by its own score."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, lexicon)
-    gone = scored.where((F.col("predicted") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.drop_toxic(docs, lexicon)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8."""
-    return jaccard.keep_representatives(docs, jaccard.jaccard_components(docs, n=5, percent=80))
+    """Keep one row of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id if any."""
+    return jaccard.distinct_documents(docs, n=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, numbered
 
 LEAST_BITS = 1024
 #: Partitions beyond the least number: a set may have so many with an empty half and need not announce them.
@@ -304,6 +304,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
 
 def keep_representatives(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    """docs without those whose component holds a smaller doc_id; null ids stay."""
+    """docs without those whose component holds a smaller doc_id; null ids and rows repeated under one id stay."""
     gone = linked.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def distinct_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """One row of docs for each component: the smallest doc_id, null last.
+
+    Rows are linked and kept by a key of their own, so rows with a null id and rows repeated
+    under one id are documents like all others. Rows without shingles are all kept.
+    """
+    rows = numbered(docs, "jaccard-rows")
+    linked = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = rows.select("_row", "doc_id").join(linked, "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)

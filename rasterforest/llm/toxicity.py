@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -253,3 +254,17 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) ->
     """
     found = measured(docs, lexicon)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits", "terms")
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
+    """docs without the rows that score_toxicity marks, each by its own text, whatever its doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lexicon.compiled()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                x = np.array([own.features(folded(t)) for t in part.column("text").to_pylist()], dtype=np.float64).reshape(-1, 5)
+                yield part.filter(pa.array(~(np.asarray(own.score(x)) >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -56,3 +56,29 @@ def test_mixing_of_null_and_repeated_ids(spark, tmp_path):
         parts = [t for t in got if text.startswith(t)]
         assert len(parts) <= 2 and sum(t != text for t in parts) <= 1
     assert all(any(text.startswith(t) for _, text, *_ in rows) for t in got)
+
+
+def test_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"badword {text(80)} badword" if i % 3 == 0 else text(80)) for i in range(300)]
+    one, two, three = text(80), text(80), text(80)
+    # Toxic without an id; clean beside a toxic row of the same id; copies under one id, without ids, and of both kinds.
+    rows += [(None, f"badword {text(80)} badword"), (500, f"badword {text(80)} badword"), (500, text(80))]
+    rows += [(501, one), (501, one), (None, two), (None, two), (None, two + " end"), (None, three), (502, three)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], columns).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(300)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, t) for i, t in rows if "badword" not in t]
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        got = [(r["doc_id"], r["text"]) for r in now.collect()]
+        if name == "toxicity":
+            assert sorted(got, key=str) == sorted(want, key=str)
+        else:
+            rest = [r for r in got if r[0] is None or r[0] >= 501]
+            assert len(got) == len(want) - 4 and len(rest) == 3
+            assert (501, one) in rest and (502, three) in rest and any(i is None and t.startswith(two) for i, t in rest)
