@@ -2,11 +2,14 @@
 
 A text is put into one canonical form (lower case, copyright lines gone, equivalent
 spellings unified, punctuation and white space folded) and its digest is looked up among
-those of known licence texts. Whole documents and each of their lines are looked up.
+those of known notices and licence texts. Whole documents and each of their lines are
+looked up; complete licence texts are also found inside documents.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,15 @@ KNOWN = (
     ("LicenseRef-AllRightsReserved", "All rights reserved."),
 )
 
+# Titles above short licence texts; the line that ends the terms of long ones.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
 # Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = (
     (r"\bcreative commons\b", "cc"),
@@ -85,31 +97,77 @@ def known_digests(df: DataFrame, known: tuple[tuple[str, str], ...]) -> DataFram
     return rows.groupBy(digest(F.col("known_text")).alias("known_digest")).agg(F.min("license").alias("whole_license"))
 
 
+def license_texts() -> list[tuple[str, str, bool]]:
+    """Identifier, text and whether it is also looked for inside longer texts: every complete licence of the folder license_texts.
+
+    A file counts in full and up to the end of its terms, as it is wrapped and on one line;
+    short ones also below a title.
+    """
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name, full = path.stem, path.read_text()
+        terms = full.partition(END_OF_TERMS)
+        inner = terms[0] + terms[1]
+        for text in (inner, " ".join(inner.split())):
+            out.append((name, text, True))
+        titles = TITLES.get(name, ())
+        out += [(name, text, False) for text in (full, " ".join(full.split()), *(f"{t}\n\n{inner}" for t in titles))]
+    return out
+
+
+def spans(joined: Column, flat: Column, form: str) -> Column:
+    """Lines over which form stretches, all places together; joined is flat with \\n for the space after each line."""
+    n = len(form)
+    parts = F.split(flat, f"\\Q {form}\\E(?= )")
+
+    def step(s: Column, part: Column) -> Column:
+        at = s["at"] + F.length(part) + 1
+        run = joined.substr(at + 1, F.lit(n))
+        return F.struct((at + n).alias("at"), (s["n"] + 1 + n - F.length(F.replace(run, F.lit("\n"), F.lit("")))).alias("n"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda s: s["n"])
+
+
 def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """Per row of docs: doc_id, whole_license (of the entire text), n_lines, n_license_lines and licenses.
 
     docs: doc_id, text; other columns are ignored. Every text and every line of it is put
-    into its canonical form and looked up. licenses lists the distinct identifiers in
-    order, joined by commas. Null and empty texts have no line and no licence; a null
-    doc_id keeps its row; repeated rows are each reported; an empty table gives no rows.
+    into its canonical form and looked up; complete licence texts are looked up among the
+    texts and found inside them too, however their lines are dealt. n_license_lines counts
+    the lines that are a known notice and those that a licence text stretches over.
+    licenses lists the distinct identifiers in order, joined by commas. Null and empty
+    texts have no line and no licence; a null doc_id keeps its row; repeated rows are each
+    reported; an empty table gives no rows.
     """
-    digests = known_digests(docs, known)
-    # As many rows as known licences: two constant arrays for the look-up of lines.
-    rows = digests.collect()
+    texts = license_texts()
+    digests = known_digests(docs, (*known, *((name, text) for name, text, _ in texts)))
+    # As many rows as known notices: two constant arrays for the look-up of lines.
+    rows = known_digests(docs, known).collect()
     keys, ids = (F.array(*[F.lit(r[c]) for r in rows]) for c in ("known_digest", "whole_license"))
-    look = lambda x: F.get(ids, F.array_position(keys, F.sha2(words(x), 256)).cast("int") - 1)
-    # A step of its own: the whole text and its lines are read from one spelled form.
-    forms = docs.select("doc_id", spelled(F.col("text")).alias("form"), (F.coalesce(F.col("text"), F.lit("")) == "").alias("bare"))
-    lines = F.when(F.col("bare"), F.array().cast("array<string>")).otherwise(F.split("form", "\n"))
-    found = forms.select(
+    look = lambda x: F.get(ids, F.array_position(keys, F.sha2(x, 256)).cast("int") - 1)
+    inner = docs.sparkSession.createDataFrame([t[:2] for t in texts if t[2]], "license string, known_text string")
+    inner = sorted({(r[0], r[1]) for r in inner.select("license", canonical(F.col("known_text"))).collect()})
+    # Steps of their own: the whole text and its lines are read from one spelled form.
+    raw = F.col("text")
+    forms = docs.select("doc_id", spelled(raw).alias("form"), raw.isNull().alias("none"), (F.coalesce(raw, F.lit("")) == "").alias("bare"))
+    lines = F.when(F.col("bare"), F.array().cast("array<string>")).otherwise(F.transform(F.split("form", "\n"), words))
+    lined = forms.select("doc_id", "none", lines.alias("lines"))
+    joined = F.concat(F.lit(" "), F.array_join(F.filter("lines", lambda x: x != ""), "\n"), F.lit(" "))
+    hits = F.filter(F.transform("lines", look), lambda x: x.isNotNull())
+    met = lined.select("doc_id", "none", F.size("lines").cast("long").alias("n_lines"), hits.alias("hits"), joined.alias("joined"))
+    met = met.withColumn("flat", F.translate("joined", "\n", " "))
+    there = [(name, form, F.contains("flat", F.lit(f" {form} "))) for name, form in inner]
+    found = met.select(
         "doc_id",
-        F.size(lines).cast("long").alias("n_lines"),
-        F.filter(F.transform(lines, look), lambda x: x.isNotNull()).alias("hits"),
-        F.sha2(words(F.col("form")), 256).alias("digest"),
+        "n_lines",
+        F.concat("hits", F.filter(F.array(*[F.when(c, F.lit(name)) for name, _, c in there]), lambda x: x.isNotNull())).alias("hits"),
+        (F.size("hits") + sum(F.when(c, spans(F.col("joined"), F.col("flat"), form)).otherwise(0) for _, form, c in there)).cast("long").alias("n_license_lines"),
+        F.when(~F.col("none"), F.sha2(F.trim("flat"), 256)).alias("digest"),
     )
     # As many rows as known licences, whatever the size of docs.
     whole = found.join(F.broadcast(digests), F.col("digest") == F.col("known_digest"), "left")
-    return whole.select("doc_id", "whole_license", "n_lines", F.size("hits").cast("long").alias("n_license_lines"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("licenses"))
+    return whole.select("doc_id", "whole_license", "n_lines", "n_license_lines", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("licenses"))
 
 
 def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:

@@ -293,6 +293,27 @@ def test_licenses_in_other_spellings(spark):
     same(licenses.scan_licenses(df), con.sql(ORACLES["op8_licenses"]))
 
 
+def test_license_texts(spark):
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    texts = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-only"} <= set(texts)
+    names = sorted(texts)
+    rows = [(i, texts[n]) for i, n in enumerate(names)]
+    rows += [(100 + i, f"# tool\nintro of it\n\n{texts[n]}\nthe end") for i, n in enumerate(names)]
+    mit = texts["MIT"].strip()
+    rows += [(200, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), (201, " ".join(mit.split())), (202, f"{mit}\nLicensed under CC BY 4.0.\n{mit}\n"), (203, mit.replace("merge", "sell"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    for i, n in enumerate(names):
+        assert got[i]["whole_license"] == n and n in got[i]["licenses"].split(",")
+        assert got[100 + i]["whole_license"] is None and n in got[100 + i]["licenses"].split(",") and got[100 + i]["n_license_lines"] > 5
+    filled = sum(bool(x.strip()) for x in mit.split("\n"))
+    assert (got[200]["whole_license"], got[200]["n_license_lines"]) == ("MIT", filled)
+    assert (got[201]["whole_license"], got[201]["n_license_lines"]) == ("MIT", 1)
+    assert (got[202]["whole_license"], got[202]["n_license_lines"], got[202]["licenses"]) == (None, 2 * filled + 1, "CC-BY-4.0,MIT")
+    assert (got[203]["whole_license"], got[203]["n_license_lines"], got[203]["licenses"]) == (None, 0, "")
+
+
 PAGE = "<html><head><title>{t}</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav><article><h1>{t}</h1><p>{a}<p>{b} &amp; more</article><footer>&copy; us</footer></body></html>"
 
 
