@@ -27,6 +27,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under limits on tokens, turns' segments and the assistant's loss-bearing tokens."""
+    examples = packing.instruction_examples(table(spark, sf_dir, "conversations"), tokenizer_path())
+    return packing.pack_examples(examples, packing.Limits(tokens=4096, segments=64, loss=2048))
+
+
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = cover_tree.scaled(table(spark, sf_dir, "embeddings"))
     return cover_tree.top_inner_products(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
@@ -71,6 +77,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": op1_backoff,
     "op2_packing": op2_packing,
+    "conversation_packing": conversation_packing,
     "op3_cover_tree": op3_cover_tree,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
