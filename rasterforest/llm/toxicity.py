@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -27,20 +28,25 @@ LOOKALIKES = {
     "a": "4@аα",
     "b": "8вβ",
     "c": "(сϲ",
+    "d": "ԁɗ",
     "e": "3еεё",
+    "f": "ƒ",
+    "g": "69ɡ",
     "h": "нһ",
-    "i": "1!|lіıιӏ",
+    "i": "1!|lіıιӏɩ",
     "j": "ј",
     "k": "кκ",
     "m": "м",
     "n": "пη",
     "o": "0оο",
     "p": "рρ",
+    "q": "ԛ",
+    "r": "гɾ",
     "s": "5$ѕ",
     "t": "7+тτ",
     "u": "υ",
     "v": "ν",
-    "w": "ѡω",
+    "w": "ѡωԝ",
     "x": "хχ",
     "y": "уγ",
     "z": "2ζ",
@@ -53,7 +59,8 @@ TRAILING = re.compile(r"[!|+(]+(?=\s|$)")
 
 def folded(text: str | None) -> str:
     """Words of plain letters between single spaces, with a space at either end; ' ' for none."""
-    plain = unicodedata.normalize("NFKD", TRAILING.sub(" ", text or "").lower()).translate(FOLD)
+    # Lower case comes last: compatibility forms decompose to capitals too.
+    plain = unicodedata.normalize("NFKD", TRAILING.sub(" ", text or "")).lower().translate(FOLD)
     return f" {NOT_LETTERS.sub(' ', plain).strip()} ".replace("  ", " ")
 
 
@@ -98,12 +105,17 @@ class Lexicon:
         if self.automaton is not None and len(self.automaton):
             for end, (n, weight) in self.automaton.iter(text):
                 start = end - n + 1
-                if weight is None:
-                    spared.append((start, end))
-                elif weight > best.get(start, (-np.inf, ""))[0]:
-                    best[start] = (weight, text[start : end + 1])
+                if weight is not None:
+                    if weight > best.get(start, (-np.inf, ""))[0]:
+                        best[start] = (weight, text[start : end + 1])
+                    continue
+                # Ends ascend, so what a phrase overlaps was found just before it.
+                while spared and spared[-1][1] > start:
+                    start = min(start, spared.pop()[0])
+                spared.append((start, end))
         if spared and best:
-            best = {s: x for s, x in best.items() if not any(a <= s < b for a, b in spared)}
+            starts = [a for a, _ in spared]
+            best = {s: x for s, x in best.items() if (i := bisect_right(starts, s)) == 0 or s >= spared[i - 1][1]}
         return best
 
     def features(self, text: str) -> tuple[int, int, float, float, float]:
@@ -151,7 +163,8 @@ def counted(sample: DataFrame, terms_of: object) -> DataFrame:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 counts[int(toxic)].update(terms_of(folded(text)))
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
+        if terms:  # a task may have no row of the sample
+            yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
 
     by_task = sample.select("text", "toxic").mapInPandas(run, "term string, toxic long, clean long")
     return by_task.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
