@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -86,6 +87,60 @@ def test_packing(loose, empty):
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def test_ids_of_odd_texts(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|ENDOFTEXT|> b", "x <|endoftext|> y", "<|Endoftext|>", "don't, it's. (so)... \t tab\n\nx.", "İstanbul ΣΑΣ. é end, word.", "A\u00a0B\u0085C, d.\x1c e", "Ünïcode wörds, CAPS. 12.5%", " ", "漢字 и слова, да."]
+    df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, tokens string").coalesce(1)
+    got = packing.pack_documents(df, tokenizer_path(), limits=packing.Limits(tokens=8, segments=3, loss=8)).orderBy("doc_id", "start").toPandas()
+    for i, t in enumerate(texts):
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
+        assert b"".join(got[got.doc_id == i].tokens) == ids and (got[got.doc_id == i].doc_tokens == len(ids) // 4).all()
+    # Texts beyond a part are cut at white space; a word beyond it stays whole.
+    parts = packing.cut_long("aa bb ccccccccc dd", 6)
+    assert "".join(parts) == "aa bb ccccccccc dd" and parts[1:] == [" ccccccccc", " dd"]
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "PART_BYTES", 50)
+    texts = [sentence(40) + ", Some. " + sentence(9), "x" * 300, "", sentence(3)] * 3
+    encode, got = packing.Encoder(tokenizer_path(), known_bytes=400), []
+    for _, ids, sizes in packing.encoded(packing.pa.array(texts), encode):
+        got += [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+    whole = Tokenizer.from_file(tokenizer_path())
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_many_short_pieces():
+    began = time.time()
+    bins = packing.pack_cutting(np.ones(100_000, dtype=np.int64), packing.Limits())
+    assert sum(n for b in bins for *_, n in b) == 100_000 and max(map(len, bins)) <= 512
+    assert time.time() - began < 10
+
+
+def test_conversations(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    count = lambda t: len(whole.encode(t or "", add_special_tokens=False).ids)
+    turns = [(c, t, "assistant" if t % 2 else "user", sentence(5 + c)) for c in range(30) for t in range(4)] + [(3, 4, "assistant", None), (3, 4, "assistant", None), (None, 0, None, "no id"), (77, 0, "assistant", "")]
+    df = spark.createDataFrame([(*t, -1) for t in turns], "conv_id long, turn long, role string, text string, n_tokens int")
+    examples = {r["example_id"]: (r["n_tokens"], r["n_loss"]) for r in packing.instruction_examples(df, tokenizer_path()).collect()}
+    want = {}
+    for c, _, role, text in turns:
+        a, b = want.get(c, (0, 0))
+        want[c] = (a + count(text), b + (count(text) if role == "assistant" else 0))
+    assert examples == want
+    got = packing.pack_examples(packing.instruction_examples(df, tokenizer_path()).coalesce(1), packing.Limits(tokens=300, segments=4, loss=120)).toPandas()
+    assert len(got) == len(want) and got.example_id.isna().sum() == 1
+    for _, s in got.groupby("sequence_id"):
+        assert len(s) == 1 or (s.n_tokens.sum() <= 300 and s.n_loss.sum() <= 120 and len(s) <= 4)
+    assert packing.pack_examples(packing.instruction_examples(df.limit(0), tokenizer_path())).count() == 0
+
+
 def test_packing_whole_examples(spark):
     rows = [(i, RNG.randrange(1, 90), 0) for i in range(80)] + [(99, 500, 3), (None, None, None)]
     df = spark.createDataFrame([(i, n, n and n // 2) for i, n, _ in rows], "example_id long, n_tokens long, n_loss long").coalesce(1)
@@ -160,6 +215,26 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.folded(None) == toxicity.folded(" \n") == " "
     spared = toxicity.Lexicon({" trash ": 5.0}, frozenset({" trash can "})).compiled()
     assert spared.features(toxicity.folded("a trash can"))[1] == 0 and spared.features(toxicity.folded("trash can trash"))[1] == 1
+    terms = {" bad ": 2.0, " ba": 1.0, " badly ": 3.0, " trash ": 5.0}
+    phrases = frozenset({" trash can ", " can bad ", " very bad "})
+    compiled = toxicity.Lexicon(terms, phrases).compiled()
+    for _ in range(200):
+        text = f" {' '.join(rng.choice(['bad', 'badly', 'trash', 'can', 'very', 'base', 'no']) for _ in range(12))} "
+        found = {}
+        for start in range(len(text)):
+            held = [(w, t) for t, w in terms.items() if text.startswith(t, start)]
+            spans = [(i, i + len(p) - 1) for p in phrases for i in range(len(text)) if text.startswith(p, i)]
+            if held and not any(a <= start < b for a, b in spans):
+                found[start] = max(held)
+        assert compiled.hits(text) == found
+    assert toxicity.folded("𝐁𝐀𝐃 𝔹𝟘𝕆") == toxicity.folded("bad boo") and toxicity.folded("ԁо9 gгɡ") == toxicity.folded("dog grg")
+    # A task without rows of the sample, null ids, repeats and a very long text.
+    wide = texts.where("doc_id < 60").unionByName(texts.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(texts.where("doc_id = 1")).repartition(40)
+    toxicity.learn(wide, spark.createDataFrame(marks, "doc_id long, toxic int, quality int"))
+    twice = toxicity.score_toxicity(wide, lexicon).toPandas()
+    assert len(twice) == 62 and not twice[twice.doc_id.isna()].held_out.any() and twice[twice.doc_id == 1].score.nunique() == 1
+    long = spark.createDataFrame([(1, "fine words " * 300_000 + "stemful " * 50_000)], "doc_id long, text string")
+    assert toxicity.score_toxicity(long, lexicon).first()["predicted"] == 1
     odd = toxicity.score_toxicity(docs, lexicon).toPandas()
     assert len(odd) == len(TEXTS) and odd.score.between(0, 1).all()
     assert toxicity.score_toxicity(empty, lexicon).count() == 0
