@@ -47,12 +47,35 @@ def numbered(docs: DataFrame, name: str, row: str = "_row") -> DataFrame:
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once all that is read from it is written elsewhere."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """The tables that one operator writes between its steps, in a folder of the shared one."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df written as Parquet and read back."""
+        self.made += 1
+        path = f"{self.path}/{self.made}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that keep() wrote and no later step reads, and let Spark drop the shuffle files behind them."""
+        for folder in {name.rpartition("/")[0] for df in tables for name in df.inputFiles()}:
+            self._delete(folder)
+        self.spark._jvm.System.gc()
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df written outside the folder, which is deleted."""
+        out = materialize(df, name)
+        self._delete(self.path)
+        self.spark._jvm.System.gc()
+        return out
 
 
 def word_count(text: Column) -> Column:

@@ -16,17 +16,20 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, numbered
+from .common import Scratch
 
-LEAST_BITS = 1024
+LEAST_BITS = 256
 #: Partitions beyond the least number: a set may have so many with an empty half and need not announce them.
 SPARE = 3
-#: Beyond so many rows the texts to compare are joined by a shuffle, not by broadcasting their ids.
+#: Signatures meet in so many parts one after the other, so that only a part is on its way at a time.
+PARTS = 4
+#: Ids of texts to compare are broadcast up to so many rows, of 32 bytes each; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 ONE, MIX1, MIX2 = np.uint64(1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -66,66 +69,80 @@ class Shingler:
 class PartEnum:
     """Signatures of sets of 64-bit hashes for a Jaccard threshold in percent."""
 
-    def __init__(self, percent: int, largest: int = 1 << 26):
+    def __init__(self, percent: int):
         self.percent = percent
-        self.low, self.high = [], []
-        low = 1
-        while low <= largest:
-            high = low * 100 // percent
-            self.low.append(low)
-            self.high.append(high)
-            low = high + 1
+        self.low, self.high = [1], [100 // percent]
+
+    def band(self, n: int) -> int:
+        """The number of the size band that holds n; bands are added as sizes ask for them."""
+        while self.high[-1] < n:
+            self.low.append(self.high[-1] + 1)
+            self.high.append(self.low[-1] * 100 // self.percent)
+        return int(np.searchsorted(self.low, n, side="right")) - 1
 
     def instances(self, n: int) -> list[int]:
         """The set's own band, as the larger set of a pair, and the next if it reaches there."""
-        band = int(np.searchsorted(self.low, n, side="right")) - 1
-        return [band, band + 1] if n * 100 // self.percent > self.high[band] else [band]
+        band = self.band(n)
+        return [band, self.band(self.high[band] + 1)] if n * 100 // self.percent > self.high[band] else [band]
 
     def differences(self, band: int) -> int:
         """The most elements in which similar sets differ, the larger being in this band."""
         return (100 - self.percent) * 2 * self.high[band] // (100 + self.percent)
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures, and for each what it says of the elements it leaves out.
+
+        That is a sketch of 28 parities, and above it in how many elements sets of equal
+        signatures may differ there: sketches that differ in more bits rule a pair out.
+        """
         if not len(hashes):
-            return np.empty(0, dtype=np.uint64)
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
         spread = mixed(hashes ^ MIX2)
-        out = []
+        out, others = [], []
         for band in self.instances(len(hashes)):
             k = self.differences(band)
             make = self.subsets if k <= 3 else self.halves
-            sums, ids = make(hashes, spread, k)
+            sums, ids, other = make(hashes, spread, k)
             out.append(mixed(mixed(sums + ids) + np.uint64(band * 0x10001 + 1)))
-        return np.concatenate(out)
+            others.append(other)
+        return np.concatenate(out), np.concatenate(others)
 
-    def cells(self, spread: np.ndarray, cell: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def cells(self, spread: np.ndarray, cell: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per cell the sum of its elements, their number and the parities of 28 classes of them."""
         sums = np.zeros(n, dtype=np.uint64)
         np.add.at(sums, cell, spread)
-        return sums, np.bincount(cell, minlength=n)
+        classes = np.bincount(cell * 28 + (spread >> np.uint64(40)).astype(np.int64) % 28, minlength=28 * n).reshape(n, 28)
+        bits = (classes & 1).astype(np.int32) @ (1 << np.arange(28, dtype=np.int32))
+        return sums, classes.sum(axis=1), bits
 
-    def subsets(self, hashes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def subsets(self, hashes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = k + 3 if k else 1
-        sums, _ = self.cells(spread, ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n)
-        kept = list(combinations(range(n), n - k))
-        return np.array([sums[list(c)].sum(dtype=np.uint64) for c in kept]), np.arange(len(kept), dtype=np.uint64)
+        sums, _, bits = self.cells(spread, ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n)
+        kept = [list(c) for c in combinations(range(n), n - k)]
+        every = np.bitwise_xor.reduce(bits)
+        other = np.array([every ^ np.bitwise_xor.reduce(bits[c]) for c in kept], dtype=np.int32)
+        return np.array([sums[c].sum(dtype=np.uint64) for c in kept]), np.arange(len(kept), dtype=np.uint64), other | np.int32(k << 28)
 
-    def halves(self, hashes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def halves(self, hashes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = k // 2 + 1 + SPARE
         cell = ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int64) * 2 + ((hashes >> np.uint64(9)) & ONE).astype(np.int64)
-        sums, counts = self.cells(spread, cell, 2 * n)
+        sums, counts, bits = self.cells(spread, cell, 2 * n)
         ids = np.arange(2 * n, dtype=np.uint64)
+        other = bits.reshape(n, 2)[:, ::-1].ravel() | np.int32(1 << 28)
         # At least SPARE + 1 partitions of a similar pair have an equal half; a set with at
         # most SPARE partitions with an empty half has one among them where none is empty.
         if (counts.reshape(n, 2).min(axis=1) == 0).sum() <= SPARE:
-            sums, ids = sums[counts > 0], ids[counts > 0]
-        return sums, ids
+            held = counts > 0
+            return sums[held], ids[held], other[held]
+        return sums, ids, other
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Parities of the counts by hashed bit: two sketches differ in no more bits than their sets in elements.
 
-    At least a bit for each element, a power of two; half as many by folding the halves together.
+    At least two bits for each element, a power of two; half as many by folding the halves together.
     """
-    n = max(LEAST_BITS, 1 << max(len(hashes) - 1, 0).bit_length())
+    n = max(LEAST_BITS, 1 << max(2 * len(hashes) - 1, 0).bit_length())
     bits = np.bincount(((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64), minlength=n) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -137,24 +154,28 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     null doc_id; such rows don't count as met.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, signatures, seen = Shingler(n), PartEnum(percent), set()
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part, rows = pdf.iloc[at : at + 512], []
-                for doc_id, text in zip(part["doc_id"], part["text"]):
-                    h = shingles(text if isinstance(text, str) else None)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, rows = batch.slice(at, 512), []
+                ids = part.column("doc_id")
+                for known, text in zip(ids.is_valid().to_pylist(), part.column("text").to_pylist()):
+                    h = shingles(text)
                     d1, d2 = (int(mixed(h ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (0x51ED27, 0xA3B19535))
-                    new = (d1, d2) not in seen and len(h) > 0 and not pd.isna(doc_id)
+                    new = (d1, d2) not in seen and len(h) > 0 and known
                     if len(seen) > 1 << 20:
                         seen.clear()
                     if new:
                         seen.add((d1, d2))
-                    rows.append((doc_id, len(h), d1, d2, sketch(h) if new else None, signatures(h).view(np.int64) if new else None))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2", "sketch", "signatures"])
-                yield out.astype({"doc_id": "Int64"})
+                    sigs, others = signatures(h) if new else (None, None)
+                    rows.append((len(h), d1, d2, sketch(h) if new else None, sigs.view(np.int64) if new else None, others))
+                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_shingles", "d1", "d2", "sketch", "signatures", "others"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return keyed.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>, others array<int>")
 
 
 def folded(x: Column, y: Column) -> Column:
@@ -176,6 +197,11 @@ def may_link(percent: int) -> Column:
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (apart() <= most)
 
 
+def compatible(x: Column, y: Column) -> Column:
+    """Whether what two rows of one signature leave out may be as close as it must be."""
+    return F.bit_count(x.bitwiseXOR(y)) <= F.shiftright(x, 28)
+
+
 def with_sides(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that sizes and sketches don't rule out."""
     for side in ("a", "b"):
@@ -183,26 +209,27 @@ def with_sides(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(may_link(percent)).select("a", "b", apart().alias("apart"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, texts_per_group: int = 256) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int, scratch: Scratch, texts_per_group: int = 256, shingles_per_group: int = 1 << 19) -> DataFrame:
     """The pairs of doc ids whose sets reach the threshold, from the whole texts.
 
-    The texts to compare with one text are dealt into groups of bounded size.
+    The texts to compare with one text are dealt into groups that are bounded in number and
+    in shingles; sizes (node, n) has these for every doc id of the pairs.
     """
-    pairs = materialize(pairs, "jaccard-pairs")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / texts_per_group).cast("int").alias("groups"))
-    # Each row says which group a document's text goes to; b is null for the text compared with all.
-    first = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("a").alias("need"), F.lit(None).cast("long").alias("b"))
-    rest = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"), F.col("b").alias("need"), "b")
-    needs = materialize(first.unionByName(rest), "jaccard-needs")
+    pairs = scratch.keep(pairs.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("b_n")), "b"), "pairs")
+    parts = F.greatest(F.count(F.lit(1)) / texts_per_group, F.sum("b_n") / shingles_per_group)
+    groups = pairs.groupBy("a").agg(F.ceil(parts).cast("int").alias("groups"))
+    # Each row says which group a document's text goes to, and whether it is the one compared with all.
+    first = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("a").alias("need"), F.lit(True).alias("head"))
+    rest = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"), F.col("b").alias("need"), F.lit(False).alias("head"))
+    needs = scratch.keep(first.unionByName(rest), "needs")
     side = F.broadcast(needs) if needs.count() <= BROADCAST_ROWS else needs
     texts = docs.select(F.col("doc_id").alias("need"), "text").join(side, "need")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         shingles, sets, found = Shingler(n), {}, set()
-        head = [shingles(t) for t, b in zip(pdf["text"], pdf["b"]) if pd.isna(b)]
-        for text, b in zip(pdf["text"], pdf["b"]):
-            if pd.isna(b):
-                continue
+        head = [shingles(t) for t in pdf["text"][pdf["head"]]]
+        rest = pdf[~pdf["head"]]
+        for text, b in zip(rest["text"], rest["need"]):
             if text not in sets:
                 h = shingles(text)
                 sizes = ((len(np.intersect1d(x, h, assume_unique=True)), len(x)) for x in head)
@@ -214,18 +241,18 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int, texts_per_gr
     return texts.groupBy("a", "group").applyInPandas(compare, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """node and the smallest node reachable, for all nodes of the edges (a, b).
 
     Every round takes the least label around each node, then the label's own label.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "cc-labels")
+    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "cc-labels")
     for _ in range(most_rounds):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = new.select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
-        new = materialize(new.join(jump, F.col("label") == F.col("j_node"), "left").select("node", "old", F.least("label", F.coalesce("j_label", "label")).alias("label")), "cc-labels")
+        new = scratch.keep(new.join(jump, F.col("label") == F.col("j_node"), "left").select("node", "old", F.least("label", F.coalesce("j_label", "label")).alias("label")), "cc-labels")
         if new.where(F.col("label") != F.col("old")).isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -253,54 +280,68 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     Every signature's sets are first compared with two centers; members still in different
     components are then compared with each other, so that no link is lost.
     """
-    sets = materialize(set_table(docs, n, percent), "jaccard-sets")
-    info = materialize(sets.drop("sketch", "signatures"), "jaccard-info")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    keep = scratch.keep
+    sets = keep(set_table(docs, n, percent), "sets")
+    info = keep(sets.drop("sketch", "signatures", "others"), "info")
     own = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = own.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.first("sketch", ignorenulls=True).alias("sketch"))
-    nodes = materialize(nodes, "jaccard-nodes")
-    rows = own.select(F.explode("signatures").alias("sig"), "d1")
+    nodes = keep(nodes, "nodes")
+    rows = own.select(F.explode(F.arrays_zip("signatures", "others")).alias("s"), "d1").select(F.col("s.signatures").alias("sig"), "d1", F.col("s.others").alias("other"))
     span = W.partitionBy("sig")
-    shared = rows.select("sig", "d1", F.min("d1").over(span).alias("center"), F.max("d1").over(span).alias("last")).where(F.col("center") < F.col("last"))
-    shared = materialize(shared.select("sig", "d1", "center"), "jaccard-shared")
-    discard(sets)
+    ends = [f(F.struct("d1", "other")).over(span).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    shared = None
+    for part in range(PARTS):
+        met = rows.where(F.pmod("sig", F.lit(PARTS)) == part).select("sig", "d1", "other", *ends).where(F.col("low.d1") < F.col("high.d1"))
+        met = keep(met.select("sig", "d1", "other", "low"), "shared")
+        shared = met if shared is None else shared.unionByName(met)
+        scratch.drop()
+    scratch.drop(sets)
 
     # Centers: the smallest digest of a signature, and the member met most often.
     key = nodes.select("d1", "node", "n", "sketch")
     of = lambda name: nodes.select(F.col("d1").alias(f"{name}_d1"), F.col("node").alias(name))
-    stars = shared.where(F.col("d1") != F.col("center")).select(F.col("center").alias("a_d1"), F.col("d1").alias("b_d1")).distinct()
+    star = lambda df, c: df.where((F.col("d1") != F.col(f"{c}.d1")) & compatible(F.col("other"), F.col(f"{c}.other"))).select(F.col(f"{c}.d1").alias("a_d1"), F.col("d1").alias("b_d1")).distinct()
     degree = shared.join(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig").groupBy("d1").agg(F.sum("c").alias("weight"))
-    degree = materialize(degree, "jaccard-degree")
-    top = shared.join(degree, "d1").groupBy("sig").agg(F.max(F.struct("weight", "d1")).getField("d1").alias("top"))
-    more = shared.join(top, "sig").where(F.col("d1") != F.col("top")).select(F.col("top").alias("a_d1"), F.col("d1").alias("b_d1")).distinct()
-    stars = materialize(stars.unionByName(more).distinct(), "jaccard-stars")
+    degree = keep(degree, "degree")
+    top = shared.join(degree, "d1").groupBy("sig").agg(F.max(F.struct("weight", "d1", "other")).alias("top"))
+    stars = keep(star(shared, "low").unionByName(star(shared.join(top, "sig"), "top")).distinct(), "stars")
+    scratch.drop(degree)
     pairs = stars.join(of("a"), "a_d1").join(of("b"), "b_d1").where(F.col("a") != F.col("b")).select("a", "b")
-    pairs = materialize(with_sides(pairs, key, percent), "jaccard-candidates")
+    pairs = keep(with_sides(pairs, key, percent), "candidates")
+    scratch.drop(stars)
     # First each set with the nearest of its centers, then the pairs that this left apart.
     nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).getField("a").alias("a")).select("a", "b")
-    links = materialize(verify(nearest, docs, n, percent), "jaccard-links")
-    found = components(links)
+    links = keep(verify(nearest, docs, key, n, percent, scratch), "links")
+    found = components(links, scratch)
     rest = split(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), found)
-    links = materialize(links.unionByName(verify(rest, docs, n, percent)), "jaccard-links")
-    found = components(links)
+    links = keep(links.unionByName(verify(rest, docs, key, n, percent, scratch)), "links")
+    found = components(links, scratch)
 
     # Signatures whose members aren't in one component yet.
-    members = shared.select("sig", "d1").distinct().join(key, "d1").join(found.select("node", "label"), "node", "left")
+    members = shared.select("sig", "d1", "other").distinct().join(key, "d1").join(found.select("node", "label"), "node", "left")
     members = members.withColumn("label", F.coalesce("label", "node"))
     mixed_sigs = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") < F.col("y")).select("sig")
-    members = materialize(members.join(mixed_sigs, "sig", "left_semi"), "jaccard-members")
-    side = lambda s: members.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "n", "sketch")])
-    cross = side("a").join(side("b"), "sig").where((F.col("a_label") < F.col("b_label")) & may_link(percent))
-    cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    members = keep(members.join(mixed_sigs, "sig", "left_semi").select("sig", "other", "node", "label", "n"), "members")
+    scratch.drop(shared)
+    # Both sides read one exchange.
+    dealt = members.repartition("sig")
+    side = lambda s: dealt.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("other", "node", "label", "n")])
+    near_sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    cross = side("a").join(side("b"), "sig").where((F.col("a_label") < F.col("b_label")) & near_sizes & compatible(F.col("a_other"), F.col("b_other")))
+    cross = keep(cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "cross")
+    scratch.drop(members)
     tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    late = materialize(verify(cross.join(tried, ["a", "b"], "left_anti"), docs, n, percent), "jaccard-late")
+    cross = with_sides(cross.join(tried, ["a", "b"], "left_anti"), key, percent).select("a", "b")
+    late = keep(verify(cross, docs, key, n, percent, scratch), "late")
     if not late.isEmpty():
-        found = components(links.unionByName(late))
+        found = components(links.unionByName(late), scratch)
 
     table = nodes.join(found, "node", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component"))
-    table = materialize(table, "jaccard-classes")
     out = info.select("doc_id", "n_shingles", "d1", "d2").join(table, ["d1", "d2", "n_shingles"], "left")
     lone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", lone)).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", lone)).alias("component_id"))
+    return scratch.result(out, "jaccard-components")
 
 
 def keep_representatives(docs: DataFrame, linked: DataFrame) -> DataFrame:
@@ -312,11 +353,13 @@ def keep_representatives(docs: DataFrame, linked: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row of docs for each component: the smallest doc_id, null last.
 
-    Rows are linked and kept by a key of their own, so rows with a null id and rows repeated
-    under one id are documents like all others. Rows without shingles are all kept.
+    A document is an id with its text (told apart by 64-bit hashes), so rows with a null id
+    and different texts under one id are documents like all others; of rows that repeat both,
+    one stays. Rows without shingles are all kept.
     """
-    rows = numbered(docs, "jaccard-rows")
-    linked = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    linked = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = rows.select("_row", "doc_id").join(linked, "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    best = keyed.select("_row", "doc_id").join(linked.dropDuplicates(["_row"]), "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"), F.min("n_shingles").alias("_n"))
+    one = F.row_number().over(W.partitionBy("_row").orderBy("_row"))
+    return keyed.join(best.select("_row", "_n"), "_row").withColumn("_one", one).where((F.col("_one") == 1) | (F.col("_n") == 0)).select(docs.columns)
