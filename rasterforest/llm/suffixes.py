@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 from .jaccard import mixed
 
 GRAM = 32
@@ -160,25 +161,29 @@ def runs(key: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
 def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     """key and the sorted spans (begin, end) of repeated strings, for keys that have any."""
     left = length - GRAM
-    samples = materialize(sample_table(keyed, length), "suffix-samples")
-    twice = materialize(samples.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram"), "suffix-grams")
-    samples = materialize(samples.join(twice, "gram"), "suffix-candidates")
+    scratch = Scratch(keyed.sparkSession, "suffixes")
+    keep = scratch.keep
+    samples = keep(sample_table(keyed, length), "samples")
+    twice = keep(samples.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram"), "grams")
+    every, samples = samples, keep(samples.join(twice, "gram"), "candidates")
+    scratch.drop(every, twice)
     # Surroundings are compared through one place each; a gram whose surroundings all occur
     # twice has nothing open.
     kinds = samples.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "position")).alias("one"))
-    kinds = materialize(kinds, "suffix-kinds")
+    kinds = keep(kinds, "kinds")
     whole = samples.join(kinds.where(F.col("n") > 1).select("gram", "around"), ["gram", "around"], "left_semi")
-    lone = materialize(kinds.groupBy("gram").agg(F.min("n").alias("least")).where(F.col("least") == 1).select("gram"), "suffix-open")
+    lone = keep(kinds.groupBy("gram").agg(F.min("n").alias("least")).where(F.col("least") == 1).select("gram"), "open")
     lone = kinds.join(lone, "gram", "left_semi").select("one.key", "one.position", "gram")
     lists = whole.select("key", "position", F.lit(None).cast("long").alias("gram")).unionByName(lone).groupBy("key").agg(
         F.collect_set(F.when(F.col("gram").isNull(), F.col("position"))).alias("whole"),
         F.collect_set(F.when(F.col("gram").isNotNull(), F.struct("position", "gram"))).alias("open"),
     )
-    lists = materialize(lists, "suffix-lists")
+    lists = keep(lists, "lists")
+    scratch.drop(samples, kinds)
 
     texts = keyed.join(lists.where(F.size("open") > 0).select("key", "open"), "key")
-    around = materialize(contexts(texts, length), "suffix-contexts")
-    counts = materialize(around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "suffix-counts")
+    around = keep(contexts(texts, length), "contexts")
+    counts = keep(around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "counts")
     total = counts.agg(F.coalesce(F.sum(F.when(F.col("n") <= GROUP_CONTEXTS, F.col("n"))), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     groups = max(1, -(-total[0] // GROUP_CONTEXTS))
     sized = around.join(counts, "gram")
@@ -216,13 +221,14 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
             hit, _ = equal(key.copy(), start, h.astype(np.int64).view(np.uint64))
             return runs(key[hit], start[hit], length)
 
-        dealt = materialize(hot.mapInPandas(deal, f"{span}, bucket long, data binary"), "suffix-strings")
+        dealt = keep(hot.mapInPandas(deal, f"{span}, bucket long, data binary"), "strings")
         spans = spans.unionByName(dealt.where(F.col("bucket").isNull()).select("key", "begin", "end"))
         spans = spans.unionByName(dealt.where(F.col("bucket").isNotNull()).select("bucket", "data").groupBy("bucket").applyInPandas(meet, span))
     spans = spans.select("key", F.struct("begin", "end").alias("span"))
     # Surroundings met twice are covered as far as the text goes; the end is clipped there.
     sure = lists.select("key", F.explode("whole").alias("p")).select("key", F.struct(F.greatest(F.col("p") - left, F.lit(0)).alias("begin"), (F.col("p") + length).alias("end")).alias("span"))
-    return sure.unionByName(spans).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    spans = sure.unionByName(spans).groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return scratch.result(spans, "suffix-spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -239,18 +245,19 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         raise ValueError(f"length must be at least {2 * GRAM}")
     keyed = docs.drop("n_bytes", "spans", "kept").withColumn("_suffix_key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed.select(F.col("_suffix_key").alias("key"), "text"), length)
-    spans = materialize(spans.select(F.col("key").alias("_suffix_key"), "spans"), "suffix-spans")
+    spans = spans.withColumnRenamed("key", "_suffix_key")
     schema = docs.drop("n_bytes", "spans", "kept").schema
     names = schema.names
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for begin in range(0, len(pdf), 256):
-                part, out = pdf.iloc[begin : begin + 256], []
-                for data, spans in zip(map(encoded, part["text"]), part["spans"]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part, out = batch.slice(begin, 256), []
+                for data, spans in zip(map(encoded, part.column("text").to_pylist()), part.column("spans").to_pylist()):
                     merged: list[list[int]] = []
-                    for s in spans if spans is not None else ():
-                        b, e = int(s["begin"]), min(int(s["end"]), len(data))
+                    for s in spans or ():
+                        b, e = s["begin"], min(s["end"], len(data))
                         if merged and b <= merged[-1][1]:
                             merged[-1][1] = max(e, merged[-1][1])
                         else:
@@ -258,12 +265,12 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     edges = [0, *[x for m in merged for x in m], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                     out.append((len(data), [{"begin": a, "end": b} for a, b in merged], kept))
-                new = pd.DataFrame(out, columns=["n_bytes", "new_spans", "kept"], index=part.index)
-                yield pd.concat([part[names], new], axis=1)
+                new = [pa.array(list(c), kind) for c, kind in zip(zip(*out), (pa.int64(), span, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *new], [*names, "n_bytes", "new_spans", "kept"])
 
     joined = keyed.join(spans, "_suffix_key", "left").select(*names, "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    done = joined.mapInPandas(cut, f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept binary")
+    done = joined.mapInArrow(cut, f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept binary")
     return done.withColumnRenamed("new_spans", "spans")
 
 
