@@ -14,19 +14,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements by their part in the layout.
 BLOCKS = frozenset("html head body title article section main header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address hr details summary dialog menu center option select button label textarea noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-SILENT = frozenset("script style template svg math iframe object canvas".split())
+SILENT = frozenset("script style template iframe".split())
 #: A start tag of a key closes an open element of its values, up to the nearest of the stops.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("thead", "tr"), "body": ("head",)}
 STOPS = frozenset("ul ol dl table select body html article section div main".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -243,16 +243,17 @@ def rebuilt(blocks: list[Leaf], rng: np.random.Generator) -> tuple[list[list[str
     return features(found), states
 
 
-def fit(pages: DataFrame, sample: int = 400, variants: int = 2, seed: int = 3) -> Chain:
+def fit(pages: DataFrame, sample: int = 400, variants: int = 2, seed: int = 3, longest: int = 1 << 18) -> Chain:
     """A chain from at most `sample` pages (by a hash of their ids) that mark their article, and variants of each.
 
     Pages without an article element only tell what surrounds one. If no page is marked,
-    the variants are built from a few words.
+    the variants are built from a few words. Pages of more than `longest` characters aren't
+    learned from, so that the driver holds sample * longest characters at most.
     """
     # The ids are chosen first, so that tasks send ids and not pages to be compared.
-    known = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    known = pages.where((F.length("html") <= longest) & F.col("page_id").isNotNull())
     ids = known.select(F.col("page_id").alias("_chosen")).distinct().orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
-    rows = known.join(F.broadcast(ids), F.col("page_id") == F.col("_chosen")).select("page_id", "html").limit(sample).collect()
+    rows = known.join(F.broadcast(ids), F.col("page_id") == F.col("_chosen")).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
     rows.sort(key=lambda r: (r["page_id"], r["html"]))
     rng, labelled = np.random.default_rng(seed), []
     for r in rows:
@@ -267,22 +268,26 @@ def fit(pages: DataFrame, sample: int = 400, variants: int = 2, seed: int = 3) -
     return train(labelled)
 
 
-def extract(pages: DataFrame, chain: Chain) -> DataFrame:
+def extract(pages: DataFrame, chain: Chain, keep_html: bool = True) -> DataFrame:
     """The columns of pages with text and n_chars (code points), the article's blocks joined by newlines.
 
     pages: html and any others (text and n_chars of the same name are replaced). Null, empty
     and text-free pages give '' and 0; repeated rows give repeated results; an empty table
-    gives no rows. Whole pages are parsed, of any length.
+    gives no rows. Whole pages are parsed, of any length. Without keep_html the column html
+    isn't returned, so it needn't leave the task.
     """
-    kept = pages.drop("text", "n_chars")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for source in pdf["html"]:
-                blocks = leaves(source if isinstance(source, str) else None)
-                texts.append("\n".join(b.text for b, s in zip(blocks, chain.viterbi(features(blocks))) if s))
-            yield pdf.assign(text=texts, n_chars=[len(t) for t in texts])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part, texts = batch.slice(begin, 256), []
+                for source in part.column("html").to_pylist():
+                    blocks = leaves(source)
+                    texts.append("\n".join(b.text for b, s in zip(blocks, chain.viterbi(features(blocks))) if s))
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(texts, pa.string()), sizes], [*names, "text", "n_chars"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInPandas(run, f"{fields}, text string, n_chars long")
+    kept = pages.drop("text", "n_chars")
+    names = [n for n in kept.columns if keep_html or n != "html"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
+    return kept.mapInArrow(run, f"{fields}, text string, n_chars long")

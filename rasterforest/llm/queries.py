@@ -71,7 +71,7 @@ def op9_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     chain = html_extract.fit(pages)
-    return html_extract.extract(pages.select("page_id", "url", "html"), chain).select("page_id", "url", "text", "n_chars")
+    return html_extract.extract(pages.select("page_id", "url", "html"), chain, keep_html=False).select("page_id", "url", "text", "n_chars")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
