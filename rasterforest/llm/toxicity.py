@@ -244,18 +244,20 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Lexicon:
 def measured(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, n_words, n_hits, weight, by_root, by_length, score and the matched terms."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lexicon.compiled()
-        for pdf in batches:
-            for begin in range(0, len(pdf), 512):
-                part = pdf.iloc[begin : begin + 512]
-                texts = [folded(t if isinstance(t, str) else None) for t in part["text"]]
-                x = np.array([own.features(t) for t in texts], dtype=np.float64).reshape(-1, 5)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                texts = [folded(t) for t in part.column("text").to_pylist()]
+                x = np.array([own.features(t) for t in texts], dtype=np.float64)
                 terms = [sorted({term.strip() for _, term in own.hits(t).values()}) if hit else [] for t, hit in zip(texts, x[:, 1])]
-                out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_words": x[:, 0].astype(np.int64), "n_hits": x[:, 1].astype(np.int64)})
-                yield out.assign(weight=x[:, 2], by_root=x[:, 3], by_length=x[:, 4], score=own.score(x), terms=terms)
+                counts = [pa.array(x[:, i].astype(np.int64)) for i in (0, 1)]
+                columns = [*counts, *[pa.array(x[:, i]) for i in (2, 3, 4)], pa.array(own.score(x)), pa.array(terms, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_words", "n_hits", "weight", "by_root", "by_length", "score", "terms"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_hits long, weight double, by_root double, by_length double, score double, terms array<string>")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return keyed.mapInArrow(run, "doc_id long, n_words long, n_hits long, weight double, by_root double, by_length double, score double, terms array<string>")
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
