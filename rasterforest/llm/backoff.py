@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import in_small_batches, materialize, returning_memory, word_count
 from .jaccard import mixed
 
 BLOCK_BYTES = 8 << 20
@@ -108,7 +108,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield row(held)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "block long, docs binary")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(returning_memory(run), "block long, docs binary")
 
 
 def opened(data: bytes) -> list[tuple[int | None, str | None]]:

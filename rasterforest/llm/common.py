@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, whose rows go to Python in batches of at most so many: Spark's 10,000 whole texts are a lot of a task's memory."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
+def returning_memory(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a task's function on batches, giving what it took back to the system when the task ends.
+
+    Spark keeps Python workers from task to task and counts what they hold against the executor.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def numbered(docs: DataFrame, name: str, row: str = "_row") -> DataFrame:
     """docs with a unique key for each row, written once so that every reader meets the same keys."""
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches, returning_memory
+
 # Elements by their part in the layout.
 BLOCKS = frozenset("html head body title article section main header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address hr details summary dialog menu center option select button label textarea noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -290,4 +292,4 @@ def extract(pages: DataFrame, chain: Chain, keep_html: bool = True) -> DataFrame
     kept = pages.drop("text", "n_chars")
     names = [n for n in kept.columns if keep_html or n != "html"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
-    return kept.mapInArrow(run, f"{fields}, text string, n_chars long")
+    return in_small_batches(kept).mapInArrow(returning_memory(run), f"{fields}, text string, n_chars long")

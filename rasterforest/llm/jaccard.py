@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_small_batches, returning_memory
 
 LEAST_BITS = 256
 #: Partitions beyond the least number: a set may have so many with an empty half and need not announce them.
@@ -175,7 +175,7 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_shingles", "d1", "d2", "sketch", "signatures", "others"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>, others array<int>")
+    return in_small_batches(keyed).mapInArrow(returning_memory(run), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>, others array<int>")
 
 
 def folded(x: Column, y: Column) -> Column:

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches, returning_memory
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, tokens binary"
 PLACES = "example_id long, sequence_id long, position int, offset long, n_tokens long, n_loss long"
 #: Bytes of text that are encoded at a time; longer texts are cut at white space.
@@ -279,7 +281,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
         if docs:
             yield flush(docs, np.concatenate(sizes), np.concatenate(parts))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(returning_memory(run), PIECES)
 
 
 def count_tokens(texts: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -293,7 +295,7 @@ def count_tokens(texts: DataFrame, tokenizer_path: str) -> DataFrame:
 
     kept = texts.drop("n_tokens")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, n_tokens long")
+    return in_small_batches(kept).mapInArrow(returning_memory(run), f"{fields}, n_tokens long")
 
 
 def instruction_examples(conversations: DataFrame, tokenizer_path: str, loss_role: str = "assistant") -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_small_batches, returning_memory
 from .jaccard import mixed
 
 GRAM = 32
@@ -93,7 +93,7 @@ def sample_table(keyed: DataFrame, length: int) -> DataFrame:
                 if out:
                     yield pd.concat(out)
 
-    return keyed.mapInPandas(run, "key long, position long, gram long, around long")
+    return in_small_batches(keyed).mapInPandas(returning_memory(run), "key long, position long, gram long, around long")
 
 
 def contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -109,7 +109,7 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
                     rows += [(key, o["position"], o["gram"], max(0, o["position"] - left), data[max(0, o["position"] - left) : o["position"] + length]) for o in open_]
                 yield pd.DataFrame(rows, columns=["key", "position", "gram", "start", "bytes"])
 
-    return texts.select("key", "text", "open").mapInPandas(run, "key long, position long, gram long, start long, bytes binary")
+    return in_small_batches(texts).select("key", "text", "open").mapInPandas(returning_memory(run), "key long, position long, gram long, start long, bytes binary")
 
 
 def window_hashes(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     joined = keyed.join(spans, "_suffix_key", "left").select(*names, "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    done = joined.mapInArrow(cut, f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept binary")
+    done = in_small_batches(joined).mapInArrow(returning_memory(cut), f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept binary")
     return done.withColumnRenamed("new_spans", "spans")
 
 

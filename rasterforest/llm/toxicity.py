@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_small_batches, materialize, returning_memory
 
 # Characters that look like a letter or stand for it; l and i are one class.
 LOOKALIKES = {
@@ -159,14 +159,21 @@ def counted(sample: DataFrame, terms_of: object) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = (Counter(), Counter())
+
+        def flush() -> Iterator[pd.DataFrame]:
+            terms = list(counts[0].keys() | counts[1].keys())
+            if terms:  # a task may have no row of the sample
+                yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
+            counts[0].clear(), counts[1].clear()
+
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 counts[int(toxic)].update(terms_of(folded(text)))
-        terms = list(counts[0].keys() | counts[1].keys())
-        if terms:  # a task may have no row of the sample
-            yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
+                if len(counts[0]) + len(counts[1]) > 1 << 17:
+                    yield from flush()
+        yield from flush()
 
-    by_task = sample.select("text", "toxic").mapInPandas(run, "term string, toxic long, clean long")
+    by_task = in_small_batches(sample).select("text", "toxic").mapInPandas(returning_memory(run), "term string, toxic long, clean long")
     return by_task.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -257,7 +264,7 @@ def measured(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_words", "n_hits", "weight", "by_root", "by_length", "score", "terms"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(run, "doc_id long, n_words long, n_hits long, weight double, by_root double, by_length double, score double, terms array<string>")
+    return in_small_batches(keyed).mapInArrow(returning_memory(run), "doc_id long, n_words long, n_hits long, weight double, by_root double, by_length double, score double, terms array<string>")
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
@@ -282,4 +289,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> Dat
                 x = np.array([own.features(folded(t)) for t in part.column("text").to_pylist()], dtype=np.float64).reshape(-1, 5)
                 yield part.filter(pa.array(~(np.asarray(own.score(x)) >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(returning_memory(run), docs.schema)
