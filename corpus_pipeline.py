@@ -30,9 +30,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out bytes of strings of 200 that occur elsewhere; documents that lose all their words go."""
-    done = suffixes.remove_repeats(docs, length=200)
+    done = suffixes.remove_repeats(docs, length=200, as_text=True)
     changed = F.size("spans") > 0
-    text = F.when(changed, suffixes.decoded(F.col("kept"))).otherwise(F.col("text"))
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     done = done.withColumn("text", text).where(~changed | (word_count(F.col("text")) > 0))
     return done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

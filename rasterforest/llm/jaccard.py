@@ -202,6 +202,12 @@ def compatible(x: Column, y: Column) -> Column:
     return F.bit_count(x.bitwiseXOR(y)) <= F.shiftright(x, 28)
 
 
+def brief(sketch: Column) -> list[Column]:
+    """A sketch folded to 128 bits, in two longs."""
+    fold = lambda odd: F.aggregate(F.filter(sketch, lambda x, i: i % 2 == odd), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    return [fold(0).alias("even"), fold(1).alias("odd")]
+
+
 def with_sides(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that sizes and sketches don't rule out."""
     for side in ("a", "b"):
@@ -319,15 +325,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     found = components(links, scratch)
 
     # Signatures whose members aren't in one component yet.
-    members = shared.select("sig", "d1", "other").distinct().join(key, "d1").join(found.select("node", "label"), "node", "left")
+    key2 = nodes.select("d1", "node", "n", *brief(F.col("sketch")))
+    members = shared.select("sig", "d1", "other").distinct().join(key2, "d1").join(found.select("node", "label"), "node", "left")
     members = members.withColumn("label", F.coalesce("label", "node"))
     mixed_sigs = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") < F.col("y")).select("sig")
-    members = keep(members.join(mixed_sigs, "sig", "left_semi").select("sig", "other", "node", "label", "n"), "members")
+    members = keep(members.join(mixed_sigs, "sig", "left_semi").select("sig", "other", "node", "label", "n", "even", "odd"), "members")
     scratch.drop(shared)
     # Both sides read one exchange.
     dealt = members.repartition("sig")
-    side = lambda s: dealt.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("other", "node", "label", "n")])
+    side = lambda s: dealt.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("other", "node", "label", "n", "even", "odd")])
     near_sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    apart_at_least = F.bit_count(F.col("a_even").bitwiseXOR(F.col("b_even"))) + F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd")))
+    near_sizes &= apart_at_least <= F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent))
     cross = side("a").join(side("b"), "sig").where((F.col("a_label") < F.col("b_label")) & near_sizes & compatible(F.col("a_other"), F.col("b_other")))
     cross = keep(cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "cross")
     scratch.drop(members)

@@ -1,13 +1,14 @@
-"""Removal of long byte strings that occur elsewhere, by sorting sampled suffixes.
+"""Removal of long byte strings that occur elsewhere, by comparing sampled suffixes.
 
 Every string of `length` bytes holds a sampled position, chosen by the string's own bytes
 (the leftmost least hash of a short gram, over the window of grams that fit). So two equal
-strings hold a sampled suffix at the same place, and only sampled suffixes are sorted:
-Spark's external shuffle sorts bring those with the same gram together, spilling to disk.
-From them the other suffixes are induced: a sampled suffix whose whole surroundings occur
-twice covers all of them; for the rest, the strings at each distance before the sampled
-position are compared, which gives the common prefixes of the induced suffixes at exactly
-the one length that matters.
+strings hold a sampled suffix at the same place, and only sampled suffixes meet: a shuffle
+brings those with the same gram together, spilling to disk. From them the other suffixes
+follow: a sampled suffix whose whole surroundings occur twice covers all of them; for the
+rest, the strings at each distance before the sampled position are compared by hashes.
+
+No full suffix array is sorted: its tuples would take 16 times the text, and the disk that
+this operator may use is four times the input.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, in_small_batches, returning_memory
@@ -26,7 +27,7 @@ from .jaccard import mixed
 
 GRAM = 32
 #: Contexts in one task's group, and beyond how many a gram's contexts are dealt out by window.
-GROUP_CONTEXTS = 4096
+GROUP_CONTEXTS = 2048
 #: Strings of hot grams in one task's group.
 BUCKET_STRINGS = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -231,7 +232,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     return scratch.result(spans, "suffix-spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, as_text: bool = False) -> DataFrame:
     """The columns of docs with n_bytes, spans (array of begin and end) and kept (the other bytes).
 
     A byte is removed when a string of `length` bytes around it also starts at any other
@@ -239,7 +240,8 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     text; other columns pass through, unless they are named like the new ones (these win).
     Null and empty texts have no bytes and nothing removed; rows with a null doc_id and
     repeated rows are documents of their own, so repeated rows of at least `length` bytes
-    are removed whole; an empty table gives no rows. Texts may be of any length.
+    are removed whole; an empty table gives no rows. Texts may be of any length. With
+    as_text, kept is a string; what is left of a character that was cut is taken out.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -264,21 +266,11 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                             merged.append([b, e])
                     edges = [0, *[x for m in merged for x in m], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    out.append((len(data), [{"begin": a, "end": b} for a, b in merged], kept))
-                new = [pa.array(list(c), kind) for c, kind in zip(zip(*out), (pa.int64(), span, pa.binary()))]
+                    out.append((len(data), [{"begin": a, "end": b} for a, b in merged], kept.decode("utf-8", "ignore") if as_text else kept))
+                new = [pa.array(list(c), kind) for c, kind in zip(zip(*out), (pa.int64(), span, pa.string() if as_text else pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *new], [*names, "n_bytes", "new_spans", "kept"])
 
     joined = keyed.join(spans, "_suffix_key", "left").select(*names, "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    done = in_small_batches(joined).mapInArrow(returning_memory(cut), f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept binary")
+    done = in_small_batches(joined).mapInArrow(returning_memory(cut), f"{fields}, n_bytes long, new_spans array<struct<begin: long, end: long>>, kept {'string' if as_text else 'binary'}")
     return done.withColumnRenamed("new_spans", "spans")
-
-
-def decoded(kept: Column) -> Column:
-    """Kept bytes as text; what is left of a character that was cut is taken out."""
-
-    @F.pandas_udf("string")
-    def text(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return text(kept)
