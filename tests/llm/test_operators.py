@@ -303,6 +303,15 @@ def test_jaccard(spark, docs, loose, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_of_large_ids(spark):
+    words, big = sentence(200).split(), 2**62
+    near = " ".join([*words[:100], "other", *words[101:]])
+    df = spark.createDataFrame([(big + 1, " ".join(words)), (big + 3, near), (None, "x"), (big + 5, sentence(90))], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert got == {big + 1: big + 1, big + 3: big + 1, big + 5: big + 5, None: None}
+    assert jaccard.distinct_documents(df).count() == 3
+
+
 def test_jaccard_null_id_copy_first(spark):
     words = sentence(200).split()
     near = " ".join([*words[:100], "other", *words[101:]])
