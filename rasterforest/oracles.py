@@ -70,6 +70,30 @@ got AS (SELECT c.*, coalesce(value, 0) AS value FROM cut c LEFT JOIN px ON px.im
 SIDE = """LEFT JOIN sup {a} ON {a}.image_id = s.image_id AND {a}.node_id = s.node_id AND {a}."row" = s."row" + {r} AND {a}.col = s.col + {c}"""
 MU = "sum(col * col) - sum(col) * sum(col) / count(*)::DOUBLE AS m20, sum(\"row\" * \"row\") - sum(\"row\") * sum(\"row\") / count(*)::DOUBLE AS m02, sum(\"row\" * col) - sum(\"row\") * sum(col) / count(*)::DOUBLE AS m11"
 
+KIN = """size AS (SELECT image_id, ancestor_id AS node_id, count(*) AS n FROM up GROUP BY ALL),
+kids AS (SELECT image_id, parent_id AS node_id, count(*) AS kids, min(node_id) AS first_child FROM res WHERE node_id <> parent_id GROUP BY ALL)"""
+WINNERS = """win AS (SELECT r.image_id, r.node_id, r.depth, row_number() OVER (PARTITION BY r.image_id, parent_id ORDER BY area DESC, r.node_id) = 1 AS wins FROM res r JOIN att a ON a.image_id = r.image_id AND a.node_id = r.node_id WHERE r.node_id <> parent_id),
+lost AS (SELECT u.image_id, u.node_id, arg_max(w.node_id, w.depth) FILTER (WHERE NOT wins) AS stop FROM up u LEFT JOIN win w ON w.image_id = u.image_id AND w.node_id = u.ancestor_id WHERE NOT EXISTS (SELECT 1 FROM res k WHERE k.image_id = u.image_id AND k.parent_id = u.node_id AND k.node_id <> u.node_id) GROUP BY u.image_id, u.node_id),
+ext AS (SELECT l.image_id, l.node_id, coalesce(area, 'inf'::DOUBLE) AS extinction FROM lost l LEFT JOIN att a ON a.image_id = l.image_id AND a.node_id = l.stop)"""
+
+
+def distances(suffix: str = "") -> str:
+    """Distances of each support pixel to the nearest pixel of the support's four-contour."""
+    beside = " ".join(SIDE.format(a=a, r=r, c=c) for a, r, c in (("n", -1, 0), ("w", 0, -1), ("e", 0, 1), ("z", 1, 0)))
+    mid = {"ROW": '"row"', "COLUMN": "col"}
+    forms = {
+        "MAX_DIST": "max(d)", "MAX_SQUARED_DIST": "max(d2)::DOUBLE", "DIST_SQUARED_SUM": "sum(d2)::DOUBLE", "DIST_SQUARED_MEAN": "avg(d2)", "DIST_RMS": "sqrt(avg(d2))", "DIST_SQUARED_VARIANCE": "var_pop(d2)",
+        "MAX_DIST_CENTER_ROW": 'floor(min("row" * 1000 + col) FILTER (WHERE d2 = top) / 1000)', "MAX_DIST_CENTER_COLUMN": '(min("row" * 1000 + col) FILTER (WHERE d2 = top) % 1000)::DOUBLE', "MAX_DIST_PLATEAU_AREA": "(count(*) FILTER (WHERE d2 = top))::DOUBLE",
+        **{f"MAX_DIST_PLATEAU_CENTROID_{k}": f"avg({c}) FILTER (WHERE d2 = top)" for k, c in mid.items()},
+        "DIST_SUM": "sum(d)", "DIST_MEAN": "avg(d)", "DIST_VARIANCE": "var_pop(d)", "DIST_MEDIAN": "quantile_disc(d, 0.5)", "DIST_Q25": "quantile_disc(d, 0.25)", "DIST_Q75": "quantile_disc(d, 0.75)", "DIST_Q90": "quantile_disc(d, 0.9)",
+        "DIST_ENTROPY": "entropy(d2)", "DIST_POSITIVE_AREA": "(count(*) FILTER (WHERE d2 > 0))::DOUBLE", "DIST_LEVEL_COUNT": "count(DISTINCT d2)::DOUBLE",
+    }
+    columns = ", ".join(f"round({form}, 6) + 0.0 AS {name}{suffix}" for name, form in forms.items())
+    return f"""{tree()}, edge AS MATERIALIZED (SELECT s.image_id, s.node_id, s."row", s.col FROM sup s {beside} WHERE n.pixel_id IS NULL OR w.pixel_id IS NULL OR e.pixel_id IS NULL OR z.pixel_id IS NULL),
+near AS (SELECT s.image_id, s.node_id, s."row", s.col, min((s."row" - x."row") * (s."row" - x."row") + (s.col - x.col) * (s.col - x.col)) AS d2 FROM sup s JOIN edge x ON x.image_id = s.image_id AND x.node_id = s.node_id GROUP BY ALL),
+far AS (SELECT *, sqrt(d2::DOUBLE) AS d, max(d2) OVER (PARTITION BY image_id, node_id) AS top FROM near) SELECT image_id, node_id, {columns} FROM far GROUP BY image_id, node_id"""
+
+
 ORACLES: dict[str, str] = {
     **{f"rasterize_{n}": f'WITH {RASTERS[k]} SELECT image_id, "row", col, pixel_id, value FROM px' for n, k in (("events", "E"), ("lineitem", "L"), ("embeddings", "V"))},
     "flat_zones": f"""WITH RECURSIVE {RASTERS['L']},
@@ -90,6 +114,34 @@ FROM sup s {SIDE.format(a='n', r=-1, c=0)} {SIDE.format(a='w', r=0, c=-1)} {SIDE
     "attributes_topology": f"""{tree()}, k AS (SELECT image_id, parent_id AS node_id, count(*) AS kids FROM res WHERE node_id <> parent_id GROUP BY ALL), b AS (SELECT u.image_id, u.ancestor_id AS node_id, count(*) - 1 AS below, max(r.depth) AS deepest FROM up u JOIN res r ON r.image_id = u.image_id AND r.node_id = u.node_id GROUP BY ALL)
 SELECT r.image_id, r.node_id, depth::DOUBLE AS DEPTH_NODE, (kids IS NULL)::INT::DOUBLE AS IS_LEAF_NODE, (r.node_id = parent_id)::INT::DOUBLE AS IS_ROOT_NODE, coalesce(kids, 0)::DOUBLE AS NUM_CHILDREN_NODE, below::DOUBLE AS NUM_DESCENDANTS_NODE, (deepest - depth)::DOUBLE AS SUBTREE_HEIGHT
 FROM res r JOIN b ON b.image_id = r.image_id AND b.node_id = r.node_id LEFT JOIN k ON k.image_id = r.image_id AND k.node_id = r.node_id""",
+    "attributes_shape": f"""{tree()}, c AS (SELECT image_id, node_id, count(*)::DOUBLE AS a, avg(col) AS cx, avg("row") AS cy FROM sup GROUP BY ALL),
+m AS (SELECT s.image_id, s.node_id, any_value(a) AS a, sum((col - cx) * (col - cx)) AS m20, sum(("row" - cy) * ("row" - cy)) AS m02, sum((col - cx) * ("row" - cy)) AS m11, sum((col - cx) ** 3) AS m30, sum(("row" - cy) ** 3) AS m03, sum((col - cx) ** 2 * ("row" - cy)) AS m21, sum((col - cx) * ("row" - cy) ** 2) AS m12 FROM sup s JOIN c ON c.image_id = s.image_id AND c.node_id = s.node_id GROUP BY s.image_id, s.node_id),
+l AS (SELECT *, sqrt((m20 - m02) ** 2 + 4 * m11 * m11) AS w FROM m),
+v AS (SELECT u.image_id, u.ancestor_id AS node_id, sum(CASE WHEN u.node_id = u.ancestor_id THEN area ELSE area * (1 + abs(residue)) END) AS volume FROM up u JOIN res r ON r.image_id = u.image_id AND r.node_id = u.node_id JOIN att t ON t.image_id = u.image_id AND t.node_id = u.node_id GROUP BY ALL)
+SELECT l.image_id, l.node_id, round(m30, 6) + 0.0 AS CENTRAL_MOMENT_30, round(m03, 6) + 0.0 AS CENTRAL_MOMENT_03, round(m21, 6) + 0.0 AS CENTRAL_MOMENT_21, round(m12, 6) + 0.0 AS CENTRAL_MOMENT_12, round(((m20 - m02) ** 2 + 4 * m11 * m11) / a ** 4, 6) + 0.0 AS HU_MOMENT_2,
+round(2 * sqrt((m20 + m02 + w) / 2 / a), 6) + 0.0 AS LENGTH_MAJOR_AXIS, round(2 * sqrt(greatest((m20 + m02 - w) / 2, 0) / a), 6) + 0.0 AS LENGTH_MINOR_AXIS, round(volume, 6) + 0.0 AS RELATIVE_VOLUME FROM l JOIN v ON v.image_id = l.image_id AND v.node_id = l.node_id""",
+    "attributes_branches": f"""{tree()}, {KIN}, h AS (SELECT u.image_id, u.ancestor_id AS node_id, max(r.depth) - min(r.depth) AS height, count(*) AS n, count(*) FILTER (WHERE kids IS NULL) AS ends FROM up u JOIN res r ON r.image_id = u.image_id AND r.node_id = u.node_id LEFT JOIN kids k ON k.image_id = u.image_id AND k.node_id = u.node_id GROUP BY ALL),
+b AS (SELECT r.image_id, parent_id AS node_id, max(height) - min(height) AS balance, avg(height) AS mean FROM res r JOIN h ON h.image_id = r.image_id AND h.node_id = r.node_id WHERE r.node_id <> parent_id GROUP BY ALL)
+SELECT r.image_id, r.node_id, (CASE WHEN r.node_id = r.parent_id THEN 0 ELSE kids - 1 END)::DOUBLE AS NUM_SIBLINGS_NODE, ends::DOUBLE AS NUM_LEAF_DESCENDANTS_NODE, round(ends / n, 6) AS LEAF_RATIO_NODE, coalesce(balance, 0)::DOUBLE AS BALANCE_NODE, round(coalesce(mean, 0), 6) AS AVG_CHILD_HEIGHT_NODE
+FROM res r JOIN h ON h.image_id = r.image_id AND h.node_id = r.node_id LEFT JOIN b ON b.image_id = r.image_id AND b.node_id = r.node_id LEFT JOIN kids k ON k.image_id = r.image_id AND k.node_id = r.parent_id""",
+    "attributes_distance": distances(),
+    "attributes_distance_exact": distances("_EXACT"),
+    "tree_relatives": f"""{tree()}, {KIN} SELECT r.image_id, r.node_id, coalesce(k.kids, 0) AS num_children, CASE WHEN r.node_id = r.parent_id THEN 0 ELSE p.kids - 1 END AS num_siblings, k.first_child, CASE WHEN r.node_id <> r.parent_id THEN lead(r.node_id) OVER (PARTITION BY r.image_id, r.parent_id, r.node_id = r.parent_id ORDER BY r.node_id) END AS next_sibling, r.node_id = r.parent_id AS is_root, k.kids IS NULL AS is_leaf
+FROM res r LEFT JOIN kids k ON k.image_id = r.image_id AND k.node_id = r.node_id LEFT JOIN kids p ON p.image_id = r.image_id AND p.node_id = r.parent_id""",
+    "tree_summary": f"""{tree()}, {KIN} SELECT r.image_id, max(CASE WHEN r.node_id = parent_id THEN r.node_id END) AS root, count(*) AS num_nodes, count(*) FILTER (WHERE kids IS NULL) AS num_leaf_nodes, 768::BIGINT AS num_pixels, 24::BIGINT AS num_rows, 32::BIGINT AS num_columns FROM res r LEFT JOIN kids k ON k.image_id = r.image_id AND k.node_id = r.node_id GROUP BY r.image_id""",
+    "tree_walk": f"""{tree()}, {KIN}, offs AS (SELECT r.image_id, r.node_id, CASE WHEN r.node_id = parent_id THEN 0 ELSE 1 + coalesce(sum(n) OVER (PARTITION BY r.image_id, parent_id, r.node_id = parent_id ORDER BY r.node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS o FROM res r JOIN size s ON s.image_id = r.image_id AND s.node_id = r.node_id),
+pre AS (SELECT u.image_id, u.node_id, sum(o)::BIGINT AS tpre FROM up u JOIN offs f ON f.image_id = u.image_id AND f.node_id = u.ancestor_id GROUP BY ALL)
+SELECT p.image_id, p.node_id, tpre, tpre + n AS tpost, tpre + n - 1 - depth AS position FROM pre p JOIN size s ON s.image_id = p.image_id AND s.node_id = p.node_id JOIN res r ON r.image_id = p.image_id AND r.node_id = p.node_id""",
+    "reconstructed_levels": f"WITH {RASTERS['E']} SELECT image_id, pixel_id, value FROM px",
+    "extinction_values": f"{tree()}, {WINNERS} SELECT image_id, node_id, CASE WHEN isinf(extinction) THEN -1 ELSE extinction END::BIGINT AS extinction FROM ext",
+    "extinction_top3": nearest(f"WITH {WINNERS}, best AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY extinction DESC, node_id) AS k FROM ext) SELECT DISTINCT u.image_id, u.ancestor_id AS node_id FROM up u JOIN best b ON b.image_id = u.image_id AND b.node_id = u.node_id WHERE k <= 3"),
+    "pr_curve": f"WITH {PREDICTIONS}, c AS (SELECT score, sum(sum((label = 1)::INT)) OVER w AS tp, sum(sum((label <> 1)::INT)) OVER w AS fp, sum(sum((label = 1)::INT)) OVER () AS pos FROM p GROUP BY score WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT score AS threshold, round(tp / (tp + fp), 6) AS \"precision\", round(tp / pos, 6) AS recall, round(2 * tp / (tp + fp + pos), 6) AS f1 FROM c",
+    "mean_by_lang": f"""WITH {PREDICTIONS}, c AS (SELECT lang, count(*) FILTER (WHERE score > 0.6 AND label = 1) AS tp, count(*) FILTER (WHERE score > 0.6 AND label <> 1) AS fp, count(*) FILTER (WHERE score <= 0.6 AND label = 1) AS fn, count(*) FILTER (WHERE score <= 0.6 AND label <> 1) AS tn FROM p GROUP BY lang)
+SELECT round(avg((tp + tn) / (tp + fp + fn + tn)), 6) AS accuracy, round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 6) AS "precision", round(avg(tp / nullif(tp + fn, 0)), 6) AS recall, round(avg(tn / nullif(tn + fp, 0)), 6) AS specificity, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS f1, round(avg(coalesce(tp / nullif(tp + fp + fn, 0), 0)), 6) AS jaccard FROM c""",
+    "prediction_errors": f"WITH {PREDICTIONS} SELECT round(avg((score - label) * (score - label)), 6) AS mse_score_label, round(avg(abs(score - label)), 6) AS mae_score_label FROM p",
+    "prediction_losses": f"""WITH {PREDICTIONS}, q AS (SELECT lang, least(greatest(score, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS s, label::DOUBLE AS y FROM p), g AS (SELECT lang, 1 - (2 * sum(s * y) + 1) / (sum(s) + sum(y) + 1) AS dice, avg(-(2 * y * ln(s) + (1 - y) * ln(1 - s))) AS bce FROM q GROUP BY lang)
+SELECT round(avg(dice), 6) AS dice, round(avg(bce), 6) AS bce, round(0.25::DOUBLE * avg(dice) + 0.75::DOUBLE * avg(bce), 6) AS loss FROM g""",
+    "price_by_priority": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice / 1e5::DOUBLE), 6) AS mean, round(coalesce(stddev_samp(o_totalprice / 1e5::DOUBLE), 0), 6) AS std FROM orders GROUP BY ALL",
     "area_opening": nearest("SELECT u.image_id, u.node_id FROM up u JOIN att a ON a.image_id = u.image_id AND a.node_id = u.ancestor_id GROUP BY ALL HAVING min(area) >= 4"),
     "area_closing": nearest("SELECT u.image_id, u.node_id FROM up u JOIN att a ON a.image_id = u.image_id AND a.node_id = u.ancestor_id GROUP BY ALL HAVING min(area) >= 4", -1),
     "pruning_max_width": nearest("SELECT DISTINCT u.image_id, u.ancestor_id AS node_id FROM up u JOIN att a ON a.image_id = u.image_id AND a.node_id = u.node_id WHERE width >= 3"),

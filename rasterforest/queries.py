@@ -64,6 +64,9 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 BASICS = ["AREA", "GRAY_LEVEL", "VOLUME", "MEAN_GRAY_LEVEL", "GRAY_LEVEL_VARIANCE", "GRAY_LEVEL_HEIGHT", "BOUNDING_BOX_WIDTH", "BOUNDING_BOX_HEIGHT", "DIAGONAL_LENGTH", "RECTANGULARITY", "RATIO_WH", "BOX_COLUMN_MIN", "BOX_COLUMN_MAX", "BOX_ROW_MIN", "BOX_ROW_MAX"]
 MOMENTS = ["CENTRAL_MOMENT_20", "CENTRAL_MOMENT_02", "CENTRAL_MOMENT_11", "HU_MOMENT_1", "INERTIA", "COMPACTNESS", "RAW_INERTIA"]
 SIDES = ["CONTOUR_PIXELS", "CONTOUR_PERIMETER", "CONTOUR_SIDE_NORTH", "CONTOUR_SIDE_WEST", "CONTOUR_SIDE_EAST", "CONTOUR_SIDE_SOUTH"]
+SHAPES = ["CENTRAL_MOMENT_30", "CENTRAL_MOMENT_03", "CENTRAL_MOMENT_21", "CENTRAL_MOMENT_12", "HU_MOMENT_2", "LENGTH_MAJOR_AXIS", "LENGTH_MINOR_AXIS", "RELATIVE_VOLUME"]
+BRANCHES = ["NUM_SIBLINGS_NODE", "NUM_LEAF_DESCENDANTS_NODE", "LEAF_RATIO_NODE", "BALANCE_NODE", "AVG_CHILD_HEIGHT_NODE"]
+DISTANCES = ["MAX_DIST", "MAX_SQUARED_DIST", "DIST_SQUARED_SUM", "DIST_SQUARED_MEAN", "DIST_RMS", "DIST_SQUARED_VARIANCE", "MAX_DIST_CENTER_ROW", "MAX_DIST_CENTER_COLUMN", "MAX_DIST_PLATEAU_AREA", "MAX_DIST_PLATEAU_CENTROID_ROW", "MAX_DIST_PLATEAU_CENTROID_COLUMN", "DIST_SUM", "DIST_MEAN", "DIST_VARIANCE", "DIST_MEDIAN", "DIST_Q25", "DIST_Q75", "DIST_Q90", "DIST_ENTROPY", "DIST_POSITIVE_AREA", "DIST_LEVEL_COUNT"]
 TOPOLOGY = ["DEPTH_NODE", "IS_LEAF_NODE", "IS_ROOT_NODE", "NUM_CHILDREN_NODE", "NUM_DESCENDANTS_NODE", "SUBTREE_HEIGHT"]
 
 
@@ -241,6 +244,47 @@ def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.tree_intervals(f).join(trees.walk(f, "post"), NODE).select("image_id", "node_id", "tpre", "tpost", "position")
 
 
+def tree_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = trees.relatives(forest(spark, sf_dir))
+    return r.select("image_id", "node_id", "num_children", "num_siblings", "first_child", "next_sibling", "is_root", "is_leaf")
+
+
+def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = trees.tree_summary(forest(spark, sf_dir))
+    return s.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("root", "num_nodes", "num_leaf_nodes", "num_pixels", "num_rows", "num_columns")])
+
+
+def reconstructed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trees.reconstruct_levels(forest(spark, sf_dir))
+    return out.select("image_id", "pixel_id", F.col("value").cast("long").alias("value"))
+
+
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(metrics.pr_curve(predictions(spark, sf_dir)), "precision", "recall", "f1")
+
+
+def mean_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.per_image(predictions(spark, sf_dir), ["lang"], 0.6)
+    return r6(out, *out.columns)
+
+
+def prediction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.errors(predictions(spark, sf_dir), [("score", "label")])
+    return r6(out, *out.columns)
+
+
+def prediction_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.losses(predictions(spark, sf_dir), ["lang"], 2.0, 0.25)
+    return r6(out, *out.columns)
+
+
+def price_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order prices as runs: mean and deviation by priority and status."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", F.col("o_custkey").alias("run_id"), (F.col("o_totalprice") / 1e5).alias("value"))
+    out = metrics.consolidate(rows, ["o_orderpriority", "o_orderstatus"])
+    return r6(out, "mean", "std").select("o_orderpriority", "o_orderstatus", "n", "mean", "std")
+
+
 def pixels_out(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return raster(spark, sf_dir, name).select("image_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "pixel_id", F.col("value").cast("long").alias("value"))
@@ -261,6 +305,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attributes_moments": _attributes(MOMENTS),
     "attributes_contour": _attributes(SIDES),
     "attributes_topology": _attributes(TOPOLOGY),
+    "attributes_shape": _attributes(SHAPES),
+    "attributes_branches": _attributes(BRANCHES),
+    "attributes_distance": _attributes(DISTANCES),
+    "attributes_distance_exact": _attributes([f"{n}_EXACT" for n in DISTANCES]),
+    "tree_relatives": tree_relatives,
+    "tree_summary": tree_summary,
+    "reconstructed_levels": reconstructed_levels,
+    "pr_curve": pr_curve,
+    "mean_by_lang": mean_by_lang,
+    "prediction_errors": prediction_errors,
+    "prediction_losses": prediction_losses,
+    "price_by_priority": price_by_priority,
     "attributes_all": all_attributes,
     "tree_walk": tree_walk,
     "area_opening": _filter(filters.pruning_min, AREA4),
