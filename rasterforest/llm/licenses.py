@@ -8,6 +8,7 @@ looked up; complete licence texts are also found inside documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -47,22 +48,23 @@ TITLES = {
 }
 END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 
-# Equivalent spellings, applied in this order to lower-case text.
+# Equivalent spellings, applied in this order to lower-case text. Each has a
+# string that all its matches hold; '' where there is none.
 SPELLINGS = (
-    (r"\bcreative commons\b", "cc"),
-    (r"\battribution\b", "by"),
-    (r"\bnon-?commercial\b", "nc"),
-    (r"\bno-?deriv(atives|s)\b", "nd"),
-    (r"\bshare-?alike\b", "sa"),
-    (r"\bgnu general public license\b", "gpl"),
-    (r"\bgnu lesser general public license\b", "lgpl"),
-    (r"\bgnu affero general public license\b", "agpl"),
-    (r"\bmozilla public license\b", "mpl"),
-    (r"\blicence(s|d)?\b", "license$1"),
-    (r"\bv(ersion)?[. ]*([0-9])", "$2"),
-    (r"\binternational\b", ""),
-    (r"\b(the|a|license)\b", ""),
-    (r"\breleased\b", "licensed"),
+    (r"\bcreative commons\b", "cc", "creative commons"),
+    (r"\battribution\b", "by", "attribution"),
+    (r"\bnon-?commercial\b", "nc", "commercial"),
+    (r"\bno-?deriv(atives|s)\b", "nd", "deriv"),
+    (r"\bshare-?alike\b", "sa", "alike"),
+    (r"\bgnu general public license\b", "gpl", "gnu general public license"),
+    (r"\bgnu lesser general public license\b", "lgpl", "gnu lesser general public license"),
+    (r"\bgnu affero general public license\b", "agpl", "gnu affero general public license"),
+    (r"\bmozilla public license\b", "mpl", "mozilla public license"),
+    (r"\blicence(s|d)?\b", "license$1", "licence"),
+    (r"\bv(ersion)?[. ]*([0-9])", "$2", ""),
+    (r"\binternational\b", "", "international"),
+    (r"\b(the|a|license)\b", "", ""),
+    (r"\breleased\b", "licensed", "released"),
 )
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 
@@ -72,10 +74,17 @@ def spelled(text: Column) -> Column:
 
     No pattern crosses a line's end, so each line comes out as it would alone.
     """
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
-    return out
+    # An array of one text, so that each step reads the text before it once; a step whose
+    # string a text doesn't hold leaves it as it is.
+    marked = lambda x: F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©"))
+    out = F.transform(F.array(F.lower(text)), lambda x: F.when(marked(x), F.regexp_replace(x, COPYRIGHT, "")).otherwise(x))
+    for pattern, to, held in SPELLINGS:
+        out = F.transform(out, replacing(pattern, to, held))
+    return out[0]
+
+
+def replacing(pattern: str, to: str, held: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(F.contains(x, F.lit(held)), F.regexp_replace(x, pattern, to)).otherwise(x)
 
 
 def words(text: Column) -> Column:
@@ -156,8 +165,10 @@ def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -
     joined = F.concat(F.lit(" "), F.array_join(F.filter("lines", lambda x: x != ""), "\n"), F.lit(" "))
     hits = F.filter(F.transform("lines", look), lambda x: x.isNotNull())
     met = lined.select("doc_id", "none", F.size("lines").cast("long").alias("n_lines"), hits.alias("hits"), joined.alias("joined"))
-    met = met.withColumn("flat", F.translate("joined", "\n", " "))
-    there = [(name, form, F.contains("flat", F.lit(f" {form} "))) for name, form in inner]
+    # A text that lacks a word of all complete licences holds none of them.
+    common = max(set.intersection(*[set(form.split()) for _, form in inner]), key=lambda w: (len(w), w), default="")
+    met = met.withColumn("flat", F.translate("joined", "\n", " ")).withColumn("may", F.contains("flat", F.lit(common)))
+    there = [(name, form, F.col("may") & F.contains("flat", F.lit(f" {form} "))) for name, form in inner]
     found = met.select(
         "doc_id",
         "n_lines",
@@ -175,7 +186,7 @@ def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
 
     def form(x: str) -> str:
         out = f"regexp_replace(lower({x}), '(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
-        for pattern, to in SPELLINGS:
+        for pattern, to, _ in SPELLINGS:
             out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
         return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
 

@@ -377,6 +377,18 @@ def test_licenses_in_other_spellings(spark):
     same(licenses.scan_licenses(df), con.sql(ORACLES["op8_licenses"]))
 
 
+def test_spellings_as_without_their_strings(spark):
+    # Each rule is skipped only for texts that it can't change.
+    rng = random.Random(8)
+    parts = ["Creative Commons", "Attribution", "non-commercial", "NonCommercial", "no-derivs", "NoDerivatives", "share-alike", "ShareAlike", "GNU General Public License", "GNU Lesser General Public License", "gnu affero general public license", "Mozilla Public License", "licence", "licenced", "licences", "version 2", "v3", "v. 4", "international", "the", "a", "license", "released", "\nCopyright (c) x\n", "\n(C) y\n", "\n\u00a9 z\n", "re", "s", "-", "."]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(1, 9))) for _ in range(1500)] + [None, ""]
+    plain = F.regexp_replace(F.lower("text"), licenses.COPYRIGHT, "")
+    for pattern, to, _ in licenses.SPELLINGS:
+        plain = F.regexp_replace(plain, pattern, to)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(~licenses.spelled(F.col("text")).eqNullSafe(plain)).count() == 0
+
+
 def test_license_texts(spark):
     folder = licenses.Path(licenses.__file__).parent / "license_texts"
     texts = {p.stem: p.read_text() for p in folder.glob("*.txt")}
