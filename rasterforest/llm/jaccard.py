@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, in_small_batches, returning_memory
 
-LEAST_BITS = 256
+#: Bits of the smallest sketch, and of those that pairs of a signature compare; enough for sets of about a thousand.
+LEAST_BITS = 512
+BRIEF = LEAST_BITS // 64
 #: Partitions beyond the least number: a set may have so many with an empty half and need not announce them.
 SPARE = 3
 #: Signatures meet in so many parts one after the other, so that only a part is on its way at a time.
@@ -203,9 +205,9 @@ def compatible(x: Column, y: Column) -> Column:
 
 
 def brief(sketch: Column) -> list[Column]:
-    """A sketch folded to 128 bits, in two longs."""
-    fold = lambda odd: F.aggregate(F.filter(sketch, lambda x, i: i % 2 == odd), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
-    return [fold(0).alias("even"), fold(1).alias("odd")]
+    """A sketch folded to LEAST_BITS bits, in BRIEF longs."""
+    fold = lambda at: F.aggregate(F.filter(sketch, lambda x, i: i % BRIEF == at), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    return [fold(at).alias(f"bits{at}") for at in range(BRIEF)]
 
 
 def with_sides(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -329,15 +331,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     members = shared.select("sig", "d1", "other").distinct().join(key2, "d1").join(found.select("node", "label"), "node", "left")
     members = members.withColumn("label", F.coalesce("label", "node"))
     mixed_sigs = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") < F.col("y")).select("sig")
-    members = keep(members.join(mixed_sigs, "sig", "left_semi").select("sig", "other", "node", "label", "n", "even", "odd"), "members")
+    bits = [f"bits{at}" for at in range(BRIEF)]
+    members = keep(members.join(mixed_sigs, "sig", "left_semi").select("sig", "other", "node", "label", "n", *bits), "members")
     scratch.drop(shared)
     # Both sides read one exchange.
     dealt = members.repartition("sig")
-    side = lambda s: dealt.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("other", "node", "label", "n", "even", "odd")])
+    side = lambda s: dealt.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("other", "node", "label", "n", *bits)])
     near_sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    apart_at_least = F.bit_count(F.col("a_even").bitwiseXOR(F.col("b_even"))) + F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd")))
+    apart_at_least = reduce(Column.__add__, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits])
     near_sizes &= apart_at_least <= F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent))
-    cross = side("a").join(side("b"), "sig").where((F.col("a_label") < F.col("b_label")) & near_sizes & compatible(F.col("a_other"), F.col("b_other")))
+    cross = side("a").join(side("b"), "sig").where((F.col("a_label") < F.col("b_label")) & compatible(F.col("a_other"), F.col("b_other")) & near_sizes)
     cross = keep(cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "cross")
     scratch.drop(members)
     tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
