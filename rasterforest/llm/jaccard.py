@@ -29,6 +29,10 @@ LEAST_BITS = 512
 BRIEF = LEAST_BITS // 64
 #: Partitions beyond the least number: a set may have so many with an empty half and need not announce them.
 SPARE = 3
+#: Sets that may differ in so many elements or more get a sixteenth as many partitions on top; see without_frequent().
+LONG = 192
+#: A row's `other`: the sketch in the low 28 bits, the allowed differences in two more, then the number of the set's instance.
+SKETCH_BITS = (1 << 28) - 1
 #: Signatures meet in so many parts one after the other, so that only a part is on its way at a time.
 PARTS = 4
 #: Ids of texts to compare are broadcast up to so many rows, of 32 bytes each; beyond, both sides are shuffled.
@@ -91,23 +95,28 @@ class PartEnum:
         """The most elements in which similar sets differ, the larger being in this band."""
         return (100 - self.percent) * 2 * self.high[band] // (100 + self.percent)
 
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures, and for each what it says of the elements it leaves out.
+    def spare(self, k: int) -> int:
+        """Partitions on top, so that as many signatures of a set may be left out."""
+        return k // 16 if k >= LONG else 0
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Signatures, for each what it says of the elements it leaves out, and the instances' spare signatures.
 
         That is a sketch of 28 parities, and above it in how many elements sets of equal
         signatures may differ there: sketches that differ in more bits rule a pair out.
         """
         if not len(hashes):
-            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32), []
         spread = mixed(hashes ^ MIX2)
-        out, others = [], []
-        for band in self.instances(len(hashes)):
+        out, others, spares = [], [], []
+        for i, band in enumerate(self.instances(len(hashes))):
             k = self.differences(band)
             make = self.subsets if k <= 3 else self.halves
             sums, ids, other = make(hashes, spread, k)
             out.append(mixed(mixed(sums + ids) + np.uint64(band * 0x10001 + 1)))
-            others.append(other)
-        return np.concatenate(out), np.concatenate(others)
+            others.append(other | np.int32(i << 30))
+            spares.append(self.spare(k))
+        return np.concatenate(out), np.concatenate(others), spares
 
     def cells(self, spread: np.ndarray, cell: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per cell the sum of its elements, their number and the parities of 28 classes of them."""
@@ -126,13 +135,14 @@ class PartEnum:
         return np.array([sums[c].sum(dtype=np.uint64) for c in kept]), np.arange(len(kept), dtype=np.uint64), other | np.int32(k << 28)
 
     def halves(self, hashes: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = k // 2 + 1 + SPARE
+        n = k // 2 + 1 + SPARE + self.spare(k)
         cell = ((hashes >> np.uint64(32)) % np.uint64(n)).astype(np.int64) * 2 + ((hashes >> np.uint64(9)) & ONE).astype(np.int64)
         sums, counts, bits = self.cells(spread, cell, 2 * n)
         ids = np.arange(2 * n, dtype=np.uint64)
         other = bits.reshape(n, 2)[:, ::-1].ravel() | np.int32(1 << 28)
-        # At least SPARE + 1 partitions of a similar pair have an equal half; a set with at
-        # most SPARE partitions with an empty half has one among them where none is empty.
+        # At least SPARE + self.spare(k) + 1 partitions of a similar pair have an equal half;
+        # a set with at most SPARE partitions with an empty half has one among them where
+        # none is empty, even if self.spare(k) others don't count.
         if (counts.reshape(n, 2).min(axis=1) == 0).sum() <= SPARE:
             held = counts > 0
             return sums[held], ids[held], other[held]
@@ -158,7 +168,7 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, signatures, seen = Shingler(n), PartEnum(percent), set()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
@@ -171,13 +181,13 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         seen.clear()
                     if new:
                         seen.add((d1, d2))
-                    sigs, others = signatures(h) if new else (None, None)
-                    rows.append((len(h), d1, d2, sketch(h) if new else None, sigs.view(np.int64) if new else None, others))
+                    sigs, others, spares = signatures(h) if new else (None, None, None)
+                    rows.append((len(h), d1, d2, sketch(h) if new else None, sigs.view(np.int64) if new else None, others, spares))
                 columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_shingles", "d1", "d2", "sketch", "signatures", "others"])
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_shingles", "d1", "d2", "sketch", "signatures", "others", "spares"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return in_small_batches(keyed).mapInArrow(returning_memory(run), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>, others array<int>")
+    return in_small_batches(keyed).mapInArrow(returning_memory(run), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, signatures array<long>, others array<int>, spares array<int>")
 
 
 def folded(x: Column, y: Column) -> Column:
@@ -201,7 +211,21 @@ def may_link(percent: int) -> Column:
 
 def compatible(x: Column, y: Column) -> Column:
     """Whether what two rows of one signature leave out may be as close as it must be."""
-    return F.bit_count(x.bitwiseXOR(y)) <= F.shiftright(x, 28)
+    return F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(SKETCH_BITS))) <= F.shiftright(x, 28).bitwiseAND(F.lit(3))
+
+
+def without_frequent(shared: DataFrame) -> DataFrame:
+    """shared without as many signatures of each instance as it can spare, the most frequent ones.
+
+    Passages that many texts hold fill some signatures of each. The frequency is one number
+    for all sets of a signature, and what goes from a set is more frequent than all that
+    stays. Similar sets share more signatures than either can spare, so of the two the set
+    that stops at the lower frequency keeps one of these, and the other keeps it too.
+    """
+    mine = W.partitionBy("d1", F.shiftright("other", 30)).orderBy(F.desc("frequency"))
+    some = shared.where(F.col("spare") > 0).dropDuplicates(["d1", "sig"]).withColumn("as_frequent", F.count(F.lit(1)).over(mine))
+    some = some.where(F.col("as_frequent") > F.col("spare")).drop("as_frequent")
+    return shared.where(F.col("spare") == 0).unionByName(some).drop("spare", "frequency")
 
 
 def brief(sketch: Column) -> list[Column]:
@@ -291,20 +315,24 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     scratch = Scratch(docs.sparkSession, "jaccard")
     keep = scratch.keep
     sets = keep(set_table(docs, n, percent), "sets")
-    info = keep(sets.drop("sketch", "signatures", "others"), "info")
+    info = keep(sets.drop("sketch", "signatures", "others", "spares"), "info")
     own = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = own.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.first("sketch", ignorenulls=True).alias("sketch"))
     nodes = keep(nodes, "nodes")
-    rows = own.select(F.explode(F.arrays_zip("signatures", "others")).alias("s"), "d1").select(F.col("s.signatures").alias("sig"), "d1", F.col("s.others").alias("other"))
+    rows = own.select(F.explode(F.arrays_zip("signatures", "others")).alias("s"), "d1", "spares").select(F.col("s.signatures").alias("sig"), "d1", F.col("s.others").alias("other"), "spares")
+    rows = rows.select("sig", "d1", "other", F.get("spares", F.shiftright("other", 30)).alias("spare"))
     span = W.partitionBy("sig")
     ends = [f(F.struct("d1", "other")).over(span).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    ends.append(F.count(F.lit(1)).over(span).alias("frequency"))
     shared = None
     for part in range(PARTS):
-        met = rows.where(F.pmod("sig", F.lit(PARTS)) == part).select("sig", "d1", "other", *ends).where(F.col("low.d1") < F.col("high.d1"))
-        met = keep(met.select("sig", "d1", "other", "low"), "shared")
+        met = rows.where(F.pmod("sig", F.lit(PARTS)) == part).select("sig", "d1", "other", "spare", *ends).where(F.col("low.d1") < F.col("high.d1"))
+        met = keep(met.select("sig", "d1", "other", "spare", "low", "frequency"), "shared")
         shared = met if shared is None else shared.unionByName(met)
         scratch.drop()
     scratch.drop(sets)
+    every, shared = shared, keep(without_frequent(shared), "kept")
+    scratch.drop(every)
 
     # Centers: the smallest digest of a signature, and the member met most often.
     key = nodes.select("d1", "node", "n", "sketch")

@@ -303,6 +303,23 @@ def test_jaccard(spark, docs, loose, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_jaccard_of_long_texts_with_frequent_passages(spark, n, percent):
+    # Sets of more than a thousand shingles that hold the same passages, with near copies at and around the threshold.
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passages = [[word() for _ in range(60)] for _ in range(4)]
+    texts = []
+    for i in range(24):
+        words = [word() for _ in range(1500)] + [w for p in passages for w in p]
+        texts.append(" ".join(words))
+        for share in ((0.01, 0.016, 0.02, 0.024, 0.03, 0.04, 0.05) if i < 8 else ()):
+            texts.append(" ".join(word() if rng.random() < share else w for w in words[: rng.randint(1600, len(words))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, n, percent).collect()}
+    assert got == linked(dict(enumerate(texts)), n, percent) and 24 < len({c for _, c in got.values()}) < len(texts)
+
+
 def test_jaccard_of_large_ids(spark):
     words, big = sentence(200).split(), 2**62
     near = " ".join([*words[:100], "other", *words[101:]])
