@@ -34,7 +34,7 @@ LONG = 192
 #: A row's `other`: the sketch in the low 28 bits, the allowed differences in two more, then the number of the set's instance.
 SKETCH_BITS = (1 << 28) - 1
 #: Signatures meet in so many parts one after the other, so that only a part is on its way at a time.
-PARTS = 4
+PARTS = 6
 #: Ids of texts to compare are broadcast up to so many rows, of 32 bytes each; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 ONE, MIX1, MIX2 = np.uint64(1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
