@@ -1,7 +1,14 @@
-"""Exact top-k inner products by dual-tree search over cover trees."""
+"""Exact top-k inner products by dual-tree search over cover trees.
+
+The top level of the candidates' tree is a net of centres fitted on a bounded sample; every
+row belongs to the ball of its nearest centre, whose radius covers all its rows. Below it,
+each part of a ball is one cover tree in a task, searched together with a tree of the queries.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,7 +16,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import search_blocks, sound
+from .vectors import Find, search, sound
+
+
+def squared_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T)
+
+
+def loose(bound: np.ndarray | float) -> np.ndarray | float:
+    """A bound with room for rounding."""
+    return bound + 1e-9 * np.abs(bound) + 1e-6
+
+
+class Balls:
+    """Balls around a net of sampled points, each the farthest from those before it."""
+
+    def __init__(self, points: np.ndarray, n: int):
+        at = [int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))]
+        nearest = squared_gaps(points, points[at])[:, 0]
+        while len(at) < n and nearest.max() > 0:
+            at.append(int(np.argmax(nearest)))
+            nearest = np.minimum(nearest, squared_gaps(points, points[at[-1:]])[:, 0])
+        self.centers = points[at]
+
+    def __len__(self) -> int:
+        return len(self.centers)
+
+    def place(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gaps = squared_gaps(points, self.centers)
+        return gaps.argmin(axis=1), np.sqrt(gaps.min(axis=1))
+
+    def promise(self, queries: np.ndarray) -> np.ndarray:
+        return queries @ self.centers.T
+
+    def reach(self, queries: np.ndarray, known: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """The inner product with a point of a ball is at most that with its centre + |query| * radius."""
+        bound = loose(queries @ self.centers.T + np.sqrt((queries * queries).sum(axis=1))[:, None] * radii)
+        return ~(bound < known[:, None])
 
 
 @dataclass
@@ -22,95 +65,127 @@ class Node:
     norm: float
     children: list["Node"] = field(default_factory=list)
 
+    def seal(self) -> None:
+        """Children's balls as arrays, so that one product bounds them all."""
+        self.centers = np.stack([c.center for c in self.children])
+        self.radii = np.array([c.radius for c in self.children])
+        self.leaf = np.array([not c.children for c in self.children])
+
 
-def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, leaf: int = 64) -> Node:
+def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, leaf: int = 16) -> Node:
     """Each level covers its rows by balls of half the radius around a greedy net of them.
 
-    A node stays a leaf when it is small, when all its rows coincide, or when half the
-    radius would separate nearly every row (then smaller balls prune nothing).
+    A node is a leaf when it has few rows or all its rows coincide. Where points lie far
+    apart from each other a level has as many balls as points.
     """
     rows = np.arange(len(points)) if rows is None else rows
     own = points[rows]
-    center = own[np.argmin(((own - own.mean(axis=0)) ** 2).sum(axis=1))]
-    far = np.sqrt(((own - center) ** 2).sum(axis=1))
-    node = Node(rows, center, float(far.max()), float(np.sqrt(center @ center)))
-    if len(rows) <= leaf or node.radius == 0:
+    gaps = squared_gaps(own, own)
+    middle = int(np.argmin(((own - own.mean(axis=0)) ** 2).sum(axis=1)))
+    nearest, owner, nets = gaps[middle].copy(), np.zeros(len(rows), dtype=np.int64), 1
+    radius, center = math.sqrt(nearest.max()), own[middle]
+    node = Node(rows, center, radius, float(np.sqrt(center @ center)))
+    if len(rows) <= leaf or radius == 0:
         return node
-    nearest, owner, nets = far.copy(), np.zeros(len(rows), dtype=np.int64), 1
-    while nearest.max() > node.radius / 2:
-        if nets > max(4, len(rows) // leaf):
-            return node
-        gap = np.sqrt(((own - own[int(np.argmax(nearest))]) ** 2).sum(axis=1))
+    while nearest.max() > radius * radius / 4:
+        gap = gaps[int(np.argmax(nearest))]
         closer = gap < nearest
         nearest, owner = np.where(closer, gap, nearest), np.where(closer, nets, owner)
         nets += 1
-    node.children = [cover_tree(points, rows[owner == i], leaf) for i in range(nets) if (owner == i).any()]
+    del gaps
+    by_owner = np.argsort(owner, kind="stable")
+    node.children = [cover_tree(points, rows[own], leaf) for own in np.split(by_owner, np.cumsum(np.bincount(owner, minlength=nets))[:-1]) if len(own)]
+    node.seal()
     return node
 
 
 class Best:
-    """The k best candidates of every query so far; ties go to the earlier candidate."""
+    """The k best candidates of every query so far; ties go to the earlier candidate.
+
+    known holds each query's kth score found elsewhere, -inf if none.
+    """
 
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.scores = np.full((n, k), -np.inf)
-        self.rows = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
+    def __init__(self, k: int, known: np.ndarray):
+        self.k, self.least, self.scored = k, known.copy(), 0
+        self.scores = np.full((len(known), k), -np.inf)
+        self.rows = np.full((len(known), k), np.iinfo(np.int64).max, dtype=np.int64)
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
-        least = self.scores[queries, -1]
+        self.scored += scores.size
+        least = self.least[queries]
         if scores.shape[1] > self.k:
             least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        for i, q in enumerate(queries):
-            new = np.flatnonzero(scores[i] >= least[i])
+        fresh = (scores >= least[:, None]) & np.isfinite(scores)
+        for i in np.flatnonzero(fresh.any(axis=1)):
+            q, new = queries[i], np.flatnonzero(fresh[i])
             s, r = np.append(self.scores[q], scores[i, new]), np.append(self.rows[q], rows[new])
             keep = np.lexsort((r, -s))[: self.k]
             self.scores[q], self.rows[q] = s[keep], r[keep]
+            self.least[q] = max(self.least[q], self.scores[q, -1])
 
 
-def dual_search(queries: np.ndarray, points: np.ndarray, k: int, apart: np.ndarray, leaf: int = 64) -> Best:
-    """Top-k inner products of each query; apart[i] is the point that query i may not take (-1: none).
+def dual_search(queries: np.ndarray, points: np.ndarray, tree: Node, k: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray], known: np.ndarray, leaf: int = 16) -> Best:
+    """Top-k inner products of each query over the tree of points; apart(i, j) is true for the pairs that may not meet.
 
     For balls around c and p, no inner product exceeds c.p + |c| r + |p| R + R r. A pair
     of nodes is pruned when that is below the worst kth score in the query node.
     """
-    best = Best(len(queries), k)
-    stack = [(cover_tree(queries, leaf=leaf), cover_tree(points, leaf=leaf))]
+    best, norms = Best(k, known), np.sqrt((queries * queries).sum(axis=1))
+
+    def score(q: np.ndarray, p: np.ndarray) -> None:
+        p = np.sort(p)
+        best.offer(q, np.where(apart(q, p), -np.inf, queries[q] @ points[p].T), p)
+
+    stack = [(cover_tree(queries, leaf=leaf), tree)]
     while stack:
         q, p = stack.pop()
         bound = q.center @ p.center + q.norm * p.radius + p.norm * q.radius + q.radius * p.radius
-        if bound + 1e-9 * abs(bound) + 1e-6 < best.scores[q.rows, -1].min():
+        if loose(bound) < best.least[q.rows].min():
             continue
         if q.children and (not p.children or q.radius >= p.radius):
             stack += [(c, p) for c in q.children]
         elif p.children:
+            bounds = loose(queries[q.rows] @ p.centers.T + norms[q.rows][:, None] * p.radii)
+            alive = (bounds >= best.least[q.rows][:, None]).any(axis=0)
+            near = np.flatnonzero(alive & p.leaf)
+            if len(near):
+                score(q.rows, np.concatenate([p.children[c].rows for c in near]))
             # The most promising child is popped first.
-            stack += [(q, c) for c in sorted(p.children, key=lambda c: float(q.center @ c.center) + q.norm * c.radius)]
+            inner = np.flatnonzero(alive & ~p.leaf)
+            stack += [(q, p.children[c]) for c in inner[np.argsort(bounds[:, inner].max(axis=0), kind="stable")]]
         else:
-            scores = queries[q.rows] @ points[p.rows].T
-            scores[apart[q.rows][:, None] == p.rows[None, :]] = -np.inf
-            best.offer(q.rows, scores, p.rows)
+            score(q.rows, p.rows)
     return best
 
 
-def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 5, rows_per_block: int = 1024, queries_per_block: int = 4096) -> DataFrame:
+def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 5, rows_per_block: int = 2048, sample: int = 8192) -> DataFrame:
     """Each query's k candidates of the largest inner product, exactly.
 
-    Both tables: vec_id long, vector array<double> of whole numbers below 2**21 in size at
-    1024 components, so that sums are exact in doubles. A query never finds its own vec_id;
+    Both tables: vec_id long, vector array<double> of whole numbers; vectors whose largest
+    component times the root of their length exceeds 2**26 are refused by an error, so that
+    sums are exact in doubles. A query never finds a row of its own vec_id;
     rows with a null vec_id, a null or non-finite component or no vector take no part;
     ties go to the smaller vec_id; a query with fewer candidates gets them all; rows
-    repeated under one vec_id count each; empty tables give no rows.
+    repeated under one vec_id count each; empty tables give no rows. The balls of the top
+    level are fitted on at most sample rows; they decide speed, not results.
     Returns query_id, rank, vec_id, score long.
     """
 
-    def find(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        at = np.minimum(np.searchsorted(c_ids, q_ids), len(c_ids) - 1)
-        best = dual_search(q, c, k, np.where(c_ids[at] == q_ids, at, -1))
-        real = np.isfinite(best.scores)
-        return pd.DataFrame({"query_id": np.repeat(q_ids, k)[real.ravel()], "vec_id": c_ids[best.rows[real]], "score": best.scores[real].astype(np.int64)})
+    def prepare(ids: np.ndarray, points: np.ndarray) -> Find:
+        tree = cover_tree(points)
+
+        def find(q_ids: np.ndarray, q: np.ndarray, known: np.ndarray) -> pd.DataFrame:
+            best = dual_search(q, points, tree, k, lambda i, j: q_ids[i][:, None] == ids[j], np.where(np.isnan(known), -np.inf, known))
+            real = np.isfinite(best.scores)
+            return pd.DataFrame({"query_id": np.repeat(q_ids, k)[real.ravel()], "vec_id": ids[best.rows[real]], "score": best.scores[real]})
+
+        return find
 
-    fit = lambda df: df.where(sound(F.col("vector")) & F.col("vec_id").isNotNull())
-    return search_blocks(fit(queries), fit(candidates), k, find, "long", False, rows_per_block, queries_per_block)
+    size = F.array_max(F.transform("vector", F.abs)) * F.sqrt(F.size("vector"))
+    exact = F.when(size > 2**26, F.raise_error(F.lit("components too large for exact inner products"))).otherwise(F.col("vector"))
+    fit = lambda df: df.where(sound(F.col("vector")) & F.col("vec_id").isNotNull()).withColumn("vector", exact)
+    found = search(fit(queries), fit(candidates), k, Balls, prepare, False, rows_per_block, sample=sample)
+    return found.withColumn("score", F.col("score").cast("long"))
 
 
 def scaled(embeddings: DataFrame, factor: int = 256) -> DataFrame:

@@ -170,11 +170,74 @@ def test_inner_products(vectors):
     scaled = cover_tree.scaled(vectors)
     points = {r["vec_id"]: np.array(r["vector"]) for r in scaled.collect()}
     assert set(points) == {*range(340), 905}
-    got = cover_tree.top_inner_products(scaled.where("vec_id % 50 = 0"), scaled, 5, rows_per_block=64, queries_per_block=4).orderBy("query_id", "rank").collect()
+    got = cover_tree.top_inner_products(scaled.where("vec_id % 50 = 0"), scaled, 5, rows_per_block=64).orderBy("query_id", "rank").collect()
     want = [(q, n + 1, i, -s) for q in sorted(p for p in points if p % 50 == 0) for n, (s, i) in enumerate(best(points, q, 5, lambda a, b: -int(a @ b)))]
     assert [tuple(r) for r in got] == want
     few = cover_tree.top_inner_products(scaled.where("vec_id = 0"), scaled.where("vec_id < 3"), 5)
     assert few.count() == 2 and cover_tree.top_inner_products(scaled.limit(0), scaled, 5).count() == 0
+    assert cover_tree.top_inner_products(scaled, scaled.limit(0), 5).count() == 0
+
+
+def test_inner_products_of_repeats_and_lengths(spark):
+    """Repeated rows count each, none of a query's own id; lengths don't meet; null ids take no part; large numbers are refused."""
+    rows = [(1, [1.0, 0.0]), (1, [9.0, 9.0]), (2, [3.0, 1.0]), (2, [3.0, 1.0]), (3, [2.0, 5.0]), (4, [7.0, 7.0, 7.0]), (None, [8.0, 8.0])]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = cover_tree.top_inner_products(v.where("vec_id IN (2, 4)").distinct(), v, 3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(2, 1, 1, 36), (2, 2, 3, 11), (2, 3, 1, 3)]
+    got = cover_tree.top_inner_products(v.where("vec_id = 3"), v, 3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(3, 1, 1, 63), (3, 2, 2, 11), (3, 3, 2, 11)]
+    with pytest.raises(Exception, match="too large"):
+        cover_tree.top_inner_products(spark.createDataFrame([(1, [1e9, 1e9]), (2, [1.0, 1.0])], "vec_id long, vector array<double>"), v, 1).count()
+
+
+def clusters(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    middles = rng.standard_normal((40, dim)) * 4
+    return middles[rng.integers(0, 40, n)] + rng.standard_normal((n, dim)) * 0.3
+
+
+def test_cover_tree_prunes():
+    points = np.floor(clusters(2000, 32, 5) * 256)
+    tree = cover_tree.cover_tree(points)
+    todo, seen = [tree], 0
+    while todo:
+        node = todo.pop()
+        assert np.sqrt(((points[node.rows] - node.center) ** 2).sum(axis=1)).max() <= node.radius + 1e-6
+        assert all(c.radius <= node.radius / 2 + 1e-6 for c in node.children)
+        seen += 0 if node.children else len(node.rows)
+        todo += node.children
+    assert seen == 2000 and tree.children
+    queries = points[::50]
+    best = cover_tree.dual_search(queries, points, tree, 5, lambda i, j: i[:, None] * 50 == j, np.full(40, -np.inf))
+    scores = queries @ points.T
+    scores[np.arange(40), np.arange(40) * 50] = -np.inf
+    assert (best.scores == -np.sort(-scores, axis=1)[:, :5]).all()
+    assert best.scored < 0.3 * scores.size
+
+
+@pytest.mark.parametrize("spread, share", [("clusters", 0.2), ("sphere", 0.95)])
+def test_chi_square_stop(spread, share):
+    """Recall and verified share at the registered query's setting."""
+    points = clusters(4000, 64, 6) if spread == "clusters" else np.random.default_rng(6).standard_normal((4000, 64))
+    if spread == "sphere":
+        points /= np.sqrt((points**2).sum(axis=1))[:, None]
+    index = projection_search.ProjectedIndex(points, projection_search.projection(64, 16, 7))
+    limit, hits = projection_search.chi_square_quantile(0.95, 16), 0
+    for q in range(0, 4000, 100):
+        rows, _ = index.nearest(points[q], 10, np.array([q]), limit)
+        gaps = ((points - points[q]) ** 2).sum(axis=1)
+        gaps[q] = np.inf
+        hits += len({*np.argsort(gaps)[:10]} & {*rows})
+    assert hits / 400 >= 0.9
+    assert index.verified / (40 * 4000) < share
+
+
+def test_neighbours_of_repeats(spark):
+    rows = [(1, [0.0, 1.0]), (1, [0.0, 1.5]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (3, [5.0, 5.0]), (4, [1.0] * 4), (None, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = projection_search.nearest_neighbours(v.where("vec_id IN (3, 4)"), v, 10, m=2).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(3, 2), (3, 2), (3, 1), (3, 1)]
+    assert projection_search.nearest_neighbours(v, v.limit(0), 3).count() == 0
 
 
 def test_neighbours(vectors):
