@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 from collections.abc import Callable
 
@@ -231,16 +233,60 @@ def fingerprint(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     return block.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "x"))), lambda s: s["x"]), ""), 256).alias("fingerprint"))
 
 
-def inspect_manifest(samples: DataFrame, contributions: DataFrame, entries: DataFrame, offset: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Counts and bytes by entry state, and a page of samples by position."""
+def target_fingerprint(targets: DataFrame) -> DataFrame:
+    """One row: the digest of all targets in order; targets has position, sample_id and sha256."""
+    return fingerprint(targets.select("position", "sample_id", "sha256"), ["position"])
+
+
+def fingerprints(samples: DataFrame, splits: DataFrame, preprocessing: dict[str, str]) -> DataFrame:
+    """name and fingerprint: input, target, splits, split:<name>, preprocessing, manifest.
+
+    The order of samples within a split counts, that of splits, samples and settings doesn't.
+    """
+    named = lambda name, df: df.select(F.lit(name).alias("name"), "fingerprint")
+    parts = [named(role, fingerprint(samples.where(F.col("role") == role))) for role in ("input", "target")]
+    ordered = splits.select("split", "position", "sample_id")
+    parts.append(named("splits", fingerprint(ordered)))
+    digest = F.sha2(F.concat_ws("|", "position", "sample_id"), 256)
+    each = ordered.groupBy("split", F.floor(F.col("position") / 4096).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", digest.alias("d")))), lambda x: x["d"]), ""), 256).alias("d"))
+    each = each.groupBy("split").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"))
+    parts.append(each.select(F.concat(F.lit("split:"), "split").alias("name"), "fingerprint"))
+    settings = samples.sparkSession.range(1).select(F.sha2(F.lit(json.dumps(preprocessing, sort_keys=True)), 256).alias("fingerprint"))
+    parts.append(named("preprocessing", settings))
+    out = functools.reduce(DataFrame.unionByName, parts)
+    return out.unionByName(named("manifest", fingerprint(out)))
+
+
+def inspect_manifest(samples: DataFrame, contributions: DataFrame, entries: DataFrame, offset: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts and bytes by entry state, entry keys without an entry, and a page of samples by position.
+
+    Each row of the page has next_offset, where the next page begins (null on the last one).
+    """
     if not 0 < limit <= 1000 or offset < 0:
         raise ValueError("the limit must lie within 1 and 1000, the offset be 0 or more")
-    states = contributions.select("entry_key").distinct().join(entries, "entry_key", "left").groupBy(F.coalesce("state", F.lit("missing")).alias("state"))
-    page = samples.where((F.col("position") >= offset) & (F.col("position") < offset + limit)).orderBy("position")
-    return states.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")), page
+    wanted = contributions.select("entry_key").distinct()
+    states = wanted.join(entries, "entry_key", "left").groupBy(F.coalesce("state", F.lit("missing")).alias("state"))
+    following = samples.agg(F.when(F.max("position") >= offset + limit, offset + limit).alias("next_offset"))
+    page = samples.where((F.col("position") >= offset) & (F.col("position") < offset + limit)).crossJoin(F.broadcast(following)).orderBy("position")
+    missing = wanted.join(entries, "entry_key", "left_anti")
+    return states.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")), missing, page
+
+
+def inspect_dataset_cache(samples: DataFrame, contributions: DataFrame, entries: DataFrame, payload: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
+    """scope, issue, id of a prepared data set: its metadata; with payload (entry_key of the stored
+    rows), entries without rows; with source (position, sample_id), positions that differ from it."""
+    at = lambda df, scope: df.select(F.lit(scope).alias("scope"), "issue", "id")
+    out = at(validate_manifest(samples, contributions, entries, max_errors=None), "metadata")
+    if payload is not None:
+        hollow = entries.where("state = 'ready'").join(payload.select("entry_key").distinct(), "entry_key", "left_anti")
+        out = out.unionByName(at(hollow.select(F.lit("no payload").alias("issue"), F.col("entry_key").cast("string").alias("id")), "payload"))
+    if source is not None:
+        moved = align_source(samples.select("position", "sample_id"), source)
+        out = out.unionByName(at(moved.select(F.lit("moved").alias("issue"), F.col("position").cast("string").alias("id")), "source"))
+    return out
 
 
-def validate_manifest(samples: DataFrame, contributions: DataFrame, entries: DataFrame, max_errors: int = 100) -> DataFrame:
+def validate_manifest(samples: DataFrame, contributions: DataFrame, entries: DataFrame, max_errors: int | None = 100) -> DataFrame:
     """Errors (issue, id): gaps in positions, samples without contributions and the other way, entries missing or not ready."""
     issue = lambda df, c, text: df.select(F.lit(text).alias("issue"), F.col(c).cast("string").alias("id"))
     n = samples.agg((F.count(F.lit(1)) - 1 - F.max("position")).alias("gap"), F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("m"))
@@ -248,7 +294,8 @@ def validate_manifest(samples: DataFrame, contributions: DataFrame, entries: Dat
     out = out.unionByName(issue(samples.join(contributions, "position", "left_anti"), "sample_id", "no contribution"))
     out = out.unionByName(issue(contributions.join(samples, "position", "left_anti"), "position", "no sample"))
     bad = contributions.join(entries, "entry_key", "left").where("state IS NULL OR state <> 'ready'")
-    return out.unionByName(issue(bad.select("entry_key").distinct(), "entry_key", "entry")).limit(max_errors)
+    out = out.unionByName(issue(bad.select("entry_key").distinct(), "entry_key", "entry"))
+    return out if max_errors is None else out.limit(max_errors)
 
 
 def distribution(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .datasets import fingerprint
+
 VERSION = 1
 
 
@@ -19,7 +23,9 @@ def long_form(attributes: DataFrame, names: list[str], ids: list[str]) -> DataFr
 
 
 def fit_stats(attributes: DataFrame, names: list[str], tree_key: str = "max") -> DataFrame:
-    """stat_key, count, sum, sumsq, amin, amax over all nodes, each emitted row counting."""
+    """stat_key, count, sum, sumsq, amin, amax over all nodes, each emitted row counting; an empty table fails."""
+    if attributes.isEmpty():
+        raise ValueError("no rows to fit statistics on")
     rows = long_form(attributes, names, [])
     agg = [F.count("value").alias("count"), F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("sumsq"), F.min("value").alias("amin"), F.max("value").alias("amax")]
     return rows.groupBy(stat_key(tree_key, F.col("attribute")).alias("stat_key")).agg(*agg)
@@ -89,12 +95,24 @@ def project_threshold(specs: DataFrame, stats: DataFrame) -> DataFrame:
     return s.withColumn("threshold", F.col("amin") + (-F.col("bias") / F.col("weight")) * (F.col("amax") - F.col("amin")))
 
 
-def stats_from_manifest(contributions: DataFrame, entry_stats: DataFrame) -> DataFrame:
-    """Merged statistics of the entries that the contributions name, with multiplicity; entry_stats has entry_key."""
-    rows = contributions.join(entry_stats, "entry_key")
+def stats_from_manifest(contributions: DataFrame, entry_stats: DataFrame, split: str = "train") -> DataFrame:
+    """Merged statistics of the entries that a split's contributions name, with multiplicity.
+
+    contributions has entry_key, and split unless all its rows are of that split; entry_stats has entry_key.
+    """
+    if "split" in contributions.columns:
+        contributions = contributions.where(F.col("split") == split)
+    rows = contributions.select("entry_key").join(entry_stats, "entry_key")
     return merge_stats(rows.select("stat_key", "count", "sum", "sumsq", "amin", "amax"))
 
 
+def stats_identity(contributions: DataFrame, contract: dict[str, str]) -> DataFrame:
+    """One row, the digest of what statistics were fitted on: contract and the samples (position, sample_id, entry_key) in order."""
+    samples = contributions.select("position", "sample_id", "entry_key")
+    terms = F.lit(json.dumps(contract, sort_keys=True))
+    return fingerprint(samples, ["position"]).select(F.sha2(F.concat_ws("|", terms, "fingerprint"), 256).alias("stats_identity"))
+
+
 def save_stats(stats: DataFrame, path: str, mode: str) -> None:
     stats.withColumns({"version": F.lit(VERSION), "mode": F.lit(mode)}).write.mode("overwrite").parquet(path)
 

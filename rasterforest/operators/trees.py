@@ -88,15 +88,38 @@ def tree_intervals(forest: Forest) -> DataFrame:
     return pre.join(size, NODE).select(*NODE, "tpre", (F.col("tpre") + F.col("size")).alias("tpost"))
 
 
-def walk(forest: Forest, order: str = "post") -> DataFrame:
-    """Nodes with their position in the post-order or breadth-first walk of their raster."""
+def walk(forest: Forest, order: str = "post", start: DataFrame | None = None) -> DataFrame:
+    """Nodes with their position in the post-order or breadth-first walk of their raster.
+
+    With start, a table of nodes, the walk of each one's subtree, named by of_node.
+    """
     if order == "post":
-        iv = tree_intervals(forest)
-        deep = forest.nodes.select(*NODE, "depth")
         # A node comes after its whole subtree and before what starts later.
-        return iv.join(deep, NODE).select(*NODE, (F.col("tpost") - 1 - F.col("depth")).alias("position"))
-    w = W.partitionBy(*KEY).orderBy("depth", "node_id")
-    return forest.nodes.select(*NODE, (F.row_number().over(w) - 1).alias("position"))
+        deep = forest.nodes.select(*NODE, "depth")
+        at = tree_intervals(forest).join(deep, NODE).select(*NODE, (F.col("tpost") - 1 - F.col("depth")).alias("at"))
+    elif order == "breadth":
+        at = forest.nodes.select(*NODE, F.struct("depth", "node_id").alias("at"))
+    else:
+        raise ValueError(f"order must be 'post' or 'breadth', not {order!r}")
+    of = KEY
+    if start is not None:
+        inside = descendants_of(forest, start, strict=False).select(*NODE, F.col("ancestor_id").alias("of_node"))
+        at, of = at.join(inside, NODE), [*KEY, "of_node"]
+    return at.withColumn("position", (F.row_number().over(W.partitionBy(*of).orderBy("at")) - 1).cast("long")).select(*of, "node_id", "position")
+
+
+def find_nodes(forest: Forest, attributes: DataFrame, condition: Column | None = None, by: str | None = None, top: int = 1) -> DataFrame:
+    """Attributes of the nodes that meet a condition; with by, each raster's top ones of that attribute, largest first.
+
+    Nulls never meet a condition and never rank; ties go to the smaller node_id. Adds rank with by.
+    """
+    rows = attributes.join(forest.nodes.select(*NODE), NODE, "left_semi")
+    if condition is not None:
+        rows = rows.where(condition)
+    if by is None:
+        return rows
+    rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc(by), "node_id"))
+    return rows.where(F.col(by).isNotNull()).withColumn("rank", rank).where(F.col("rank") <= top)
 
 
 def reconstruct_node(forest: Forest, nodes: DataFrame) -> DataFrame:
@@ -141,14 +164,18 @@ def merge_into_parent(forest: Forest, nodes: DataFrame) -> Forest:
 
 
 def validate_tree(forest: Forest) -> DataFrame:
-    """Violations: rasters without exactly one root, missing parents, levels that don't change, lost owners, areas that don't add up."""
+    """Violations: rasters without exactly one root, missing parents, levels that don't change, lost owners, areas that don't add up, intervals that don't nest, preorders with gaps."""
     n = forest.nodes
     roots = n.groupBy(*KEY).agg(F.count_if(F.col("node_id") == F.col("parent_id")).alias("x")).where("x <> 1").select(*KEY, F.lit("roots").alias("issue"))
     lost = n.join(n.select(*KEY, F.col("node_id").alias("parent_id")), [*KEY, "parent_id"], "left_anti").select(*KEY, F.lit("parent").alias("issue"))
     flat = n.where("node_id <> parent_id AND residue = 0").select(*KEY, F.lit("residue").alias("issue"))
     owner = forest.owners.join(n.select(*NODE), NODE, "left_anti").select(*KEY, F.lit("owner").alias("issue"))
     area = n.groupBy(*KEY).agg(F.sum("proper_area").alias("a")).join(forest.owners.groupBy(*KEY).agg(F.count(F.lit(1)).alias("b")), KEY).where("a <> b").select(*KEY, F.lit("area").alias("issue"))
-    return roots.unionByName(lost).unionByName(flat).unionByName(owner).unionByName(area)
+    iv = tree_intervals(forest)
+    outer = iv.select(*KEY, F.col("node_id").alias("parent_id"), F.col("tpre").alias("p_pre"), F.col("tpost").alias("p_post"))
+    nested = n.where("node_id <> parent_id").join(iv, NODE).join(outer, [*KEY, "parent_id"]).where("tpre <= p_pre OR tpost > p_post").select(*KEY, F.lit("interval").alias("issue"))
+    order = iv.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tpre").alias("m"), F.max("tpre").alias("last")).where("n <> m OR last <> n - 1").select(*KEY, F.lit("preorder").alias("issue"))
+    return roots.unionByName(lost).unionByName(flat).unionByName(owner).unionByName(area).unionByName(nested).unionByName(order)
 
 
 def jacobian(forest: Forest, max_rows: int | None = None) -> DataFrame:
@@ -160,11 +187,19 @@ def jacobian(forest: Forest, max_rows: int | None = None) -> DataFrame:
 
 
 def export_hierarchy(forest: Forest) -> DataFrame:
-    """Pixels, then nodes from the leaves' depth to the root, with dense ids, parents and altitudes."""
+    """Pixels, then nodes from the leaves' depth to the root, with dense ids, parents and altitudes.
+
+    node_id maps a node's id back to the tree's; it is null for pixels.
+    """
     size = forest.owners.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy(*KEY).orderBy(F.desc("depth"), "node_id")
     ids = forest.nodes.join(size, KEY).select(*NODE, "parent_id", "level", (F.col("n") + F.row_number().over(w) - 1).alias("h_id"))
     up = ids.select(*KEY, F.col("node_id").alias("parent_id"), F.col("h_id").alias("parent"))
-    nodes = ids.join(up, [*KEY, "parent_id"]).select(*KEY, "h_id", "parent", F.col("level").cast("double").alias("altitude"))
+    nodes = ids.join(up, [*KEY, "parent_id"]).select(*KEY, "h_id", "parent", F.col("level").cast("double").alias("altitude"), "node_id")
     pixels = forest.owners.join(ids.select(*NODE, F.col("h_id").alias("parent")), NODE).select(*KEY, F.col("pixel_id").alias("h_id"), "parent", F.col("value").cast("double").alias("altitude"))
-    return pixels.unionByName(nodes)
+    return pixels.withColumn("node_id", F.lit(None).cast("long")).unionByName(nodes)
+
+
+def project_attributes(hierarchy: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Node attributes under the ids of an exported hierarchy; pixels, which are no nodes, have nulls."""
+    return hierarchy.select(*KEY, "h_id", "node_id").join(attributes, NODE, "left").drop("node_id")

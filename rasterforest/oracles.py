@@ -94,6 +94,10 @@ near AS (SELECT s.image_id, s.node_id, s."row", s.col, min((s."row" - x."row") *
 far AS (SELECT *, sqrt(d2::DOUBLE) AS d, max(d2) OVER (PARTITION BY image_id, node_id) AS top FROM near) SELECT image_id, node_id, {columns} FROM far GROUP BY image_id, node_id"""
 
 
+TOP = "top AS (SELECT r.image_id, r.node_id, area, (row_number() OVER (PARTITION BY r.image_id ORDER BY area DESC, r.node_id))::INTEGER AS rank FROM res r JOIN att a ON a.image_id = r.image_id AND a.node_id = r.node_id WHERE r.node_id <> parent_id)"
+MANIFEST = """con AS (SELECT o_orderkey AS position, o_custkey AS entry_key FROM orders WHERE o_orderstatus <> 'P'),
+ent AS (SELECT c_custkey AS entry_key, CASE WHEN c_acctbal >= 0 THEN 'ready' ELSE 'failed' END AS state, length(c_name) AS size_bytes FROM customer WHERE c_nationkey > 4)"""
+
 ORACLES: dict[str, str] = {
     **{f"rasterize_{n}": f'WITH {RASTERS[k]} SELECT image_id, "row", col, pixel_id, value FROM px' for n, k in (("events", "E"), ("lineitem", "L"), ("embeddings", "V"))},
     "flat_zones": f"""WITH RECURSIVE {RASTERS['L']},
@@ -167,4 +171,27 @@ SELECT lang, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, coalesce(round
 s AS (SELECT g, CASE WHEN k <= total // 5 THEN 'test' WHEN k <= total - total // 5 THEN 'train' ELSE 'val' END AS split FROM n) SELECT split, count(DISTINCT g) AS n_groups, count(*) AS n_samples FROM customer JOIN s ON c_nationkey::VARCHAR = g GROUP BY split""",
     "crossing_groups": "SELECT 'group crosses' AS issue, o_custkey::VARCHAR AS id FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1",
     "price_distribution": "WITH m AS (SELECT o_orderpriority, count(o_totalprice) AS n, median(o_totalprice) AS median, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1) SELECT m.o_orderpriority, n, round(m.median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, round(median(abs(o_totalprice - m.median)), 6) AS mad FROM orders o JOIN m ON o.o_orderpriority = m.o_orderpriority GROUP BY ALL",
+    "found_nodes": f"{tree()}, {TOP} SELECT image_id, node_id, area, rank FROM top WHERE rank <= 3",
+    "subtree_walk": f"{tree()}, {TOP} SELECT t.image_id, t.node_id AS of_node, u.node_id, row_number() OVER (PARTITION BY t.image_id ORDER BY depth, u.node_id) - 1 AS position FROM top t JOIN up u ON u.image_id = t.image_id AND u.ancestor_id = t.node_id JOIN res r ON r.image_id = u.image_id AND r.node_id = u.node_id WHERE rank = 1",
+    "node_masks": f"{tree()}, {TOP} SELECT t.image_id, t.node_id AS of_node, p.pixel_id, CASE WHEN s.pixel_id IS NULL THEN 0 ELSE 255 END::BIGINT AS value FROM top t JOIN px p ON p.image_id = t.image_id LEFT JOIN sup s ON s.image_id = p.image_id AND s.pixel_id = p.pixel_id AND s.node_id = t.node_id WHERE rank = 1",
+    "tree_paths": f"""{tree()}, e AS (SELECT image_id, min(node_id) AS a, max(node_id) AS b FROM res GROUP BY ALL),
+ua AS (SELECT e.image_id, ancestor_id AS n FROM e JOIN up u ON u.image_id = e.image_id AND u.node_id = a), ub AS (SELECT e.image_id, ancestor_id AS n FROM e JOIN up u ON u.image_id = e.image_id AND u.node_id = b),
+top AS (SELECT ua.image_id, max(depth) AS d FROM ua JOIN ub ON ub.image_id = ua.image_id AND ub.n = ua.n JOIN res r ON r.image_id = ua.image_id AND r.node_id = ua.n GROUP BY ALL),
+way AS (SELECT r.image_id, r.node_id, 0 AS half, -depth AS o FROM ua JOIN res r ON r.image_id = ua.image_id AND r.node_id = ua.n JOIN top t ON t.image_id = r.image_id WHERE depth >= d
+  UNION ALL SELECT r.image_id, r.node_id, 1, depth FROM ub JOIN res r ON r.image_id = ub.image_id AND r.node_id = ub.n JOIN top t ON t.image_id = r.image_id WHERE depth > d)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY half, o) - 1 AS position, node_id FROM way""",
+    "hierarchy": f"""{tree()}, size AS (SELECT image_id, count(*) AS n FROM px GROUP BY ALL), h AS (SELECT r.*, n + row_number() OVER (PARTITION BY r.image_id ORDER BY depth DESC, node_id) - 1 AS h_id FROM res r JOIN size s ON s.image_id = r.image_id)
+SELECT h.image_id, h.h_id, p.h_id AS parent, h.level::DOUBLE AS altitude, area FROM h JOIN h p ON p.image_id = h.image_id AND p.node_id = h.parent_id JOIN att a ON a.image_id = h.image_id AND a.node_id = h.node_id
+UNION ALL SELECT o.image_id, o.pixel_id, h.h_id, px.value::DOUBLE, NULL FROM own o JOIN h ON h.image_id = o.image_id AND h.node_id = o.node_id JOIN px ON px.image_id = o.image_id AND px.pixel_id = o.pixel_id""",
+    "merged_nodes": nearest("SELECT image_id, node_id FROM res WHERE node_id % 2 = 0"),
+    "pruned_nodes": nearest("SELECT u.image_id, u.node_id FROM up u JOIN res r ON r.image_id = u.image_id AND r.node_id = u.ancestor_id GROUP BY ALL HAVING bool_and(r.node_id % 5 <> 1 OR r.node_id = r.parent_id)"),
+    "prepared_stats": " UNION ALL ".join(f"SELECT * FROM ({tree(sign=sign)} SELECT '{key}::' || a AS stat_key, count(*) AS count, sum(x) AS sum, sum(x * x) AS sumsq, min(x) AS amin, max(x) AS amax FROM (SELECT image_id, unnest(['AREA', 'GRAY_LEVEL']) AS a, unnest([area, gray]) AS x FROM att) WHERE image_id <> (SELECT max(image_id) FROM px) GROUP BY a)" for key, sign in (("max", 1), ("min", -1))),
+    "manifest_states": f"WITH {MANIFEST} SELECT coalesce(state, 'missing') AS state, count(*) AS n, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM (SELECT DISTINCT entry_key FROM con) LEFT JOIN ent USING (entry_key) GROUP BY 1",
+    "manifest_missing": f"WITH {MANIFEST} SELECT DISTINCT entry_key FROM con ANTI JOIN ent USING (entry_key)",
+    "missing_entries": f"WITH {MANIFEST} SELECT DISTINCT entry_key FROM con ANTI JOIN (SELECT * FROM ent WHERE state = 'ready') USING (entry_key)",
+    "entry_size_estimate": f"WITH {MANIFEST}, t AS (SELECT ceil(max(size_bytes) * 12)::BIGINT AS estimate, sum(size_bytes)::BIGINT AS used FROM ent) SELECT estimate, 1000000000 - used - estimate AS quota_left FROM t",
+    "cache_issues": f"""WITH {MANIFEST}, i AS (SELECT 'metadata' AS scope, 'no contribution' AS issue FROM orders WHERE o_orderkey NOT IN (SELECT position FROM con)
+  UNION ALL SELECT 'metadata', 'entry' FROM (SELECT DISTINCT entry_key FROM con ANTI JOIN (SELECT * FROM ent WHERE state = 'ready') USING (entry_key))
+  UNION ALL SELECT 'payload', 'no payload' FROM ent WHERE state = 'ready' AND entry_key % 3 = 0
+  UNION ALL SELECT 'source', 'moved' FROM orders WHERE o_orderkey % 5 = 0) SELECT scope, issue, count(*) AS n FROM i GROUP BY ALL""",
 }

@@ -93,22 +93,18 @@ def level_components(pixels: DataFrame, radius: float, tile: int) -> tuple[DataF
     return verts, verts.join(found, [*sub, "vid"], "left").withColumn("label", F.coalesce("label", "vid"))
 
 
-def ancestors(nodes: DataFrame, rounds: int = 9) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """key, node_id, ancestor_id, steps: pairs of all distances, doubling the longest per round."""
     own = nodes.select(*KEY, "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("steps"))
     reach = nodes.where("parent_id <> node_id").select(*KEY, "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("steps"))
     far = reach
-    for _ in range(rounds):
-        if far.isEmpty():
-            return settle(own.unionByName(reach), "closure")
+    while not far.isEmpty():
         # Pairs at exactly the longest distance so far, continued by every known pair.
         more = reach.select(*KEY, F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("beyond"), F.col("steps").alias("more"))
         far = settle(far.join(more, [*KEY, "ancestor_id"]).select(*KEY, "node_id", F.col("beyond").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps")), "reach")
         reach = reach.unionByName(far)
         longest = far.groupBy(*KEY).agg(F.max("steps").alias("longest"))
         far = far.join(longest, KEY).where(F.col("steps") == F.col("longest")).drop("longest")
-    if not far.isEmpty():
-        raise RuntimeError("the tree is deeper than the rounds allow")
     return settle(own.unionByName(reach), "closure")
 
 

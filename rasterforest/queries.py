@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import attributes, datasets, filters, metrics, patches, scoring, stats, trees
+from .operators import attributes, datasets, filters, metrics, patches, preparation, scoring, stats, trees
 from .plans.components import components
 from .plans.trees import Forest, build, neighbours
 from .sources import quantize, rasterize
@@ -292,6 +292,100 @@ def pixels_out(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _largest(spark: SparkSession, sf_dir: str, top: int = 1) -> tuple[Forest, DataFrame]:
+    """Each raster's largest nodes below the root."""
+    f, marks = _marks(spark, sf_dir)
+    inner = f.nodes.where("node_id <> parent_id").select(*NODE)
+    return f, trees.find_nodes(f, marks.join(inner, NODE, "left_semi"), by="AREA", top=top)
+
+
+def found_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _largest(spark, sf_dir, 3)[1].select("image_id", "node_id", F.col("AREA").alias("area"), "rank")
+
+
+def subtree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breadth-first walk of the subtree below each raster's largest node but the root."""
+    f, top = _largest(spark, sf_dir)
+    return trees.walk(f, "breadth", top).select("image_id", "of_node", "node_id", "position")
+
+
+def node_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, top = _largest(spark, sf_dir)
+    return trees.reconstruct_node(f, top).select("image_id", "of_node", "pixel_id", F.col("value").cast("long").alias("value"))
+
+
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path between the first and the last node of each raster."""
+    f = forest(spark, sf_dir)
+    ends = f.nodes.groupBy(*KEY).agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"))
+    return trees.path_between(f, ends).select("image_id", F.col("position").cast("long").alias("position"), "node_id")
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported hierarchy with the nodes' areas under its ids."""
+    f, marks = _marks(spark, sf_dir)
+    h = trees.export_hierarchy(f)
+    area = trees.project_attributes(h, marks.select(*NODE, F.col("AREA").alias("area")))
+    return h.join(area, [*KEY, "h_id"]).select("image_id", F.col("h_id").cast("long").alias("h_id"), F.col("parent").cast("long").alias("parent"), "altitude", "area")
+
+
+def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = forest(spark, sf_dir)
+    out = trees.reconstruct_levels(trees.merge_into_parent(f, f.nodes.where("node_id % 2 = 1")))
+    return out.select("image_id", "pixel_id", F.col("value").cast("long").alias("value"))
+
+
+def pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = forest(spark, sf_dir)
+    out = trees.reconstruct_levels(trees.prune_nodes(f, f.nodes.where("node_id % 5 = 1")))
+    return out.select("image_id", "pixel_id", F.col("value").cast("long").alias("value"))
+
+
+def prepared_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of both trees over all rasters but the last, which is left for evaluation."""
+    px = raster(spark, sf_dir)
+    last = px.agg(F.max("image_id").alias("last"))
+    train = px.select("image_id").distinct().join(last, F.col("image_id") != F.col("last")).select("image_id")
+    done = preparation.prepare(px, ["max", "min"], ["AREA", "GRAY_LEVEL"], train)
+    return r6(done.stats, "sum", "sumsq", "amin", "amax")
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as samples, their customers as entries: ready where the balance isn't negative; some nations have none."""
+    orders = table(spark, sf_dir, "orders")
+    samples = orders.select((F.col("o_orderkey")).alias("position"), F.concat(F.lit("order-"), "o_orderkey").alias("sample_id"))
+    contributions = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("entry_key"))
+    entries = table(spark, sf_dir, "customer").where("c_nationkey > 4")
+    state = F.when(F.col("c_acctbal") >= 0, "ready").otherwise("failed")
+    return samples, contributions, entries.select(F.col("c_custkey").alias("entry_key"), state.alias("state"), F.length("c_name").cast("long").alias("size_bytes"))
+
+
+def manifest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.inspect_manifest(*_manifest(spark, sf_dir))[0].select("state", "n", "bytes")
+
+
+def manifest_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.inspect_manifest(*_manifest(spark, sf_dir))[1]
+
+
+def cache_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of issues by scope and kind; every fifth sample of the source has another name."""
+    samples, contributions, entries = _manifest(spark, sf_dir)
+    name = F.when(F.col("position") % 5 == 0, F.concat("sample_id", F.lit("-b"))).otherwise(F.col("sample_id"))
+    payload = entries.where("size_bytes > 0 AND entry_key % 3 > 0")
+    found = datasets.inspect_dataset_cache(samples, contributions, entries, payload, samples.select("position", name.alias("sample_id")))
+    return found.where("issue <> 'positions'").groupBy("scope", "issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+def missing_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, contributions, entries = _manifest(spark, sf_dir)
+    return datasets.prepare_missing(contributions, entries)
+
+
+def entry_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.size_estimate(_manifest(spark, sf_dir)[2], 10, 1_000_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rasterize_events": pixels_out("E"),
     "rasterize_lineitem": pixels_out("L"),
@@ -343,4 +437,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crossing_groups": crossing_groups,
     "price_distribution": price_distribution,
     "pixel_digests": digests,
+    "found_nodes": found_nodes,
+    "subtree_walk": subtree_walk,
+    "node_masks": node_masks,
+    "tree_paths": tree_paths,
+    "hierarchy": hierarchy,
+    "merged_nodes": merged_nodes,
+    "pruned_nodes": pruned_nodes,
+    "prepared_stats": prepared_stats,
+    "manifest_states": manifest_states,
+    "manifest_missing": manifest_missing,
+    "cache_issues": cache_issues,
+    "missing_entries": missing_entries,
+    "entry_size_estimate": entry_size_estimate,
 }

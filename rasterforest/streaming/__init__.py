@@ -12,10 +12,13 @@ from ..operators.stats import fit_stats, merge_stats
 def stream_stats(stream: DataFrame, names: list[str], table: str, checkpoint: str, tree_key: str = "max") -> StreamingQuery:
     """Fold a stream of attribute rows into statistics below `table`, one folder per micro-batch.
 
-    A replayed batch overwrites its own folder, so each counts once; read_stats merges them.
+    A replayed batch overwrites its own folder, so each counts once; read_stats merges them;
+    an empty batch leaves none.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         fit_stats(batch, names, tree_key).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

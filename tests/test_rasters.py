@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterforest.operators import attributes, datasets, filters, metrics, patches, scoring, stats, trees
+from rasterforest.operators import attributes, datasets, filters, metrics, patches, preparation, scoring, stats, trees
 from rasterforest.plans.components import components
+from rasterforest.plans.trees import ancestors
 from rasterforest.sources import binarize, check_same_shape, invert, rasterize, resize_area, resize_nearest, to_u8, validate_intensity
 from rasterforest.streaming import read_stats, stream_stats
 
@@ -193,8 +194,6 @@ def scored(spark, parent, score, feature=None):
 
 
 def test_penalties(spark):
-    from rasterforest.plans.trees import ancestors
-
     assert scoring.edge_penalty(scored(spark, [0, 0, 0], [0.5, 0.7, 0.4]), 2.0).first()["penalty"] == pytest.approx(0.04)
     for parent, score, depth, weight, want in (([0, 0, 1, 1], [0.5, 0.4, 0.8, 0.3], 2, 2.0, 0.1), ([0, 0, 1], [0.0, 0.8, 0.9], None, 1.0, (0.64 + 0.01 + 0.81) / 3)):
         nodes = scored(spark, parent, score)
@@ -311,3 +310,72 @@ def test_datasets(spark):
     assert a == datasets.fingerprint(splits.orderBy("sample_id")).first()[0] != datasets.fingerprint(splits.limit(2)).first()[0]
     d = datasets.distribution(spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "x double"), "x").first()
     assert (d["n"], d["median"], d["mad"]) == (3, 2.0, 1.0)
+
+
+def test_found_nodes_and_walks_of_subtrees(forest):
+    line = "image_id = 'line'"
+    marks = attributes.compute(forest, ["AREA", "GRAY_LEVEL"])
+    assert [r["AREA"] for r in trees.find_nodes(forest, marks, by="AREA", top=2).where(line).orderBy("rank").collect()] == [4.0, 3.0]
+    assert trees.find_nodes(forest, marks, F.col("GRAY_LEVEL") >= 3).where(line).count() == 2
+    start = forest.nodes.where(line).where("level = 2").select(*trees.NODE)
+    levels = forest.nodes.select(*trees.NODE, "level")
+    for order, want in (("post", [4, 3, 2]), ("breadth", [2, 3, 4])):
+        got = trees.walk(forest, order, start).join(levels, trees.NODE).orderBy("position").collect()
+        assert [r["level"] for r in got] == want and [r["position"] for r in got] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        trees.walk(forest, "in")
+
+
+def test_attributes_under_hierarchy_ids(forest):
+    h = trees.export_hierarchy(forest)
+    area = trees.project_attributes(h, attributes.compute(forest, ["AREA"])).where("image_id = 'line'").orderBy("h_id").collect()
+    assert [r["AREA"] for r in area] == [None] * 4 + [1.0, 2.0, 3.0, 4.0]
+    assert trees.validate_tree(forest).count() == 0
+
+
+def test_closure_of_a_deep_chain(spark):
+    chain = spark.createDataFrame([("a", 0, i, max(0, i - 1)) for i in range(700)], "image_id string, channel int, node_id long, parent_id long")
+    got = ancestors(chain)
+    assert got.count() == 700 * 701 // 2 and got.agg(F.max("steps")).first()[0] == 699
+
+
+def test_preparation_uses_training_rasters_only(spark, pixels):
+    few = pixels.where("image_id IN ('line', 'const')")
+    done = preparation.prepare(few, ["max", "min"], ["AREA"], spark.createDataFrame([("line",), ("line",)], "image_id string"))
+    got = {r["stat_key"]: (r["count"], r["sum"]) for r in done.stats.collect()}
+    assert got == {"max::AREA": (4, 10.0), "min::AREA": (4, 10.0)}
+    assert done.attributes["max"].count() == 5
+    with pytest.raises(ValueError):
+        stats.fit_stats(done.attributes["max"].limit(0), ["AREA"])
+
+
+def test_fingerprints_name_what_changed(spark):
+    samples = spark.createDataFrame([("a", "input", "x"), ("a", "target", "y"), ("b", "input", "z")], "sample_id string, role string, sha256 string")
+    splits = lambda ids: spark.createDataFrame([("train", i, s) for i, s in enumerate(ids)], "split string, position int, sample_id string")
+    read = lambda *args: {r["name"]: r["fingerprint"] for r in datasets.fingerprints(*args).collect()}
+    first = read(samples, splits("ab"), {"k": "1", "l": "2"})
+    assert {*first} == {"input", "target", "splits", "split:train", "preprocessing", "manifest"}
+    assert first == read(samples.orderBy(F.desc("sha256")), splits("ab"), {"l": "2", "k": "1"})
+    turned = read(samples, splits("ba"), {"k": "1", "l": "2"})
+    assert {n for n in first if first[n] != turned[n]} == {"splits", "split:train", "manifest"}
+    other = read(samples.where("role = 'input'"), splits("ab"), {"k": "1"})
+    assert {n for n in first if first[n] != other[n]} == {"target", "preprocessing", "manifest"}
+    rows = lambda ids: spark.createDataFrame([(i, s, s, "x") for i, s in enumerate(ids)], "position int, sample_id string, entry_key string, sha256 string")
+    identity = lambda ids, **c: stats.stats_identity(rows(ids), c).first()[0]
+    assert identity("ab", mode="z") == identity("ab", mode="z")
+    assert len({identity("ab", mode="z"), identity("ba", mode="z"), identity("ab", mode="m")}) == 3
+    assert datasets.target_fingerprint(rows("ab")).first() != datasets.target_fingerprint(rows("ba")).first()
+
+
+def test_manifest_pages_and_cache_issues(spark):
+    samples = spark.createDataFrame([(i, f"s{i}") for i in range(5)], "position int, sample_id string")
+    contributions = spark.createDataFrame([(i, f"e{i % 3}") for i in range(5)], "position int, entry_key string")
+    entries = spark.createDataFrame([("e0", "ready", 5), ("e1", "failed", 7)], "entry_key string, state string, size_bytes long")
+    states, missing, page = datasets.inspect_manifest(samples, contributions, entries, 1, 2)
+    assert {(r["state"], r["n"], r["bytes"]) for r in states.collect()} == {("ready", 1, 5), ("failed", 1, 7), ("missing", 1, 0)}
+    assert [r[0] for r in missing.collect()] == ["e2"]
+    assert [(r["position"], r["next_offset"]) for r in page.collect()] == [(1, 3), (2, 3)]
+    assert [r["next_offset"] for r in datasets.inspect_manifest(samples, contributions, entries, 3, 2)[2].collect()] == [None, None]
+    source = samples.withColumn("sample_id", F.when(F.col("position") == 4, "other").otherwise(F.col("sample_id")))
+    got = datasets.inspect_dataset_cache(samples, contributions, entries, contributions.where("entry_key <> 'e0'"), source)
+    assert {tuple(r) for r in got.collect()} == {("metadata", "entry", "e1"), ("metadata", "entry", "e2"), ("payload", "no payload", "e0"), ("source", "moved", "4")}
