@@ -65,13 +65,13 @@ def placed_rows(rows: DataFrame, fitted: dict[int, Blocks]) -> DataFrame:
 
     @F.pandas_udf("block int, gap double")
     def place(vector: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"block": np.zeros(len(vector), dtype=np.int32), "gap": np.zeros(len(vector))})
+        blocks, gaps = np.zeros(len(vector), dtype=np.int32), np.zeros(len(vector))
         dims = vector.str.len().to_numpy()
         for dim in np.unique(dims):
             if dim in fitted:
                 at = np.flatnonzero(dims == dim)
-                out.iloc[at, 0], out.iloc[at, 1] = fitted[dim].place(np.stack(vector.iloc[at]))
-        return out
+                blocks[at], gaps[at] = fitted[dim].place(np.stack(vector.iloc[at]))
+        return pd.DataFrame({"block": blocks, "gap": gaps})
 
     return rows.withColumn("_at", place("vector")).select("vec_id", "vector", "dim", "_at.block", "_at.gap", F.monotonically_increasing_id().alias("salt"))
 
