@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL."""
+"""The registered queries of the operators and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, cover_tree, html_extract, jaccard, licenses, mixing, packing, projection_search, suffixes, toxicity
+from . import backoff, cover_tree, hard_negatives, html_extract, jaccard, lexical, licenses, mixing, packing, projection_search, secrets, suffixes, toxicity
 from .common import table
 
 
@@ -74,6 +74,21 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages.select("page_id", "url", "html"), chain, keep_html=False).select("page_id", "url", "text", "n_chars")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < float("inf"), F.floor(x * 256).cast("double")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), scaled.alias("vector"))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), repository=F.col("doc_id"), owner=F.col("source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": op1_backoff,
     "op2_packing": op2_packing,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_projections": op9_projections,
     "op10_html_extract": op10_html_extract,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical": op12_lexical,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLES: dict[str, str] = {
@@ -99,4 +117,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op5_mixing": mixing.ORACLE,
     "op8_licenses": licenses.oracle(),
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_lexical": lexical.ORACLE,
+    "op13_secrets": secrets.oracle(),
 }
