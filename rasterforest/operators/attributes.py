@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shapes import filled_components
 from ..plans.trees import Forest
 from ..tables import KEY
 from .trees import NODE, jacobian, relatives, roll_up
@@ -136,17 +137,17 @@ def _base(forest: Forest) -> DataFrame:
     own = forest.owners.join(mid, KEY).withColumn("xc", x - C("c0")).withColumn("yc", y - C("r0"))
     sums = {"n": F.count(F.lit(1)), "sum_v": F.sum("value"), "sum_vv": F.sum(v * v), "min_v": F.min("value"), "max_v": F.max("value"), "min_row": F.min("row"), "max_row": F.max("row"), "min_col": F.min("col"), "max_col": F.max("col"), **_moments(C("xc"), C("yc"))}
     own = own.groupBy(*NODE).agg(*[a.alias(n) for n, a in sums.items()])
-    up = {n: (F.min if n.startswith("min") else F.max if n.startswith("max") else F.sum)(n) for n in sums}
+    up = {n: "min" if n.startswith("min") else "max" if n.startswith("max") else "sum" for n in sums}
     base = roll_up(forest, own, **up)
     area = base.select(*NODE, C("n").alias("a"))
-    volume = roll_up(forest, forest.nodes.select(*NODE, "residue").join(area, NODE), sum_ar=F.sum(C("a") * (1 + F.abs("residue"))))
+    volume = roll_up(forest, forest.nodes.select(*NODE, "residue").join(area, NODE).select(*NODE, (C("a") * (1 + F.abs("residue"))).alias("sum_ar")), sum_ar="sum")
     # Rolled together: each node's area times one more than its residue, less its own residue part.
     return base.join(forest.nodes.select(*NODE, "level", "residue"), NODE).join(volume, NODE)
 
 
 def _topology(forest: Forest) -> DataFrame:
     r = relatives(forest).join(forest.nodes.select(*NODE, "depth"), NODE)
-    below = roll_up(forest, r.select(*NODE, "depth", "is_leaf"), deepest=F.max("depth"), n_below=F.count(F.lit(1)) - 1, n_leaves=F.sum(C("is_leaf").cast("int")))
+    below = roll_up(forest, r.select(*NODE, C("depth").alias("deepest"), F.lit(1).alias("n_all"), C("is_leaf").cast("int").alias("n_leaves")), deepest="max", n_all="sum", n_leaves="sum").withColumn("n_below", C("n_all") - 1)
     t = r.join(below, NODE).withColumn("SUBTREE_HEIGHT", (C("deepest") - C("depth")).cast("double"))
     kids = t.where("NOT is_root").groupBy(*KEY, C("parent_id").alias("node_id")).agg((F.max("SUBTREE_HEIGHT") - F.min("SUBTREE_HEIGHT")).alias("balance"), F.avg("SUBTREE_HEIGHT").alias("avg_height"))
     d = lambda c: C(c).cast("double")
@@ -171,8 +172,9 @@ def _sides(forest: Forest) -> DataFrame:
     pixels = on.select(*NODE, F.lit("PIXELS").alias("side"), F.lit(1).alias("d")).unionByName(on.where("NOT edge").select(*KEY, C("low.node2").alias("node_id"), F.lit("PIXELS").alias("side"), F.lit(-1).alias("d")))
     wide = deltas.unionByName(pixels).groupBy(*NODE).pivot("side", [*steps, "PIXELS"]).sum("d").na.fill(0)
     base = forest.nodes.select(*NODE).join(wide, NODE, "left").na.fill(0)
-    up = roll_up(forest, base, **{n: F.sum(n).cast("double") for n in [*steps, "PIXELS"]})
-    return up.select(*NODE, C("PIXELS").alias("CONTOUR_PIXELS"), (C("NORTH") + C("WEST") + C("EAST") + C("SOUTH")).alias("CONTOUR_PERIMETER"), *[C(n).alias(f"CONTOUR_SIDE_{n}") for n in steps])
+    up = roll_up(forest, base, **dict.fromkeys([*steps, "PIXELS"], "sum"))
+    d = lambda c: c.cast("double")
+    return up.select(*NODE, d(C("PIXELS")).alias("CONTOUR_PIXELS"), d(C("NORTH") + C("WEST") + C("EAST") + C("SOUTH")).alias("CONTOUR_PERIMETER"), *[d(C(n)).alias(f"CONTOUR_SIDE_{n}") for n in steps])
 
 
 def _quads(forest: Forest) -> DataFrame:
@@ -196,8 +198,8 @@ def _quads(forest: Forest) -> DataFrame:
     leave = s.where(C("at") > 0).select(*KEY, C("s.node_id").alias("node_id"), F.get("all", C("at") - 1)["kind"].alias("kind"), F.lit(-1).alias("d"))
     kinds = ["Q1", "Q2", "Q3", "Q4", "QD"]
     wide = enter.unionByName(leave).groupBy(*NODE).pivot("kind", kinds).sum("d").na.fill(0)
-    up = roll_up(forest, forest.nodes.select(*NODE).join(wide, NODE, "left").na.fill(0), **{k: F.sum(k).cast("double") for k in kinds})
-    q1, q2, q3, q4, qd = map(C, kinds)
+    up = roll_up(forest, forest.nodes.select(*NODE).join(wide, NODE, "left").na.fill(0), **dict.fromkeys(kinds, "sum"))
+    q1, q2, q3, q4, qd = (C(k).cast("double") for k in kinds)
     euler = (q1 - q3 + (-2 if forest.radius >= 1.5 else 2) * qd) / 4
     area, smooth = q1 / 4 + q2 / 2 + 7 * q3 / 8 + q4 + 3 * qd / 4, q2 + (q1 + q3 + 2 * qd) / math.sqrt(2)
     hard = q1 + q2 + q3 + 2 * qd
@@ -261,28 +263,14 @@ def _distances(forest: Forest, max_rows: int) -> DataFrame:
     return t.select(*NODE, *[C(n).cast("double").alias(n) for n in _DIST], *[C(n).cast("double").alias(f"{n}_EXACT") for n in _DIST])
 
 
-def filled_supports(forest: Forest, max_rows: int) -> DataFrame:
-    """key, node_id, row, col of each support with its holes; a hole's connectivity is the tree's dual."""
-    from ..plans.components import components
-
-    sup = jacobian(forest, max_rows).select(*NODE, "row", "col")
-    box = sup.groupBy(*NODE).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    pad = box.withColumn("row", F.explode(F.sequence(C("r0") - 1, C("r1") + 1))).withColumn("col", F.explode(F.sequence(C("c0") - 1, C("c1") + 1)))
-    wide = (C("c1") - C("c0") + 3).cast("long")
-    void = pad.join(sup, [*NODE, "row", "col"], "left_anti").withColumn("vid", (C("row") - C("r0") + 1) * wide + C("col") - C("c0") + 1)
-    steps = ((0, 1), (1, 0)) if forest.radius >= 1.5 else ((0, 1), (1, 0), (1, 1), (1, -1))
-    near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps]))
-    left = void.select(*NODE, C("vid").alias("u"), "row", "col", near.alias("s")).select(*NODE, "u", (C("row") + C("s.r")).alias("row"), (C("col") + C("s.c")).alias("col"))
-    found = components(left.join(void.select(*NODE, "row", "col", C("vid").alias("v")), [*NODE, "row", "col"]).select(*NODE, "u", "v"), NODE)
-    # The pad's own component has the least number, 0.
-    holes = void.join(found, [*NODE, "vid"], "left").where(F.coalesce("label", "vid") > 0).select(*NODE, "row", "col")
-    return sup.unionByName(holes)
-
-
-def _filled(forest: Forest, max_rows: int) -> DataFrame:
+def _filled(forest: Forest) -> DataFrame:
     x, y = C("col").cast("double"), C("row").cast("double")
-    full = filled_supports(forest, max_rows).groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), *[a.alias(n) for n, a in _moments(x, y).items()])
-    own = roll_up(forest, forest.owners.select(*NODE, "row", "col"), area=F.count(F.lit(1)), x0=F.avg("col"), y0=F.avg("row"))
+    sums = {"n": F.count(F.lit(1)), **_moments(x, y)}
+    here = forest.owners.groupBy(*NODE).agg(*[c.alias(n) for n, c in sums.items()])
+    own = roll_up(forest, here, **dict.fromkeys(sums, "sum"))
+    # A shape is filled already, as seen from its seed.
+    full = own if forest.kind == "shapes" else filled_components(forest, sums)
+    own = own.select(*NODE, C("n").alias("area"), (C("s10") / C("n")).alias("x0"), (C("s01") / C("n")).alias("y0"))
     t = _mus(full).join(own, NODE)
     cx, cy = C("s10") / C("n"), C("s01") / C("n")
     shape = {f"FILLED_{n}": c for n, c in _inertia_shape(_area()).items() if n != "RAW_INERTIA"}
@@ -314,5 +302,5 @@ def compute(forest: Forest, attributes: str | list[str], dtype: str = "double",
     if has("DIST_TRANSF", "DIST_TRANSF_EXACT"):
         out = out.join(_distances(forest, max_support_rows), NODE)
     if has("FILLED_SHAPE"):
-        out = out.join(_filled(forest, max_support_rows), NODE)
+        out = out.join(_filled(forest), NODE)
     return out.select(*NODE, *[C(n).cast(dtype).alias(n) for n in names])

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.trees import Forest
+from ..plans.trees import Forest, nearest
 from ..tables import KEY
-from .trees import NODE, leaves, max_tree, min_tree, roll_down, roll_up
+from .trees import NODE, leaves, max_tree, min_tree, roll_down, roll_up, tree_of_shapes
 
 
 def _checked(forest: Forest, marks: DataFrame, column: str) -> DataFrame:
@@ -28,8 +28,7 @@ def _nearest(forest: Forest, keep: DataFrame) -> DataFrame:
     """Pixels at the level of the nearest kept ancestor; the root is always kept."""
     roots = forest.nodes.where("node_id = parent_id").select(*NODE)
     kept = keep.where("keep").select(*NODE).unionByName(roots).distinct()
-    up = forest.closure.join(kept.select(*KEY, F.col("node_id").alias("ancestor_id")), [*KEY, "ancestor_id"])
-    near = up.groupBy(*NODE).agg(F.min_by("ancestor_id", "steps").alias("a"))
+    near = nearest(forest.strides, kept).withColumnRenamed("holder", "a")
     level = forest.nodes.select(*KEY, F.col("node_id").alias("a"), "level")
     return _pixels(forest, near.join(level, [*KEY, "a"]).select(*NODE, "level"), "level")
 
@@ -37,13 +36,13 @@ def _nearest(forest: Forest, keep: DataFrame) -> DataFrame:
 def pruning_min(forest: Forest, marks: DataFrame, keep: Column) -> DataFrame:
     """Keep a node if it and all its ancestors pass."""
     marks = _checked(forest, marks.select(*NODE, keep.alias("keep")), "keep")
-    return _nearest(forest, roll_down(forest, marks, keep=F.bool_and("keep")))
+    return _nearest(forest, roll_down(forest, marks, keep="bool_and"))
 
 
 def pruning_max(forest: Forest, marks: DataFrame, keep: Column) -> DataFrame:
     """Keep a node if it or any descendant passes."""
     marks = _checked(forest, marks.select(*NODE, keep.alias("keep")), "keep")
-    return _nearest(forest, roll_up(forest, marks, keep=F.bool_or("keep")))
+    return _nearest(forest, roll_up(forest, marks, keep="bool_or"))
 
 
 def direct(forest: Forest, marks: DataFrame, keep: Column) -> DataFrame:
@@ -54,7 +53,7 @@ def subtractive(forest: Forest, marks: DataFrame, keep: Column) -> DataFrame:
     """Sum of the kept residues on the root path, as signed longs that aren't clipped."""
     marks = _checked(forest, marks.select(*NODE, keep.alias("keep")), "keep")
     gain = forest.nodes.join(marks, NODE).select(*NODE, F.when(F.col("keep"), F.col("residue")).otherwise(0.0).alias("gain"))
-    return _pixels(forest, roll_down(forest, gain, value=F.sum("gain").cast("long")), "value")
+    return _pixels(forest, roll_down(forest, gain, gain="sum").withColumn("gain", F.col("gain").cast("long")), "gain")
 
 
 def soft_subtractive(forest: Forest, scores: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def soft_subtractive(forest: Forest, scores: DataFrame) -> DataFrame:
 def reconstruct(forest: Forest, scores: DataFrame) -> DataFrame:
     """The transposed Jacobian on residue times score: pixels of a node signal."""
     gain = forest.nodes.join(scores, NODE).select(*NODE, (F.col("residue") * F.col("score")).alias("gain"))
-    return _pixels(forest, roll_down(forest, gain, value=F.sum("gain")), "value")
+    return _pixels(forest, roll_down(forest, gain, gain="sum"), "gain")
 
 
 def extinction_values(forest: Forest, attribute: DataFrame) -> DataFrame:
@@ -77,6 +76,8 @@ def extinction_values(forest: Forest, attribute: DataFrame) -> DataFrame:
     attribute: key, node_id, value. At each node the child subtree of the larger attribute
     wins, on ties the smaller node_id; the raster's last winner gets infinity.
     """
+    if forest.kind == "shapes":
+        raise ValueError("extinction values need a max-tree or a min-tree")
     v = F.col("value").cast("double")
     if attribute.where(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).take(1):
         raise ValueError("the attribute must be finite")
@@ -85,11 +86,8 @@ def extinction_values(forest: Forest, attribute: DataFrame) -> DataFrame:
     w = W.partitionBy(*KEY, "parent_id").orderBy(F.desc("value"), "node_id")
     win = kids.select(*NODE, (F.row_number().over(w) == 1).alias("wins"))
     # A leaf's path goes up to the first node that loses against a sibling.
-    low = leaves(forest).select(*NODE)
-    up = forest.closure.join(low, NODE).select(*KEY, F.col("node_id").alias("leaf"), F.col("ancestor_id").alias("node_id"), "steps")
-    up = up.join(win, NODE, "left")
-    stop = up.groupBy(*KEY, "leaf").agg(F.min(F.when(~F.col("wins"), F.struct("steps", "node_id"))).alias("stop"))
-    out = stop.select(*KEY, F.col("leaf"), F.col("stop.node_id").alias("node_id")).join(attribute, NODE, "left")
+    stop = leaves(forest).select(*NODE).join(nearest(forest.strides, win.where("NOT wins")), NODE, "left")
+    out = stop.select(*KEY, F.col("node_id").alias("leaf"), F.col("holder").alias("node_id")).join(attribute, NODE, "left")
     return out.select(*KEY, F.col("leaf").alias("node_id"), F.coalesce(F.col("value").cast("double"), F.lit(float("inf"))).alias("extinction"))
 
 
@@ -108,7 +106,7 @@ def filter_extinction(forest: Forest, attribute: DataFrame, top_k: int | None =
 
 
 def area_of(forest: Forest) -> DataFrame:
-    return roll_up(forest, forest.nodes.select(*NODE, "proper_area"), area=F.sum("proper_area"))
+    return roll_up(forest, forest.nodes.select(*NODE, "proper_area"), proper_area="sum").withColumnRenamed("proper_area", "area")
 
 
 def area_opening(pixels: DataFrame, least: int, radius: float = 1.5) -> DataFrame:
@@ -121,3 +119,9 @@ def area_closing(pixels: DataFrame, least: int, radius: float = 1.5) -> DataFram
     """Fill dark components of fewer than `least` pixels."""
     forest = min_tree(pixels, radius)
     return pruning_min(forest, area_of(forest), F.col("area") >= least)
+
+
+def grain_filter(pixels: DataFrame, least: int, interpolation: str = "self-dual", seed_row: int = 0, seed_col: int = 0) -> DataFrame:
+    """Remove shapes of fewer than `least` pixels, bright and dark alike."""
+    forest = tree_of_shapes(pixels, interpolation, seed_row, seed_col)
+    return pruning_min(forest, area_of(forest), F.col("area") >= least)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.trees import Forest
 from ..tables import KEY
 from .filters import reconstruct
-from .trees import NODE, roll_up
+from .trees import NODE, ancestors_of, roll_down, roll_up
 
 
 def sigmoid(x: Column) -> Column:
@@ -75,9 +75,8 @@ def node_scores(forest: Forest, attributes: DataFrame, specs: list[Spec]) -> Dat
 def apply_specs(forest: Forest, attributes: DataFrame, specs: list[Spec]) -> DataFrame:
     """The filtered rasters: output channel = channel * number of specs + spec index."""
     scores = node_scores(forest, attributes, specs)
-    up = forest.closure.select(*KEY, F.col("node_id").alias("low"), F.col("ancestor_id").alias("node_id"))
-    gain = scores.select(*NODE, "spec", "spec_index", (F.col("residue") * F.col("score")).alias("gain"))
-    sums = up.join(gain, NODE).groupBy(*KEY, F.col("low").alias("node_id"), "spec", "spec_index").agg(F.sum("gain").alias("value"))
+    gain = scores.select(*NODE, "spec", "spec_index", (F.col("residue") * F.col("score")).alias("value"))
+    sums = roll_down(forest, gain, ("spec", "spec_index"), value="sum")
     out = forest.owners.drop("value").join(sums, NODE)
     return out.select("image_id", (F.col("channel") * len(specs) + F.col("spec_index")).alias("channel"), "spec", "pixel_id", "row", "col", "value")
 
@@ -90,7 +89,7 @@ def predict(forest: Forest, attributes: DataFrame, specs: list[Spec], sharpness:
 def pixels_to_nodes(forest: Forest, signal: DataFrame) -> DataFrame:
     """The Jacobian on a pixel signal (key, pixel_id, value): sums over each node's support."""
     own = forest.owners.drop("value").join(signal.select(*KEY, "pixel_id", "value"), [*KEY, "pixel_id"]).groupBy(*NODE).agg(F.sum("value").alias("value"))
-    return roll_up(forest, own, value=F.sum("value"))
+    return roll_up(forest, own, value="sum")
 
 
 def linear_gradients(forest: Forest, attributes: DataFrame, spec: Spec, loss: DataFrame) -> DataFrame:
@@ -124,9 +123,9 @@ def edge_penalty(scores: DataFrame, weight: float = 1.0, by: tuple[str, ...] = t
     return edges.groupBy(*by).agg((weight * F.avg(F.pow(F.greatest(F.col("score") - F.col("p_score"), F.lit(0.0)), 2))).alias("penalty"))
 
 
-def path_penalty(scores: DataFrame, closure: DataFrame, weight: float = 1.0, max_depth: int | None = None) -> DataFrame:
-    """The same over every pair of a node and an ancestor, up to max_depth apart."""
-    pairs = closure.where(F.col("steps") > 0 if max_depth is None else F.col("steps").between(1, max_depth))
+def path_penalty(scores: DataFrame, pairs: DataFrame, weight: float = 1.0, max_depth: int | None = None) -> DataFrame:
+    """The same over every pair of a node and an ancestor (key, node_id, ancestor_id, steps), up to max_depth apart."""
+    pairs = pairs.where(F.col("steps") > 0 if max_depth is None else F.col("steps").between(1, max_depth))
     up = scores.select(*KEY, F.col("node_id").alias("ancestor_id"), F.col("score").alias("p_score"))
     both = pairs.join(scores.select(*NODE, "score"), NODE).join(up, [*KEY, "ancestor_id"])
     return both.groupBy(*KEY).agg((weight * F.avg(F.pow(F.greatest(F.col("score") - F.col("p_score"), F.lit(0.0)), 2))).alias("penalty"))
@@ -143,7 +142,7 @@ def order_penalty(scores: DataFrame, feature: str, weight: float = 1.0, increasi
 def regularization_penalty(forest: Forest, attributes: DataFrame, specs: list[Spec]) -> float:
     """Sum of all specs' penalties over the number of rasters; specs without any are skipped."""
     rasters = forest.nodes.select(*KEY).distinct().count()
-    kinds = {"edge": lambda s, **o: edge_penalty(s, **o), "path": lambda s, **o: path_penalty(s, forest.closure, **o), "order": lambda s, **o: order_penalty(s.join(attributes, NODE), **o)}
+    kinds = {"edge": lambda s, **o: edge_penalty(s, **o), "path": lambda s, **o: path_penalty(s, ancestors_of(forest, forest.nodes, o.get("max_depth")), **o), "order": lambda s, **o: order_penalty(s.join(attributes, NODE), **o)}
     total = 0.0
     for spec in specs:
         if spec.penalties:

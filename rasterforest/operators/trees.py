@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.trees import Forest, build
-from ..tables import KEY
-
-NODE = [*KEY, "node_id"]
+from ..plans.trees import NODE, Forest, ancestors, build, finished, nearest, rolled, strides
+from ..tables import KEY, settle
 
 
 def max_tree(pixels: DataFrame, radius: float = 1.5) -> Forest:
@@ -20,16 +18,18 @@ def min_tree(pixels: DataFrame, radius: float = 1.5) -> Forest:
     return build(pixels, "min", radius)
 
 
-def roll_up(forest: Forest, values: DataFrame, **aggs: Column) -> DataFrame:
-    """Aggregates over each node's subtree of a table keyed by node; the node itself counts."""
-    down = forest.closure.select(*KEY, "node_id", F.col("ancestor_id").alias("top"))
-    return down.join(values, NODE).groupBy(*KEY, F.col("top").alias("node_id")).agg(*[a.alias(n) for n, a in aggs.items()])
+def tree_of_shapes(pixels: DataFrame, interpolation: str = "self-dual", seed_row: int = 0, seed_col: int = 0) -> Forest:
+    return build(pixels, "shapes", interpolation=interpolation, seed=(seed_row, seed_col))
+
+
+def roll_up(forest: Forest, values: DataFrame, by: tuple[str, ...] = (), **aggs: str) -> DataFrame:
+    """Aggregates (sum, min, max, bool_and, bool_or) of columns over each node's subtree; the node itself counts."""
+    return rolled(forest.strides, values, True, by, **aggs)
 
 
-def roll_down(forest: Forest, values: DataFrame, **aggs: Column) -> DataFrame:
-    """Aggregates over each node's root path of a table keyed by node."""
-    up = forest.closure.select(*KEY, F.col("node_id").alias("low"), F.col("ancestor_id").alias("node_id"), "steps")
-    return up.join(values, NODE).groupBy(*KEY, F.col("low").alias("node_id")).agg(*[a.alias(n) for n, a in aggs.items()])
+def roll_down(forest: Forest, values: DataFrame, by: tuple[str, ...] = (), **aggs: str) -> DataFrame:
+    """Aggregates of columns over each node's root path."""
+    return rolled(forest.strides, values, False, by, **aggs)
 
 
 def tree_summary(forest: Forest) -> DataFrame:
@@ -56,19 +56,28 @@ def relatives(forest: Forest) -> DataFrame:
     return out.select(*NODE, "parent_id", *zero, "first_child", "next_sibling", (F.col("node_id") == F.col("parent_id")).alias("is_root"), F.col("num_children").isNull().alias("is_leaf"))
 
 
-def ancestors_of(forest: Forest, nodes: DataFrame) -> DataFrame:
-    return forest.closure.join(nodes.select(*NODE), NODE, "left_semi")
+def ancestors_of(forest: Forest, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """key, node_id, ancestor_id, steps of the given nodes, themselves included, up to most steps."""
+    return ancestors(forest.strides, nodes.select(*NODE).distinct(), most)
 
 
 def descendants_of(forest: Forest, nodes: DataFrame, strict: bool = True) -> DataFrame:
-    tops = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"))
-    found = forest.closure.join(tops, [*KEY, "ancestor_id"], "left_semi")
+    tops = nodes.select(*NODE).distinct().join(forest.nodes.select(*NODE, "parent_id", "depth"), NODE)
+    held = nearest(forest.strides, tops)
+    # The given nodes as a forest of their own: each below the nearest of the others above it.
+    over = held.select(*KEY, F.col("node_id").alias("parent_id"), F.col("holder").alias("up"))
+    linked = tops.join(over, [*KEY, "parent_id"], "left").select(*NODE, F.when(F.col("node_id") != F.col("parent_id"), F.col("up")).alias("up"))
+    chains = ancestors(strides(settle(linked.select(*NODE, F.coalesce("up", "node_id").alias("parent_id")), "tops")), tops)
+    chains = chains.select(*KEY, F.col("node_id").alias("holder"), "ancestor_id")
+    deep = lambda n, c: forest.nodes.select(*KEY, F.col("node_id").alias(n), F.col("depth").alias(c))
+    found = held.join(chains, [*KEY, "holder"]).join(deep("node_id", "low"), NODE).join(deep("ancestor_id", "high"), [*KEY, "ancestor_id"])
+    found = found.select(*NODE, "ancestor_id", (F.col("low") - F.col("high")).alias("steps"))
     return found.where("steps > 0") if strict else found
 
 
 def path_between(forest: Forest, pairs: DataFrame) -> DataFrame:
     """Nodes on the path of each pair (key, a, b), in order from a to b."""
-    half = lambda s: forest.closure.select(*KEY, F.col("node_id").alias(s), "ancestor_id", F.col("steps").alias(f"{s}_steps"))
+    half = lambda s: ancestors_of(forest, pairs.select(*KEY, F.col(s).alias("node_id"))).select(*KEY, F.col("node_id").alias(s), "ancestor_id", F.col("steps").alias(f"{s}_steps"))
     p = pairs.select(*KEY, "a", "b")
     up, down = p.join(half("a"), [*KEY, "a"]), p.join(half("b"), [*KEY, "b"])
     pair = [*KEY, "a", "b"]
@@ -80,11 +89,11 @@ def path_between(forest: Forest, pairs: DataFrame) -> DataFrame:
 
 def tree_intervals(forest: Forest) -> DataFrame:
     """Per node tpre and tpost: the compact preorder of the depth-first walk, children by node_id."""
-    size = forest.closure.groupBy(*KEY, F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("size"))
+    size = roll_up(forest, forest.nodes.select(*NODE, F.lit(1).cast("long").alias("size")), size="sum")
     w = W.partitionBy(*KEY, "parent_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)
     kids = forest.nodes.join(size, NODE).where("node_id <> parent_id").withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)) + 1)
     offsets = kids.select(*NODE, "offset").unionByName(forest.nodes.where("node_id = parent_id").select(*NODE, F.lit(0).cast("long").alias("offset")))
-    pre = roll_down(forest, offsets, tpre=F.sum("offset"))
+    pre = roll_down(forest, offsets, offset="sum").withColumnRenamed("offset", "tpre")
     return pre.join(size, NODE).select(*NODE, "tpre", (F.col("tpre") + F.col("size")).alias("tpost"))
 
 
@@ -140,19 +149,12 @@ def without(forest: Forest, gone: DataFrame, subtree: bool) -> Forest:
         gone = descendants_of(forest, gone, strict=False).select(*NODE).distinct()
     roots = forest.nodes.where("node_id = parent_id").select(*NODE)
     kept = forest.nodes.join(gone.select(*NODE).join(roots, NODE, "left_anti"), NODE, "left_anti")
-    near = forest.closure.join(kept.select(*KEY, F.col("node_id").alias("ancestor_id")), [*KEY, "ancestor_id"])
-    holder = near.groupBy(*NODE).agg(F.min_by("ancestor_id", "steps").alias("holder"))
-    owners = forest.owners.join(holder, NODE).drop("node_id").withColumnRenamed("holder", "node_id")
-    up = near.where("steps > 0").groupBy(*NODE).agg(F.min_by("ancestor_id", "steps").alias("parent_id"))
+    holder = settle(nearest(forest.strides, kept), "holders")
+    owners = settle(forest.owners.join(holder, NODE).drop("node_id").withColumnRenamed("holder", "node_id"), "owners")
+    up = holder.select(*KEY, F.col("node_id").alias("parent_id"), "holder")
     sizes = owners.groupBy(*NODE).agg(F.count(F.lit(1)).alias("proper_area"))
-    level = kept.select(*KEY, F.col("node_id").alias("parent_id"), F.col("level").alias("p_level"))
-    nodes = kept.select(*NODE, "level").join(up, NODE, "left").withColumn("parent_id", F.coalesce("parent_id", "node_id")).join(level, [*KEY, "parent_id"])
-    rank = near.groupBy(*NODE).agg((F.count(F.lit(1)) - 1).cast("int").alias("depth"))
-    residue = F.when(F.col("node_id") == F.col("parent_id"), F.col("level")).otherwise(F.col("level") - F.col("p_level")).cast("double")
-    nodes = nodes.withColumn("residue", residue).join(sizes, NODE).join(rank, NODE).select(*NODE, "parent_id", "level", "residue", "proper_area", "depth")
-    both = near.join(kept.select(*NODE), NODE, "left_semi")
-    steps = F.row_number().over(W.partitionBy(*NODE).orderBy("steps")) - 1
-    return Forest(forest.kind, forest.radius, nodes, owners, both.select(*NODE, "ancestor_id", steps.alias("steps")))
+    nodes = kept.select(*NODE, "parent_id", "level").join(up, [*KEY, "parent_id"]).drop("parent_id").withColumnRenamed("holder", "parent_id").join(sizes, NODE)
+    return finished(forest.kind, forest.radius, settle(nodes.select(*NODE, "parent_id", "level", "proper_area"), "kept"), owners)
 
 
 def prune_nodes(forest: Forest, nodes: DataFrame) -> Forest:
@@ -180,8 +182,8 @@ def validate_tree(forest: Forest) -> DataFrame:
 
 def jacobian(forest: Forest, max_rows: int | None = None) -> DataFrame:
     """(node_id, pixel_id) incidence of all supports; refuses beyond max_rows, the sum of areas."""
-    rows = forest.closure.join(forest.nodes.select(*NODE, "proper_area"), NODE)
-    if max_rows is not None and (n := rows.agg(F.sum("proper_area")).first()[0] or 0) > max_rows:
+    rows = forest.nodes.select((F.col("proper_area") * (F.col("depth") + 1)).alias("n"))
+    if max_rows is not None and (n := rows.agg(F.sum("n")).first()[0] or 0) > max_rows:
         raise ValueError(f"the supports have {n} rows, more than {max_rows}")
     return forest.owners.join(forest.closure, NODE).select(*KEY, F.col("ancestor_id").alias("node_id"), "pixel_id", "row", "col", "value")
 

@@ -1,21 +1,19 @@
-"""Component trees by divide and conquer over the gray range.
-
-Each vertex carries a range of level ranks. A stage halves every range: the connected
-components of the upper half become sub-problems of their own and, contracted to one
-vertex, part of the lower half. All rasters and ranges share the same few jobs; a raster
-of k levels takes ceil(log2(k)) stages.
-"""
+"""Component trees from the trees of tiles, and the strides along which values travel in them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import KEY, settle
-from .components import components
+from ..tables import KEY, Scratch, settle
+from .tiles import FAN_BITS, TILE_BITS, merged_tiles, rim_edges, steps_within, tile_trees
+
+NODE = [*KEY, "node_id"]
+#: A stride table leads to the ancestors at 0 to STRIDE - 1 times its length; the next one is STRIDE times as long.
+STRIDE = 16
 
 
 @dataclass(frozen=True)
@@ -24,110 +22,137 @@ class Forest:
 
     nodes: key, node_id (least pixel of the node's own pixels), parent_id (itself at the
     root), level, residue, proper_area, depth. owners: key, pixel_id, row, col, value,
-    node_id. closure: key, node_id, ancestor_id, steps, the node itself included.
+    node_id. strides: tables of key, node_id, ancestor_id, times, as STRIDE says.
     """
 
     kind: str
     radius: float
     nodes: DataFrame
     owners: DataFrame
-    closure: DataFrame
+    strides: tuple[DataFrame, ...]
+
+    @property
+    def closure(self) -> DataFrame:
+        """key, node_id, ancestor_id, steps of all pairs: as many as the sum of depths, so only for results of that size."""
+        return ancestors(self.strides, self.nodes.select(*NODE))
+
+    @cached_property
+    def dual(self) -> Forest:
+        """The tree of the opposite kind and connectivity over the same pixels, in which holes are components."""
+        return build(self.owners.drop("node_id"), "min" if self.kind == "max" else "max", 1.0 if self.radius >= 1.5 else 1.5)
 
 
 def neighbours(pixels: DataFrame, radius: float) -> DataFrame:
     """key, u, v: each pair of pixels within the radius once (1: four, 1.5: eight neighbours)."""
-    reach = int(radius)
-    steps = [(r, c) for r in range(0, reach + 1) for c in range(-reach, reach + 1) if (r, c) > (0, 0) and r * r + c * c <= radius * radius]
-    near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps]))
+    near = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps_within(radius)]))
     left = pixels.select(*KEY, F.col("pixel_id").alias("u"), "row", "col", near.alias("s"))
     left = left.select(*KEY, "u", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
     return left.join(pixels.select(*KEY, "row", "col", F.col("pixel_id").alias("v")), [*KEY, "row", "col"]).select(*KEY, "u", "v")
 
 
-def ranked(pixels: DataFrame) -> DataFrame:
-    """pixels with rank, the dense rank of the value in its raster, and n_ranks."""
-    levels = pixels.select(*KEY, "value").distinct()
-    w = W.partitionBy(*KEY)
-    levels = levels.select(*KEY, "value", (F.row_number().over(w.orderBy("value")) - 1).alias("rank"), F.count(F.lit(1)).over(w).cast("int").alias("n_ranks"))
-    return pixels.join(levels, [*KEY, "value"])
-
-
-def level_components(pixels: DataFrame, radius: float, tile: int) -> tuple[DataFrame, DataFrame]:
-    """vertices and labels of the single-level problems: key, lo, vid, rank and key, lo, vid, label."""
-    sub = [*KEY, "lo", "hi"]
-    r = settle(ranked(pixels).select(*KEY, "pixel_id", "row", "col", "rank", "n_ranks"), "ranked")
-    verts = r.select(*KEY, F.lit(0).alias("lo"), F.col("n_ranks").alias("hi"), F.col("pixel_id").alias("vid"), "rank")
-    ranges = r.groupBy(*KEY).agg(F.first("n_ranks").alias("hi"))
-    edges = neighbours(r, radius).join(ranges, KEY).select(*KEY, F.lit(0).alias("lo"), "hi", "u", "v")
-    most = r.agg(F.max("n_ranks")).first()[0] or 1
-    while most > 1:
-        verts, edges = settle(verts, "verts"), settle(edges, "edges")
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        open_ = F.col("hi") - F.col("lo") > 1
-        v = verts.withColumn("mid", F.when(open_, mid)).withColumn("up", F.coalesce(F.col("rank") >= F.col("mid"), F.lit(False)))
-        ends = v.select(*sub, "vid", "up")
-        e = edges.join(ends.withColumnRenamed("vid", "u").withColumnRenamed("up", "u_up"), [*sub, "u"])
-        e = settle(e.join(ends.withColumnRenamed("vid", "v").withColumnRenamed("up", "v_up"), [*sub, "v"]), "sided")
-        found = components(e.where("u_up AND v_up"), sub, tile)
-        ups = v.where("up").join(found, [*sub, "vid"], "left").withColumn("label", F.coalesce("label", "vid"))
-        # A component stands for its lowest pixel, which lies in its root node.
-        w = W.partitionBy(*sub, "label")
-        tops = ups.groupBy(*sub, "mid", "label").agg(F.min(F.struct("rank", "vid")).alias("low"), F.count(F.lit(1)).alias("n"))
-        ups = settle(ups.join(tops.drop("mid"), [*sub, "label"]), "ups")
-        lone = (F.col("n") == 1) & (F.col("rank") >= F.col("hi"))
-        small = [*KEY, "lo", "hi", "vid", "rank"]
-        down = lambda df: df.select(*KEY, "lo", F.coalesce("mid", "hi").alias("hi"), "vid", "rank")
-        contracted = ups.select(*KEY, "lo", F.col("mid").alias("hi"), F.col("low.vid").alias("vid"), F.col("low.rank").alias("rank")).distinct()
-        opened = ups.where(~lone).select(*KEY, F.col("mid").alias("lo"), "hi", "vid", "rank")
-        verts = down(v.where("NOT up")).unionByName(contracted).unionByName(opened).select(small)
-        to = ups.select(*sub, "vid", F.col("low.vid").alias("to"))
-        cut = F.when(open_, mid).otherwise(F.col("hi"))
-        flat = e.where("NOT u_up AND NOT v_up").select(*KEY, "lo", cut.alias("hi"), "u", "v")
-        high = e.where("u_up AND v_up").select(*KEY, mid.alias("lo"), "hi", "u", "v")
-        across = e.where("u_up <> v_up").select(*sub, F.when(F.col("u_up"), F.col("u")).otherwise(F.col("v")).alias("vid"), F.when(F.col("u_up"), F.col("v")).otherwise(F.col("u")).alias("v"))
-        across = across.join(to, [*sub, "vid"]).select(*KEY, "lo", cut.alias("hi"), F.col("to").alias("u"), "v").distinct()
-        edges = flat.unionByName(high).unionByName(across)
-        most = -(-most // 2)
-    verts, edges = settle(verts, "verts"), settle(edges, "edges")
-    found = components(edges, sub, tile)
-    return verts, verts.join(found, [*sub, "vid"], "left").withColumn("label", F.coalesce("label", "vid"))
-
-
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """key, node_id, ancestor_id, steps: pairs of all distances, doubling the longest per round."""
-    own = nodes.select(*KEY, "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("steps"))
-    reach = nodes.where("parent_id <> node_id").select(*KEY, "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("steps"))
-    far = reach
-    while not far.isEmpty():
-        # Pairs at exactly the longest distance so far, continued by every known pair.
-        more = reach.select(*KEY, F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("beyond"), F.col("steps").alias("more"))
-        far = settle(far.join(more, [*KEY, "ancestor_id"]).select(*KEY, "node_id", F.col("beyond").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps")), "reach")
-        reach = reach.unionByName(far)
-        longest = far.groupBy(*KEY).agg(F.max("steps").alias("longest"))
-        far = far.join(longest, KEY).where(F.col("steps") == F.col("longest")).drop("longest")
-    return settle(own.unionByName(reach), "closure")
-
-
-def build(pixels: DataFrame, kind: str = "max", radius: float = 1.5, tile: int = 1 << 16) -> Forest:
-    """The max-tree (bright components) or min-tree (dark components) of every raster of pixels."""
-    if kind not in ("max", "min"):
-        raise ValueError(f"kind must be 'max' or 'min', not {kind!r}")
-    turned = pixels.withColumn("value", F.col("value") if kind == "max" else -F.col("value"))
-    verts, labels = level_components(turned, radius, tile)
-    # A single-level component is a node if it has pixels of that level; the others pass through.
-    owned = labels.where(F.col("rank") == F.col("lo"))
-    heads = owned.groupBy(*KEY, "lo", "label").agg(F.min("vid").alias("node_id"))
-    owner = settle(owned.join(heads, [*KEY, "lo", "label"]).select(*KEY, F.col("vid").alias("pixel_id"), "node_id"), "owner")
-    links = labels.where(F.col("rank") > F.col("lo")).join(heads.withColumnRenamed("node_id", "parent_id"), [*KEY, "lo", "label"])
-    links = links.select(*KEY, F.col("vid").alias("pixel_id"), "parent_id").join(owner, [*KEY, "pixel_id"]).select(*KEY, "node_id", "parent_id").distinct()
-    owners = settle(pixels.select(*KEY, "pixel_id", "row", "col", "value").join(owner, [*KEY, "pixel_id"]), "owners")
-    sizes = owners.groupBy(*KEY, "node_id").agg(F.first("value").alias("level"), F.count(F.lit(1)).alias("proper_area"))
-    nodes = sizes.join(links, [*KEY, "node_id"], "left").withColumn("parent_id", F.coalesce("parent_id", "node_id"))
-    nodes = settle(nodes, "nodes")
-    closure = ancestors(nodes)
+def strides(nodes: DataFrame) -> tuple[DataFrame, ...]:
+    """Stride tables of key, node_id, parent_id; each has at most STRIDE rows for a node, and depths of 16, 256, 4,096 take 1, 2, 3."""
+    keep, out = Scratch(nodes.sparkSession, "strides"), []
+    up = nodes.where("parent_id <> node_id").select(*NODE, F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("times"))
+    own = nodes.select(*NODE, F.col("node_id").alias("ancestor_id"), F.lit(0).alias("times"))
+    while True:
+        reach, far, length = up, up, 1
+        while length < STRIDE and not far.isEmpty():
+            # Pairs at exactly the longest distance so far, continued by every known pair.
+            more = reach.select(*KEY, F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("beyond"), F.col("times").alias("more"))
+            found = far.join(more, [*KEY, "ancestor_id"]).select(*NODE, F.col("beyond").alias("ancestor_id"), (F.col("times") + F.col("more")).alias("times"))
+            found, length = keep.keep(found, "reach"), 2 * length
+            reach, far = reach.unionByName(found), found.where(F.col("times") == length)
+        out.append(settle(own.unionByName(reach.where(F.col("times") < STRIDE)), "stride"))
+        if far.isEmpty():
+            keep.close()
+            return tuple(out)
+        up = far.withColumn("times", F.lit(1))
+
+
+def ancestors(steps: tuple[DataFrame, ...], of: DataFrame, most: int | None = None) -> DataFrame:
+    """key, node_id, ancestor_id, steps for the given nodes (key, node_id), themselves included, up to most steps."""
+    out = of.select(*NODE, F.col("node_id").alias("ancestor_id"), F.lit(0).alias("steps"))
+    for k, table in enumerate(steps):
+        if k and most is not None and most < STRIDE**k:
+            break
+        up = table.select(*KEY, F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("beyond"), (F.col("times") * STRIDE**k).alias("more"))
+        out = out.join(up, [*KEY, "ancestor_id"]).select(*NODE, F.col("beyond").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps"))
+        if most is not None:
+            out = out.where(F.col("steps") <= most)
+    return out
+
+
+def rolled(steps: tuple[DataFrame, ...], values: DataFrame, up: bool, by: tuple[str, ...] = (), **aggs: str) -> DataFrame:
+    """Aggregates (sum, min, max, bool_and, bool_or) of columns over each node's subtree (up) or root path, by further columns."""
+    to, at = ("ancestor_id", "node_id") if up else ("node_id", "ancestor_id")
+    out = values.select(*NODE, *by, *aggs)
+    for table in steps:
+        met = table.join(out.withColumnRenamed("node_id", at), [*KEY, at])
+        out = met.groupBy(*KEY, F.col(to).alias("node_id"), *by).agg(*[getattr(F, how)(c).alias(c) for c, how in aggs.items()])
+    return out
+
+
+def nearest(steps: tuple[DataFrame, ...], marked: DataFrame) -> DataFrame:
+    """key, node_id, holder: the nearest marked ancestor (key, node_id), the node itself included, of each node that has one."""
+    out = marked.select(*KEY, F.col("node_id").alias("ancestor_id"), F.col("node_id").alias("holder"))
+    for table in steps:
+        out = table.join(out, [*KEY, "ancestor_id"]).groupBy(*NODE).agg(F.min_by("holder", "times").alias("holder")).withColumnRenamed("node_id", "ancestor_id")
+    return out.withColumnRenamed("ancestor_id", "node_id")
+
+
+def climbed(steps: tuple[DataFrame, ...], parents: DataFrame, start: DataFrame, item: list[str], marks: DataFrame, passes: Column) -> DataFrame:
+    """start (item, key, node_id, bound) with node_id moved to the first ancestor, itself included, whose mark passes.
+
+    marks: key, node_id, mark; passes is a condition on mark and bound that stays true
+    upwards once it holds. Starts none of whose ancestors pass are left out.
+    """
+    keys = [*KEY, *[c for c in item if c not in KEY]]
+    at = start.select(*keys, "bound", "node_id")
+    on = marks.select(*KEY, F.col("node_id").alias("ancestor_id"), "mark")
+    for table in reversed(steps):
+        met = at.join(table, NODE).join(on, [*KEY, "ancestor_id"]).where((F.col("times") == 0) | ~passes)
+        at = met.groupBy(*keys).agg(F.first("bound").alias("bound"), F.max_by("ancestor_id", "times").alias("node_id"))
+    here = at.join(marks, NODE)
+    done = here.where(passes).select(*keys, "bound", "node_id")
+    up = here.where(~passes).join(parents.where("parent_id <> node_id").select(*NODE, "parent_id"), NODE)
+    return done.unionByName(up.select(*keys, "bound", F.col("parent_id").alias("node_id")))
+
+
+def finished(kind: str, radius: float, nodes: DataFrame, owners: DataFrame) -> Forest:
+    """A forest of nodes (key, node_id, parent_id, level, proper_area), with residues, depths and strides."""
+    steps = strides(nodes)
+    depth = rolled(steps, nodes.select(*NODE, F.lit(1).alias("depth")), False, depth="sum").withColumn("depth", (F.col("depth") - 1).cast("int"))
     up = nodes.select(*KEY, F.col("node_id").alias("parent_id"), F.col("level").alias("p_level"))
-    depth = closure.groupBy(*KEY, "node_id").agg(F.max("steps").alias("depth"))
     residue = F.when(F.col("node_id") == F.col("parent_id"), F.col("level")).otherwise(F.col("level") - F.col("p_level"))
-    nodes = nodes.join(up, [*KEY, "parent_id"]).withColumn("residue", residue.cast("double")).join(depth, [*KEY, "node_id"])
-    nodes = settle(nodes.select(*KEY, "node_id", "parent_id", "level", "residue", "proper_area", "depth"), "nodes")
-    return Forest(kind, radius, nodes, owners, closure)
+    done = nodes.join(up, [*KEY, "parent_id"]).withColumn("residue", residue.cast("double")).join(depth, NODE)
+    return Forest(kind, radius, settle(done.select(*NODE, "parent_id", "level", "residue", "proper_area", "depth"), "nodes"), owners, steps)
+
+
+def build(pixels: DataFrame, kind: str = "max", radius: float = 1.5, tile_bits: int = TILE_BITS, interpolation: str = "self-dual", seed: tuple[int, int] = (0, 0)) -> Forest:
+    """The max-tree (bright components), min-tree (dark components) or tree of shapes of every raster of pixels.
+
+    Tiles of 2**tile_bits rows and columns grow their own trees; rims then merge, 8 by 8
+    parts a round, so a merge holds what the rims of its parts hold, whatever their areas.
+    interpolation and seed are those of the tree of shapes (see shape_tree).
+    """
+    if kind == "shapes":
+        from .shapes import shape_tree
+
+        return shape_tree(pixels, interpolation, *seed)
+    if kind not in ("max", "min"):
+        raise ValueError(f"kind must be 'max', 'min' or 'shapes', not {kind!r}")
+    keep, sign = Scratch(pixels.sparkSession, "tree"), 1 if kind == "max" else -1
+    local = keep.keep(tile_trees(pixels, sign, radius, tile_bits), "tiles")
+    last = local.agg(F.coalesce(F.greatest(F.max("ti"), F.max("tj")), F.lit(0))).first()[0]
+    rounds = -(-int(last).bit_length() // FAN_BITS)
+    edges = keep.keep(rim_edges(local, radius, tile_bits), "rims") if rounds else None
+    nodes, became = merged_tiles(local, edges, sign, rounds, keep)
+    owners = local.select(*KEY, "pixel_id", "row", "col", "value", "node_id")
+    if became is not None:
+        owners = owners.join(became, NODE, "left").withColumn("node_id", F.coalesce("became", "node_id")).drop("became")
+    owners = settle(owners, "owners")
+    nodes = keep.keep(nodes.withColumnRenamed("n", "proper_area"), "nodes")
+    out = finished(kind, radius, nodes, owners)
+    keep.close()
+    return out

@@ -153,7 +153,7 @@ def edge_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, marks = _marks(spark, sf_dir)
-    return r6(scoring.path_penalty(scoring.node_scores(f, marks, SPECS[:1]), f.closure, 2.0, 2), "penalty").select("image_id", "penalty")
+    return r6(scoring.path_penalty(scoring.node_scores(f, marks, SPECS[:1]), trees.ancestors_of(f, f.nodes, 2), 2.0, 2), "penalty").select("image_id", "penalty")
 
 
 def flat_zones(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared table helpers: keys, shared folder, caching of built plans."""
+"""Shared table helpers: keys, shared folder, tables between steps."""
 
 from __future__ import annotations
 
@@ -27,3 +27,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that one operator writes between its steps; close() deletes them all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterforest.operators import attributes, datasets, filters, metrics, patches, preparation, scoring, stats, trees
 from rasterforest.plans.components import components
-from rasterforest.plans.trees import ancestors
+from rasterforest.plans.trees import STRIDE, ancestors, climbed, nearest, rolled, strides
 from rasterforest.sources import binarize, check_same_shape, invert, rasterize, resize_area, resize_nearest, to_u8, validate_intensity
 from rasterforest.streaming import read_stats, stream_stats
 
@@ -49,7 +49,7 @@ def table(forest):
 
 def flood(image, radius):
     """Every node's level, own least pixel and support, by flooding each level set."""
-    steps = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0) and r * r + c * c <= radius * radius]
+    steps = [(r, c) for r in (-2, -1, 0, 1, 2) for c in (-2, -1, 0, 1, 2) if (r, c) != (0, 0) and r * r + c * c <= radius * radius]
     h, w = image.shape
     out = {}
     for t in set(image.ravel().tolist()):
@@ -71,11 +71,11 @@ def flood(image, radius):
     return out
 
 
-@pytest.mark.parametrize("kind,radius,tile", [("max", 1.5, 1 << 16), ("max", 1, 16), ("min", 1.5, 1 << 16)])
-def test_trees_match_flooding(pixels, kind, radius, tile):
+@pytest.mark.parametrize("kind,radius,bits", [("max", 1.5, 9), ("max", 1, 1), ("min", 1.5, 2), ("max", 2, 1), ("min", 1, 9)])
+def test_trees_match_flooding(pixels, kind, radius, bits):
     from rasterforest.plans.trees import build
 
-    got = build(pixels, kind, radius, tile).nodes.toPandas()
+    got = build(pixels, kind, radius, bits).nodes.toPandas()
     sign = 1 if kind == "max" else -1
     for name, image in IMAGES.items():
         nodes = flood(image * sign, radius)
@@ -197,7 +197,7 @@ def test_penalties(spark):
     assert scoring.edge_penalty(scored(spark, [0, 0, 0], [0.5, 0.7, 0.4]), 2.0).first()["penalty"] == pytest.approx(0.04)
     for parent, score, depth, weight, want in (([0, 0, 1, 1], [0.5, 0.4, 0.8, 0.3], 2, 2.0, 0.1), ([0, 0, 1], [0.0, 0.8, 0.9], None, 1.0, (0.64 + 0.01 + 0.81) / 3)):
         nodes = scored(spark, parent, score)
-        assert scoring.path_penalty(nodes, ancestors(nodes), weight, depth).first()["penalty"] == pytest.approx(want)
+        assert scoring.path_penalty(nodes, ancestors(strides(nodes), nodes), weight, depth).first()["penalty"] == pytest.approx(want)
     assert scoring.order_penalty(scored(spark, [0] * 4, [0.2, 0.7, 0.4, 0.9], [0.1, 0.2, 0.3, 0.4]), "feature", 2.0).first()["penalty"] == pytest.approx(0.06)
     assert scoring.order_penalty(scored(spark, [0] * 3, [0.9, 0.7, 0.8], [0.1, 0.2, 0.3]), "feature", 3.0, increasing=False).first()["penalty"] == pytest.approx(0.015)
     report = scoring.edge_violations(scored(spark, [0, 0, 0], [0.5, 0.7, 0.4])).first()
@@ -335,8 +335,20 @@ def test_attributes_under_hierarchy_ids(forest):
 
 def test_closure_of_a_deep_chain(spark):
     chain = spark.createDataFrame([("a", 0, i, max(0, i - 1)) for i in range(700)], "image_id string, channel int, node_id long, parent_id long")
-    got = ancestors(chain)
+    tables = strides(chain)
+    assert len(tables) == 3 and sum(t.count() for t in tables) < 2 * 700 * STRIDE
+    got = ancestors(tables, chain)
     assert got.count() == 700 * 701 // 2 and got.agg(F.max("steps")).first()[0] == 699
+    assert ancestors(tables, chain, 20).agg(F.max("steps")).first()[0] == 20
+    ones = chain.withColumn("n", F.lit(1))
+    assert rolled(tables, ones, True, n="sum").where("n <> 700 - node_id").count() == 0
+    assert rolled(tables, ones, False, n="sum").where("n <> node_id + 1").count() == 0
+    held = nearest(tables, chain.where("node_id % 300 = 0"))
+    assert held.where("holder <> node_id - node_id % 300").count() == 0 and held.count() == 700
+    start = chain.select("image_id", "channel", "node_id", F.col("node_id").alias("item"), F.lit(123).alias("bound"))
+    marks = chain.select("image_id", "channel", "node_id", F.col("node_id").alias("mark"))
+    found = climbed(tables, chain, start, ["item"], marks, F.col("mark") <= F.col("bound"))
+    assert found.count() == 700 and found.where("node_id <> least(item, 123)").count() == 0
 
 
 def test_preparation_uses_training_rasters_only(spark, pixels):
