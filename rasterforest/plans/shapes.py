@@ -130,15 +130,16 @@ def shapes_of(dark: Forest, bright: Forest, seed_row: int, seed_col: int, keep:
     named = keep.keep(area.join(shape, [*KEY, "area", "tip"]).drop("tip"), "named")
 
     def around(t: int) -> DataFrame:
-        """What strictly holds a component may be: its parent's shape, or that of the dual component just outside."""
+        """What strictly holds a component may be: its parent's shape, or that of the least dual component just outside, up to the parent's level."""
         f, dual = forests[t], forests[1 - t]
         sign = 1 if f.kind == "max" else -1
         at = dual.owners.select(*KEY, "row", "col", "node_id")
-        levels = f.nodes.select(*KEY, F.col("node_id").alias("hole"), (sign * F.col("level")).alias("bound"))
+        up = f.nodes.select(*KEY, F.col("node_id").alias("parent_id"), (sign * F.col("level")).alias("bound"))
+        levels = f.nodes.join(up, [*KEY, "parent_id"]).select(*KEY, F.col("node_id").alias("hole"), "bound")
         start = beside[t].join(at, [*KEY, "row", "col"]).join(levels, [*KEY, "hole"]).select(*KEY, "hole", "bound", "node_id")
         marks = dual.nodes.select(*NODE, (sign * F.col("level")).alias("mark"))
-        over = climbed(dual.strides, dual.nodes, start, ["hole"], marks, F.col("mark") >= F.col("bound"))
-        # The last dual component below the level: the child, on the way, of the first at or above it.
+        over = climbed(dual.strides, dual.nodes, start, ["hole"], marks, F.col("mark") > F.col("bound"))
+        # The last dual component up to that level: the child, on the way, of the first beyond it.
         last = below(dual, start, over)
         return f.nodes.where("node_id <> parent_id").select(*NODE, F.lit(t).alias("tree"), F.lit(t).alias("to"), F.col("parent_id").alias("up")).unionByName(last.select(*KEY, F.col("hole").alias("node_id"), F.lit(t).alias("tree"), F.lit(1 - t).alias("to"), F.col("node_id").alias("up")))
 
