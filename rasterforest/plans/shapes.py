@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import KEY, Scratch, settle
-from .trees import NODE, Forest, ancestors, build, climbed, finished, nearest, rolled, strides
+from .trees import NODE, Forest, climbed, finished, grown_together, nearest, picked, rolled, strides
 
 #: Interpolations of the tree of shapes, with the adjacency radii of dark and bright components.
 INTERPOLATIONS = {"self-dual": (1.0, 1.0), "min4-max8": (1.0, 1.5), "min8-max4": (1.5, 1.0)}
@@ -190,12 +190,15 @@ def shape_tree(pixels: DataFrame, interpolation: str = "self-dual", seed_row: in
     keep = Scratch(pixels.sparkSession, "shapes")
     px = pixels.select(*KEY, "pixel_id", "row", "col", "value")
     if interpolation == "self-dual":
-        # Bright shapes from one complementary pair, dark ones from the other.
-        found = [(*shapes_of(build(px, "min", dark), build(px, "max", bright), seed_row, seed_col, keep), kind) for dark, bright, kind in ((1.5, 1.0, "bright"), (1.0, 1.5, "dark"))]
-        nodes, owners = joined_shapes(found, keep)
+        # Bright shapes from one complementary pair, dark ones from the other; both pairs share the jobs.
+        grown = grown_together(px, [("max", 1.0), ("max", 1.5), ("min", 1.5), ("min", 1.0)])
+        found = shapes_of(picked(grown, 4, [2, 3], "min"), picked(grown, 4, [0, 1], "max"), seed_row, seed_col, keep)
+        one = lambda df, t: df.where(F.col("channel") % 2 == t).withColumn("channel", F.expr("channel div 2").cast("int"))
+        nodes, owners = joined_shapes([(*(one(df, t) for df in found), kind) for t, kind in enumerate(("bright", "dark"))], keep)
     else:
         dark, bright = INTERPOLATIONS[interpolation]
-        classes, owners = shapes_of(build(px, "min", dark), build(px, "max", bright), seed_row, seed_col, keep)
+        grown = grown_together(px, [("max", bright), ("min", dark)])
+        classes, owners = shapes_of(picked(grown, 2, [1], "min"), picked(grown, 2, [0], "max"), seed_row, seed_col, keep)
         nodes, _ = kept_only(classes, owners.select(*NODE).distinct(), keep)
     out = levelled(px, nodes, owners, keep)
     keep.close()

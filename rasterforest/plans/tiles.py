@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..tables import KEY, Scratch
 
+#: Trees to build at once, each a sign (1: of bright components, -1: of dark ones) and a radius; channel modulo their number tells which.
+Kinds = list[tuple[int, float]]
 #: Rows and columns of a tile, and how many parts by side a merge takes in, as powers of two.
 TILE_BITS = 9
 FAN_BITS = 3
@@ -105,12 +107,14 @@ def needless(level: np.ndarray, across: bool) -> np.ndarray:
     return out
 
 
-def tile_trees(pixels: DataFrame, sign: int, radius: float, bits: int) -> DataFrame:
+def tile_trees(pixels: DataFrame, kinds: Kinds, bits: int) -> DataFrame:
     """Each pixel with ti, tj (its tile), node_id and parent_id in the tile's tree; the pixel that names a node also has its n pixels and whether it is on the rim."""
     kind = dict(pixels.dtypes)["value"]
-    side, reach = 1 << bits, int(radius)
+    side = 1 << bits
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
+        sign, radius = kinds[tile["channel"].iloc[0] % len(kinds)]
+        reach = int(radius)
         tile = tile.sort_values("pixel_id", ignore_index=True)
         _, rank = np.unique(sign * tile["value"].to_numpy(), return_inverse=True)
         r, c = tile["row"].to_numpy() % side, tile["col"].to_numpy() % side
@@ -131,24 +135,28 @@ def tile_trees(pixels: DataFrame, sign: int, radius: float, bits: int) -> DataFr
     return tiled.groupBy(*KEY, "ti", "tj").applyInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, ti int, tj int, node_id long, parent_id long, n long, rim boolean")
 
 
-def rim_edges(local: DataFrame, radius: float, bits: int) -> DataFrame:
+def rim_edges(local: DataFrame, kinds: Kinds, bits: int) -> DataFrame:
     """Pairs of nodes of different tiles with neighbouring pixels."""
-    side, reach = 1 << bits, int(radius)
+    widest = max(radius for _, radius in kinds)
+    side, reach = 1 << bits, int(widest)
+    within = F.get(F.array(*[F.lit(radius * radius) for _, radius in kinds]), F.col("channel") % len(kinds))
     r, c = F.col("row") % side, F.col("col") % side
     near = local.where((r < reach) | (c < reach) | (r >= side - reach) | (c >= side - reach)).select(*KEY, "row", "col", "node_id", "ti", "tj")
-    step = F.explode(F.array(*[F.struct(F.lit(x).alias("r"), F.lit(y).alias("c")) for x, y in steps_within(radius)]))
+    step = F.explode(F.array(*[F.struct(F.lit(x).alias("r"), F.lit(y).alias("c")) for x, y in steps_within(widest)]))
     left = near.select(*KEY, "row", "col", F.col("node_id").alias("u"), F.col("ti").alias("ui"), F.col("tj").alias("uj"), step.alias("s"))
+    left = left.where(F.col("s.r") * F.col("s.r") + F.col("s.c") * F.col("s.c") <= within)
     left = left.withColumn("row", F.col("row") + F.col("s.r")).withColumn("col", F.col("col") + F.col("s.c")).drop("s")
     right = near.select(*KEY, "row", "col", F.col("node_id").alias("v"), F.col("ti").alias("vi"), F.col("tj").alias("vj"))
     met = left.join(right, [*KEY, "row", "col"]).where("ui <> vi OR uj <> vj")
     return met.select(*KEY, "u", "ui", "uj", "v", "vi", "vj").distinct()
 
 
-def merged(part: pd.DataFrame, sign: int) -> pd.DataFrame:
+def merged(part: pd.DataFrame, kinds: Kinds) -> pd.DataFrame:
     """One merge: rows of kind 0 are nodes, of 1 edges within, of 2 nodes that edges lead out of.
 
     Gives nodes that are final (0), nodes that stay on the rim (1) and what nodes became (2).
     """
+    sign, _ = kinds[part["channel"].iloc[0] % len(kinds)]
     nodes = part[part.kind == 0].sort_values("a")
     ids = nodes["a"].to_numpy()
     _, rank = np.unique(sign * nodes["level"].to_numpy(), return_inverse=True)
@@ -169,7 +177,7 @@ def merged(part: pd.DataFrame, sign: int) -> pd.DataFrame:
     return pd.concat([kept, gone], ignore_index=True)
 
 
-def merged_tiles(local: DataFrame, edges: DataFrame, sign: int, rounds: int, keep: Scratch) -> tuple[DataFrame, DataFrame | None]:
+def merged_tiles(local: DataFrame, edges: DataFrame, kinds: Kinds, rounds: int, keep: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Nodes (key, node_id, parent_id, level, n) of whole rasters, and what nodes of tiles became (key, node_id, became)."""
     heads = local.where("node_id = pixel_id").select(*KEY, F.col("ti").alias("gi"), F.col("tj").alias("gj"), F.col("node_id").alias("a"), F.col("parent_id").alias("b"), F.col("value").alias("level"), "n", "rim")
     final = [heads.where("NOT rim").drop("rim")]
@@ -185,7 +193,7 @@ def merged_tiles(local: DataFrame, edges: DataFrame, sign: int, rounds: int, kee
         rows = rim.withColumns({"gi": up("gi"), "gj": up("gj"), "kind": F.lit(0)}).select(cols)
         rows = rows.unionByName(edges.where(inside).select(*KEY, F.col("ui").alias("gi"), F.col("uj").alias("gj"), F.lit(1).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), none, F.lit(0).cast("long").alias("n")))
         rows = rows.unionByName(ends("u").unionByName(ends("v")).distinct())
-        done = keep.keep(rows.groupBy(*KEY, "gi", "gj").applyInPandas(lambda part: merged(part, sign)[cols], schema), "merged")
+        done = keep.keep(rows.groupBy(*KEY, "gi", "gj").applyInPandas(lambda part: merged(part, kinds)[cols], schema), "merged")
         final.append(done.where("kind = 0").drop("kind"))
         rim = done.where("kind = 1").drop("kind")
         gone = done.where("kind = 2").select(*KEY, F.col("a").alias("node_id"), F.col("b").alias("became"))

@@ -14,6 +14,8 @@ from .tiles import FAN_BITS, TILE_BITS, merged_tiles, rim_edges, steps_within, t
 NODE = [*KEY, "node_id"]
 #: A stride table leads to the ancestors at 0 to STRIDE - 1 times its length; the next one is STRIDE times as long.
 STRIDE = 16
+#: Kinds of component trees, and what a value's sign is turned by.
+SIGNS = {"max": 1, "min": -1}
 
 
 @dataclass(frozen=True)
@@ -140,19 +142,33 @@ def build(pixels: DataFrame, kind: str = "max", radius: float = 1.5, tile_bits:
         from .shapes import shape_tree
 
         return shape_tree(pixels, interpolation, *seed)
-    if kind not in ("max", "min"):
+    if kind not in SIGNS:
         raise ValueError(f"kind must be 'max', 'min' or 'shapes', not {kind!r}")
-    keep, sign = Scratch(pixels.sparkSession, "tree"), 1 if kind == "max" else -1
-    local = keep.keep(tile_trees(pixels, sign, radius, tile_bits), "tiles")
+    return grown_together(pixels, [(kind, radius)], tile_bits)
+
+
+def grown_together(pixels: DataFrame, kinds: list[tuple[str, float]], tile_bits: int = TILE_BITS) -> Forest:
+    """Trees of several kinds and radii in the same jobs; the number of the tree is dealt into the channel, channel * their number + its place."""
+    keep, n = Scratch(pixels.sparkSession, "tree"), len(kinds)
+    signs = [(SIGNS[kind], radius) for kind, radius in kinds]
+    pixels = pixels.withColumn("channel", F.explode(F.array(*[F.col("channel") * n + t for t in range(n)]))) if n > 1 else pixels
+    local = keep.keep(tile_trees(pixels, signs, tile_bits), "tiles")
     last = local.agg(F.coalesce(F.greatest(F.max("ti"), F.max("tj")), F.lit(0))).first()[0]
     rounds = -(-int(last).bit_length() // FAN_BITS)
-    edges = keep.keep(rim_edges(local, radius, tile_bits), "rims") if rounds else None
-    nodes, became = merged_tiles(local, edges, sign, rounds, keep)
+    edges = keep.keep(rim_edges(local, signs, tile_bits), "rims") if rounds else None
+    nodes, became = merged_tiles(local, edges, signs, rounds, keep)
     owners = local.select(*KEY, "pixel_id", "row", "col", "value", "node_id")
     if became is not None:
         owners = owners.join(became, NODE, "left").withColumn("node_id", F.coalesce("became", "node_id")).drop("became")
     owners = settle(owners, "owners")
     nodes = keep.keep(nodes.withColumnRenamed("n", "proper_area"), "nodes")
-    out = finished(kind, radius, nodes, owners)
+    out = finished(*kinds[0], nodes, owners)
     keep.close()
     return out
+
+
+def picked(forest: Forest, n: int, chosen: list[int], kind: str) -> Forest:
+    """Of n trees grown together, those in the chosen places, dealt into the channel by their order."""
+    place = F.array_position(F.array(*[F.lit(t) for t in chosen]), F.col("channel") % n).cast("int") - 1
+    recode = lambda df: df.where((F.col("channel") % n).isin(chosen)).withColumn("channel", (F.expr(f"channel div {n}") * len(chosen) + place).cast("int"))
+    return Forest(kind, forest.radius, recode(forest.nodes), recode(forest.owners), tuple(recode(t) for t in forest.strides))
