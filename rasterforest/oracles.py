@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 RASTERS = {
     "E": """cells AS (SELECT event_type AS image_id, (epoch_us(ts) // 3600000000) % 24 AS "row", user_id % 32 AS col, count(*) AS n FROM events WHERE user_id >= 0 AND event_type IS NOT NULL GROUP BY ALL),
 grid AS (SELECT i.image_id, r AS "row", c AS col, r * 32 + c AS pixel_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM cells) i CROSS JOIN range(24) a(r) CROSS JOIN range(32) b(c) LEFT JOIN cells k ON k.image_id = i.image_id AND k."row" = r AND k.col = c),
@@ -11,6 +13,8 @@ grid AS (SELECT i.image_id, r AS "row", c AS col, r * 11 + c AS pixel_id, coales
 px AS MATERIALIZED (SELECT image_id, "row", col, pixel_id, (15 * n // max(n) OVER (PARTITION BY image_id))::BIGINT AS value FROM grid)""",
     "V": """e AS (SELECT vec_id::VARCHAR AS image_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) = 64),
 px AS MATERIALIZED (SELECT image_id, (k - 1) // 8 AS "row", (k - 1) % 8 AS col, k - 1 AS pixel_id, CASE WHEN list_max(v) > list_min(v) THEN floor(15 * (v[k] - list_min(v)) / (list_max(v) - list_min(v)))::BIGINT ELSE 0 END AS value FROM e CROSS JOIN range(1, 65) t(k))""",
+    "U": """cells AS (SELECT user_id AS "row", epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events WHERE user_id >= 0 GROUP BY ALL),
+px AS MATERIALIZED (SELECT 'events' AS image_id, "row", hour - (SELECT min(hour) FROM cells) AS col, "row" * (SELECT max(hour) - min(hour) + 1 FROM cells) + hour - (SELECT min(hour) FROM cells) AS pixel_id, n AS value FROM cells)""",
 }
 
 
@@ -38,6 +42,72 @@ def nodes(raster: str = "E", sign: int = 1, square: int = 2) -> str:
     return f"{tree(raster, sign, square)} SELECT r.image_id, r.node_id, parent_id, level, residue, n AS proper_area, depth FROM res r JOIN (SELECT image_id, node_id, count(*) AS n FROM own GROUP BY ALL) o ON o.image_id = r.image_id AND o.node_id = r.node_id"
 
 
+def user_nodes() -> str:
+    """Cells with events as a forest; those without are the root, which holds the whole grid."""
+    return f"""{tree("U")},
+every AS (SELECT (max("row") + 1) * (max(col) + 1) AS n FROM px),
+root AS (SELECT min(p) AS node_id FROM (SELECT unnest(range((SELECT n FROM every))) AS p) WHERE p NOT IN (SELECT pixel_id FROM px))
+SELECT r.image_id, r.node_id, CASE WHEN r.node_id = parent_id THEN (SELECT node_id FROM root) ELSE parent_id END AS parent_id, level, residue, n AS proper_area, depth + 1 AS depth
+FROM res r JOIN (SELECT image_id, node_id, count(*) AS n FROM own GROUP BY ALL) o ON o.image_id = r.image_id AND o.node_id = r.node_id
+UNION ALL SELECT 'events', node_id, node_id, 0, 0, (SELECT n FROM every) - (SELECT count(*) FROM px), 0 FROM root"""
+
+
+#: Shapes of raster V as sets: each component of either kind, and what the seed's flood around it doesn't reach.
+SHAPES = f"""WITH RECURSIVE {RASTERS['V']},
+f AS MATERIALIZED (SELECT px.*, s, s * value AS v FROM px CROSS JOIN (VALUES (1), (-1)) k(s)),
+reach AS (SELECT image_id, s, pixel_id AS a, pixel_id AS b, v AS t, "row", col FROM f
+  UNION SELECT r.image_id, r.s, r.a, n.pixel_id, r.t, n."row", n.col FROM reach r JOIN f n ON n.image_id = r.image_id AND n.s = r.s AND abs(n."row" - r."row") + abs(n.col - r.col) = 1 AND n.v >= r.t),
+heads AS (SELECT r.image_id, r.s, a, min(b) FILTER (WHERE f.v = r.t) AS head FROM reach r JOIN f ON f.image_id = r.image_id AND f.s = r.s AND f.pixel_id = r.b GROUP BY ALL),
+part AS MATERIALIZED (SELECT r.image_id, r.s, r.a AS c, r.b AS pixel_id FROM reach r JOIN heads h ON h.image_id = r.image_id AND h.s = r.s AND h.a = r.a AND h.head = r.a),
+off AS MATERIALIZED (SELECT h.image_id, h.s, h.a AS c, p.pixel_id, p."row", p.col FROM (SELECT * FROM heads WHERE a = head) h JOIN px p ON p.image_id = h.image_id ANTI JOIN part q ON q.image_id = h.image_id AND q.s = h.s AND q.c = h.a AND q.pixel_id = p.pixel_id),
+flood AS (SELECT image_id, s, c, pixel_id, "row", col FROM off WHERE pixel_id = 0
+  UNION SELECT r.image_id, r.s, r.c, n.pixel_id, n."row", n.col FROM flood r JOIN off n ON n.image_id = r.image_id AND n.s = r.s AND n.c = r.c AND n."row" BETWEEN r."row" - 1 AND r."row" + 1 AND n.col BETWEEN r.col - 1 AND r.col + 1),
+ins AS MATERIALIZED (SELECT h.image_id, h.s, h.a AS c, p.pixel_id FROM (SELECT * FROM heads WHERE a = head) h JOIN px p ON p.image_id = h.image_id ANTI JOIN flood q ON q.image_id = h.image_id AND q.s = h.s AND q.c = h.a AND q.pixel_id = p.pixel_id),
+sets AS (SELECT image_id, list(pixel_id ORDER BY pixel_id) AS shape FROM ins GROUP BY image_id, s, c),
+shapes AS MATERIALIZED (SELECT DISTINCT image_id, shape, len(shape) AS area FROM sets),
+holds AS MATERIALIZED (SELECT image_id, shape, area, unnest(shape) AS pixel_id FROM shapes),
+owner AS MATERIALIZED (SELECT h.image_id, h.pixel_id, arg_min(shape, area) AS shape, min(area) AS area FROM holds h GROUP BY ALL),
+owned AS MATERIALIZED (SELECT o.image_id, shape, any_value(area) AS area, min(o.pixel_id) AS rep, any_value(value) AS level FROM owner o JOIN px p ON p.image_id = o.image_id AND p.pixel_id = o.pixel_id GROUP BY o.image_id, shape),
+chain AS MATERIALIZED (SELECT o.image_id, o.shape, u.shape AS over, u.level, row_number() OVER w AS k, lead(u.level) OVER w AS next_level, lead(u.shape) OVER w AS next FROM owned o JOIN holds h ON h.image_id = o.image_id AND h.pixel_id = o.rep JOIN owned u ON u.image_id = h.image_id AND u.shape = h.shape WHERE u.area >= o.area WINDOW w AS (PARTITION BY o.image_id, o.shape ORDER BY u.area)),
+tops AS MATERIALIZED (SELECT image_id, shape, arg_min(over, k) AS top, arg_min(next, k) AS next, arg_min(level, k) AS level FROM (SELECT *, coalesce(next, []) AS n FROM chain WHERE next_level IS NULL OR next_level <> level) GROUP BY image_id, shape),
+names AS MATERIALIZED (SELECT t.image_id, t.top, min(o.pixel_id) AS node_id, count(*) AS proper_area, any_value(t.level) AS level FROM owner o JOIN tops t ON t.image_id = o.image_id AND t.shape = o.shape GROUP BY t.image_id, t.top)"""
+
+
+def shape_nodes() -> str:
+    return f"""{SHAPES}, ups AS (SELECT n.image_id, n.node_id, n.level, n.proper_area, len(n.top) AS area, m.node_id AS up, m.level AS p_level FROM names n JOIN tops t ON t.image_id = n.image_id AND t.shape = n.top LEFT JOIN (SELECT image_id, shape, arg_min(next, k) AS next FROM chain WHERE next_level IS NOT NULL AND next_level <> level GROUP BY image_id, shape) c ON c.image_id = n.image_id AND c.shape = n.top LEFT JOIN tops q ON q.image_id = c.image_id AND q.shape = c.next LEFT JOIN names m ON m.image_id = q.image_id AND m.top = q.top)
+SELECT image_id, node_id, coalesce(up, node_id) AS parent_id, level, CASE WHEN up IS NULL THEN level ELSE level - p_level END AS residue, proper_area, area::BIGINT AS area FROM ups"""
+
+
+def grains(least: int) -> str:
+    """Each pixel at the level of the least shape of at least so many pixels around it, or the whole image's."""
+    return f"""{SHAPES} SELECT h.image_id, h.pixel_id, arg_min(o.level, h.area) AS value FROM holds h JOIN owned o ON o.image_id = h.image_id AND o.shape = h.shape WHERE h.area >= {least} OR h.area = 64 GROUP BY h.image_id, h.pixel_id"""
+
+
+def filled() -> str:
+    """Supports and what a flood from outside of the image doesn't reach around them."""
+    mu = {}
+    for p, q in ((2, 0), (0, 2), (1, 1)):
+        mu[f"mu{p}{q}"] = " + ".join(f"{math.comb(p, i) * math.comb(q, j)} * pow(-(s10 / n), {p - i}) * pow(-(s01 / n), {q - j}) * s{i}{j}" for i in range(p + 1) for j in range(q + 1))
+    angle = "CASE WHEN abs(mu11) < 1e-9 AND abs(mu20 - mu02) < 1e-9 THEN 0.0 ELSE degrees(0.5::DOUBLE * atan2(2 * mu11, mu20 - mu02)) END"
+    out = {
+        "FILLED_AREA": "n", "FILLED_CENTROID_ROW": "s01 / n", "FILLED_CENTROID_COLUMN": "s10 / n", "FILLED_LENGTH_MAJOR_AXIS": "2 * sqrt(l1 / n)", "FILLED_LENGTH_MINOR_AXIS": "2 * sqrt(l2 / n)",
+        "FILLED_AXIS_ORIENTATION": f"abs({angle})", "FILLED_ECCENTRICITY": "CASE WHEN n <= 1 THEN 1.0 WHEN l2 * 1e6 <= l1 THEN 1e6 ELSE l1 / l2 END", "FILLED_INERTIA": "(mu20 + mu02) / (n * n)", "HOLE_AREA_FRACTION": "1 - area / n",
+        "FILLED_CENTROID_DISPLACEMENT_NORMALIZED": "sqrt(pow(s10 / n - x0, 2) + pow(s01 / n - y0, 2)) / sqrt(n)", "FILLED_COMPACTNESS": "CASE WHEN mu20 + mu02 > 0 THEN n / (2 * pi() * (mu20 + mu02)) ELSE 0.0 END",
+        "FILLED_CIRCULARITY": "CASE WHEN n <= 1 THEN 1.0 WHEN l1 <= 0 THEN 0.0 ELSE l2 / l1 END", "FILLED_AXIS_ORIENTATION_SIGNED": angle,
+    }
+    return f"""{tree()},
+grid AS MATERIALIZED (SELECT a - 1 AS "row", b - 1 AS col FROM range(26) x(a) CROSS JOIN range(34) y(b)),
+off AS MATERIALIZED (SELECT n.image_id, n.node_id, g."row", g.col FROM res n CROSS JOIN grid g ANTI JOIN sup s ON s.image_id = n.image_id AND s.node_id = n.node_id AND s."row" = g."row" AND s.col = g.col),
+flood AS (SELECT image_id, node_id, "row", col FROM off WHERE "row" = -1 AND col = -1
+  UNION SELECT n.image_id, n.node_id, n."row", n.col FROM flood r CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) k(dr, dc) JOIN off n ON n.image_id = r.image_id AND n.node_id = r.node_id AND n."row" = r."row" + dr AND n.col = r.col + dc),
+whole AS (SELECT n.image_id, n.node_id, g."row"::DOUBLE AS y, g.col::DOUBLE AS x FROM res n CROSS JOIN grid g ANTI JOIN flood s ON s.image_id = n.image_id AND s.node_id = n.node_id AND s."row" = g."row" AND s.col = g.col),
+sums AS (SELECT image_id, node_id, count(*)::DOUBLE AS n, count(*)::DOUBLE AS s00, sum(x) AS s10, sum(y) AS s01, sum(x * x) AS s20, sum(y * y) AS s02, sum(x * y) AS s11 FROM whole GROUP BY ALL),
+mid AS (SELECT image_id, node_id, count(*)::DOUBLE AS area, avg(col) AS x0, avg("row") AS y0 FROM sup GROUP BY ALL),
+mus AS (SELECT *, {", ".join(f"{e} AS {k}" for k, e in mu.items())} FROM sums JOIN mid USING (image_id, node_id)),
+axes AS (SELECT *, (mu20 + mu02 + sqrt(pow(mu20 - mu02, 2) + 4 * mu11 * mu11)) / 2 AS l1, greatest((mu20 + mu02 - sqrt(pow(mu20 - mu02, 2) + 4 * mu11 * mu11)) / 2, 0.0) AS l2 FROM mus)
+SELECT image_id, node_id, {", ".join(f"round({e}, 6) + 0.0 AS {k}" for k, e in out.items())} FROM axes"""
+
+
 def nearest(keep: str, sign: int = 1) -> str:
     """Pixels at the level of the nearest kept node; keep is a subquery of image_id, node_id."""
     return f"""{tree(sign=sign)}, kept AS ({keep} UNION SELECT image_id, node_id FROM res WHERE node_id = parent_id)
@@ -103,6 +173,10 @@ ORACLES: dict[str, str] = {
     "flat_zones": f"""WITH RECURSIVE {RASTERS['L']},
 reach AS (SELECT image_id, pixel_id AS a, pixel_id AS b, value, "row", col FROM px UNION SELECT r.image_id, r.a, n.pixel_id, r.value, n."row", n.col FROM reach r JOIN px n ON n.image_id = r.image_id AND n.value = r.value AND abs(n."row" - r."row") + abs(n.col - r.col) = 1)
 SELECT image_id, zone_id, count(*) AS area, any_value(value) AS value FROM (SELECT image_id, a, min(b) AS zone_id, any_value(value) AS value FROM reach GROUP BY image_id, a) GROUP BY image_id, zone_id""",
+    "user_tree_nodes": user_nodes(),
+    "shape_tree_nodes": shape_nodes(),
+    "grain_filter": grains(4),
+    "attributes_filled": filled(),
     "max_tree_nodes": nodes(),
     "max_tree_nodes_4": nodes(square=1),
     "min_tree_nodes": nodes(sign=-1),

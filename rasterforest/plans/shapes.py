@@ -10,6 +10,8 @@ along these links, without writing out their pixels.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,11 +104,13 @@ def filled_components(forest: Forest, sums: dict[str, Column]) -> DataFrame:
     return out
 
 
-def shapes_of(dark: Forest, bright: Forest, seed_row: int, seed_col: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+def shapes_of(dark: Forest, bright: Forest, seed_row: int, seed_col: int, keep: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[int], DataFrame]]:
     """Shapes of a pair of dual trees: components filled up as seen from the seed.
 
-    classes: key, node_id (of the shape), parent_id, area, bright, dark (whether such a
-    component fills up to it). owners: key, pixel_id and node_id, the least shape around.
+    classes: key, node_id (of the shape), parent_id, area. owners: key, pixel_id and
+    node_id, the least shape around. named: key, tree (0: bright, 1: dark), node_id, the
+    area of the filled component and its shape. Last, for a tree, what lies just outside
+    of each component at its own level (key, node_id, up: a node of the dual).
     """
     forests = (bright, dark)
     away = F.abs(F.col("row") - seed_row) + F.abs(F.col("col") - seed_col)
@@ -126,22 +130,30 @@ def shapes_of(dark: Forest, bright: Forest, seed_row: int, seed_col: int, keep:
     tip = F.when(F.col("seeded"), "").otherwise(F.concat_ws(":", "tip.row", "tip.col"))
     area = keep.keep(area.select(*KEY, "tree", "node_id", "area", tip.alias("tip")), "areas")
     code = F.col("node_id") * 2 + F.col("tree")
-    shape = area.groupBy(*KEY, "area", "tip").agg(F.min(code).alias("shape"), F.bool_or(F.col("tree") == 0).alias("bright"), F.bool_or(F.col("tree") == 1).alias("dark"))
+    shape = area.groupBy(*KEY, "area", "tip").agg(F.min(code).alias("shape"))
     named = keep.keep(area.join(shape, [*KEY, "area", "tip"]).drop("tip"), "named")
 
-    def around(t: int) -> DataFrame:
-        """What strictly holds a component may be: its parent's shape, or that of the least dual component just outside, up to the parent's level."""
+    def outside(t: int, own: bool) -> DataFrame:
+        """The dual component just outside of each component: at the component's own level, or the least one, up to its parent's level."""
         f, dual = forests[t], forests[1 - t]
         sign = 1 if f.kind == "max" else -1
         at = dual.owners.select(*KEY, "row", "col", "node_id")
-        up = f.nodes.select(*KEY, F.col("node_id").alias("parent_id"), (sign * F.col("level")).alias("bound"))
-        levels = f.nodes.join(up, [*KEY, "parent_id"]).select(*KEY, F.col("node_id").alias("hole"), "bound")
+        if own:
+            levels = f.nodes.select(*KEY, F.col("node_id").alias("hole"), (sign * F.col("level")).alias("bound"))
+        else:
+            up = f.nodes.select(*KEY, F.col("node_id").alias("parent_id"), (sign * F.col("level")).alias("bound"))
+            levels = f.nodes.join(up, [*KEY, "parent_id"]).select(*KEY, F.col("node_id").alias("hole"), "bound")
         start = beside[t].join(at, [*KEY, "row", "col"]).join(levels, [*KEY, "hole"]).select(*KEY, "hole", "bound", "node_id")
         marks = dual.nodes.select(*NODE, (sign * F.col("level")).alias("mark"))
-        over = climbed(dual.strides, dual.nodes, start, ["hole"], marks, F.col("mark") > F.col("bound"))
+        passes = F.col("mark") >= F.col("bound") if own else F.col("mark") > F.col("bound")
+        over = climbed(dual.strides, dual.nodes, start, ["hole"], marks, passes)
         # The last dual component up to that level: the child, on the way, of the first beyond it.
-        last = below(dual, start, over)
-        return f.nodes.where("node_id <> parent_id").select(*NODE, F.lit(t).alias("tree"), F.lit(t).alias("to"), F.col("parent_id").alias("up")).unionByName(last.select(*KEY, F.col("hole").alias("node_id"), F.lit(t).alias("tree"), F.lit(1 - t).alias("to"), F.col("node_id").alias("up")))
+        return below(dual, start, over).select(*KEY, F.col("hole").alias("node_id"), F.col("node_id").alias("up"))
+
+    def around(t: int) -> DataFrame:
+        """What strictly holds a component may be: its parent's shape, or that of the least dual component just outside."""
+        f, last = forests[t], outside(t, False)
+        return f.nodes.where("node_id <> parent_id").select(*NODE, F.lit(t).alias("tree"), F.lit(t).alias("to"), F.col("parent_id").alias("up")).unionByName(last.select(*NODE, F.lit(t).alias("tree"), F.lit(1 - t).alias("to"), "up"))
 
     def below(dual: Forest, start: DataFrame, over: DataFrame) -> DataFrame:
         """For each start, the highest ancestor under the one in over, or the root where none is."""
@@ -154,12 +166,31 @@ def shapes_of(dark: Forest, bright: Forest, seed_row: int, seed_col: int, keep:
     ends = named.select(*KEY, F.col("tree").alias("to"), F.col("node_id").alias("up"), F.col("shape").alias("above"), F.col("area").alias("size"))
     links = links.join(named, [*KEY, "tree", "node_id"]).join(ends, [*KEY, "to", "up"]).where("above <> shape")
     parents = links.groupBy(*KEY, "shape").agg(F.min_by("above", "size").alias("above"))
-    classes = named.groupBy(*KEY, "shape").agg(F.first("area").alias("area"), F.first("bright").alias("bright"), F.first("dark").alias("dark"))
-    classes = classes.join(parents, [*KEY, "shape"], "left").select(*KEY, F.col("shape").alias("node_id"), F.coalesce("above", "shape").alias("parent_id"), "area", "bright", "dark")
+    classes = named.groupBy(*KEY, "shape").agg(F.first("area").alias("area"))
+    classes = classes.join(parents, [*KEY, "shape"], "left").select(*KEY, F.col("shape").alias("node_id"), F.coalesce("above", "shape").alias("parent_id"), "area")
     side = lambda t: named.where(F.col("tree") == t).select(*NODE, F.struct("area", "shape").alias(f"s{t}"))
     pixels = [f.owners.select(*KEY, "pixel_id", "node_id").join(side(t), NODE).drop("node_id") for t, f in enumerate(forests)]
     owners = pixels[0].join(pixels[1], [*KEY, "pixel_id"]).select(*KEY, "pixel_id", F.least("s0", "s1")["shape"].alias("node_id"))
-    return keep.keep(classes, "shapes"), keep.keep(owners, "shape-owners")
+    return keep.keep(classes, "shapes"), keep.keep(owners, "shape-owners"), named, lambda t: outside(t, True)
+
+
+def enclosed(forests: tuple[Forest, Forest], named: DataFrame, outside: Callable[[int], DataFrame], keep: Scratch) -> DataFrame:
+    """key, node_id of the shapes of four-connected components that lie within the opposite kind.
+
+    Where two bright and two dark pixels meet across, the outer kind is connected there and
+    the inner one isn't. A component belongs to the outer kind if its eight-connected
+    component, filled up, is larger than what lies just outside of the four-connected one.
+    """
+    out = []
+    for t, f in enumerate(forests):  # bright components have four neighbours in the first pair, dark ones in the second
+        four = named.where((F.col("tree") == t) & (F.col("channel") % 2 == t))
+        sizes = named.select(*KEY, F.col("tree").alias("to"), F.col("node_id").alias("up"), F.col("area").alias("out_area"))
+        beyond = outside(t).withColumn("to", F.lit(1 - t)).join(sizes, [*KEY, "to", "up"]).select(*NODE, "out_area")
+        eight = f.owners.where(F.col("channel") % 2 == 1 - t).select(*KEY, "node_id", "pixel_id")
+        eight = eight.join(named.where(F.col("tree") == t).select(*NODE, F.col("area").alias("wide")), NODE)
+        eight = eight.select("image_id", (F.col("channel") - (1 - t) + t).alias("channel"), F.col("pixel_id").alias("node_id"), "wide")
+        out.append(four.join(beyond, NODE).join(eight, NODE).where("wide < out_area").select(*KEY, F.col("shape").alias("node_id")))
+    return keep.keep(out[0].unionByName(out[1]).distinct(), "enclosed")
 
 
 def kept_only(classes: DataFrame, kept: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -174,9 +205,10 @@ def kept_only(classes: DataFrame, kept: DataFrame, keep: Scratch) -> tuple[DataF
 def shape_tree(pixels: DataFrame, interpolation: str = "self-dual", seed_row: int = 0, seed_col: int = 0) -> Forest:
     """The tree of shapes: bright and dark components, filled up as seen from the seed pixel, by inclusion.
 
-    interpolation: self-dual (components of both kinds are four-connected, and what is left
-    is eight-connected, as in the interpolated grid), min4-max8 or min8-max4 (dark and
-    bright components have those neighbours). A shape is a node where it owns pixels, that
+    interpolation: self-dual (the image between pixels takes the value, within the span of
+    the pixels around, that a flood from the seed brings there: where kinds meet across, the
+    outer one is connected), min4-max8 or min8-max4 (dark and bright components have those
+    neighbours). A shape is a node where it owns pixels, that
     is, is the least shape around them; a shape of its parent's level is part of it. The
     seed's level is the root's. Fails for a seed outside of a raster and for rasters with
     missing pixels.
@@ -192,28 +224,30 @@ def shape_tree(pixels: DataFrame, interpolation: str = "self-dual", seed_row: in
     if interpolation == "self-dual":
         # Bright shapes from one complementary pair, dark ones from the other; both pairs share the jobs.
         grown = grown_together(px, [("max", 1.0), ("max", 1.5), ("min", 1.5), ("min", 1.0)])
-        found = shapes_of(picked(grown, 4, [2, 3], "min"), picked(grown, 4, [0, 1], "max"), seed_row, seed_col, keep)
+        pair = picked(grown, 4, [0, 1], "max"), picked(grown, 4, [2, 3], "min")
+        *found, named, outside = shapes_of(pair[1], pair[0], seed_row, seed_col, keep)
+        found.append(enclosed(pair, named, outside, keep))
         one = lambda df, t: df.where(F.col("channel") % 2 == t).withColumn("channel", F.expr("channel div 2").cast("int"))
-        nodes, owners = joined_shapes([(*(one(df, t) for df in found), kind) for t, kind in enumerate(("bright", "dark"))], keep)
+        nodes, owners = joined_shapes([tuple(one(df, t) for df in found) for t in range(2)], keep)
     else:
         dark, bright = INTERPOLATIONS[interpolation]
         grown = grown_together(px, [("max", bright), ("min", dark)])
-        classes, owners = shapes_of(picked(grown, 2, [1], "min"), picked(grown, 2, [0], "max"), seed_row, seed_col, keep)
+        classes, owners, *_ = shapes_of(picked(grown, 2, [1], "min"), picked(grown, 2, [0], "max"), seed_row, seed_col, keep)
         nodes, _ = kept_only(classes, owners.select(*NODE).distinct(), keep)
     out = levelled(px, nodes, owners, keep)
     keep.close()
     return out
 
 
-def joined_shapes(found: list[tuple[DataFrame, DataFrame, str]], keep: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Nodes and owners of one tree from the bright shapes of one tree and the dark ones of another.
+def joined_shapes(found: list[tuple[DataFrame, DataFrame, DataFrame]], keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Nodes and owners of one tree from some shapes of two trees: each its classes, owners and the shapes that count.
 
     Shapes of both trees lie within one another or apart, so what holds a pixel is a chain
     by area. Equal shapes go by the first tree's name.
     """
     sides = []
-    for i, (classes, owners, kind) in enumerate(found):
-        own, holder = kept_only(classes, classes.where(F.col(kind) | (F.col("node_id") == F.col("parent_id"))).select(*NODE), keep)
+    for i, (classes, owners, counts) in enumerate(found):
+        own, holder = kept_only(classes, classes.where("node_id = parent_id").select(*NODE).unionByName(counts).distinct(), keep)
         least = owners.join(holder, NODE).select(*KEY, "pixel_id", F.col("holder").alias("node_id")).join(own.select(*NODE, "area"), NODE)
         sides.append((own, keep.keep(least.select(*KEY, "pixel_id", F.col("node_id").alias(f"n{i}"), F.col("area").alias(f"a{i}")), "least")))
     both = sides[0][1].join(sides[1][1], [*KEY, "pixel_id"])

@@ -2,6 +2,7 @@
 
 Raster E: events by type, hour of day and user; raster L: line items by return flag,
 quantity and discount; raster V: each embedding as 8 by 8 values. Values have 16 levels.
+Raster U: events by user and hour, one image that grows with the table; its values are numbers.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ def raster(spark: SparkSession, sf_dir: str, name: str = "E") -> DataFrame:
         if name == "L":
             df = table(spark, sf_dir, "lineitem")
             return quantize(rasterize(df, F.col("l_returnflag"), F.col("l_quantity").cast("int") % 32, F.round(F.col("l_discount") * 100).cast("int"), 32, 11))
+        if name == "U":
+            df = table(spark, sf_dir, "events").where("user_id >= 0").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour"))
+            size = df.agg(F.max("user_id").alias("users"), F.min("hour").alias("first"), F.max("hour").alias("last")).first()
+            n_rows, n_cols = ((size["users"] + 1, size["last"] - size["first"] + 1) if size["users"] is not None else (1, 1))
+            return rasterize(df, F.lit("events"), F.col("user_id"), F.col("hour") - F.lit(size["first"]), n_rows, n_cols)
         v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), F.col("embedding").cast("array<double>").alias("e")).where("size(e) = 64")
         v = v.select("image_id", F.array_min("e").alias("lo"), F.array_max("e").alias("hi"), F.posexplode("e").alias("at", "x"))
         value = F.when(F.col("hi") > F.col("lo"), F.floor(15 * (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(0).cast("int")
@@ -56,6 +62,10 @@ def forest(spark: SparkSession, sf_dir: str, kind: str = "max", radius: float =
     return once(spark, (sf_dir, kind, radius, name), lambda: build(raster(spark, sf_dir, name), kind, radius))
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> Forest:
+    return once(spark, (sf_dir, "shapes", "V"), lambda: trees.tree_of_shapes(raster(spark, sf_dir, "V")))
+
+
 def r6(df: DataFrame, *names: str) -> DataFrame:
     # + 0.0 turns a negative zero into zero.
     return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
@@ -65,6 +75,7 @@ BASICS = ["AREA", "GRAY_LEVEL", "VOLUME", "MEAN_GRAY_LEVEL", "GRAY_LEVEL_VARIANC
 MOMENTS = ["CENTRAL_MOMENT_20", "CENTRAL_MOMENT_02", "CENTRAL_MOMENT_11", "HU_MOMENT_1", "INERTIA", "COMPACTNESS", "RAW_INERTIA"]
 SIDES = ["CONTOUR_PIXELS", "CONTOUR_PERIMETER", "CONTOUR_SIDE_NORTH", "CONTOUR_SIDE_WEST", "CONTOUR_SIDE_EAST", "CONTOUR_SIDE_SOUTH"]
 SHAPES = ["CENTRAL_MOMENT_30", "CENTRAL_MOMENT_03", "CENTRAL_MOMENT_21", "CENTRAL_MOMENT_12", "HU_MOMENT_2", "LENGTH_MAJOR_AXIS", "LENGTH_MINOR_AXIS", "RELATIVE_VOLUME"]
+FILLED = ["FILLED_AREA", "FILLED_CENTROID_ROW", "FILLED_CENTROID_COLUMN", "FILLED_LENGTH_MAJOR_AXIS", "FILLED_LENGTH_MINOR_AXIS", "FILLED_AXIS_ORIENTATION", "FILLED_ECCENTRICITY", "FILLED_INERTIA", "HOLE_AREA_FRACTION", "FILLED_CENTROID_DISPLACEMENT_NORMALIZED", "FILLED_COMPACTNESS", "FILLED_CIRCULARITY", "FILLED_AXIS_ORIENTATION_SIGNED"]
 BRANCHES = ["NUM_SIBLINGS_NODE", "NUM_LEAF_DESCENDANTS_NODE", "LEAF_RATIO_NODE", "BALANCE_NODE", "AVG_CHILD_HEIGHT_NODE"]
 DISTANCES = ["MAX_DIST", "MAX_SQUARED_DIST", "DIST_SQUARED_SUM", "DIST_SQUARED_MEAN", "DIST_RMS", "DIST_SQUARED_VARIANCE", "MAX_DIST_CENTER_ROW", "MAX_DIST_CENTER_COLUMN", "MAX_DIST_PLATEAU_AREA", "MAX_DIST_PLATEAU_CENTROID_ROW", "MAX_DIST_PLATEAU_CENTROID_COLUMN", "DIST_SUM", "DIST_MEAN", "DIST_VARIANCE", "DIST_MEDIAN", "DIST_Q25", "DIST_Q75", "DIST_Q90", "DIST_ENTROPY", "DIST_POSITIVE_AREA", "DIST_LEVEL_COUNT"]
 TOPOLOGY = ["DEPTH_NODE", "IS_LEAF_NODE", "IS_ROOT_NODE", "NUM_CHILDREN_NODE", "NUM_DESCENDANTS_NODE", "SUBTREE_HEIGHT"]
@@ -78,6 +89,19 @@ def _nodes(kind: str, radius: float = 1.5, name: str = "E") -> Callable[[SparkSe
     return run
 
 
+def shape_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = shapes(spark, sf_dir)
+    n = f.nodes.join(filters.area_of(f).withColumnRenamed("area", "n"), NODE)
+    return n.select("image_id", "node_id", "parent_id", *[F.col(c).cast("long").alias(c) for c in ("level", "residue", "proper_area")], F.col("n").cast("long").alias("area"))
+
+
+def grain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of fewer than 4 pixels removed, bright and dark alike."""
+    f = shapes(spark, sf_dir)
+    out = filters.pruning_min(f, filters.area_of(f), F.col("area") >= 4)
+    return out.select("image_id", "pixel_id", F.col("value").cast("long").alias("value"))
+
+
 def _attributes(names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return r6(attributes.compute(forest(spark, sf_dir), names), *names).select("image_id", "node_id", *names)
@@ -395,6 +419,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "max_tree_nodes_4": _nodes("max", 1.0),
     "min_tree_nodes": _nodes("min"),
     "vector_tree_nodes": _nodes("max", 1.5, "V"),
+    "user_tree_nodes": _nodes("max", 1.5, "U"),
+    "shape_tree_nodes": shape_tree_nodes,
+    "grain_filter": grain_filter,
+    "attributes_filled": _attributes(FILLED),
     "attributes_basic": _attributes(BASICS),
     "attributes_moments": _attributes(MOMENTS),
     "attributes_contour": _attributes(SIDES),

@@ -47,36 +47,52 @@ def parts(on, radius):
     return out
 
 
+def flooded(image, seed):
+    """The image between and at the pixels of a grid of 2n - 1: each place takes the value within its span that the flood from the seed brings."""
+    h, w = 2 * image.shape[0] - 1, 2 * image.shape[1] - 1
+    span = {}
+    for r, c in np.ndindex(h, w):
+        around = [int(image[y, x]) for y in {r // 2, (r + 1) // 2} for x in {c // 2, (c + 1) // 2}]
+        span[r, c] = (min(around), max(around))
+    start = (2 * seed[0], 2 * seed[1])
+    level, out, waiting = span[start][0], {}, {start: span[start][0]}
+    while waiting:
+        p = min(waiting, key=lambda q: (abs(waiting[q] - level), q))
+        level = out[p] = waiting.pop(p)
+        for dr, dc in STEPS[1.0]:
+            if (q := (p[0] + dr, p[1] + dc)) in span and q not in out and q not in waiting:
+                waiting[q] = min(max(level, span[q][0]), span[q][1])
+    return np.array([[out[r, c] for c in range(w)] for r in range(h)])
+
+
 def shapes(image, interpolation, seed):
-    """Node (least own pixel) to level, parent and support, from all filled components."""
+    """Node (least own pixel) to level, parent, own pixels and area, from all filled components."""
     dark, bright = INTERPOLATIONS[interpolation]
-    every = frozenset(np.ndindex(image.shape))
+    if interpolation == "self-dual":
+        grid, seed = flooded(image, seed), (2 * seed[0], 2 * seed[1])
+        pixel = {(2 * r, 2 * c): (r, c) for r, c in np.ndindex(image.shape)}
+    else:
+        grid, pixel = image, {p: p for p in np.ndindex(image.shape)}
+    every = frozenset(np.ndindex(grid.shape))
     found = {every}
-    for t in np.unique(image):
-        sides = [({p for p in every if image[p] >= t}, bright, dark), ({p for p in every if image[p] <= t}, dark, bright)]
-        for on, own, other in sides:
-            around = 1.5 if interpolation == "self-dual" else other
+    for t in np.unique(grid):
+        for on, own, other in (({p for p in every if grid[p] >= t}, bright, dark), ({p for p in every if grid[p] <= t}, dark, bright)):
             for part in parts(on, own):
-                outside = [p for p in parts(every - part, around) if seed in p]
+                outside = [p for p in parts(every - part, other) if seed in p]
                 found.add(every - outside[0] if outside else every)
-    chain = {p: sorted((s for s in found if p in s), key=len) for p in every}
-    owned = {chain[p][0] for p in every}
-    level = {s: {int(image[p]) for p in every if chain[p][0] == s} for s in owned}
-    assert all(len(v) == 1 for v in level.values())
-    ups = {s: next((x for x in sorted(owned, key=len) if s < x), None) for s in owned}
-
-    def top(s):
-        while ups[s] is not None and level[ups[s]] == level[s]:
-            s = ups[s]
-        return s
-
-    name = {}
-    for p in every:
-        name.setdefault(top(chain[p][0]), []).append(p[0] * image.shape[1] + p[1])
+    # In pixels; shapes without pixels of their own go.
+    found = {frozenset(pixel[p] for p in s if p in pixel) for s in found} - {frozenset()}
+    chain = {p: sorted((s for s in found if p in s), key=len) for p in pixel.values()}
+    assert all(a < b for c in chain.values() for a, b in zip(c, c[1:]))
+    own = {}
+    for p, c in chain.items():
+        own.setdefault(c[0], []).append(p)
+    name = {s: min(r * image.shape[1] + c for r, c in ps) for s, ps in own.items()}
     out = {}
-    for s, own in name.items():
-        up = ups[s]
-        out[min(own)] = (level[s].copy().pop(), min(name[top(up)]) if up is not None else min(own), len(own), len(s))
+    for s, ps in own.items():
+        up = next((x for x in sorted(own, key=len) if s < x), s)
+        assert len({int(image[p]) for p in ps}) == 1
+        out[name[s]] = (int(image[ps[0]]), name[up], len(ps), len(s))
     return out
 
 
