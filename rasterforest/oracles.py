@@ -52,30 +52,50 @@ FROM res r JOIN (SELECT image_id, node_id, count(*) AS n FROM own GROUP BY ALL)
 UNION ALL SELECT 'events', node_id, node_id, 0, 0, (SELECT n FROM every) - (SELECT count(*) FROM px), 0 FROM root"""
 
 
-#: Shapes of raster V as sets: each component of either kind, and what the seed's flood around it doesn't reach.
+def spread(name: str, of: str, start: str, near: str) -> str:
+    """A recursive table of image_id, s, c and the pixels reached within table `of` (with row, col and v) from start."""
+    return f"""{name} AS (SELECT image_id, s, c, pixel_id, "row", col, t FROM ({start})
+  UNION SELECT r.image_id, r.s, r.c, n.pixel_id, n."row", n.col, r.t FROM {name} r JOIN {of} n ON n.image_id = r.image_id AND n.s = r.s AND {near})"""
+
+
+def spare(name: str, part: str) -> str:
+    """Of each component's image, the pixels that a table of parts doesn't have."""
+    return f"""{name} AS MATERIALIZED (SELECT h.image_id, h.s, h.c, p.pixel_id, p."row", p.col, p.v, h.t FROM heads h JOIN f p ON p.image_id = h.image_id AND p.s = h.s ANTI JOIN {part} q ON q.image_id = h.image_id AND q.s = h.s AND q.c = h.c AND q.pixel_id = p.pixel_id)"""
+
+
+NEAR4 = 'abs(n."row" - r."row") + abs(n.col - r.col) = 1'
+NEAR8 = 'n."row" BETWEEN r."row" - 1 AND r."row" + 1 AND n.col BETWEEN r.col - 1 AND r.col + 1'
+#: Shapes of raster V as sets. A component (s: 1 bright, -1 dark; c: its head) with four
+#: neighbours counts where its component with eight, filled up, is smaller than what a
+#: spread among the opposite kind just outside of it fills up.
 SHAPES = f"""WITH RECURSIVE {RASTERS['V']},
 f AS MATERIALIZED (SELECT px.*, s, s * value AS v FROM px CROSS JOIN (VALUES (1), (-1)) k(s)),
-reach AS (SELECT image_id, s, pixel_id AS a, pixel_id AS b, v AS t, "row", col FROM f
-  UNION SELECT r.image_id, r.s, r.a, n.pixel_id, r.t, n."row", n.col FROM reach r JOIN f n ON n.image_id = r.image_id AND n.s = r.s AND abs(n."row" - r."row") + abs(n.col - r.col) = 1 AND n.v >= r.t),
-heads AS (SELECT r.image_id, r.s, a, min(b) FILTER (WHERE f.v = r.t) AS head FROM reach r JOIN f ON f.image_id = r.image_id AND f.s = r.s AND f.pixel_id = r.b GROUP BY ALL),
-part AS MATERIALIZED (SELECT r.image_id, r.s, r.a AS c, r.b AS pixel_id FROM reach r JOIN heads h ON h.image_id = r.image_id AND h.s = r.s AND h.a = r.a AND h.head = r.a),
-off AS MATERIALIZED (SELECT h.image_id, h.s, h.a AS c, p.pixel_id, p."row", p.col FROM (SELECT * FROM heads WHERE a = head) h JOIN px p ON p.image_id = h.image_id ANTI JOIN part q ON q.image_id = h.image_id AND q.s = h.s AND q.c = h.a AND q.pixel_id = p.pixel_id),
-flood AS (SELECT image_id, s, c, pixel_id, "row", col FROM off WHERE pixel_id = 0
-  UNION SELECT r.image_id, r.s, r.c, n.pixel_id, n."row", n.col FROM flood r JOIN off n ON n.image_id = r.image_id AND n.s = r.s AND n.c = r.c AND n."row" BETWEEN r."row" - 1 AND r."row" + 1 AND n.col BETWEEN r.col - 1 AND r.col + 1),
-ins AS MATERIALIZED (SELECT h.image_id, h.s, h.a AS c, p.pixel_id FROM (SELECT * FROM heads WHERE a = head) h JOIN px p ON p.image_id = h.image_id ANTI JOIN flood q ON q.image_id = h.image_id AND q.s = h.s AND q.c = h.a AND q.pixel_id = p.pixel_id),
-sets AS (SELECT image_id, list(pixel_id ORDER BY pixel_id) AS shape FROM ins GROUP BY image_id, s, c),
-shapes AS MATERIALIZED (SELECT DISTINCT image_id, shape, len(shape) AS area FROM sets),
-holds AS MATERIALIZED (SELECT image_id, shape, area, unnest(shape) AS pixel_id FROM shapes),
-owner AS MATERIALIZED (SELECT h.image_id, h.pixel_id, arg_min(shape, area) AS shape, min(area) AS area FROM holds h GROUP BY ALL),
-owned AS MATERIALIZED (SELECT o.image_id, shape, any_value(area) AS area, min(o.pixel_id) AS rep, any_value(value) AS level FROM owner o JOIN px p ON p.image_id = o.image_id AND p.pixel_id = o.pixel_id GROUP BY o.image_id, shape),
-chain AS MATERIALIZED (SELECT o.image_id, o.shape, u.shape AS over, u.level, row_number() OVER w AS k, lead(u.level) OVER w AS next_level, lead(u.shape) OVER w AS next FROM owned o JOIN holds h ON h.image_id = o.image_id AND h.pixel_id = o.rep JOIN owned u ON u.image_id = h.image_id AND u.shape = h.shape WHERE u.area >= o.area WINDOW w AS (PARTITION BY o.image_id, o.shape ORDER BY u.area)),
-tops AS MATERIALIZED (SELECT image_id, shape, arg_min(over, k) AS top, arg_min(next, k) AS next, arg_min(level, k) AS level FROM (SELECT *, coalesce(next, []) AS n FROM chain WHERE next_level IS NULL OR next_level <> level) GROUP BY image_id, shape),
-names AS MATERIALIZED (SELECT t.image_id, t.top, min(o.pixel_id) AS node_id, count(*) AS proper_area, any_value(t.level) AS level FROM owner o JOIN tops t ON t.image_id = o.image_id AND t.shape = o.shape GROUP BY t.image_id, t.top)"""
+{spread("reach", "f", 'SELECT *, pixel_id AS c, v AS t FROM f', NEAR4 + " AND n.v >= r.t")},
+least AS (SELECT r.image_id, r.s, c, any_value(t) AS t, min(r.pixel_id) FILTER (WHERE f.v = r.t) AS head FROM reach r JOIN f ON f.image_id = r.image_id AND f.s = r.s AND f.pixel_id = r.pixel_id GROUP BY ALL),
+heads AS MATERIALIZED (SELECT image_id, s, c, any_value(t) AS t FROM least WHERE c = head GROUP BY ALL),
+four AS MATERIALIZED (SELECT r.* FROM reach r JOIN heads h ON h.image_id = r.image_id AND h.s = r.s AND h.c = r.c),
+{spare("off", "four")},
+{spread("flood", "off", "SELECT * FROM off WHERE pixel_id = 0", "n.c = r.c AND " + NEAR8)},
+{spread("eight", "f", 'SELECT f.*, h.c, h.t FROM heads h JOIN f ON f.image_id = h.image_id AND f.s = h.s AND f.pixel_id = h.c', NEAR8 + " AND n.v >= r.t")},
+{spare("off8", "eight")},
+{spread("flood8", "off8", "SELECT * FROM off8 WHERE pixel_id = 0", "n.c = r.c AND " + NEAR4)},
+{spread("beyond", "f", 'SELECT n.*, r.c, r.t FROM four r JOIN flood n ON n.image_id = r.image_id AND n.s = r.s AND n.c = r.c AND ' + NEAR4, NEAR8 + " AND n.v < r.t").replace("SELECT n.*, r.c, r.t", 'SELECT n.image_id, n.s, n.c, n.pixel_id, n."row", n.col, n.t')},
+{spare("off9", "beyond")},
+{spread("flood9", "off9", "SELECT * FROM off9 WHERE pixel_id = 0", "n.c = r.c AND " + NEAR4)},
+n8 AS (SELECT image_id, s, c, count(*) AS n FROM flood8 GROUP BY ALL),
+n9 AS (SELECT image_id, s, c, count(*) AS n FROM flood9 GROUP BY ALL),
+counts AS MATERIALIZED (SELECT h.* FROM heads h LEFT JOIN n8 USING (image_id, s, c) LEFT JOIN n9 USING (image_id, s, c) WHERE coalesce(n8.n, 0) > coalesce(n9.n, 0) OR NOT EXISTS (SELECT 1 FROM off o WHERE o.image_id = h.image_id AND o.s = h.s AND o.c = h.c AND o.pixel_id = 0)),
+ins AS (SELECT h.image_id, h.s, h.c, p.pixel_id FROM counts h JOIN px p ON p.image_id = h.image_id ANTI JOIN flood q ON q.image_id = h.image_id AND q.s = h.s AND q.c = h.c AND q.pixel_id = p.pixel_id),
+shapes AS MATERIALIZED (SELECT DISTINCT image_id, shape FROM (SELECT image_id, list(pixel_id ORDER BY pixel_id) AS shape FROM ins GROUP BY image_id, s, c)),
+holds AS MATERIALIZED (SELECT image_id, shape, len(shape) AS area, unnest(shape) AS pixel_id FROM shapes),
+owner AS MATERIALIZED (SELECT image_id, pixel_id, arg_min(shape, area) AS shape FROM holds GROUP BY ALL),
+owned AS MATERIALIZED (SELECT o.image_id, shape, len(shape) AS area, min(o.pixel_id) AS node_id, count(*) AS proper_area, any_value(value) AS level FROM owner o JOIN px p ON p.image_id = o.image_id AND p.pixel_id = o.pixel_id GROUP BY o.image_id, shape)"""
 
 
 def shape_nodes() -> str:
-    return f"""{SHAPES}, ups AS (SELECT n.image_id, n.node_id, n.level, n.proper_area, len(n.top) AS area, m.node_id AS up, m.level AS p_level FROM names n JOIN tops t ON t.image_id = n.image_id AND t.shape = n.top LEFT JOIN (SELECT image_id, shape, arg_min(next, k) AS next FROM chain WHERE next_level IS NOT NULL AND next_level <> level GROUP BY image_id, shape) c ON c.image_id = n.image_id AND c.shape = n.top LEFT JOIN tops q ON q.image_id = c.image_id AND q.shape = c.next LEFT JOIN names m ON m.image_id = q.image_id AND m.top = q.top)
-SELECT image_id, node_id, coalesce(up, node_id) AS parent_id, level, CASE WHEN up IS NULL THEN level ELSE level - p_level END AS residue, proper_area, area::BIGINT AS area FROM ups"""
+    """A node's parent is the next larger shape around its own pixel."""
+    return f"""{SHAPES}, ups AS (SELECT o.image_id, o.node_id, arg_min(u.node_id, u.area) AS up, arg_min(u.level, u.area) AS p_level FROM owned o JOIN holds h ON h.image_id = o.image_id AND h.pixel_id = o.node_id JOIN owned u ON u.image_id = h.image_id AND u.shape = h.shape WHERE u.area > o.area GROUP BY ALL)
+SELECT o.image_id, o.node_id, coalesce(up, o.node_id) AS parent_id, level, CASE WHEN up IS NULL THEN level ELSE level - p_level END AS residue, proper_area, area::BIGINT AS area FROM owned o LEFT JOIN ups u ON u.image_id = o.image_id AND u.node_id = o.node_id"""
 
 
 def grains(least: int) -> str:
@@ -96,11 +116,11 @@ def filled() -> str:
         "FILLED_CIRCULARITY": "CASE WHEN n <= 1 THEN 1.0 WHEN l1 <= 0 THEN 0.0 ELSE l2 / l1 END", "FILLED_AXIS_ORIENTATION_SIGNED": angle,
     }
     return f"""{tree()},
-grid AS MATERIALIZED (SELECT a - 1 AS "row", b - 1 AS col FROM range(26) x(a) CROSS JOIN range(34) y(b)),
-off AS MATERIALIZED (SELECT n.image_id, n.node_id, g."row", g.col FROM res n CROSS JOIN grid g ANTI JOIN sup s ON s.image_id = n.image_id AND s.node_id = n.node_id AND s."row" = g."row" AND s.col = g.col),
+box AS MATERIALIZED (SELECT a - 1 AS "row", b - 1 AS col FROM range(26) x(a) CROSS JOIN range(34) y(b)),
+off AS MATERIALIZED (SELECT n.image_id, n.node_id, g."row", g.col FROM res n CROSS JOIN box g ANTI JOIN sup s ON s.image_id = n.image_id AND s.node_id = n.node_id AND s."row" = g."row" AND s.col = g.col),
 flood AS (SELECT image_id, node_id, "row", col FROM off WHERE "row" = -1 AND col = -1
   UNION SELECT n.image_id, n.node_id, n."row", n.col FROM flood r CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) k(dr, dc) JOIN off n ON n.image_id = r.image_id AND n.node_id = r.node_id AND n."row" = r."row" + dr AND n.col = r.col + dc),
-whole AS (SELECT n.image_id, n.node_id, g."row"::DOUBLE AS y, g.col::DOUBLE AS x FROM res n CROSS JOIN grid g ANTI JOIN flood s ON s.image_id = n.image_id AND s.node_id = n.node_id AND s."row" = g."row" AND s.col = g.col),
+whole AS (SELECT n.image_id, n.node_id, g."row"::DOUBLE AS y, g.col::DOUBLE AS x FROM res n CROSS JOIN box g ANTI JOIN flood s ON s.image_id = n.image_id AND s.node_id = n.node_id AND s."row" = g."row" AND s.col = g.col),
 sums AS (SELECT image_id, node_id, count(*)::DOUBLE AS n, count(*)::DOUBLE AS s00, sum(x) AS s10, sum(y) AS s01, sum(x * x) AS s20, sum(y * y) AS s02, sum(x * y) AS s11 FROM whole GROUP BY ALL),
 mid AS (SELECT image_id, node_id, count(*)::DOUBLE AS area, avg(col) AS x0, avg("row") AS y0 FROM sup GROUP BY ALL),
 mus AS (SELECT *, {", ".join(f"{e} AS {k}" for k, e in mu.items())} FROM sums JOIN mid USING (image_id, node_id)),
