@@ -27,6 +27,13 @@ LEAST = np.iinfo(np.int64).min
 LAST = (1 << 63) - 1
 
 
+def padded(x: np.ndarray) -> np.ndarray:
+    """x with a row or column of zeros more where its sides are odd."""
+    out = np.zeros((x.shape[0] + x.shape[0] % 2, x.shape[1] + x.shape[1] % 2), dtype=x.dtype)
+    out[: x.shape[0], : x.shape[1]] = x
+    return out
+
+
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     """The product of two integer matrices by seven half-size products, odd sides padded with zeros.
 
@@ -37,8 +44,7 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     if min(m, k, n) <= leaf:
         return a @ b
     if m % 2 or k % 2 or n % 2:
-        a = np.pad(a, ((0, m % 2), (0, k % 2)))
-        b = np.pad(b, ((0, k % 2), (0, n % 2)))
+        a, b = padded(a), padded(b)
     h, i, j = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
     a11, a12, a21, a22 = a[:h, :i], a[:h, i:], a[h:, :i], a[h:, i:]
     b11, b12, b21, b22 = b[:i, :j], b[:i, j:], b[i:, :j], b[i:, j:]
@@ -57,6 +63,11 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     return out[:m, :n]
 
 
+def whole_components(vector: Column, factor: int = 256) -> Column:
+    """floor(factor * x) of each component as a double; beyond 2**53 doubles have no fractions, which floor's longs couldn't hold."""
+    return F.transform(vector, lambda x: F.when(F.abs(x * factor) < 2.0**53, F.floor(x * factor).cast("double")).otherwise(x * factor))
+
+
 def whole_numbers(x: np.ndarray, room: float) -> np.ndarray:
     """Doubles without fractions as int64 where products stay below 2**63, else as Python integers."""
     return x.astype(np.int64) if room < 2.0**62 else np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
@@ -180,7 +191,7 @@ def mine_hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, ne
     Rows with a null label or a null, empty or unsound vector take no part; vectors of
     different lengths are never compared. Rows that repeat the anchor's id are no positives
     of it. A null vec_id is never an anchor and comes last among ties. Scores beyond 64
-    bits stay at their ends. Without positives or fitting negatives an anchor has no row; an
+    bits count as its ends. Without positives or fitting negatives an anchor has no row; an
     empty table gives none. Other columns are ignored.
     """
     keep = Scratch(rows.sparkSession, "hard-negatives")

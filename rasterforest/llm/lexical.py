@@ -144,7 +144,7 @@ def lexical_search(docs: DataFrame, items: DataFrame, k: int = 10, block_words:
     0 are returned, so items without terms, or whose terms no document has, have no rows.
     Null and empty texts have no terms. Each row of items is an item, also where ids repeat
     or are null; repeated documents each take a rank; null doc_ids come after all others of
-    the same score. Empty tables give no rows.
+    the same score (inside, 2**63 - 1 stands for them). Empty tables give no rows.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "lexical")

@@ -76,7 +76,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < float("inf"), F.floor(x * 256).cast("double")))
+    scaled = hard_negatives.whole_components(F.col("embedding").cast("array<double>"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), scaled.alias("vector"))
     return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3)
 
