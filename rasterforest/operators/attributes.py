@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.shapes import filled_components
 from ..plans.trees import Forest
-from ..tables import KEY
-from .trees import NODE, jacobian, relatives, roll_up
+from ..tables import KEY, Scratch, settle
+from .trees import NODE, jacobian, lowest_common, relatives, roll_up, tree_intervals
 
 C = F.col
 
@@ -154,31 +157,83 @@ def _topology(forest: Forest) -> DataFrame:
     return t.join(kids, NODE, "left").select(*NODE, "SUBTREE_HEIGHT", d("depth").alias("DEPTH_NODE"), d("is_leaf").alias("IS_LEAF_NODE"), d("is_root").alias("IS_ROOT_NODE"), d("num_children").alias("NUM_CHILDREN_NODE"), d("num_siblings").alias("NUM_SIBLINGS_NODE"), d("n_below").alias("NUM_DESCENDANTS_NODE"), d("n_leaves").alias("NUM_LEAF_DESCENDANTS_NODE"), (C("n_leaves") / (C("n_below") + 1)).alias("LEAF_RATIO_NODE"), F.coalesce("balance", F.lit(0.0)).alias("BALANCE_NODE"), F.coalesce("avg_height", F.lit(0.0)).alias("AVG_CHILD_HEIGHT_NODE"))
 
 
+STEPS = {"NORTH": (-1, 0), "WEST": (0, -1), "EAST": (0, 1), "SOUTH": (1, 0)}
+
+
+def _meetings(forest: Forest) -> DataFrame:
+    """key, row, col, node_id, depth and, for each side, meet and meet_depth: the least node that holds the neighbour there too; null beyond the raster.
+
+    In a max-tree or min-tree that is the higher of two neighbours' nodes; shapes that
+    touch may lie apart, and meet in their lowest common ancestor.
+    """
+    own = forest.owners.select(*KEY, "row", "col", "node_id").join(forest.nodes.select(*NODE, "depth"), NODE)
+    near = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.lit(r).alias("r"), F.lit(c).alias("c")) for n, (r, c) in STEPS.items()]))
+    beside = own.select(*KEY, C("row").alias("r2"), C("col").alias("c2"), C("node_id").alias("b"), C("depth").alias("b_depth"))
+    p = own.withColumn("s", near).withColumn("r2", C("row") + C("s.r")).withColumn("c2", C("col") + C("s.c")).join(beside, [*KEY, "r2", "c2"], "left")
+    p = p.select(*KEY, "row", "col", "node_id", "depth", C("s.side").alias("side"), "b", "b_depth")
+    if forest.kind != "shapes":
+        higher = C("b_depth") < C("depth")
+        return p.select(*KEY, "row", "col", "node_id", "depth", "side", F.when(higher, C("b")).when(C("b").isNotNull(), C("node_id")).alias("meet"), F.least("depth", "b_depth").alias("least")).select("*", F.when(C("meet").isNotNull(), C("least")).alias("meet_depth")).drop("least")
+    pairs = lowest_common(forest, p.where("b <> node_id").select(*KEY, C("node_id").alias("a"), "b"))
+    pairs = pairs.select(*KEY, C("a").alias("node_id"), "b", "meet").join(forest.nodes.select(*KEY, C("node_id").alias("meet"), C("depth").alias("meet_depth")), [*KEY, "meet"])
+    p = p.join(pairs, [*NODE, "b"], "left")
+    same = C("b") == C("node_id")
+    return p.select(*KEY, "row", "col", "node_id", "depth", "side", F.when(same, C("node_id")).otherwise(C("meet")).alias("meet"), F.when(same, C("depth")).otherwise(C("meet_depth")).alias("meet_depth"))
+
+
 def _sides(forest: Forest) -> DataFrame:
     """Contour sides and pixels: +1 where a pixel enters, -1 where its neighbour joins it."""
-    own = forest.owners.select(*KEY, "row", "col", "value", "node_id")
-    sign = 1 if forest.kind == "max" else -1
-    beside = own.select(*KEY, "row", "col", (C("value") * sign).alias("v2"), C("node_id").alias("node2"))
-    steps = {"NORTH": (-1, 0), "WEST": (0, -1), "EAST": (0, 1), "SOUTH": (1, 0)}
-    near = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.lit(r).alias("r"), F.lit(c).alias("c")) for n, (r, c) in steps.items()]))
-    p = own.select(*KEY, "node_id", (C("value") * sign).alias("v1"), F.struct("row", "col").alias("p"), near.alias("s"))
-    p = p.select("*", (C("p.row") + C("s.r")).alias("row"), (C("p.col") + C("s.c")).alias("col")).join(beside, [*KEY, "row", "col"], "left")
-    side = C("s.side")
-    lower = p.where("v2 IS NULL OR v2 < v1")
-    deltas = lower.select(*NODE, side.alias("side"), F.lit(1).alias("d")).unionByName(lower.where("v2 IS NOT NULL").select(*KEY, C("node2").alias("node_id"), side.alias("side"), F.lit(-1).alias("d")))
-    # A pixel is on the contour until its lowest neighbour joins: never, on the border.
-    lowest = p.groupBy(*KEY, "p", "node_id", "v1").agg(F.bool_or(C("v2").isNull()).alias("edge"), F.min(F.struct("v2", "node2")).alias("low"))
-    on = lowest.where("edge OR low.v2 < v1")
-    pixels = on.select(*NODE, F.lit("PIXELS").alias("side"), F.lit(1).alias("d")).unionByName(on.where("NOT edge").select(*KEY, C("low.node2").alias("node_id"), F.lit("PIXELS").alias("side"), F.lit(-1).alias("d")))
-    wide = deltas.unionByName(pixels).groupBy(*NODE).pivot("side", [*steps, "PIXELS"]).sum("d").na.fill(0)
+    p = _meetings(forest)
+    apart = p.where("meet IS NULL OR meet <> node_id")
+    deltas = apart.select(*NODE, "side", F.lit(1).alias("d")).unionByName(apart.where("meet IS NOT NULL").select(*KEY, C("meet").alias("node_id"), "side", F.lit(-1).alias("d")))
+    # A pixel is on the contour until its last neighbour joins: never, on the border.
+    last = p.groupBy(*KEY, "row", "col", "node_id").agg(F.bool_or(C("meet").isNull()).alias("edge"), F.min(F.struct("meet_depth", "meet")).alias("low"))
+    on = last.where("edge OR low.meet <> node_id")
+    pixels = on.select(*NODE, F.lit("PIXELS").alias("side"), F.lit(1).alias("d")).unionByName(on.where("NOT edge").select(*KEY, C("low.meet").alias("node_id"), F.lit("PIXELS").alias("side"), F.lit(-1).alias("d")))
+    wide = deltas.unionByName(pixels).groupBy(*NODE).pivot("side", [*STEPS, "PIXELS"]).sum("d").na.fill(0)
     base = forest.nodes.select(*NODE).join(wide, NODE, "left").na.fill(0)
-    up = roll_up(forest, base, **dict.fromkeys([*steps, "PIXELS"], "sum"))
+    up = roll_up(forest, base, **dict.fromkeys([*STEPS, "PIXELS"], "sum"))
     d = lambda c: c.cast("double")
-    return up.select(*NODE, d(C("PIXELS")).alias("CONTOUR_PIXELS"), d(C("NORTH") + C("WEST") + C("EAST") + C("SOUTH")).alias("CONTOUR_PERIMETER"), *[d(C(n)).alias(f"CONTOUR_SIDE_{n}") for n in steps])
+    return up.select(*NODE, d(C("PIXELS")).alias("CONTOUR_PIXELS"), d(C("NORTH") + C("WEST") + C("EAST") + C("SOUTH")).alias("CONTOUR_PERIMETER"), *[d(C(n)).alias(f"CONTOUR_SIDE_{n}") for n in STEPS])
 
 
-def _quads(forest: Forest) -> DataFrame:
-    """2x2 pattern counts: as the level falls, a quad passes through the patterns of its pixels so far."""
+def _quad_states(forest: Forest) -> DataFrame:
+    """key, node_id, kind, d: changes of 2x2 pattern counts where corners may enter by different branches.
+
+    The owners of a square's corners and their lowest common ancestors are a small tree:
+    along each of its branches the corners held so far make one pattern.
+    """
+    spans = tree_intervals(forest).join(forest.nodes.select(*NODE, "depth"), NODE)
+    corner = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(k).alias("k")) for k, (r, c) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0)))]))
+    q = forest.owners.select(*KEY, "row", "col", "node_id").join(spans, NODE).withColumn("x", corner)
+    cell = F.struct("tpre", "tpost", "depth", "node_id", C("x.k").alias("k"))
+    q = q.groupBy(*KEY, (C("row") - C("x.r")).alias("qr"), (C("col") - C("x.c")).alias("qc")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    # Squares with the same owners in the same corners count together.
+    key = F.transform("cells", lambda x: F.struct(x["tpre"].alias("tpre"), x["k"].alias("k")))
+    q = q.withColumn("key", key).groupBy(*KEY, "key").agg(F.first("cells").alias("cells"), F.count(F.lit(1)).alias("n"))
+    nodes = F.array_distinct(F.transform("cells", lambda x: x["node_id"]))
+    pairs = q.select(*KEY, "key", nodes.alias("o")).where(F.size("o") > 1).select(*KEY, "key", F.explode(F.transform(F.sequence(F.lit(1), F.size("o") - 1), lambda i: F.struct(F.get("o", i - 1).alias("a"), F.get("o", i).alias("b")))).alias("p")).select(*KEY, "key", "p.*")
+    met = pairs.join(lowest_common(forest, pairs), [*KEY, "a", "b"]).join(spans.withColumnRenamed("node_id", "meet"), [*KEY, "meet"])
+    met = met.groupBy(*KEY, "key").agg(F.collect_set(F.struct("tpre", "tpost", "depth", C("meet").alias("node_id"))).alias("met"))
+    q = q.join(met, [*KEY, "key"], "left")
+    plain = F.transform("cells", lambda x: F.struct(x["tpre"].alias("tpre"), x["tpost"].alias("tpost"), x["depth"].alias("depth"), x["node_id"].alias("node_id")))
+    q = q.withColumn("all", F.array_distinct(F.concat(plain, F.coalesce("met", F.array().cast("array<struct<tpre:bigint,tpost:bigint,depth:int,node_id:bigint>>")))))
+
+    def kind(x: Column) -> Column:
+        held = F.transform(F.filter("cells", lambda c: (c["tpre"] >= x["tpre"]) & (c["tpre"] < x["tpost"])), lambda c: c["k"])
+        facing = (F.size(held) == 2) & (F.abs(F.element_at(held, 1) - F.try_element_at(held, F.lit(2))) == 2)
+        return F.when(facing, "QD").otherwise(F.concat(F.lit("Q"), F.size(held).cast("string")))
+
+    def over(x: Column) -> Column:
+        holding = F.filter("all", lambda y: (y["tpre"] < x["tpre"]) & (x["tpre"] < y["tpost"]))
+        return F.array_max(F.transform(holding, lambda y: F.struct(y["depth"].alias("depth"), y["node_id"].alias("node_id"))))["node_id"]
+
+    states = q.select(*KEY, "n", F.explode(F.transform("all", lambda x: F.struct(x["node_id"].alias("node_id"), over(x).alias("up"), kind(x).alias("kind")))).alias("s")).select(*KEY, "n", "s.*")
+    return states.select(*NODE, "kind", C("n").alias("d")).unionByName(states.where("up IS NOT NULL").select(*KEY, C("up").alias("node_id"), "kind", (-C("n")).alias("d")))
+
+
+def _quad_chains(forest: Forest) -> DataFrame:
+    """The same for trees in which a square's corners lie on one branch: as the level falls, it passes through the patterns of its pixels so far."""
     sign = 1 if forest.kind == "max" else -1
     own = forest.owners.select(*KEY, "row", "col", (C("value") * sign).alias("v"), "node_id")
     corner = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(k).alias("k")) for k, (r, c) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0)))]))
@@ -196,8 +251,14 @@ def _quads(forest: Forest) -> DataFrame:
     s = q.select(*KEY, F.posexplode(states).alias("at", "s"), states.alias("all"))
     enter = s.select(*KEY, C("s.node_id").alias("node_id"), C("s.kind").alias("kind"), F.lit(1).alias("d"))
     leave = s.where(C("at") > 0).select(*KEY, C("s.node_id").alias("node_id"), F.get("all", C("at") - 1)["kind"].alias("kind"), F.lit(-1).alias("d"))
+    return enter.unionByName(leave)
+
+
+def _quads(forest: Forest) -> DataFrame:
+    """2x2 pattern counts of each node's component."""
+    changes = _quad_chains(forest) if forest.kind != "shapes" and forest.radius >= 1.5 else _quad_states(forest)
     kinds = ["Q1", "Q2", "Q3", "Q4", "QD"]
-    wide = enter.unionByName(leave).groupBy(*NODE).pivot("kind", kinds).sum("d").na.fill(0)
+    wide = changes.groupBy(*NODE).pivot("kind", kinds).sum("d").na.fill(0)
     up = roll_up(forest, forest.nodes.select(*NODE).join(wide, NODE, "left").na.fill(0), **dict.fromkeys(kinds, "sum"))
     q1, q2, q3, q4, qd = (C(k).cast("double") for k in kinds)
     euler = (q1 - q3 + (-2 if forest.radius >= 1.5 else 2) * qd) / 4
@@ -207,33 +268,64 @@ def _quads(forest: Forest) -> DataFrame:
     return up.select(*NODE, area.alias("BITQUAD_AREA"), euler.alias("BITQUAD_NUMBER_EULER"), (1 - euler).alias("BITQUAD_NUMBER_HOLES"), hard.alias("BITQUAD_PERIMETER"), smooth.alias("BITQUAD_PERIMETER_CONTINUOUS"), F.when(hard > 0, 4 * math.pi * area / (hard * hard)).otherwise(0.0).alias("BITQUAD_CIRCULARITY"), average.alias("BITQUAD_PERIMETER_AVERAGE"), (average / 2).alias("BITQUAD_LENGTH_AVERAGE"), F.when(smooth > 0, 2 * area / smooth).otherwise(0.0).alias("BITQUAD_WIDTH_AVERAGE"))
 
 
-def distance_field(forest: Forest, max_rows: int) -> DataFrame:
+def _column_minima(row: np.ndarray, first: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Least gap**2 + step**2 over each run of touching rows; first marks where a run begins."""
+    at = np.arange(len(row))
+    run = np.cumsum(first) - 1
+    low = np.flatnonzero(first)[run]
+    high = np.append(np.flatnonzero(first)[1:], len(row))[run]
+    best = own = gap * gap
+    best = best.copy()
+    step, open_ = 1, at
+    while len(open_ := open_[best[open_] > step * step]):
+        for to in (open_ - step, open_ + step):
+            inside = (to >= low[open_]) & (to < high[open_])
+            i = open_[inside]
+            best[i] = np.minimum(best[i], own[to[inside]] + step * step)
+        step += 1
+    return best
+
+
+def distance_field(forest: Forest, max_rows: int | None = None) -> DataFrame:
     """key, node_id, row, col, d2: the exact squared distance of each support pixel to the support's four-contour.
 
-    Separable: the nearest contour column in the row, then the best row of the column.
+    Separable: the nearest contour pixel in the row, then the best row of the column. Only
+    rows of the column that the support joins to the pixel matter: where it ends, a contour
+    pixel is nearer than all beyond. Rows stay those of the supports at every step.
     """
-    sup = jacobian(forest, max_rows).select(*NODE, "row", "col")
-    at = sup.select(*NODE, C("row").alias("r2"), C("col").alias("c2"))
-    around = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((-1, 0), (0, -1), (0, 1), (1, 0))]))
-    near = sup.withColumn("s", around).withColumn("r2", C("row") + C("s.r")).withColumn("c2", C("col") + C("s.c"))
-    edge = near.join(at, [*NODE, "r2", "c2"], "left_anti").select(*NODE, "row", "col").distinct().withColumn("edge", C("col"))
-    sup = sup.join(edge, [*NODE, "row", "col"], "left")
+    jacobian(forest, max_rows)  # refuses, if asked to
+    leave = _meetings(forest).groupBy(*KEY, "row", "col", "node_id").agg(F.min(F.coalesce("meet_depth", F.lit(-1))).alias("leave"), F.first("depth").alias("depth"))
+    sup = leave.join(forest.closure, NODE).select(*KEY, C("ancestor_id").alias("node_id"), "row", "col", F.when(C("depth") - C("steps") > C("leave"), C("col")).alias("edge"))
     w = W.partitionBy(*NODE, "row").orderBy("col")
     left = F.last("edge", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     right = F.first("edge", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    gap = F.least(C("col") - left, right - C("col"))
-    # Rows of the contour matter at any column, so gaps are taken over the whole box of the node.
-    rows = edge.select(*NODE, C("row").alias("e_row"), C("col").alias("e_col"))
-    inner = sup.withColumn("gap", gap)
-    spans = rows.groupBy(*NODE, "e_row").agg(F.array_sort(F.collect_set("e_col")).alias("cols"))
-    best = F.array_min(F.transform("cols", lambda c: (c - C("col")) * (c - C("col"))))
-    d2 = inner.join(spans, NODE).where(C("gap").isNull() | (F.abs(C("e_row") - C("row")) <= C("gap")))
-    d2 = d2.select(*NODE, "row", "col", (F.pow(C("e_row") - C("row"), 2) + best).alias("d2"))
-    return d2.groupBy(*NODE, "row", "col").agg(F.min("d2").alias("d2"))
-
-
-def _distances(forest: Forest, max_rows: int) -> DataFrame:
-    f = distance_field(forest, max_rows).withColumn("d", F.sqrt("d2"))
+    gap = F.coalesce(F.least(C("col") - left, right - C("col")).cast("double"), F.lit(float("inf")))
+    sup = sup.select(*NODE, "row", "col", gap.alias("gap"))
+
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            new = (held[[*NODE, "col"]] != held[[*NODE, "col"]].shift()).any(axis=1).to_numpy()
+            cut = np.flatnonzero(new)[-1]  # the last column may go on in the next batch
+            if cut:
+                yield done(held[:cut], new[:cut])
+                held = held[cut:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield done(held, (held[[*NODE, "col"]] != held[[*NODE, "col"]].shift()).any(axis=1).to_numpy())
+
+    def done(part: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+        row = part["row"].to_numpy()
+        first = new | np.append(True, row[1:] != row[:-1] + 1)
+        return part.drop(columns="gap").assign(d2=_column_minima(row, first, part["gap"].to_numpy()))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sup.select(*NODE, "row", "col").schema)
+    return sup.repartition(*NODE, "col").sortWithinPartitions(*NODE, "col", "row").mapInPandas(columns, f"{fields}, d2 double")
+
+
+def _distances(forest: Forest, max_rows: int | None) -> DataFrame:
+    keep = Scratch(forest.nodes.sparkSession, "distances")
+    f = keep.keep(distance_field(forest, max_rows), "field").withColumn("d", F.sqrt("d2"))
     top = f.groupBy(*NODE).agg(F.max("d2").alias("top"))
     f = f.join(top, NODE)
     on = C("d2") == C("top")
@@ -260,7 +352,9 @@ def _distances(forest: Forest, max_rows: int) -> DataFrame:
     l1, l2 = (C("mu20") + C("mu02") + spread) / 2, F.greatest((C("mu20") + C("mu02") - spread) / 2, F.lit(0.0))
     t = t.withColumn("DIST_WEIGHTED_CENTRAL_MOMENT_20", C("mu20")).withColumn("DIST_WEIGHTED_CENTRAL_MOMENT_02", C("mu02")).withColumn("DIST_WEIGHTED_CENTRAL_MOMENT_11", C("mu11"))
     t = t.withColumn("DIST_WEIGHTED_AXIS_ORIENTATION", F.abs(_signed_orientation())).withColumn("DIST_WEIGHTED_ECCENTRICITY", F.when(l1 <= 0, 1.0).when(l2 * 1e6 <= l1, 1e6).otherwise(l1 / l2))
-    return t.select(*NODE, *[C(n).cast("double").alias(n) for n in _DIST], *[C(n).cast("double").alias(f"{n}_EXACT") for n in _DIST])
+    t = settle(t.select(*NODE, *[C(n).cast("double").alias(n) for n in _DIST]), "distances")
+    keep.close()
+    return t.select("*", *[C(n).alias(f"{n}_EXACT") for n in _DIST])
 
 
 def _filled(forest: Forest) -> DataFrame:
@@ -279,11 +373,11 @@ def _filled(forest: Forest) -> DataFrame:
     return t.select(*NODE, *[c.alias(n) for n, c in (extra | shape).items()])
 
 
-def compute(forest: Forest, attributes: str | list[str], dtype: str = "double", max_support_rows: int = 50_000_000) -> DataFrame:
+def compute(forest: Forest, attributes: str | list[str], dtype: str = "double", max_support_rows: int | None = None) -> DataFrame:
     """key, node_id and a column for each attribute, rolling up only what the request needs.
 
-    Distances and filled shapes need the supports of all nodes, the sum of areas; beyond
-    max_support_rows they fail with that size.
+    Distances need the supports of all nodes, as many rows as the sum of areas; with
+    max_support_rows they fail beyond it, with that size.
     """
     names = expand(attributes)
     out = forest.nodes.select(*NODE)

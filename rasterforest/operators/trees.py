@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.trees import NODE, Forest, ancestors, build, finished, nearest, rolled, strides
+from ..plans.trees import NODE, Forest, ancestors, build, climbed, finished, nearest, rolled, strides
 from ..tables import KEY, settle
 
 
@@ -97,6 +97,16 @@ def tree_intervals(forest: Forest) -> DataFrame:
     return pre.join(size, NODE).select(*NODE, "tpre", (F.col("tpre") + F.col("size")).alias("tpost"))
 
 
+def lowest_common(forest: Forest, pairs: DataFrame) -> DataFrame:
+    """key, a, b and meet, the lowest common ancestor of each pair of nodes (either of them, where it lies above the other)."""
+    spans = tree_intervals(forest)
+    asked = pairs.select(*KEY, "a", "b").distinct().join(spans.select(*KEY, F.col("node_id").alias("b"), F.col("tpre").alias("bound")), [*KEY, "b"])
+    marks = spans.select(*NODE, F.struct("tpre", "tpost").alias("mark"))
+    holds = (F.col("mark.tpre") <= F.col("bound")) & (F.col("bound") < F.col("mark.tpost"))
+    met = climbed(forest.strides, forest.nodes, asked.select(*KEY, "a", "b", "bound", F.col("a").alias("node_id")), ["a", "b"], marks, holds)
+    return met.select(*KEY, "a", "b", F.col("node_id").alias("meet"))
+
+
 def walk(forest: Forest, order: str = "post", start: DataFrame | None = None) -> DataFrame:
     """Nodes with their position in the post-order or breadth-first walk of their raster.
 

@@ -143,3 +143,38 @@ def test_filled_areas(pixels, kind, radius):
         full = part.union(*holes)
         assert (r.AREA, r.FILLED_AREA) == (len(part), len(full))
         assert r.FILLED_CENTROID_ROW == pytest.approx(np.mean([p[0] for p in full]))
+
+
+def bit_quads(part, radius):
+    """Counts of 2x2 patterns of one support."""
+    r0, r1, c0, c1 = (f(p[i] for p in part) for i in (0, 1) for f in (min, max))
+    n = [0] * 6
+    for r in range(r0 - 1, r1 + 1):
+        for c in range(c0 - 1, c1 + 1):
+            on = [(y, x) in part for y, x in ((r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c))]
+            n[5 if sum(on) == 2 and on[0] == on[2] else sum(on)] += 1
+    return n
+
+
+@pytest.mark.parametrize("kind,radius", [("max", 1.0), ("min", 1.5), ("shapes", 1.0)])
+def test_contours_quads_and_distances(pixels, kind, radius):
+    few = pixels.where("image_id IN ('random', 'binary', 'nested', 'saddle')")
+    forest = build(few, kind, radius)
+    names = ["BITQUAD_AREA", "BITQUAD_NUMBER_EULER", "BITQUAD_PERIMETER", "CONTOUR_PIXELS", "CONTOUR_PERIMETER", "CONTOUR_SIDE_WEST", "DIST_SQUARED_SUM", "MAX_SQUARED_DIST", "FILLED_AREA"]
+    got = attributes.compute(forest, names).toPandas()
+    support = {}
+    for r in trees.jacobian(forest).collect():
+        support.setdefault((r["image_id"], r["node_id"]), set()).add((r["row"], r["col"]))
+    assert len(got) == len(support) > 15
+    for r in got.itertuples():
+        part = support[r.image_id, r.node_id]
+        n = bit_quads(part, radius)
+        euler = (n[1] - n[3] + (-2 if kind != "shapes" and radius >= 1.5 else 2) * n[5]) / 4
+        assert (r.BITQUAD_AREA, r.BITQUAD_NUMBER_EULER, r.BITQUAD_PERIMETER) == (n[1] / 4 + n[2] / 2 + 7 * n[3] / 8 + n[4] + 3 * n[5] / 4, euler, n[1] + n[2] + n[3] + 2 * n[5])
+        sides = [(y, x, dy, dx) for y, x in part for dy, dx in STEPS[1.0] if (y + dy, x + dx) not in part]
+        edge = {s[:2] for s in sides}
+        assert (r.CONTOUR_PIXELS, r.CONTOUR_PERIMETER, r.CONTOUR_SIDE_WEST) == (len(edge), len(sides), sum(s[2:] == (0, -1) for s in sides))
+        d2 = [min((y - a) ** 2 + (x - b) ** 2 for a, b in edge) for y, x in part]
+        assert (r.DIST_SQUARED_SUM, r.MAX_SQUARED_DIST) == (sum(d2), max(d2))
+        if kind == "shapes":
+            assert r.FILLED_AREA == len(part)
