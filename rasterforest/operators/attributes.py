@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shapes import filled_components
 from ..plans.trees import Forest
-from ..tables import KEY, Scratch, settle
+from ..tables import KEY, Scratch, begins, settle, whole_groups
 from .trees import NODE, jacobian, lowest_common, relatives, roll_up, tree_intervals
 
 C = F.col
@@ -303,21 +303,10 @@ def distance_field(forest: Forest, max_rows: int | None = None) -> DataFrame:
     sup = sup.select(*NODE, "row", "col", gap.alias("gap"))
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            new = (held[[*NODE, "col"]] != held[[*NODE, "col"]].shift()).any(axis=1).to_numpy()
-            cut = np.flatnonzero(new)[-1]  # the last column may go on in the next batch
-            if cut:
-                yield done(held[:cut], new[:cut])
-                held = held[cut:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield done(held, (held[[*NODE, "col"]] != held[[*NODE, "col"]].shift()).any(axis=1).to_numpy())
-
-    def done(part: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
-        row = part["row"].to_numpy()
-        first = new | np.append(True, row[1:] != row[:-1] + 1)
-        return part.drop(columns="gap").assign(d2=_column_minima(row, first, part["gap"].to_numpy()))
+        for part in whole_groups(batches, [*NODE, "col"]):
+            row = part["row"].to_numpy()
+            first = begins(part, [*NODE, "col"]) | np.append(True, row[1:] != row[:-1] + 1)
+            yield part.drop(columns="gap").assign(d2=_column_minima(row, first, part["gap"].to_numpy()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sup.select(*NODE, "row", "col").schema)
     return sup.repartition(*NODE, "col").sortWithinPartitions(*NODE, "col", "row").mapInPandas(columns, f"{fields}, d2 double")

@@ -9,12 +9,14 @@ parts reach, and those above them), and nodes off the rims are final.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import KEY, Scratch
+from ..tables import KEY, Scratch, begins, whole_groups
 
 #: Trees to build at once, each a sign (1: of bright components, -1: of dark ones) and a radius; channel modulo their number tells which.
 Kinds = list[tuple[int, float]]
@@ -112,27 +114,33 @@ def tile_trees(pixels: DataFrame, kinds: Kinds, bits: int) -> DataFrame:
     kind = dict(pixels.dtypes)["value"]
     side = 1 << bits
 
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        sign, radius = kinds[tile["channel"].iloc[0] % len(kinds)]
-        reach = int(radius)
-        tile = tile.sort_values("pixel_id", ignore_index=True)
-        _, rank = np.unique(sign * tile["value"].to_numpy(), return_inverse=True)
-        r, c = tile["row"].to_numpy() % side, tile["col"].to_numpy() % side
+    def grow(sign: int, radius: float, ids: np.ndarray, r: np.ndarray, c: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+        reach, n = int(radius), len(ids)
+        _, rank = np.unique(sign * value, return_inverse=True)
         at = np.full((r.max() + 1, c.max() + 1), -1, dtype=np.int64)
-        at[r, c] = np.arange(len(tile))
+        at[r, c] = np.arange(n)
         node, parent = grown(rank, *grid_edges(at, rank, radius))
-        rim = np.zeros(len(tile), dtype=bool)
+        rim = np.zeros(n, dtype=bool)
         rim[node[(r < reach) | (c < reach) | (r >= side - reach) | (c >= side - reach)]] = True
         for i in np.argsort(-rank[node], kind="stable").tolist():  # nodes above rim nodes are on it
             if rim[node[i]]:
                 rim[parent[node[i]]] = True
-        ids = tile["pixel_id"].to_numpy()
-        own = np.bincount(node, minlength=len(tile))
-        return tile.assign(node_id=ids[node], parent_id=ids[parent[node]], n=own, rim=rim)
-
+        return ids[node], ids[parent[node]], np.bincount(node, minlength=n), rim
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, tile):
+            starts = np.append(np.flatnonzero(begins(part, tile)), len(part))
+            channel, ids, value = (part[c].to_numpy() for c in ("channel", "pixel_id", "value"))
+            r, c = part["row"].to_numpy() % side, part["col"].to_numpy() % side
+            done = [grow(*kinds[channel[lo] % len(kinds)], ids[lo:hi], r[lo:hi], c[lo:hi], value[lo:hi]) for lo, hi in zip(starts, starts[1:])]
+            node, parent, n, rim = (np.concatenate(x) for x in zip(*done))
+            yield part.assign(node_id=node, parent_id=parent, n=n, rim=rim)
+
+    tile = [*KEY, "ti", "tj"]
     tiled = pixels.where(F.col("value").isNotNull()).select(*KEY, "pixel_id", "row", "col", "value", F.shiftright("row", bits).alias("ti"), F.shiftright("col", bits).alias("tj"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiled.select(*KEY).schema)
-    return tiled.groupBy(*KEY, "ti", "tj").applyInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, ti int, tj int, node_id long, parent_id long, n long, rim boolean")
+    # A task goes through its tiles one after the other, whole rasters of a few pixels many at a time.
+    return tiled.repartition(*tile).sortWithinPartitions(*tile, "pixel_id").mapInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, ti int, tj int, node_id long, parent_id long, n long, rim boolean")
 
 
 def rim_edges(local: DataFrame, kinds: Kinds, bits: int) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: One raster.
@@ -29,6 +32,35 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def begins(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """True for the first row of each run of equal keys."""
+    new = np.zeros(len(rows), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        x = rows[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches of rows dealt anew so that no group of keys is cut; many small groups stay together."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = begins(batch, keys)
+        new[0] = not held or tuple(held[-1][keys].iloc[-1]) != tuple(batch[keys].iloc[0])
+        cuts = np.flatnonzero(new)
+        if held and not len(cuts):
+            held.append(batch)
+            continue
+        if held or cuts[-1]:
+            yield pd.concat([*held, batch[: cuts[-1]]], ignore_index=True)
+        held = [batch[cuts[-1] :]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class Scratch:
     """Tables that one operator writes between its steps; close() deletes them all."""
 
