@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranks import numbered_within
 from ..tables import KEY
 
 
@@ -144,13 +145,10 @@ def train_test_split(samples: DataFrame, test_size: float | int, order: str = "s
     k = math.ceil(n * test_size) if isinstance(test_size, float) else int(test_size)
     if not 0 < k < n:
         raise ValueError(f"{k} of {n} samples can't be the test split")
-    # The k-th key bounds the test split: no single task ranks all samples.
-    key = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string"))), order) if shuffle else F.struct(F.col(order))
-    keyed = samples.withColumn("_key", key)
-    bound = keyed.select("_key").orderBy("_key" if shuffle else F.desc("_key")).limit(k)
-    edge = bound.agg(F.max("_key") if shuffle else F.min("_key")).first()[0]
-    edge = F.struct(*[F.lit(v) for v in edge])
-    return keyed.withColumn("split", F.when(F.col("_key") <= edge if shuffle else F.col("_key") >= edge, "test").otherwise("train")).drop("_key")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string")))
+    keyed = samples.withColumn("_draw", drawn if shuffle else F.lit(""))
+    at = numbered_within(keyed, [], [F.col("_draw"), F.col(order) if shuffle else F.desc(order)], "_at")
+    return at.withColumn("split", F.when(F.col("_at") < k, "test").otherwise("train")).drop("_draw", "_at")
 
 
 def attach_sample_ids(table: DataFrame, ids: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranks import running
+
 EPS = 1e-12
 
 
@@ -31,16 +33,10 @@ def distinct_scores(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per distinct score, from the largest down: tp and fp at that threshold, and the totals."""
     by = by or []
     per = df.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
-    # Two steps, so that no task sorts all scores: sums of hundredths of the range, then within them.
-    ends = per.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
-    per = per.join(ends, by) if by else per.crossJoin(F.broadcast(ends))
-    bucket = F.when(F.col("hi") > F.col("lo"), F.floor(100 * (F.col("hi") - F.col("score")) / (F.col("hi") - F.col("lo")))).otherwise(0)
-    per = per.withColumn("bucket", bucket.cast("int"))
-    sums = per.groupBy(*by, "bucket").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"))
-    before = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*by, "bucket", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("bq").over(before), F.lit(0)).alias("q0"))
-    w = W.partitionBy(*by, "bucket").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return per.join(sums, [*by, "bucket"]).select(*by, "score", "p", "q", "pos", "neg", (F.col("p0") + F.sum("p").over(w)).alias("tp"), (F.col("q0") + F.sum("q").over(w)).alias("fp"))
+    done = running(per, by, [F.desc("score")], tp=F.col("p"), fp=F.col("q"))
+    totals = per.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    done = done.join(totals, by) if by else done.crossJoin(F.broadcast(totals))  # one row
+    return done.select(*by, "score", "p", "q", "pos", "neg", "tp", "fp")
 
 
 def roc_curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranks import numbered_within
 from ..plans.trees import Forest
 from ..tables import KEY
 from .filters import reconstruct
@@ -133,8 +134,9 @@ def path_penalty(scores: DataFrame, pairs: DataFrame, weight: float = 1.0, max_d
 
 def order_penalty(scores: DataFrame, feature: str, weight: float = 1.0, increasing: bool = True, min_gap: float = 0.0) -> DataFrame:
     """Mean squared fall (rise, if decreasing) of the score between neighbours in the feature's order, where the feature's gap exceeds min_gap."""
-    w = W.partitionBy(*KEY).orderBy(feature, "node_id")
-    steps = scores.withColumn("gap", F.col(feature) - F.lag(feature).over(w)).withColumn("fall", F.lag("score").over(w) - F.col("score")).where(F.col("gap") > min_gap)
+    at = numbered_within(scores.select(*NODE, "score", F.col(feature).alias("feature")), KEY, [F.col("feature"), F.col("node_id")])
+    ahead = at.select(*KEY, (F.col("position") + 1).alias("position"), F.col("feature").alias("before"), F.col("score").alias("former"))
+    steps = at.join(ahead, [*KEY, "position"]).withColumn("gap", F.col("feature") - F.col("before")).withColumn("fall", F.col("former") - F.col("score")).where(F.col("gap") > min_gap)
     fall = F.col("fall") if increasing else -F.col("fall")
     return steps.groupBy(*KEY).agg((weight * F.avg(F.pow(F.greatest(fall, F.lit(0.0)), 2))).alias("penalty"))
 

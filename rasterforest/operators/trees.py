@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranks import numbered_within
 from ..plans.trees import NODE, Forest, ancestors, build, climbed, finished, nearest, rolled, strides
 from ..tables import KEY, settle
 
@@ -112,19 +113,24 @@ def walk(forest: Forest, order: str = "post", start: DataFrame | None = None) ->
 
     With start, a table of nodes, the walk of each one's subtree, named by of_node.
     """
+    if order not in ("post", "breadth"):
+        raise ValueError(f"order must be 'post' or 'breadth', not {order!r}")
+    at, of = forest.nodes.select(*NODE, "depth"), KEY
     if order == "post":
         # A node comes after its whole subtree and before what starts later.
-        deep = forest.nodes.select(*NODE, "depth")
-        at = tree_intervals(forest).join(deep, NODE).select(*NODE, (F.col("tpost") - 1 - F.col("depth")).alias("at"))
-    elif order == "breadth":
-        at = forest.nodes.select(*NODE, F.struct("depth", "node_id").alias("at"))
-    else:
-        raise ValueError(f"order must be 'post' or 'breadth', not {order!r}")
-    of = KEY
+        at = tree_intervals(forest).join(at, NODE).select(*NODE, "tpre", "tpost", (F.col("tpost") - 1 - F.col("depth")).cast("long").alias("position"))
     if start is not None:
         inside = descendants_of(forest, start, strict=False).select(*NODE, F.col("ancestor_id").alias("of_node"))
-        at, of = at.join(inside, NODE), [*KEY, "of_node"]
-    return at.withColumn("position", (F.row_number().over(W.partitionBy(*of).orderBy("at")) - 1).cast("long")).select(*of, "node_id", "position")
+        of = [*KEY, "of_node"]
+        if order == "post":
+            # A subtree's nodes follow each other; its top is the last.
+            top = at.select(*KEY, F.col("node_id").alias("of_node"), (F.col("position") - (F.col("tpost") - F.col("tpre")) + 1).alias("first"))
+            at = at.join(inside, NODE).join(top, of).withColumn("position", F.col("position") - F.col("first"))
+        else:
+            at = at.join(inside, NODE)
+    if order == "breadth":
+        at = numbered_within(at, of, [F.col("depth"), F.col("node_id")])
+    return at.select(*of, "node_id", "position")
 
 
 def find_nodes(forest: Forest, attributes: DataFrame, condition: Column | None = None, by: str | None = None, top: int = 1) -> DataFrame:
@@ -204,8 +210,8 @@ def export_hierarchy(forest: Forest) -> DataFrame:
     node_id maps a node's id back to the tree's; it is null for pixels.
     """
     size = forest.owners.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*KEY).orderBy(F.desc("depth"), "node_id")
-    ids = forest.nodes.join(size, KEY).select(*NODE, "parent_id", "level", (F.col("n") + F.row_number().over(w) - 1).alias("h_id"))
+    ids = numbered_within(forest.nodes.select(*NODE, "parent_id", "level", "depth"), KEY, [F.desc("depth"), F.col("node_id")])
+    ids = settle(ids.join(size, KEY).select(*NODE, "parent_id", "level", (F.col("n") + F.col("position")).alias("h_id")), "h-ids")
     up = ids.select(*KEY, F.col("node_id").alias("parent_id"), F.col("h_id").alias("parent"))
     nodes = ids.join(up, [*KEY, "parent_id"]).select(*KEY, "h_id", "parent", F.col("level").cast("double").alias("altitude"), "node_id")
     pixels = forest.owners.join(ids.select(*NODE, F.col("h_id").alias("parent")), NODE).select(*KEY, F.col("pixel_id").alias("h_id"), "parent", F.col("value").cast("double").alias("altitude"))

@@ -263,6 +263,9 @@ SELECT lang, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, coalesce(round
     "grid_metrics": f"WITH {PREDICTIONS}, g AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS threshold), c AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND label <> 1) AS fp, count(*) FILTER (WHERE score < threshold AND label = 1) AS fn, count(*) AS n FROM p, g GROUP BY threshold) SELECT threshold, round(tp / (tp + fp + fn + 1e-12), 6) AS iou, round(2 * tp / (2 * tp + fp + fn + 1e-12), 6) AS f1, round((tp + fp) / n, 6) AS foreground FROM c",
     "split_groups": """WITH n AS (SELECT g, row_number() OVER (ORDER BY md5('7:' || g), g) AS k, count(*) OVER () AS total FROM (SELECT DISTINCT c_nationkey::VARCHAR AS g FROM customer)),
 s AS (SELECT g, CASE WHEN k <= total // 5 THEN 'test' WHEN k <= total - total // 5 THEN 'train' ELSE 'val' END AS split FROM n) SELECT split, count(DISTINCT g) AS n_groups, count(*) AS n_samples FROM customer JOIN s ON c_nationkey::VARCHAR = g GROUP BY split""",
+    "test_split": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY md5('5:' || o_orderkey), o_orderkey) <= (SELECT ceil(count(*) * 0.1::DOUBLE) FROM orders)",
+    "order_penalty": f"""{tree()}, sc AS (SELECT image_id, node_id, area, {SCORE2} AS score FROM att), st AS (SELECT image_id, area - lag(area) OVER w AS gap, lag(score) OVER w - score AS fall FROM sc WINDOW w AS (PARTITION BY image_id ORDER BY area, node_id))
+SELECT image_id, round(2.0::DOUBLE * avg(pow(greatest(fall, 0.0), 2)), 6) + 0.0 AS penalty FROM st WHERE gap > 0 GROUP BY image_id""",
     "crossing_groups": "SELECT 'group crosses' AS issue, o_custkey::VARCHAR AS id FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1",
     "price_distribution": "WITH m AS (SELECT o_orderpriority, count(o_totalprice) AS n, median(o_totalprice) AS median, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1) SELECT m.o_orderpriority, n, round(m.median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, round(median(abs(o_totalprice - m.median)), 6) AS mad FROM orders o JOIN m ON o.o_orderpriority = m.o_orderpriority GROUP BY ALL",
     "found_nodes": f"{tree()}, {TOP} SELECT image_id, node_id, area, rank FROM top WHERE rank <= 3",

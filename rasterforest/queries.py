@@ -243,6 +243,19 @@ def split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("split").agg(F.count_distinct("group_id").alias("n_groups"), F.count(F.lit(1)).alias("n_samples"))
 
 
+def test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all orders drawn for the test split."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return datasets.train_test_split(orders, 0.1, "o_orderkey", seed=5).where("split = 'test'").select("o_orderkey")
+
+
+def order_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far scores fall along the order of areas."""
+    f, marks = _marks(spark, sf_dir)
+    scores = scoring.node_scores(f, marks, SPECS[1:]).join(marks.select(*NODE, "AREA"), NODE)
+    return r6(scoring.order_penalty(scores, "AREA", 2.0), "penalty").select("image_id", "penalty")
+
+
 def crossing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order priorities as splits of orders: customers, as groups, that cross them."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderpriority").alias("split"), F.col("o_custkey").cast("string").alias("group_id"))
@@ -463,6 +476,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grid_metrics": grid_metrics,
     "split_groups": split_groups,
     "crossing_groups": crossing_groups,
+    "test_split": test_split,
+    "order_penalty": order_penalty,
     "price_distribution": price_distribution,
     "pixel_digests": digests,
     "found_nodes": found_nodes,
