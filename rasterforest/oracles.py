@@ -283,6 +283,11 @@ UNION ALL SELECT o.image_id, o.pixel_id, h.h_id, px.value::DOUBLE, NULL FROM own
     "merged_nodes": nearest("SELECT image_id, node_id FROM res WHERE node_id % 2 = 0"),
     "pruned_nodes": nearest("SELECT u.image_id, u.node_id FROM up u JOIN res r ON r.image_id = u.image_id AND r.node_id = u.ancestor_id GROUP BY ALL HAVING bool_and(r.node_id % 5 <> 1 OR r.node_id = r.parent_id)"),
     "prepared_stats": " UNION ALL ".join(f"SELECT * FROM ({tree(sign=sign)} SELECT '{key}::' || a AS stat_key, count(*) AS count, sum(x) AS sum, sum(x * x) AS sumsq, min(x) AS amin, max(x) AS amax FROM (SELECT image_id, unnest(['AREA', 'GRAY_LEVEL']) AS a, unnest([area, gray]) AS x FROM att) WHERE image_id <> (SELECT max(image_id) FROM px) GROUP BY a)" for key, sign in (("max", 1), ("min", -1))),
+    "prepared_entries": " UNION ALL ".join(
+        f"""SELECT '{kind}' AS tree_key, rasters, built, 0::BIGINT AS built_again, nodes, area FROM ({tree("V", sign)}, c AS (SELECT image_id, list(value ORDER BY pixel_id) AS content FROM px GROUP BY image_id)
+SELECT (SELECT count(*) FROM c) AS rasters, (SELECT count(DISTINCT content) FROM c) AS built, (SELECT count(*) FROM res) AS nodes, (SELECT count(*) FROM sup) AS area)"""
+        for kind, sign in (("max", 1), ("min", -1))
+    ),
     "manifest_states": f"WITH {MANIFEST} SELECT coalesce(state, 'missing') AS state, count(*) AS n, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM (SELECT DISTINCT entry_key FROM con) LEFT JOIN ent USING (entry_key) GROUP BY 1",
     "manifest_missing": f"WITH {MANIFEST} SELECT DISTINCT entry_key FROM con ANTI JOIN ent USING (entry_key)",
     "missing_entries": f"WITH {MANIFEST} SELECT DISTINCT entry_key FROM con ANTI JOIN (SELECT * FROM ent WHERE state = 'ready') USING (entry_key)",

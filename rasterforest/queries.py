@@ -7,16 +7,17 @@ Raster U: events by user and hour, one image that grows with the table; its valu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import attributes, datasets, filters, metrics, patches, preparation, scoring, stats, trees
+from .operators import attributes, datasets, entries, filters, metrics, patches, preparation, scoring, stats, trees
 from .plans.components import components
 from .plans.trees import Forest, build, neighbours
 from .sources import quantize, rasterize
-from .tables import KEY, settle
+from .tables import KEY, settle, shared_dir
 
 NODE = trees.NODE
 BUILT: dict[tuple, object] = {}
@@ -387,6 +388,16 @@ def prepared_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(done.stats, "sum", "sumsq", "amin", "amax")
 
 
+def prepared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all vectors' rasters in a new store, prepared twice: rasters, entries built the first and the second time, and the statistics from the store."""
+    path, px = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", raster(spark, sf_dir, "V")
+    first = settle(entries.prepare_entries(px, ["max", "min"], ["AREA"], path), "first")
+    again = entries.prepare_entries(px, ["max", "min"], ["AREA"], path)
+    s = entries.entry_stats(first, path).select(F.split("stat_key", "::")[0].alias("tree_key"), F.col("count").alias("nodes"), F.col("sum").cast("long").alias("area"))
+    n = first.groupBy("tree_key").agg(F.count(F.lit(1)).alias("rasters"), F.count_distinct(F.when(F.col("built"), F.col("entry_key"))).alias("built"))
+    return n.join(again.groupBy("tree_key").agg(F.count_if("built").alias("built_again")), "tree_key").join(s, "tree_key")
+
+
 def _manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as samples, their customers as entries: ready where the balance isn't negative; some nations have none."""
     orders = table(spark, sf_dir, "orders")
@@ -488,6 +499,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merged_nodes": merged_nodes,
     "pruned_nodes": pruned_nodes,
     "prepared_stats": prepared_stats,
+    "prepared_entries": prepared_entries,
     "manifest_states": manifest_states,
     "manifest_missing": manifest_missing,
     "cache_issues": cache_issues,

@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import tables
 from ..operators.stats import fit_stats, merge_stats
 
 
+def committed(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the micro-batches whose statistics are complete, in order."""
+    return sorted(int(n) for n in tables.published(spark, f"{table}/commits"))
+
+
 def stream_stats(stream: DataFrame, names: list[str], table: str, checkpoint: str, tree_key: str = "max") -> StreamingQuery:
-    """Fold a stream of attribute rows into statistics below `table`, one folder per micro-batch.
+    """Fold a stream of attribute rows into statistics in `table`, one complete version per micro-batch.
 
-    A replayed batch overwrites its own folder, so each counts once; read_stats merges them;
-    an empty batch leaves none.
+    A version holds the former one and the batch, and counts once it is committed by one
+    rename: readers see the former fit until then, and a replayed batch counts once. Of the
+    versions only the last two stay. An empty batch makes none.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        spark, done = batch.sparkSession, committed(batch.sparkSession, table)
+        if batch_id in done or batch.isEmpty():
             return
-        fit_stats(batch, names, tree_key).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        whole = fit_stats(batch, names, tree_key)
+        if done:
+            whole = merge_stats(spark.read.parquet(f"{table}/version={done[-1]}"), whole)
+        whole.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        tables.publish(spark, f"{table}/commits", str(batch_id))
+        for old in done[:-1]:
+            tables.remove(spark, f"{table}/commits/{old}")
+            tables.remove(spark, f"{table}/version={old}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_stats(spark: object, table: str) -> DataFrame:
-    return merge_stats(spark.read.parquet(table).drop("batch_id").where(F.col("count") > 0))
+def read_stats(spark: SparkSession, table: str) -> DataFrame:
+    """The statistics of the last committed micro-batch."""
+    done = committed(spark, table)
+    if not done:
+        raise ValueError(f"no statistics are committed in {table}")
+    return spark.read.parquet(f"{table}/version={done[-1]}")

@@ -76,3 +76,29 @@ class Scratch:
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at, spark._jvm.org.apache.hadoop.fs.Path
+
+
+def published(spark: SparkSession, folder: str) -> list[str]:
+    """Names that publish() has put into a folder, in order."""
+    fs, at, _ = _files(spark, folder)
+    return sorted(n for f in fs.listStatus(at) if not (n := f.getPath().getName()).startswith((".", "_"))) if fs.exists(at) else []
+
+
+def publish(spark: SparkSession, folder: str, name: str) -> None:
+    """Put an empty file of that name into the folder by one rename: a reader sees it whole or not at all."""
+    fs, at, path = _files(spark, folder)
+    fs.mkdirs(at)
+    made = path(f"{folder}/.{uuid.uuid4().hex}")
+    fs.create(made).close()
+    if not fs.rename(made, path(f"{folder}/{name}")) and name not in published(spark, folder):
+        raise OSError(f"{name} could not be published in {folder}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at, _ = _files(spark, path)
+    fs.delete(at, True)
