@@ -128,6 +128,44 @@ axes AS (SELECT *, (mu20 + mu02 + sqrt(pow(mu20 - mu02, 2) + 4 * mu11 * mu11)) /
 SELECT image_id, node_id, {", ".join(f"round({e}, 6) + 0.0 AS {k}" for k, e in out.items())} FROM axes"""
 
 
+def quads(square: int = 2) -> str:
+    """Patterns of the 2x2 squares that touch each support, written out."""
+    area, smooth = "q1 / 4 + q2 / 2 + 7 * q3 / 8 + q4 + 3 * qd / 4", "(q2 + (q1 + q3 + 2 * qd) / sqrt(2))"
+    hard, euler = "(q1 + q2 + q3 + 2 * qd)", f"((q1 - q3 {'- 2' if square > 1 else '+ 2'} * qd) / 4)"
+    average = f"CASE WHEN {euler} <> 0 THEN {smooth} / {euler} ELSE 0.0 END"
+    out = {"AREA": area, "NUMBER_EULER": euler, "NUMBER_HOLES": f"1 - {euler}", "PERIMETER": hard, "PERIMETER_CONTINUOUS": smooth, "CIRCULARITY": f"CASE WHEN {hard} > 0 THEN 4 * pi() * ({area}) / ({hard} * {hard}) ELSE 0.0 END", "PERIMETER_AVERAGE": average, "LENGTH_AVERAGE": f"({average}) / 2", "WIDTH_AVERAGE": f"CASE WHEN {smooth} > 0 THEN 2 * ({area}) / {smooth} ELSE 0.0 END"}
+    count = lambda cond, name: f"(count(*) FILTER ({cond}))::DOUBLE AS {name}"
+    return f"""{tree(square=square)}, sq AS (SELECT image_id, node_id, "row" - r AS qr, col - c AS qc, count(*) AS n, sum(k) AS ks FROM sup CROSS JOIN (VALUES (0, 0, 0), (0, 1, 1), (1, 1, 2), (1, 0, 3)) t(r, c, k) GROUP BY ALL),
+ct AS (SELECT image_id, node_id, {count("n = 1", "q1")}, {count("n = 2 AND ks NOT IN (2, 4)", "q2")}, {count("n = 3", "q3")}, {count("n = 4", "q4")}, {count("n = 2 AND ks IN (2, 4)", "qd")} FROM sq GROUP BY ALL)
+SELECT image_id, node_id, {", ".join(f"round({e}, 6) + 0.0 AS BITQUAD_{k}" for k, e in out.items())} FROM ct"""
+
+
+def axes() -> str:
+    """Centred moments from the pixels of each support themselves."""
+    mu = ", ".join(f"sum(pow(x, {p}) * pow(y, {q})) AS m{p}{q}" for p in range(4) for q in range(4 - p) if p + q >= 2)
+    e = {f"{p}{q}": f"(m{p}{q} / pow(n, {1 + (p + q) / 2}::DOUBLE))" for p in range(4) for q in range(4 - p) if p + q >= 2}
+    a, b, c, d, s = f"({e['30']} + {e['12']})", f"({e['21']} + {e['03']})", f"({e['30']} - 3 * {e['12']})", f"(3 * {e['21']} - {e['03']})", f"({e['20']} - {e['02']})"
+    out = {
+        "AXIS_ORIENTATION": "CASE WHEN abs(m11) < 1e-9 AND abs(m20 - m02) < 1e-9 THEN 0.0 ELSE abs(degrees(0.5::DOUBLE * atan2(2 * m11, m20 - m02))) END", "ECCENTRICITY": "CASE WHEN n <= 1 THEN 1.0 WHEN l2 * 1e6 <= l1 THEN 1e6 ELSE l1 / l2 END", "CIRCULARITY": "CASE WHEN n <= 1 THEN 1.0 WHEN l1 <= 0 THEN 0.0 ELSE l2 / l1 END",
+        "HU_MOMENT_3": f"{c} * {c} + {d} * {d}", "HU_MOMENT_4": f"{a} * {a} + {b} * {b}", "HU_MOMENT_5": f"{c} * {a} * ({a} * {a} - 3 * {b} * {b}) + {d} * {b} * (3 * {a} * {a} - {b} * {b})",
+        "HU_MOMENT_6": f"{s} * ({a} * {a} - {b} * {b}) + 4 * {e['11']} * {a} * {b}", "HU_MOMENT_7": f"{d} * {a} * ({a} * {a} - 3 * {b} * {b}) - {c} * {b} * (3 * {a} * {a} - {b} * {b})",
+    }
+    return f"""{tree()}, mid AS (SELECT image_id, node_id, avg("row") AS r0, avg(col) AS c0, count(*)::DOUBLE AS n FROM sup GROUP BY ALL),
+mo AS (SELECT s.image_id, s.node_id, any_value(n) AS n, {mu} FROM (SELECT s.image_id, s.node_id, n, col - c0 AS x, "row" - r0 AS y FROM sup s JOIN mid m ON m.image_id = s.image_id AND m.node_id = s.node_id) s GROUP BY ALL),
+ax AS (SELECT *, (m20 + m02 + sqrt(pow(m20 - m02, 2) + 4 * m11 * m11)) / 2 AS l1, greatest((m20 + m02 - sqrt(pow(m20 - m02, 2) + 4 * m11 * m11)) / 2, 0.0) AS l2 FROM mo)
+SELECT image_id, node_id, {", ".join(f"round({x}, 6) + 0.0 AS {k}" for k, x in out.items())} FROM ax"""
+
+
+def weighted() -> str:
+    base = distances().rpartition(" SELECT image_id")[0]
+    mid = {"ROW": '"row"', "COLUMN": "col"}
+    cols = ", ".join(f"round({k}, 6) + 0.0 AS DIST_{k}" for k in ("MODE", "WEIGHTED_CENTROID_ROW", "WEIGHTED_CENTROID_COLUMN"))
+    return f"""{base}, md AS (SELECT image_id, node_id, arg_min(d, -n * 1e9 + d) AS MODE FROM (SELECT image_id, node_id, d, count(*) AS n FROM far GROUP BY ALL) GROUP BY ALL),
+ce AS (SELECT image_id, node_id, {", ".join(f"CASE WHEN sum(d) > 0 THEN sum(d * {c}) / sum(d) ELSE avg({c}) END AS WEIGHTED_CENTROID_{k}" for k, c in mid.items())} FROM far GROUP BY ALL)
+SELECT f.image_id, f.node_id, {cols}, {", ".join(f"round(sum(d * pow(col - WEIGHTED_CENTROID_COLUMN, {p}) * pow(\"row\" - WEIGHTED_CENTROID_ROW, {q})), 6) + 0.0 AS DIST_WEIGHTED_CENTRAL_MOMENT_{p}{q}" for p, q in ((2, 0), (0, 2), (1, 1)))}
+FROM far f JOIN md ON md.image_id = f.image_id AND md.node_id = f.node_id JOIN ce ON ce.image_id = f.image_id AND ce.node_id = f.node_id GROUP BY f.image_id, f.node_id, MODE, WEIGHTED_CENTROID_ROW, WEIGHTED_CENTROID_COLUMN"""
+
+
 def nearest(keep: str, sign: int = 1) -> str:
     """Pixels at the level of the nearest kept node; keep is a subquery of image_id, node_id."""
     return f"""{tree(sign=sign)}, kept AS ({keep} UNION SELECT image_id, node_id FROM res WHERE node_id = parent_id)
@@ -197,6 +235,10 @@ SELECT image_id, zone_id, count(*) AS area, any_value(value) AS value FROM (SELE
     "shape_tree_nodes": shape_nodes(),
     "grain_filter": grains(4),
     "attributes_filled": filled(),
+    "attributes_quads": quads(),
+    "attributes_quads_4": quads(1),
+    "attributes_axes": axes(),
+    "attributes_weighted": weighted(),
     "max_tree_nodes": nodes(),
     "max_tree_nodes_4": nodes(square=1),
     "min_tree_nodes": nodes(sign=-1),

@@ -76,6 +76,9 @@ BASICS = ["AREA", "GRAY_LEVEL", "VOLUME", "MEAN_GRAY_LEVEL", "GRAY_LEVEL_VARIANC
 MOMENTS = ["CENTRAL_MOMENT_20", "CENTRAL_MOMENT_02", "CENTRAL_MOMENT_11", "HU_MOMENT_1", "INERTIA", "COMPACTNESS", "RAW_INERTIA"]
 SIDES = ["CONTOUR_PIXELS", "CONTOUR_PERIMETER", "CONTOUR_SIDE_NORTH", "CONTOUR_SIDE_WEST", "CONTOUR_SIDE_EAST", "CONTOUR_SIDE_SOUTH"]
 SHAPES = ["CENTRAL_MOMENT_30", "CENTRAL_MOMENT_03", "CENTRAL_MOMENT_21", "CENTRAL_MOMENT_12", "HU_MOMENT_2", "LENGTH_MAJOR_AXIS", "LENGTH_MINOR_AXIS", "RELATIVE_VOLUME"]
+QUADS = ["BITQUAD_AREA", "BITQUAD_NUMBER_EULER", "BITQUAD_NUMBER_HOLES", "BITQUAD_PERIMETER", "BITQUAD_PERIMETER_CONTINUOUS", "BITQUAD_CIRCULARITY", "BITQUAD_PERIMETER_AVERAGE", "BITQUAD_LENGTH_AVERAGE", "BITQUAD_WIDTH_AVERAGE"]
+AXES = ["AXIS_ORIENTATION", "ECCENTRICITY", "CIRCULARITY", "HU_MOMENT_3", "HU_MOMENT_4", "HU_MOMENT_5", "HU_MOMENT_6", "HU_MOMENT_7"]
+WEIGHTED = ["DIST_MODE", "DIST_WEIGHTED_CENTROID_ROW", "DIST_WEIGHTED_CENTROID_COLUMN", "DIST_WEIGHTED_CENTRAL_MOMENT_20", "DIST_WEIGHTED_CENTRAL_MOMENT_02", "DIST_WEIGHTED_CENTRAL_MOMENT_11"]
 FILLED = ["FILLED_AREA", "FILLED_CENTROID_ROW", "FILLED_CENTROID_COLUMN", "FILLED_LENGTH_MAJOR_AXIS", "FILLED_LENGTH_MINOR_AXIS", "FILLED_AXIS_ORIENTATION", "FILLED_ECCENTRICITY", "FILLED_INERTIA", "HOLE_AREA_FRACTION", "FILLED_CENTROID_DISPLACEMENT_NORMALIZED", "FILLED_COMPACTNESS", "FILLED_CIRCULARITY", "FILLED_AXIS_ORIENTATION_SIGNED"]
 BRANCHES = ["NUM_SIBLINGS_NODE", "NUM_LEAF_DESCENDANTS_NODE", "LEAF_RATIO_NODE", "BALANCE_NODE", "AVG_CHILD_HEIGHT_NODE"]
 DISTANCES = ["MAX_DIST", "MAX_SQUARED_DIST", "DIST_SQUARED_SUM", "DIST_SQUARED_MEAN", "DIST_RMS", "DIST_SQUARED_VARIANCE", "MAX_DIST_CENTER_ROW", "MAX_DIST_CENTER_COLUMN", "MAX_DIST_PLATEAU_AREA", "MAX_DIST_PLATEAU_CENTROID_ROW", "MAX_DIST_PLATEAU_CENTROID_COLUMN", "DIST_SUM", "DIST_MEAN", "DIST_VARIANCE", "DIST_MEDIAN", "DIST_Q25", "DIST_Q75", "DIST_Q90", "DIST_ENTROPY", "DIST_POSITIVE_AREA", "DIST_LEVEL_COUNT"]
@@ -103,9 +106,9 @@ def grain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "pixel_id", F.col("value").cast("long").alias("value"))
 
 
-def _attributes(names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+def _attributes(names: list[str], radius: float = 1.5) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return r6(attributes.compute(forest(spark, sf_dir), names), *names).select("image_id", "node_id", *names)
+        return r6(attributes.compute(forest(spark, sf_dir, "max", radius), names), *names).select("image_id", "node_id", *names)
 
     return run
 
@@ -447,6 +450,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shape_tree_nodes": shape_tree_nodes,
     "grain_filter": grain_filter,
     "attributes_filled": _attributes(FILLED),
+    "attributes_quads": _attributes(QUADS),
+    "attributes_quads_4": _attributes(QUADS, 1.0),
+    "attributes_axes": _attributes(AXES),
+    "attributes_weighted": _attributes(WEIGHTED),
     "attributes_basic": _attributes(BASICS),
     "attributes_moments": _attributes(MOMENTS),
     "attributes_contour": _attributes(SIDES),
