@@ -269,9 +269,10 @@ FROM res r JOIN h ON h.image_id = r.image_id AND h.node_id = r.node_id LEFT JOIN
     "tree_relatives": f"""{tree()}, {KIN} SELECT r.image_id, r.node_id, coalesce(k.kids, 0) AS num_children, CASE WHEN r.node_id = r.parent_id THEN 0 ELSE p.kids - 1 END AS num_siblings, k.first_child, CASE WHEN r.node_id <> r.parent_id THEN lead(r.node_id) OVER (PARTITION BY r.image_id, r.parent_id, r.node_id = r.parent_id ORDER BY r.node_id) END AS next_sibling, r.node_id = r.parent_id AS is_root, k.kids IS NULL AS is_leaf
 FROM res r LEFT JOIN kids k ON k.image_id = r.image_id AND k.node_id = r.node_id LEFT JOIN kids p ON p.image_id = r.image_id AND p.node_id = r.parent_id""",
     "tree_summary": f"""{tree()}, {KIN} SELECT r.image_id, max(CASE WHEN r.node_id = parent_id THEN r.node_id END) AS root, count(*) AS num_nodes, count(*) FILTER (WHERE kids IS NULL) AS num_leaf_nodes, 768::BIGINT AS num_pixels, 24::BIGINT AS num_rows, 32::BIGINT AS num_columns FROM res r LEFT JOIN kids k ON k.image_id = r.image_id AND k.node_id = r.node_id GROUP BY r.image_id""",
-    "tree_walk": f"""{tree()}, {KIN}, offs AS (SELECT r.image_id, r.node_id, CASE WHEN r.node_id = parent_id THEN 0 ELSE 1 + coalesce(sum(n) OVER (PARTITION BY r.image_id, parent_id, r.node_id = parent_id ORDER BY r.node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS o FROM res r JOIN size s ON s.image_id = r.image_id AND s.node_id = r.node_id),
-pre AS (SELECT u.image_id, u.node_id, sum(o)::BIGINT AS tpre FROM up u JOIN offs f ON f.image_id = u.image_id AND f.node_id = u.ancestor_id GROUP BY ALL)
-SELECT p.image_id, p.node_id, tpre, tpre + n AS tpost, tpre + n - 1 - depth AS position FROM pre p JOIN size s ON s.image_id = p.image_id AND s.node_id = p.node_id JOIN res r ON r.image_id = p.image_id AND r.node_id = p.node_id""",
+    # Nodes by their root paths: a path comes before its continuations in preorder, after them in post-order.
+    "tree_walk": f"""{tree()}, {KIN}, path AS (SELECT u.image_id, u.node_id, list(u.ancestor_id ORDER BY a.depth) AS p FROM up u JOIN res a ON a.image_id = u.image_id AND a.node_id = u.ancestor_id GROUP BY ALL),
+walk AS (SELECT image_id, node_id, row_number() OVER (PARTITION BY image_id ORDER BY p) - 1 AS tpre, row_number() OVER (PARTITION BY image_id ORDER BY list_append(p, 4611686018427387904)) - 1 AS position FROM path)
+SELECT w.image_id, w.node_id, tpre, tpre + n AS tpost, position FROM walk w JOIN size s ON s.image_id = w.image_id AND s.node_id = w.node_id""",
     "reconstructed_levels": f"WITH {RASTERS['E']} SELECT image_id, pixel_id, value FROM px",
     "extinction_values": f"{tree()}, {WINNERS} SELECT image_id, node_id, CASE WHEN isinf(extinction) THEN -1 ELSE extinction END::BIGINT AS extinction FROM ext",
     "extinction_top3": nearest(f"WITH {WINNERS}, best AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY extinction DESC, node_id) AS k FROM ext) SELECT DISTINCT u.image_id, u.ancestor_id AS node_id FROM up u JOIN best b ON b.image_id = u.image_id AND b.node_id = u.node_id WHERE k <= 3"),
@@ -299,7 +300,7 @@ SELECT u.image_id, round(2 * avg(greatest(c.score - p.score, 0) * greatest(c.sco
     "patch_overlap_add": f'{PATCHES} SELECT image_id, "row", col, sum(value)::BIGINT AS value FROM got WHERE "row" BETWEEN 0 AND 23 AND col BETWEEN 0 AND 31 GROUP BY ALL',
     "confusion_by_lang": f"""WITH {PREDICTIONS}, c AS (SELECT lang, count(*) FILTER (WHERE score >= 0.6 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.6 AND label <> 1) AS fp, count(*) FILTER (WHERE score < 0.6 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.6 AND label <> 1) AS tn FROM p GROUP BY lang),
 d AS (SELECT *, (tp + fp + fn + tn)::DOUBLE AS n, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn))::DOUBLE AS ch, sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) AS m FROM c)
-SELECT lang, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, coalesce(round(tp / nullif(tp + fp, 0), 6), 0) AS "precision", coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1, coalesce(round(tp / nullif(tp + fp + fn, 0), 6), 0) AS jaccard, coalesce(round(((tp + tn) / n - ch / (n * n)) / nullif(1 - ch / (n * n), 0), 6), 0) + 0.0 AS kappa, coalesce(round((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(m, 0), 6), 0) + 0.0 AS mcc FROM d""",
+SELECT lang, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, coalesce(round(tp / nullif(tp + fp, 0), 6), 0) AS "precision", coalesce(round(tp / nullif(tp + fn, 0), 6), 'nan'::DOUBLE) AS recall, coalesce(round(tn / nullif(tn + fp, 0), 6), 'nan'::DOUBLE) AS specificity, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1, coalesce(round(tp / nullif(tp + fp + fn, 0), 6), 0) AS jaccard, coalesce(round(((tp + tn) / n - ch / (n * n)) / nullif(1 - ch / (n * n), 0), 6), 0) + 0.0 AS kappa, coalesce(round((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(m, 0), 6), 0) + 0.0 AS mcc FROM d""",
     "auc_by_lang": f"WITH {PREDICTIONS} SELECT a.lang, round(avg(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auc FROM p a JOIN p b ON a.lang = b.lang AND a.label = 1 AND b.label <> 1 GROUP BY a.lang",
     "roc_curve": f"WITH {PREDICTIONS} SELECT score AS threshold, round(sum(sum((label <> 1)::INT)) OVER w / sum(sum((label <> 1)::INT)) OVER (), 6) AS fpr, round(sum(sum((label = 1)::INT)) OVER w / sum(sum((label = 1)::INT)) OVER (), 6) AS tpr FROM p GROUP BY score WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)",
     "grid_metrics": f"WITH {PREDICTIONS}, g AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS threshold), c AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND label <> 1) AS fp, count(*) FILTER (WHERE score < threshold AND label = 1) AS fn, count(*) AS n FROM p, g GROUP BY threshold) SELECT threshold, round(tp / (tp + fp + fn + 1e-12), 6) AS iou, round(2 * tp / (2 * tp + fp + fn + 1e-12), 6) AS f1, round((tp + fp) / n, 6) AS foreground FROM c",
@@ -337,5 +338,6 @@ SELECT (SELECT count(*) FROM c) AS rasters, (SELECT count(DISTINCT content) FROM
     "cache_issues": f"""WITH {MANIFEST}, i AS (SELECT 'metadata' AS scope, 'no contribution' AS issue FROM orders WHERE o_orderkey NOT IN (SELECT position FROM con)
   UNION ALL SELECT 'metadata', 'entry' FROM (SELECT DISTINCT entry_key FROM con ANTI JOIN (SELECT * FROM ent WHERE state = 'ready') USING (entry_key))
   UNION ALL SELECT 'payload', 'no payload' FROM ent WHERE state = 'ready' AND entry_key % 3 = 0
+  UNION ALL SELECT 'metadata', 'positions' FROM (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS d, max(o_orderkey) AS m FROM orders) WHERE n - 1 <> m OR n <> d
   UNION ALL SELECT 'source', 'moved' FROM orders WHERE o_orderkey % 5 = 0) SELECT scope, issue, count(*) AS n FROM i GROUP BY ALL""",
 }
