@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..plans.ranks import numbered_within
 from ..plans.trees import Forest
 from ..tables import KEY
-from .filters import reconstruct
 from .trees import NODE, ancestors_of, roll_down, roll_up
 
 
@@ -94,29 +93,18 @@ def pixels_to_nodes(forest: Forest, signal: DataFrame) -> DataFrame:
 
 
 def linear_gradients(forest: Forest, attributes: DataFrame, spec: Spec, loss: DataFrame) -> DataFrame:
-    """One row: the derivatives of a pixel loss (key, pixel_id, value = its derivative) by weights and bias."""
+    """One row: the derivatives of a pixel loss (key, pixel_id, value = its derivative) by weights and bias; 0 for clamped nodes and kept roots."""
     g = pixels_to_nodes(forest, loss).withColumnRenamed("value", "g")
     x = spec.sharpness * logit(spec)
     open_ = F.lit(True) if spec.clamp is None else F.abs(x) < spec.clamp
-    rows = forest.nodes.select(*NODE, "residue").join(attributes, NODE).join(g, NODE)
+    if spec.keep_root:
+        open_ = open_ & (F.col("node_id") != F.col("parent_id"))
+    rows = forest.nodes.select(*NODE, "parent_id", "residue").join(attributes, NODE).join(g, NODE)
     s = sigmoid(x)
     push = F.when(open_, F.col("g") * F.col("residue") * s * (1 - s) * spec.sharpness).otherwise(0.0)
     return rows.agg(*[F.sum(push * F.col(a)).alias(f"d_{a}") for a in spec.attributes], F.sum(push).alias("d_bias"))
 
 
-def fit_linear(forest: Forest, attributes: DataFrame, spec: Spec, target: DataFrame, steps: int = 20, rate: float = 1e-3) -> Spec:
-    """Full-batch gradient steps on the mean squared error; one Spark aggregate a step, only the weights reach the driver."""
-    n = forest.owners.count()
-    want = target.select(*KEY, "pixel_id", F.col("value").alias("t"))
-    for _ in range(steps):
-        s = node_scores(forest, attributes, [spec]).select(*NODE, "score")
-        diff = reconstruct(forest, s).join(want, [*KEY, "pixel_id"]).select(*KEY, "pixel_id", (2.0 / n * (F.col("value") - F.col("t"))).alias("value"))
-        d = linear_gradients(forest, attributes, spec, diff).first()
-        weights = tuple(w - rate * d[f"d_{a}"] for w, a in zip(spec.weights, spec.attributes))
-        spec = replace(spec, weights=weights, bias=spec.bias - rate * d["d_bias"])
-    return spec
-
-
 def edge_penalty(scores: DataFrame, weight: float = 1.0, by: tuple[str, ...] = tuple(KEY)) -> DataFrame:
     """Mean over tree edges of the squared excess of a child's score over its parent's."""
     up = scores.select(*by, F.col("node_id").alias("parent_id"), F.col("score").alias("p_score"))

@@ -218,8 +218,6 @@ def test_scorers_and_gradients(spark, forest):
 
     up, down = loss(replace(spec, bias=spec.bias + 1e-4)), loss(replace(spec, bias=spec.bias - 1e-4))
     assert slope["d_bias"] == pytest.approx((up - down) / 2e-4, rel=1e-4)
-    fitted = scoring.fit_linear(forest, a, spec, target, steps=2, rate=1e-5)
-    assert loss(fitted) < loss(spec)
     deep = scoring.Spec("mlp", ("AREA", "GRAY_LEVEL"), (1.0,), 0.0, 1.0, layers=((((1.0, -1.0),), (0.5,)),))
     assert scoring.node_scores(forest, a, [deep]).where("score < 0.5 OR score > 1").count() == 0
     kept = replace(spec, keep_root=True)
