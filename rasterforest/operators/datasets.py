@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.ranks import numbered_within
+from ..sources.raster import image_header
 from ..tables import KEY
 
 
@@ -72,16 +73,22 @@ def pair_explicit(pairs: DataFrame, ordering: str = "provided") -> DataFrame:
     return pairs.orderBy(order)
 
 
-def audit_pairs(spark: SparkSession, pairs: DataFrame, root: str, shapes: DataFrame | None = None, metadata: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """sample_id, role, path, sha256 and size of every paired file; paths outside root fail. shapes (path, n_rows, n_cols) must agree within a pair."""
+def audit_pairs(spark: SparkSession, pairs: DataFrame, root: str, metadata: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """sample_id, role, path, sha256, length, n_rows, n_cols, n_channels and dtype of every paired file.
+
+    Fails on paths outside root, files that are missing or no images by their first bytes, and
+    pairs of different sides. metadata takes the audit and returns it with more columns.
+    """
     long = pairs.select("sample_id", F.explode(F.array(F.struct(F.lit("input").alias("role"), F.col("input_path").alias("path")), F.struct(F.lit("target").alias("role"), F.col("target_path").alias("path")))).alias("f")).select("sample_id", "f.*")
-    _refuse(long.where(~F.startswith("path", F.lit(root)) | F.contains("path", F.lit("/../"))), "path", "paths outside the root")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.sha2("content", 256).alias("sha256"), "length")
-    out = long.join(files, "path", "left")
-    if shapes is not None:
-        out = out.join(shapes, "path", "left")
-        odd = out.groupBy("sample_id").agg(F.count_distinct("n_rows", "n_cols").alias("n")).where("n > 1")
-        _refuse(odd, "sample_id", "pairs of different shapes")
+    outside = F.coalesce(~F.startswith("path", F.lit(root.rstrip("/") + "/")) | F.contains("path", F.lit("/../")), F.lit(True))
+    _refuse(long.where(outside), "path", "paths outside the root")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = files.join(long.select("path").distinct(), "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"), "length", image_header(F.col("content")).alias("h"))
+    out = long.join(found.select("path", "sha256", "length", "h.*"), "path", "left").select("sample_id", "role", "path", "sha256", "length", "n_rows", "n_cols", "n_channels", "dtype")
+    sides = F.array("n_rows", "n_cols")
+    bad = out.groupBy("sample_id").agg(F.count_if(F.col("sha256").isNull()).alias("lost"), F.count_if(F.col("n_rows").isNull()).alias("odd"), (F.min(sides) != F.max(sides)).alias("unlike"))
+    for rule, message in (("lost > 0", "missing files"), ("odd > 0", "files that are no images"), ("unlike", "pairs of different shapes")):
+        _refuse(bad.where(rule), "sample_id", message)
     return metadata(out) if metadata else out
 
 
