@@ -10,14 +10,20 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .hard_negatives import BLOCK, in_tiles, positives_in, whole_components
 from .vectors import Find, search, sound
 
+#: Sums of products stay exact in doubles where no vector's largest component times the root of its length exceeds this.
+EXACT = 2**26
+
 
 def squared_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T)
@@ -161,9 +167,10 @@ def dual_search(queries: np.ndarray, points: np.ndarray, tree: Node, k: int, apa
 def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 5, rows_per_block: int = 2048, sample: int = 8192) -> DataFrame:
     """Each query's k candidates of the largest inner product, exactly.
 
-    Both tables: vec_id long, vector array<double> of whole numbers; vectors whose largest
-    component times the root of their length exceeds 2**26 are refused by an error, so that
-    sums are exact in doubles. A query never finds a row of its own vec_id;
+    Both tables: vec_id long, vector array<double> of whole numbers. Vectors whose largest
+    component times the root of their length exceeds 2**26, so that sums in doubles may
+    round, aren't in the trees: they meet every vector of the other table in tiles of
+    integers. Scores beyond 64 bits stay at the ends of that range. A query never finds a row of its own vec_id;
     rows with a null vec_id, a null or non-finite component or no vector take no part;
     ties go to the smaller vec_id; a query with fewer candidates gets them all; rows
     repeated under one vec_id count each; empty tables give no rows. The balls of the top
@@ -181,14 +188,34 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 5, ro
 
         return find
 
-    size = F.array_max(F.transform("vector", F.abs)) * F.sqrt(F.size("vector"))
-    exact = F.when(size > 2**26, F.raise_error(F.lit("components too large for exact inner products"))).otherwise(F.col("vector"))
-    fit = lambda df: df.where(sound(F.col("vector")) & F.col("vec_id").isNotNull()).withColumn("vector", exact)
-    found = search(fit(queries), fit(candidates), k, Balls, prepare, False, rows_per_block, sample=sample)
-    return found.withColumn("score", F.col("score").cast("long"))
+    wide = F.array_max(F.transform("vector", F.abs)) * F.sqrt(F.size("vector")) > EXACT
+    queries, candidates = (df.where(sound(F.col("vector")) & F.col("vec_id").isNotNull()).select("vec_id", "vector") for df in (queries, candidates))
+    found = search(queries.where(~wide), candidates.where(~wide), k, Balls, prepare, False, rows_per_block, sample=sample)
+    found = found.withColumn("score", F.col("score").cast("long"))
+    apart = [df.agg(F.count_if(wide)).first()[0] for df in (queries, candidates)]
+    if not any(apart):
+        return found
+    parts = [found.drop("rank")]
+    if apart[0]:
+        parts.append(tiled(queries.where(wide), candidates, k))
+    if apart[1]:
+        parts.append(tiled(queries.where(~wide), candidates.where(wide), k))
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def tiled(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k best of every block of candidates, in exact integers."""
+    rows = candidates.withColumn("dim", F.size("vector"))
+    blocks = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    held = rows.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks"))).withColumn("asks", F.lit(False))
+    asked = queries.withColumn("dim", F.size("vector")).join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    cols = ["dim", "block", "asks", "vec_id", "vector", F.lit(0).cast("long").alias("label"), F.col("vec_id").alias("anchor")]
+    found = in_tiles(held.select(cols).unionByName(asked.select(cols)), ["dim", "block"], positives_in(k), "anchor long, positive_id long, positive_score long")
+    return found.select(F.col("anchor").alias("query_id"), F.col("positive_id").alias("vec_id"), F.col("positive_score").alias("score"))
 
 
 def scaled(embeddings: DataFrame, factor: int = 256) -> DataFrame:
     """vec_id and the vector with each component x as floor(factor * x) in doubles."""
     ok = embeddings.where(sound(F.col("embedding")))
-    return ok.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * factor).cast("double")).alias("vector"))
+    return ok.select("vec_id", whole_components(F.col("embedding").cast("array<double>"), factor).alias("vector"))

@@ -46,12 +46,12 @@ def sound(vector: Column) -> Column:
 
 
 def fit_blocks(rows: DataFrame, build: Callable[[np.ndarray, int], Blocks], rows_per_block: int, max_blocks: int, sample: int) -> dict[int, Blocks]:
-    """Blocks by length of vector, from at most sample rows, the first by a hash of their position."""
+    """Blocks by length of vector, from at most sample rows, the first by a hash of their id and vector: the same on every layout of the table."""
     lengths = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(FITTED_LENGTHS).collect()
     if not lengths:
         return {}
-    drawn = rows.where(F.col("dim").isin([r["dim"] for r in lengths])).withColumn("_draw", F.xxhash64("vec_id", F.monotonically_increasing_id()))
-    drawn = drawn.orderBy("_draw").limit(sample).select("vector").toPandas()["vector"]
+    drawn = rows.where(F.col("dim").isin([r["dim"] for r in lengths])).withColumn("_draw", F.xxhash64("vec_id", "vector"))
+    drawn = drawn.orderBy("_draw", "vec_id").limit(sample).select("vector").toPandas()["vector"]
     out = {}
     for r in lengths:
         own = [v for v in drawn if len(v) == r["dim"]]
@@ -73,7 +73,7 @@ def placed_rows(rows: DataFrame, fitted: dict[int, Blocks]) -> DataFrame:
                 blocks[at], gaps[at] = fitted[dim].place(np.stack(vector.iloc[at]))
         return pd.DataFrame({"block": blocks, "gap": gaps})
 
-    return rows.withColumn("_at", place("vector")).select("vec_id", "vector", "dim", "_at.block", "_at.gap", F.monotonically_increasing_id().alias("salt"))
+    return rows.withColumn("_at", place("vector")).select("vec_id", "vector", "dim", "_at.block", "_at.gap", F.xxhash64("vec_id", "vector").alias("salt"))
 
 
 def visits(queries: DataFrame, fitted: dict[int, Blocks], radii: dict[int, np.ndarray], first: bool) -> DataFrame:

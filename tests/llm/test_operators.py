@@ -186,8 +186,26 @@ def test_inner_products_of_repeats_and_lengths(spark):
     assert [tuple(r) for r in got] == [(2, 1, 1, 36), (2, 2, 3, 11), (2, 3, 1, 3)]
     got = cover_tree.top_inner_products(v.where("vec_id = 3"), v, 3).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(3, 1, 1, 63), (3, 2, 2, 11), (3, 3, 2, 11)]
-    with pytest.raises(Exception, match="too large"):
-        cover_tree.top_inner_products(spark.createDataFrame([(1, [1e9, 1e9]), (2, [1.0, 1.0])], "vec_id long, vector array<double>"), v, 1).count()
+
+
+def test_inner_products_of_large_components(spark):
+    """Sums that doubles would round, scores that differ by one beyond 2**53, and ends of the range."""
+    rng = np.random.default_rng(9)
+    rows = [[float(x) for x in rng.integers(-100, 100, 3)] for _ in range(40)]
+    rows += [[float(2**30 + i), float(-(2**29)), float(i)] for i in range(6)] + [rows[3], [1e18, 1e18, 0.0], [-1e18, 0.0, 0.0]]
+    points = {i: [int(x) for x in r] for i, r in enumerate(rows)}
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, vector array<double>")
+    got = [tuple(r) for r in cover_tree.top_inner_products(df.where("vec_id % 3 = 0 OR vec_id > 40"), df, 4, rows_per_block=8).orderBy("query_id", "rank").collect()]
+    last = 2**63 - 1
+    dot = lambda a, b: max(-last, min(last, sum(x * y for x, y in zip(a, b))))
+    want = [(q, n + 1, i, -s) for q in points if q % 3 == 0 or q > 40 for n, (s, i) in enumerate(best(points, q, 4, lambda a, b: -dot(a, b)))]
+    assert got == want
+
+
+def test_blocks_are_the_same_on_every_layout(spark):
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(clusters(900, 12, 4))], "vec_id long, vector array<double>")
+    one, many = (projection_search.nearest_neighbours(x.where("vec_id % 30 = 0"), x, 5, m=4, rows_per_block=64) for x in (v.coalesce(1), v.repartition(7)))
+    assert one.exceptAll(many).count() == 0 == many.exceptAll(one).count()
 
 
 def clusters(n, dim, seed):
