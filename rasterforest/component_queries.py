@@ -56,6 +56,14 @@ def node_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "node_id", F.col("value").cast("long").alias("value"))
 
 
+def events_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of events by the smallest node over their pixel."""
+    e = table(spark, sf_dir, "events").where("user_id >= 0 AND event_type IS NOT NULL")
+    hour = F.pmod(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000), F.lit(24)).cast("int")
+    at = e.groupBy(F.col("event_type").alias("image_id"), F.lit(0).alias("channel"), hour.alias("row"), (F.col("user_id") % 32).cast("int").alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    return trees.smallest_node(forest(spark, sf_dir), at).groupBy("image_id", "node_id").agg(F.sum("n").cast("long").alias("n_events"))
+
+
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scoring.score_diagnostics(scoring.node_scores(*_marks(spark, sf_dir), SPECS))
     out = out.select("*", F.explode("histogram").alias("bin", "n")).drop("histogram")
@@ -194,7 +202,7 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
-        loss_gradients, node_scores_mlp, predicted, node_signal, score_report, edge_violations, attribute_ranks, inspected,
+        loss_gradients, node_scores_mlp, predicted, node_signal, events_by_node, score_report, edge_violations, attribute_ranks, inspected,
         converted, resized_area, resized_nearest, intensity_issues, shape_mismatches, channel_rows, content_entries,
         patch_coverage, patch_loss, normalize_none, image_responses, projected_thresholds, training_stats, train_threshold, run_states,
     )
@@ -245,6 +253,7 @@ ORACLES: dict[str, str] = {
     "node_scores_mlp": _mlp(),
     "predicted": f"{tree()} SELECT o.image_id, o.pixel_id, round(sum(residue * (1 / (1 + exp(-1000.0::DOUBLE * (gray - 5.5::DOUBLE))))), 6) + 0.0 AS value {PIXELS} JOIN res r ON r.image_id = u.image_id AND r.node_id = u.ancestor_id {_nodes_of('att')} GROUP BY o.image_id, o.pixel_id",
     "node_signal": f"{tree()} SELECT image_id, node_id, sum(col)::BIGINT AS value FROM sup GROUP BY ALL",
+    "events_by_node": f"{tree()} SELECT o.image_id, o.node_id, sum(n)::BIGINT AS n_events FROM cells c JOIN px p ON p.image_id = c.image_id AND p.\"row\" = c.\"row\" AND p.col = c.col JOIN own o ON o.image_id = p.image_id AND o.pixel_id = p.pixel_id GROUP BY ALL",
     "score_report": f"""{tree()}, {SCORES}, h AS (SELECT spec, least(floor(score * 10), 9)::INTEGER AS bin, count(*) AS n FROM sc GROUP BY ALL),
 a AS (SELECT spec, avg(score) AS mean, min(score) AS low, max(score) AS high, avg((score < 0.05 OR score > 0.95)::INTEGER) AS saturation, avg((score >= 0.5)::INTEGER) AS acceptance FROM sc GROUP BY spec)
 SELECT spec, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("mean", "low", "high", "saturation", "acceptance"))}, bin, n FROM a JOIN h USING (spec)""",

@@ -147,6 +147,13 @@ def find_nodes(forest: Forest, attributes: DataFrame, condition: Column | None =
     return rows.where(F.col(by).isNotNull()).withColumn("rank", rank).where(F.col("rank") <= top)
 
 
+def smallest_node(forest: Forest, pixels: DataFrame) -> DataFrame:
+    """pixels (key, row, col) with pixel_id and node_id, the smallest node over each; nulls outside the raster, one row for each given."""
+    at = forest.owners.select(*KEY, "row", "col", "pixel_id", "node_id")
+    clash = [c for c in ("pixel_id", "node_id") if c in pixels.columns]
+    return pixels.drop(*clash).join(at, [*KEY, "row", "col"], "left")
+
+
 def reconstruct_node(forest: Forest, nodes: DataFrame) -> DataFrame:
     """0/255 mask pixels of each node's whole component."""
     inside = descendants_of(forest, nodes, strict=False).select(*KEY, F.col("ancestor_id").alias("of_node"), "node_id")

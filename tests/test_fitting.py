@@ -74,3 +74,12 @@ def test_fit_lowers_the_loss_and_refuses(spark, rasters, grown):
         fitting.fit(f, a, SPEC, target, learn=("VOLUME",))
     with pytest.raises(ValueError, match="hidden layers"):
         fitting.fit(f, a, replace(SPEC, layers=((((1.0, -1.0),), (0.5,)),), weights=(1.0,)), target)
+
+
+def test_smallest_node(spark, rasters, grown):
+    f, _ = grown
+    asked = spark.createDataFrame([("i0", 0, 2, 3, -5), ("i0", 0, 2, 3, -5), ("i1", 0, 9, 0, 1), ("none", 0, 0, 0, 1), ("i1", 0, None, 0, 1)], "image_id string, channel int, row int, col int, node_id int")
+    got = trees.smallest_node(f, asked).collect()
+    want = f.owners.where("image_id = 'i0' AND row = 2 AND col = 3").first()
+    assert len(got) == 5 and [(r["pixel_id"], r["node_id"]) for r in got if r["row"] == 2] == [(17, want["node_id"])] * 2
+    assert all(r["node_id"] is None for r in got if r["row"] != 2)
