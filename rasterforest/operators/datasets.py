@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 import json
 import math
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.ranks import numbered_within
@@ -35,7 +35,8 @@ def _repeated(df: DataFrame, column: str) -> DataFrame:
 def pair_folders(inputs: DataFrame, targets: DataFrame, numeric: bool = False, unmatched: str = "error") -> DataFrame:
     """sample_id, input_path, target_path of the files (stem, path) of equal stems; numeric ids compare as numbers.
 
-    Repeated ids in a role always fail; unmatched files fail, or are left out with 'ignore'.
+    Repeated ids in a role always fail; unmatched files fail, or are left
+    out with 'ignore' and, named in a warning, with 'warn'.
     """
     key = F.col("stem").cast("long").cast("string") if numeric else F.col("stem")
     a, b = inputs.select(key.alias("sample_id"), F.col("path").alias("input_path")), targets.select(key.alias("sample_id"), F.col("path").alias("target_path"))
@@ -43,8 +44,12 @@ def pair_folders(inputs: DataFrame, targets: DataFrame, numeric: bool = False, u
     _refuse(_repeated(b, "sample_id"), "sample_id", "repeated target ids")
     both = a.join(b, "sample_id", "full")
     lost = both.where("input_path IS NULL OR target_path IS NULL")
+    if unmatched not in ("error", "warn", "ignore"):
+        raise ValueError(f"unknown rule for unmatched files: {unmatched!r}")
     if unmatched == "error":
         _refuse(lost, "sample_id", "unmatched ids")
+    if unmatched == "warn" and (rows := lost.select("sample_id").orderBy("sample_id").take(3)):
+        warnings.warn(f"unmatched ids are left out: {', '.join(str(r[0]) for r in rows)}", stacklevel=2)
     return both.where("input_path IS NOT NULL AND target_path IS NOT NULL")
 
 
@@ -133,16 +138,19 @@ def subsets_from_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def split_by_group(groups: DataFrame, counts: dict[str, int], seed: int = 0) -> DataFrame:
-    """sample_id, group_id, split: whole groups dealt to splits by a seeded hash; the counts must add up to the number of groups."""
+    """sample_id, group_id, split: whole groups dealt to splits by a seeded hash; the counts, each at least 1, must add up to the number of groups."""
     names = groups.select("group_id").distinct()
     total = names.count()
-    if sum(counts.values()) != total or min(counts.values()) < 0:
+    if min(counts.values(), default=0) < 1:
+        raise ValueError("every split needs at least one group")
+    if sum(counts.values()) != total:
         raise ValueError(f"the counts add up to {sum(counts.values())}, there are {total} groups")
-    ranked = names.withColumn("n", F.row_number().over(W.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "group_id")), "group_id")))
+    drawn = names.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), "group_id")))
+    ranked = numbered_within(drawn, [], [F.col("_draw"), F.col("group_id")], "_at")
     split, reached = F.lit(None).cast("string"), 0
     for name in sorted(counts):
         reached += counts[name]
-        split = F.coalesce(split, F.when(F.col("n") <= reached, name))
+        split = F.coalesce(split, F.when(F.col("_at") < reached, name))
     return groups.join(ranked.select("group_id", split.alias("split")), "group_id").select("sample_id", "group_id", "split")
 
 

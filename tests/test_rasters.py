@@ -295,11 +295,15 @@ def test_datasets(spark):
     assert dealt.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     with pytest.raises(ValueError):
         datasets.split_by_group(groups, {"train": 1})
+    with pytest.raises(ValueError, match="at least one"):
+        datasets.split_by_group(groups, {"train": 3, "test": 0})
     assert datasets.train_test_split(samples, 0.3).where("split = 'test'").count() == 2
     files = lambda names: spark.createDataFrame([(n.rsplit(".", 1)[0], n, n.rsplit(".", 1)[1]) for n in names], "stem string, path string, ext string")
     assert datasets.pair_folders(files(["a.png", "b.png"]), files(["b.jpg", "a.jpg"])).count() == 2
     with pytest.raises(ValueError, match="unmatched"):
         datasets.pair_folders(files(["a.png"]), files(["b.png"]))
+    with pytest.warns(UserWarning, match="left out: b, c"):
+        assert datasets.pair_folders(files(["a.png", "b.png"]), files(["a.png", "c.png"]), unmatched="warn").count() == 1
     pairs = datasets.pair_suffixes(files(["x_in.png", "x_t.png"]), "_in", "_t").first()
     assert (pairs["sample_id"], pairs["target_path"]) == ("x", "x_t.png")
     best = datasets.pair_first_match(files(["x.png"]), files(["x.gif", "x.png"]), ["png", "gif"]).first()

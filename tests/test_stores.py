@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rasterforest import tables
+from rasterforest import streaming, tables
 from rasterforest.operators import attributes, entries, stats, trees
 from rasterforest.streaming import committed, read_stats, stream_stats
 
@@ -68,3 +68,20 @@ def test_streamed_statistics_replace_each_other_whole(spark, tmp_path, monkeypat
     monkeypatch.undo()
     run().awaitTermination()
     assert tuple(read_stats(spark, table).first()) == tuple(stats.fit_stats(df, ["A"]).first()) and len(committed(spark, table)) == 2
+
+
+def test_frozen_statistics(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "stats", "check"))
+
+    def arrive(*values):
+        spark.createDataFrame([(v,) for v in values], "A double").write.mode("append").parquet(source)
+        streaming.stream_stats(spark.readStream.schema("A double").parquet(source), ["A"], table, checkpoint).awaitTermination()
+        return streaming.read_stats(spark, table).first()["sum"]
+
+    assert arrive(1.0, 2.0) == 3.0
+    streaming.freeze_stats(spark, table)
+    streaming.freeze_stats(spark, table)
+    assert arrive(10.0) == 3.0
+    streaming.unfreeze_stats(spark, table)
+    streaming.unfreeze_stats(spark, table)
+    assert arrive(4.0) == 7.0
