@@ -66,11 +66,10 @@ def folded(text: str | None) -> str:
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the fit: at most about so many labelled rows of either kind, and terms."""
+    """Bounds of the fit: at most about so many labelled rows of either kind; all their terms that pass count."""
 
     toxic_rows: int = 5000
     clean_rows: int = 15000
-    max_terms: int = 5000
     shortest: int = 4
     longest: int = 10
     certainty: float = 3.2
@@ -234,11 +233,11 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Lexicon:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     error = fit.certainty * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     terms = counted(sample, word_terms(fit)).withColumn("weight", odds)
-    terms = terms.where((odds >= error) & (odds >= fit.least_weight)).orderBy(F.desc("weight"), "term").limit(fit.max_terms)
+    terms = terms.where((odds >= error) & (odds >= fit.least_weight))
     lexicon = Lexicon({r["term"]: r["weight"] for r in terms.collect()})
     if lexicon.weights:
         pairs = counted(sample, pair_terms(lexicon)).where((odds <= -error) & (odds <= -fit.least_weight))
-        lexicon = Lexicon(lexicon.weights, frozenset(r["term"] for r in pairs.orderBy(F.desc("clean"), "term").limit(fit.max_terms).collect()))
+        lexicon = Lexicon(lexicon.weights, frozenset(r["term"] for r in pairs.collect()))
     rows = measured(rest.select("doc_id", "text"), lexicon).drop("terms")
     rows = rows.join(rest.select("doc_id", "toxic", "share").dropDuplicates(["doc_id"]), "doc_id").toPandas()
     if rows["toxic"].nunique() < 2:
