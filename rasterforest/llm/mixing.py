@@ -53,6 +53,24 @@ def source_targets(sized: DataFrame, share: float = 1.5, epochs: int = 2, cycle:
     return by.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def weight_classes(sized: DataFrame) -> DataFrame:
+    """Per source: classes, an array of the number n of documents and the least weight, rate, for each power of two of the weights.
+
+    A key of weight w is exponential with rate w. With the least weight of each class no
+    range of keys holds more than about twice its share. A double has some 2,100 powers of
+    two, which bounds the array.
+    """
+    weight = F.coalesce(F.col("weight"), F.lit(1.0))
+    classes = sized.groupBy("source", F.floor(F.log2(weight)).alias("power")).agg(F.count(F.lit(1)).alias("n"), F.min(weight).alias("rate"))
+    return classes.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rate", "n"))).alias("classes"))
+
+
+def key_range() -> Column:
+    """The number of the key's range: a monotone map, the distribution function of the source's keys."""
+    below = F.aggregate("classes", F.lit(0.0), lambda s, c: s + c["n"] * (1 - F.exp(-c["rate"] * F.col("key"))))
+    return F.floor(below / F.col("n_docs") * F.col("ranges")).cast("long")
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, share: float = 1.5, epochs: int = 2, rows_per_range: int = 4096, cycle: tuple[float, ...] = CYCLE, row: str | None = None) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -73,15 +91,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, share
     else:
         sized = sized.withColumn("weight", F.lit(None).cast("double"))
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(F.col("weight"), F.lit(1.0))
-    sized = materialize(sized.withColumn("key", key).drop("weight"), "mix-sized")
-    targets = source_targets(sized, share, epochs, cycle)
+    sized = materialize(sized.withColumn("key", key), "mix-sized")
+    targets = source_targets(sized, share, epochs, cycle).join(weight_classes(sized).withColumnRenamed("source", "w_source"), F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
     ranges = F.greatest(F.ceil(F.col("n_docs") / rows_per_range), F.lit(1))
     targets = targets.withColumn("ranges", ranges.cast("long"))
     # Sources are few beside documents, but not provably so: the planner sizes this join.
     same = F.col("source").eqNullSafe(F.col("t_source"))
     rows = sized.join(targets.withColumnRenamed("source", "t_source"), same).drop("t_source")
-    # A monotone map of the key to a range number: the exponential distribution function.
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")).cast("long"))
+    rows = rows.withColumn("range", key_range()).drop("weight", "classes")
     rows = materialize(rows, "mix-ranged")
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)

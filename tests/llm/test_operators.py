@@ -339,6 +339,15 @@ def test_mixing(spark, docs, loose, empty):
     assert total == mixed.agg(F.sum("taken")).first()[0]
 
 
+def test_mixing_deals_keys_of_all_weights_evenly(spark):
+    rows = spark.range(20_000).select("id", F.lit("s").alias("source"), F.element_at(F.array(*map(F.lit, (0.01, 0.5, 1.0, 1.9, 30.0))), (F.col("id") % 5 + 1).cast("int")).alias("weight"))
+    rows = rows.withColumn("key", -F.log(mixing.uniform(F.col("id"), 42)) / F.col("weight"))
+    dealt = rows.join(mixing.weight_classes(rows), "source").withColumns({"n_docs": F.lit(20_000), "ranges": F.lit(100)})
+    sizes = dealt.groupBy(mixing.key_range().alias("range")).agg(F.count("id").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("range").toPandas()
+    assert sizes.n.max() < 2.5 * 200 and len(sizes) > 60
+    assert (sizes.high.to_numpy()[:-1] < sizes.low.to_numpy()[1:]).all()
+
+
 def linked(texts, n, percent):
     sets = {}
     for i, t in texts.items():
