@@ -237,13 +237,31 @@ def size_estimate(entries: DataFrame, remaining: int, quota: int, safety: float
     return entries.agg(need.alias("estimate"), (F.lit(quota) - F.coalesce(F.sum("size_bytes"), F.lit(0)) - need).cast("long").alias("quota_left"))
 
 
-def fingerprint(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One row: sha256 over the rows' digests, in the given order, or in any order (as a set with repeats)."""
+def digest_of_digests(rows: DataFrame, by: list, at: Column, digest: Column, name: str) -> DataFrame:
+    """One row for each group of by: name, sha256 over the group's digests in the order of at."""
+    held = F.array_sort(F.collect_list(F.struct(at.alias("at"), digest.alias("x"))))
+    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(held, lambda s: s["x"]), ""), 256).alias(name))
+
+
+def fingerprint(rows: DataFrame, order: list[str] | None = None, per_block: int = 4096, digits: int = 3) -> DataFrame:
+    """One row: sha256 over the rows' digests, in the given order, or in any order (as a set with repeats).
+
+    A tree of digests: the first digits of a row's digest name its block, as many as leave
+    about per_block rows in each, and every level above takes `digits` of them off, so no
+    list holds more than about per_block rows or 16**digits blocks, however many rows there
+    are. Equal rows count as one with their number. An empty table has the digest of nothing.
+    """
     digest = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
-    per = rows.select(digest.alias("d"), F.struct(*(order or [digest])).alias("o"))
-    # Blocks of digests keep the lists short.
-    block = per.groupBy(F.substring("d", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(F.to_json(F.struct("o")) if order else F.lit(""), "d"))), ""), 256).alias("x"))
-    return block.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "x"))), lambda s: s["x"]), ""), 256).alias("fingerprint"))
+    per = rows.select(digest.alias("d"), F.to_json(F.struct(*order)).alias("o") if order else F.lit("").alias("o")).groupBy("d", "o").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.concat("o", "d", F.when(F.col("n") > 1, F.concat(F.lit("*"), F.col("n").cast("string"))).otherwise(""))
+    depth, n = digits, rows.count()
+    while n > per_block * 16**depth:
+        depth += digits
+    level = digest_of_digests(per, [F.substring("d", 1, depth).alias("b")], entry, entry, "x")
+    while depth > digits:
+        depth -= digits
+        level = digest_of_digests(level, [F.substring("b", 1, depth).alias("b")], F.col("b"), F.col("x"), "x")
+    return digest_of_digests(level, [], F.col("b"), F.col("x"), "fingerprint")
 
 
 def target_fingerprint(targets: DataFrame) -> DataFrame:
@@ -251,7 +269,7 @@ def target_fingerprint(targets: DataFrame) -> DataFrame:
     return fingerprint(targets.select("position", "sample_id", "sha256"), ["position"])
 
 
-def fingerprints(samples: DataFrame, splits: DataFrame, preprocessing: dict[str, str]) -> DataFrame:
+def fingerprints(samples: DataFrame, splits: DataFrame, preprocessing: dict[str, str], per_block: int = 4096) -> DataFrame:
     """name and fingerprint: input, target, splits, split:<name>, preprocessing, manifest.
 
     The order of samples within a split counts, that of splits, samples and settings doesn't.
@@ -261,8 +279,12 @@ def fingerprints(samples: DataFrame, splits: DataFrame, preprocessing: dict[str,
     ordered = splits.select("split", "position", "sample_id")
     parts.append(named("splits", fingerprint(ordered)))
     digest = F.sha2(F.concat_ws("|", "position", "sample_id"), 256)
-    each = ordered.groupBy("split", F.floor(F.col("position") / 4096).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", digest.alias("d")))), lambda x: x["d"]), ""), 256).alias("d"))
-    each = each.groupBy("split").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"))
+    each = ordered.select("split", F.col("position").alias("b"), digest.alias("d"))
+    # Blocks of positions, blocks of these and so on, as many levels as the last position asks for.
+    last = ordered.agg(F.max("position").alias("last")).first()["last"] or 0
+    while (last := last // per_block) > 0:
+        each = digest_of_digests(each, ["split", F.floor(F.col("b") / per_block).alias("b")], F.col("b"), F.col("d"), "d")
+    each = digest_of_digests(each, ["split"], F.col("b"), F.col("d"), "fingerprint")
     parts.append(each.select(F.concat(F.lit("split:"), "split").alias("name"), "fingerprint"))
     settings = samples.sparkSession.range(1).select(F.sha2(F.lit(json.dumps(preprocessing, sort_keys=True)), 256).alias("fingerprint"))
     parts.append(named("preprocessing", settings))

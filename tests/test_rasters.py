@@ -1,6 +1,9 @@
 """Trees, attributes, filters, statistics, scoring, patches and metrics on small rasters."""
 
+import hashlib
+import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -363,6 +366,43 @@ def test_preparation_uses_training_rasters_only(spark, pixels):
         stats.fit_stats(done.attributes["max"].limit(0), ["AREA"])
 
 
+def tree_of_digests(rows, per_block, digits):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    counts = Counter(sha(json.dumps(r, separators=(",", ":"))) for r in rows)
+    depth = digits
+    while len(rows) > per_block * 16**depth:
+        depth += digits
+    level = {}
+    for d, n in counts.items():
+        level.setdefault(d[:depth], []).append(d + (f"*{n}" if n > 1 else ""))
+    while True:
+        level = {b: sha("".join(sorted(x) if isinstance(x[0], str) else [v for _, v in sorted(x)])) for b, x in level.items()}
+        if depth == 0 or not level:
+            return level.get("", sha(""))
+        depth -= digits
+        above = {}
+        for b, x in level.items():
+            above.setdefault(b[:depth], []).append((b, x))
+        level = above
+
+
+def test_fingerprint_of_many_rows_is_a_tree(spark):
+    rows = [{"a": i % 250, "b": f"x{i % 250}"} for i in range(300)] + [{"a": 1, "b": "hot"}] * 400
+    df = spark.createDataFrame([(r["a"], r["b"]) for r in rows], "a long, b string")
+    for per_block, digits in ((2, 1), (4096, 3)):
+        got = {datasets.fingerprint(x, per_block=per_block, digits=digits).first()[0] for x in (df, df.repartition(7).select("b", "a"))}
+        assert got == {tree_of_digests(rows, per_block, digits)}
+    assert datasets.fingerprint(df.limit(0)).first()[0] == tree_of_digests([], 4096, 3)
+    splits = spark.createDataFrame([("s", i, f"k{i}") for i in range(40)], "split string, position long, sample_id string")
+    samples = spark.createDataFrame([("input", "k1", "ab")], "role string, sample_id string, sha256 string")
+    found = {r["name"]: r["fingerprint"] for r in datasets.fingerprints(samples, splits, {}, per_block=3).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = [sha(f"{i}|k{i}") for i in range(40)]
+    while len(level) > 3:
+        level = [sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+    assert found["split:s"] == sha("".join(level))
+
+
 def test_fingerprints_name_what_changed(spark):
     samples = spark.createDataFrame([("a", "input", "x"), ("a", "target", "y"), ("b", "input", "z")], "sample_id string, role string, sha256 string")
     splits = lambda ids: spark.createDataFrame([("train", i, s) for i, s in enumerate(ids)], "split string, position int, sample_id string")
