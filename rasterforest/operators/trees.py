@@ -167,11 +167,15 @@ def reconstruct_levels(forest: Forest) -> DataFrame:
 
 
 def without(forest: Forest, gone: DataFrame, subtree: bool) -> Forest:
-    """The forest without the given nodes (prune: with their subtrees); pixels and children go to the nearest kept ancestor. Roots stay."""
+    """The forest without the given nodes (prune: with their subtrees); pixels and children go to the nearest kept ancestor.
+
+    Roots stay, and a root among the given nodes takes nothing with it.
+    """
+    roots = forest.nodes.where("node_id = parent_id").select(*NODE)
+    gone = gone.select(*NODE).join(roots, NODE, "left_anti")
     if subtree:
         gone = descendants_of(forest, gone, strict=False).select(*NODE).distinct()
-    roots = forest.nodes.where("node_id = parent_id").select(*NODE)
-    kept = forest.nodes.join(gone.select(*NODE).join(roots, NODE, "left_anti"), NODE, "left_anti")
+    kept = forest.nodes.join(gone, NODE, "left_anti")
     holder = settle(nearest(forest.strides, kept), "holders")
     owners = settle(forest.owners.join(holder, NODE).drop("node_id").withColumnRenamed("holder", "node_id"), "owners")
     up = holder.select(*KEY, F.col("node_id").alias("parent_id"), "holder")

@@ -131,6 +131,12 @@ def test_topology_queries(forest):
     assert pruned.owners.where("image_id = 'line'").groupBy("node_id").count().orderBy("node_id").toPandas()["count"].tolist() == [1, 3]
 
 
+def test_pruning_a_root_keeps_its_subtree(forest):
+    line = forest.nodes.where("image_id = 'line'")
+    rooted = trees.prune_nodes(forest, line.where("node_id = parent_id OR level = 3"))
+    assert rooted.owners.where("image_id = 'line'").groupBy("node_id").count().orderBy("node_id").toPandas()["count"].tolist() == [1, 3]
+
+
 def test_attribute_values(table):
     assert table.shape[1] == 3 + 136 and not table.isna().any().any()
     square = table[(table.image_id == "square") & (table.GRAY_LEVEL == 200)].iloc[0]
