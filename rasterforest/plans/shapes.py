@@ -10,12 +10,16 @@ along these links, without writing out their pixels.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import KEY, Scratch, settle
+from ..tables import KEY, Scratch, begins, settle, whole_groups
+from .tiles import TILE_BITS
 from .trees import NODE, Forest, climbed, finished, grown_together, nearest, picked, rolled, strides
 
 #: Interpolations of the tree of shapes, with the adjacency radii of dark and bright components.
@@ -84,7 +88,7 @@ def beside_holes(forest: Forest) -> DataFrame:
 
 def full_grids(pixels: DataFrame) -> None:
     """Fails where a raster isn't a full rectangle: its missing pixels would belong to neither tree."""
-    n = pixels.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), ((F.max("row") - F.min("row") + 1).cast("long") * (F.max("col") - F.min("col") + 1)).alias("area"))
+    n = pixels.groupBy(*KEY).agg(F.count("value").alias("n"), ((F.max("row") - F.min("row") + 1).cast("long") * (F.max("col") - F.min("col") + 1)).alias("area"))
     if odd := n.where("n <> area").take(1):
         raise ValueError(f"holes and shapes need every pixel of a raster; {odd[0]['image_id']} has {odd[0]['n']} of {odd[0]['area']}")
 
@@ -202,7 +206,111 @@ def kept_only(classes: DataFrame, kept: DataFrame, keep: Scratch) -> tuple[DataF
     return keep.keep(linked.select(*NODE, up.alias("up"), "area").withColumnRenamed("up", "parent_id"), "kept"), holder
 
 
-def shape_tree(pixels: DataFrame, interpolation: str = "self-dual", seed_row: int = 0, seed_col: int = 0) -> Forest:
+def flooded(level: np.ndarray, start: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The self-dual tree of shapes of one raster of ranks: the node of each pixel (its least pixel) and each node's parent, as places in the raster.
+
+    Between the pixels lie cells that may take any value in the span of those around. A flood
+    from the start visits cells by the nearest value they can take; components joined
+    in the opposite order are the shapes.
+    """
+    h, w = level.shape
+    rows, cols = 2 * h + 1, 2 * w + 1  # with a rim, which is never visited
+    low, high = np.empty((2 * h - 1, 2 * w - 1), dtype=np.int64), np.empty((2 * h - 1, 2 * w - 1), dtype=np.int64)
+    for out, ends in ((low, np.minimum), (high, np.maximum)):
+        out[::2, ::2] = level
+        out[1::2, ::2] = ends(level[:-1], level[1:])
+        out[:, 1::2] = ends(out[:, :-1:2], out[:, 2::2])
+    lows, highs = (np.pad(x, 1).ravel().tolist() for x in (low, high))
+    seen = np.pad(np.zeros(low.shape, dtype=bool), 1, constant_values=True).ravel().tolist()
+    value, order = [0] * (rows * cols), []
+    first = (2 * start[0] + 1) * cols + 2 * start[1] + 1
+    at, above, below = lows[first], [(lows[first], first)], []
+    seen[first] = True
+    while above or below:
+        if not below or above and above[0][0] - at <= at + below[0][0]:
+            at, p = heappop(above)
+        else:
+            at, p = heappop(below)
+            at = -at
+        value[p] = at
+        order.append(p)
+        for q in (p - cols, p - 1, p + 1, p + cols):
+            if not seen[q]:
+                seen[q] = True
+                x = min(max(at, lows[q]), highs[q])
+                if x >= at:
+                    heappush(above, (x, q))
+                else:
+                    heappush(below, (-x, q))
+    up, root = [-1] * (rows * cols), [-1] * (rows * cols)
+    for p in reversed(order):
+        up[p] = root[p] = p
+        for q in (p - cols, p - 1, p + 1, p + cols):
+            if root[q] >= 0:
+                while root[q] != q:
+                    root[q] = q = root[root[q]]
+                if q != p:
+                    up[q] = root[q] = p
+    # Cells of one component and value go by the first of them; shapes without pixels, or of the level around, go up.
+    owns = set()
+    for p in order:
+        if value[up[up[p]]] == value[up[p]]:
+            up[p] = up[up[p]]
+        if p // cols % 2 and p % cols % 2:
+            owns.add(p if value[up[p]] != value[p] else up[p])
+    holder, over = {}, {}
+    for p in order:
+        q = up[p]
+        if p == q:
+            holder[p] = over[p] = p
+        elif value[q] == value[p]:
+            holder[p] = holder[q]
+        else:
+            top = holder[q]
+            holder[p] = p if p in owns and value[top] != value[p] else top
+            over[p] = top
+    cells = [holder[p] for r in range(h) for p in range((2 * r + 1) * cols + 1, (2 * r + 2) * cols - 1, 2)]
+    least: dict[int, int] = {}
+    for i, c in enumerate(cells):
+        least.setdefault(c, i)
+    return np.array([least[c] for c in cells]), np.array([least[over[c]] for c in cells])
+
+
+def small_shapes(pixels: DataFrame, seed_row: int, seed_col: int) -> Forest:
+    """The self-dual trees of shapes of full rasters that a task can hold one after the other."""
+    kind = dict(pixels.dtypes)["value"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.select(*KEY).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, KEY):
+            starts = np.append(np.flatnonzero(begins(part, KEY)), len(part))
+            ids, r, c, value = (part[x].to_numpy() for x in ("pixel_id", "row", "col", "value"))
+            node, parent, n = np.empty_like(ids), np.empty_like(ids), np.empty_like(ids)
+            for lo, hi in zip(starts, starts[1:]):
+                top, left, _, rank = r[lo:hi].min(), c[lo:hi].min(), *np.unique(value[lo:hi], return_inverse=True)
+                place = (r[lo:hi] - top) * (c[lo:hi].max() - left + 1) + c[lo:hi] - left
+                by = np.argsort(place)  # nodes go by their least pixel_id, pixels are sorted by it
+                of, up = flooded(rank[by].reshape(r[lo:hi].max() - top + 1, -1), (seed_row - top, seed_col - left))
+                own = np.full(hi - lo, hi - lo)
+                np.minimum.at(own, of, by)
+                node[lo + by], parent[lo + by] = ids[lo + own[of]], ids[lo + own[up]]
+                n[lo:hi] = np.bincount(own[of], minlength=hi - lo)
+            yield part.assign(node_id=node, parent_id=parent, n=n)
+
+    px = pixels.select(*KEY, "pixel_id", "row", "col", "value").repartition(*KEY).sortWithinPartitions(*KEY, "pixel_id")
+    done = settle(px.mapInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, node_id long, parent_id long, n long"), "owners")
+    nodes = done.where("node_id = pixel_id").select(*NODE, "parent_id", F.col("value").alias("level"), F.col("n").alias("proper_area"))
+    return finished("shapes", 1.0, nodes, done.drop("parent_id", "n"))
+
+
+def joined(one: Forest, other: Forest) -> Forest:
+    """The trees of two forests of different rasters; a forest of fewer strides has none that long, so each node stays."""
+    stay = lambda f: f.nodes.select(*NODE, F.col("node_id").alias("ancestor_id"), F.lit(0).alias("times"))
+    steps = [[*f.strides, *[stay(f)] * (max(len(one.strides), len(other.strides)) - len(f.strides))] for f in (one, other)]
+    return Forest(one.kind, one.radius, one.nodes.unionByName(other.nodes), one.owners.unionByName(other.owners), tuple(a.unionByName(b) for a, b in zip(*steps)))
+
+
+def shape_tree(pixels: DataFrame, interpolation: str = "self-dual", seed_row: int = 0, seed_col: int = 0, tile_bits: int = TILE_BITS) -> Forest:
     """The tree of shapes: bright and dark components, filled up as seen from the seed pixel, by inclusion.
 
     interpolation: self-dual (the image between pixels takes the value, within the span of
@@ -211,7 +319,8 @@ def shape_tree(pixels: DataFrame, interpolation: str = "self-dual", seed_row: in
     neighbours). A shape is a node where it owns pixels, that
     is, is the least shape around them; a shape of its parent's level is part of it. The
     seed's level is the root's. Fails for a seed outside of a raster and for rasters with
-    missing pixels.
+    missing pixels. Self-dual trees of rasters within a tile of 2**tile_bits rows and columns
+    grow whole in a task, the others from component trees.
     """
     if interpolation not in INTERPOLATIONS:
         raise ValueError(f"interpolation must be one of {', '.join(INTERPOLATIONS)}, not {interpolation!r}")
@@ -219,6 +328,14 @@ def shape_tree(pixels: DataFrame, interpolation: str = "self-dual", seed_row: in
     sides = pixels.groupBy(*KEY).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     if odd := sides.where((F.col("r0") > seed_row) | (F.col("r1") < seed_row) | (F.col("c0") > seed_col) | (F.col("c1") < seed_col)).take(1):
         raise ValueError(f"the seed ({seed_row}, {seed_col}) lies outside of {odd[0]['image_id']}")
+    if interpolation == "self-dual":
+        large = sides.where((F.col("r1") - F.col("r0") >= 1 << tile_bits) | (F.col("c1") - F.col("c0") >= 1 << tile_bits)).select(*KEY)
+        if large.isEmpty():
+            return small_shapes(pixels, seed_row, seed_col)
+        rest = sides.join(large, KEY, "left_anti").select(*KEY)
+        if not rest.isEmpty():
+            whole = small_shapes(pixels.join(rest, KEY, "left_semi"), seed_row, seed_col)
+            return joined(whole, shape_tree(pixels.join(large, KEY, "left_semi"), interpolation, seed_row, seed_col, tile_bits))
     keep = Scratch(pixels.sparkSession, "shapes")
     px = pixels.select(*KEY, "pixel_id", "row", "col", "value")
     if interpolation == "self-dual":

@@ -29,7 +29,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage of iterations."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as its files in path have it, to be joined by sorting.
+
+    Ids and levels compress to a small part of their size, so Spark would take tables of
+    millions of rows for small ones and pass them whole through the driver.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def begins(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
@@ -71,7 +80,7 @@ class Scratch:
         self.made += 1
         path = f"{self.path}/{self.made}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, path)
 
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

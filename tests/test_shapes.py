@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterforest.operators import attributes, filters, trees
-from rasterforest.plans.shapes import INTERPOLATIONS
+from rasterforest.plans.shapes import INTERPOLATIONS, shape_tree
 from rasterforest.plans.trees import build
 
 PIXELS = "image_id string, channel int, row int, col int, pixel_id long, value int"
@@ -113,6 +113,21 @@ def test_shapes_match_filled_sets(pixels, self_dual, interpolation, seed):
     assert trees.reconstruct_levels(forest).join(few.select("image_id", "pixel_id", F.col("value").alias("old")), ["image_id", "pixel_id"]).where("value <> old").count() == 0
 
 
+def test_small_and_large_rasters_have_the_same_trees(spark, pixels, self_dual):
+    mixed = shape_tree(pixels, tile_bits=2)  # sides of 5 and more from component trees
+    for a, b, key in ((self_dual.nodes, mixed.nodes, "node_id"), (self_dual.owners, mixed.owners, "pixel_id"), (filters.area_of(self_dual), filters.area_of(mixed), "node_id")):
+        rows = [[tuple(r) for r in t.select(sorted(t.columns)).orderBy("image_id", key).collect()] for t in (a, b)]
+        assert rows[0] == rows[1]
+
+
+def test_shapes_of_small_rasters_take_few_jobs(spark, pixels):
+    spark.sparkContext.setJobGroup("shapes", "")
+    trees.tree_of_shapes(pixels)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("shapes")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 80
+
+
 def test_refusals(pixels, self_dual):
     with pytest.raises(ValueError, match="seed"):
         build(pixels, "shapes", seed=(2, 0))
