@@ -19,6 +19,8 @@ from .datasets import content_key, pixel_digest
 from .stats import long_form, stat_key
 
 STATS = ("count", "sum", "sumsq", "amin", "amax")
+#: Pixels whose entries a block holds about: many small rasters or few large ones.
+BLOCK_PIXELS = 1 << 26
 
 
 def open_store(spark: SparkSession, path: str, contract: dict[str, object]) -> None:
@@ -44,13 +46,14 @@ def _summaries(nodes: DataFrame, names: list[str], tree_key: str) -> DataFrame:
     return rows.groupBy("entry_key", stat_key(tree_key, F.col("attribute")).alias("stat_key")).agg(*agg)
 
 
-def prepare_entries(pixels: DataFrame, tree_keys: list[str], names: str | list[str], path: str, radius: float = 1.5, per_block: int = 1000) -> DataFrame:
+def prepare_entries(pixels: DataFrame, tree_keys: list[str], names: str | list[str], path: str, radius: float = 1.5, per_block: int | None = None) -> DataFrame:
     """Every raster's entries: key, tree_key, sha256, entry_key and built (whether this run made it).
 
     An entry is the attributes of a tree (max, min or shapes) of one content, with a summary
     of each attribute beside them. Only entries that no run has committed are built, equal
-    rasters once; they are committed per_block at a time, so a stopped run goes on where it
-    stopped, and readers never see half a block. Fails where the store has another contract
+    rasters once; they are committed per_block at a time (as many as have about BLOCK_PIXELS
+    pixels, if not given), so a stopped run goes on where it stopped, and readers never see
+    half a block. A block costs the same jobs whatever it holds. Fails where the store has another contract
     (attributes, radius), and where no tree is asked for.
     """
     if not tree_keys or len({*tree_keys}) < len(tree_keys):
@@ -64,6 +67,9 @@ def prepare_entries(pixels: DataFrame, tree_keys: list[str], names: str | list[s
     if have is not None:
         lost = lost.join(have.select("entry_key").distinct(), "entry_key", "left_anti")
     lost = numbered_within(lost.select("entry_key", "tree_key", "one.*"), [], [F.col("entry_key")])
+    if per_block is None:
+        size = pixels.groupBy(*KEY).count().agg(F.avg("count")).first()[0] or 1
+        per_block = max(1, int(BLOCK_PIXELS / size))
     lost = settle(lost.withColumn("block", F.expr(f"position div {per_block}")).drop("position"), "missing")
     last = lost.agg(F.max("block")).first()[0]
     for block in range(0 if last is None else last + 1):

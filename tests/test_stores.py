@@ -54,6 +54,14 @@ def test_entries_are_built_once_and_resumed(spark, pixels, tmp_path, monkeypatch
     assert {tuple(r) for r in entries.entry_stats(second, path).select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
 
 
+def test_small_rasters_share_a_block(spark, tmp_path):
+    path, n = str(tmp_path / "many"), 1500
+    many = spark.range(n * 2).selectExpr("concat('i', id div 2) AS image_id", "0 AS channel", "0 AS row", "cast(id % 2 AS int) AS col", "id % 2 AS pixel_id", "cast(id div 2 + id % 2 AS int) AS value")
+    made = tables.settle(entries.prepare_entries(many, ["max"], ["AREA"], path), "made")
+    assert made.where("built").count() == n and len(tables.published(spark, f"{path}/commits")) == 1
+    assert entries.read_store(spark, path, "summaries").count() == n
+
+
 def test_streamed_statistics_replace_each_other_whole(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(2.0,), (5.0,), (3.0,)], "A double")
     df.repartition(3).write.parquet(str(tmp_path / "in"))
