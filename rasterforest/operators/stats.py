@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import in_portions
 from .datasets import fingerprint
 
 VERSION = 1
@@ -85,8 +87,10 @@ def normalize(attributes: DataFrame, names: list[str], stats: DataFrame, ids: li
 
 
 def per_image_normalize(response: DataFrame, keys: list[str]) -> DataFrame:
-    ends = response.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return response.join(ends, keys).withColumn("value", (F.col("value") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))).drop("lo", "hi")
+    # One deal by keys serves the ends and the rows.
+    each = W.partitionBy(*keys)
+    ends = in_portions(response, keys).withColumns({"lo": F.min("value").over(each), "hi": F.max("value").over(each)})
+    return ends.withColumn("value", (F.col("value") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))).drop("lo", "hi")
 
 
 def project_threshold(specs: DataFrame, stats: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
+def in_portions(df: DataFrame, keys: list[str], rows: int = 1 << 20) -> DataFrame:
+    """df dealt by keys into portions of about so many rows: Spark's own sizes count compressed bytes, of which pixels need few."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *keys)
+
+
 def begins(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """True for the first row of each run of equal keys."""
     new = np.zeros(len(rows), dtype=bool)

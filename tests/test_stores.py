@@ -93,3 +93,10 @@ def test_frozen_statistics(spark, tmp_path):
     streaming.unfreeze_stats(spark, table)
     streaming.unfreeze_stats(spark, table)
     assert arrive(4.0) == 7.0
+
+
+def test_portions_go_by_rows_not_bytes(spark):
+    same = spark.range(1000).selectExpr("cast(id div 10 AS string) AS image_id", "0 AS value").cache()
+    dealt = tables.in_portions(same, ["image_id"], rows=100)
+    assert dealt.rdd.getNumPartitions() == 10
+    assert stats.per_image_normalize(same, ["image_id"]).where("value = 0").count() == 1000
