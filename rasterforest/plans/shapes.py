@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import KEY, Scratch, begins, settle, whole_groups
+from ..tables import KEY, Scratch, begins, in_portions, settle, whole_groups
 from .tiles import TILE_BITS
 from .trees import NODE, Forest, climbed, finished, grown_together, nearest, picked, rolled, strides
 
@@ -297,7 +297,7 @@ def small_shapes(pixels: DataFrame, seed_row: int, seed_col: int) -> Forest:
                 n[lo:hi] = np.bincount(own[of], minlength=hi - lo)
             yield part.assign(node_id=node, parent_id=parent, n=n)
 
-    px = pixels.select(*KEY, "pixel_id", "row", "col", "value").repartition(*KEY).sortWithinPartitions(*KEY, "pixel_id")
+    px = in_portions(pixels.select(*KEY, "pixel_id", "row", "col", "value"), KEY).sortWithinPartitions(*KEY, "pixel_id")
     done = settle(px.mapInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, node_id long, parent_id long, n long"), "owners")
     nodes = done.where("node_id = pixel_id").select(*NODE, "parent_id", F.col("value").alias("level"), F.col("n").alias("proper_area"))
     return finished("shapes", 1.0, nodes, done.drop("parent_id", "n"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import KEY, Scratch, begins, whole_groups
+from ..tables import KEY, Scratch, begins, in_portions, whole_groups
 
 #: Trees to build at once, each a sign (1: of bright components, -1: of dark ones) and a radius; channel modulo their number tells which.
 Kinds = list[tuple[int, float]]
@@ -140,7 +140,7 @@ def tile_trees(pixels: DataFrame, kinds: Kinds, bits: int) -> DataFrame:
     tiled = pixels.where(F.col("value").isNotNull()).select(*KEY, "pixel_id", "row", "col", "value", F.shiftright("row", bits).alias("ti"), F.shiftright("col", bits).alias("tj"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiled.select(*KEY).schema)
     # A task goes through its tiles one after the other, whole rasters of a few pixels many at a time.
-    return tiled.repartition(*tile).sortWithinPartitions(*tile, "pixel_id").mapInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, ti int, tj int, node_id long, parent_id long, n long, rim boolean")
+    return in_portions(tiled, tile).sortWithinPartitions(*tile, "pixel_id").mapInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, ti int, tj int, node_id long, parent_id long, n long, rim boolean")
 
 
 def rim_edges(local: DataFrame, kinds: Kinds, bits: int) -> DataFrame:
