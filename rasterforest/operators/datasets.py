@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ranks import numbered_within
 from ..sources.raster import image_header
-from ..tables import KEY
+from ..tables import KEY, portions
 
 
 def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("png", "jpg", "jpeg", "bmp", "gif")) -> DataFrame:
@@ -109,9 +109,16 @@ def resolve_pairs(samples: DataFrame, splits: DataFrame, split: str) -> DataFram
     return splits.where(F.col("split") == split).join(samples, "sample_id").orderBy("position")
 
 
-def validate_splits(samples: DataFrame, splits: DataFrame, groups: DataFrame | None = None, complete: bool = False, allow_empty: bool = True, names: list[str] | None = None) -> DataFrame:
-    """Violations (issue, id): repeated, unknown, shared between splits, unassigned, groups that cross splits or miss ids, empty splits."""
+def validate_splits(samples: DataFrame, splits: DataFrame, groups: DataFrame | None = None, complete: bool = False, allow_empty: bool = True, names: list[str] | None = None, rows: int = 1 << 18) -> DataFrame:
+    """Violations (issue, id): repeated, unknown, shared between splits, unassigned, groups that cross splits or miss ids, empty splits.
+
+    A task holds about so many rows of each table.
+    """
     issue = lambda df, c, text: df.select(F.lit(text).alias("issue"), F.col(c).cast("string").alias("id"))
+    # Dealt by number of rows: ids compress so well that Spark would put most of a table into one task.
+    n = max(portions(df, rows) for df in (samples, splits, groups) if df is not None)
+    dealt = lambda df: df.repartition(n, "sample_id").hint("merge")
+    samples, splits = dealt(samples), dealt(splits)
     out = issue(_repeated(samples, "sample_id"), "sample_id", "repeated sample")
     out = out.unionByName(issue(splits.groupBy("split", "sample_id").count().where("count > 1"), "sample_id", "repeated in split"))
     out = out.unionByName(issue(splits.join(samples, "sample_id", "left_anti"), "sample_id", "unknown"))
@@ -119,7 +126,11 @@ def validate_splits(samples: DataFrame, splits: DataFrame, groups: DataFrame | N
     if complete:
         out = out.unionByName(issue(samples.join(splits, "sample_id", "left_anti"), "sample_id", "unassigned"))
     if groups is not None:
-        crossing = splits.join(groups, "sample_id").groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
+        groups = dealt(groups)
+        met = splits.join(groups, "sample_id").select("group_id", "split", F.pmod(F.xxhash64("sample_id"), F.lit(32)).alias("_part"))
+        # A group of very many samples is reduced in parts before it meets in one task.
+        met = met.repartition(n, "group_id", "split", "_part").distinct().repartition(n, "group_id")
+        crossing = met.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
         out = out.unionByName(issue(crossing, "group_id", "group crosses")).unionByName(issue(samples.join(groups, "sample_id", "left_anti"), "sample_id", "no group"))
     if not allow_empty and names:
         want = samples.sparkSession.createDataFrame([(n,) for n in names], "split string")

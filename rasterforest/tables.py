@@ -41,10 +41,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
+def portions(df: DataFrame, rows: int = 1 << 20) -> int:
+    """How many portions of about so many rows df has, one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def in_portions(df: DataFrame, keys: list[str], rows: int = 1 << 20) -> DataFrame:
     """df dealt by keys into portions of about so many rows: Spark's own sizes count compressed bytes, of which pixels need few."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
-    return df.repartition(n, *keys)
+    return df.repartition(portions(df, rows), *keys)
 
 
 def begins(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:

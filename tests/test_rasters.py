@@ -439,3 +439,16 @@ def test_manifest_pages_and_cache_issues(spark):
     source = samples.withColumn("sample_id", F.when(F.col("position") == 4, "other").otherwise(F.col("sample_id")))
     got = datasets.inspect_dataset_cache(samples, contributions, entries, contributions.where("entry_key <> 'e0'"), source)
     assert {tuple(r) for r in got.collect()} == {("metadata", "entry", "e1"), ("metadata", "entry", "e2"), ("payload", "no payload", "e0"), ("source", "moved", "4")}
+
+
+def test_split_checks_are_dealt_by_rows(spark):
+    ids = spark.range(12_000).select(F.col("id").cast("string").alias("sample_id"), "id")
+    splits = ids.select("sample_id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("split"))
+    # One group holds half of all samples, others two of one split each.
+    group = F.when(F.col("id") < 6_000, "hot").otherwise(F.concat((F.col("id") / 4).cast("int").cast("string"), F.lit("-"), F.col("id") % 2))
+    groups = ids.where("id <> 7000").select("sample_id", group.alias("group_id"))
+    more = splits.unionByName(spark.createDataFrame([("0", "b"), ("1", "b"), ("x", "a")], "sample_id string, split string"))
+    found = datasets.validate_splits(ids.select("sample_id"), more, groups, rows=500)
+    assert {tuple(r) for r in found.collect()} == {("repeated in split", "1"), ("unknown", "x"), ("shared", "0"), ("group crosses", "hot"), ("no group", "7000")}
+    assert found.count() == 5
+    assert found.rdd.getNumPartitions() >= 24
