@@ -111,14 +111,13 @@ def needless(level: np.ndarray, across: bool) -> np.ndarray:
 
 def tile_trees(pixels: DataFrame, kinds: Kinds, bits: int) -> DataFrame:
     """Each pixel with ti, tj (its tile), node_id and parent_id in the tile's tree; the pixel that names a node also has its n pixels and whether it is on the rim."""
-    kind = dict(pixels.dtypes)["value"]
     side = 1 << bits
 
     def grow(sign: int, radius: float, ids: np.ndarray, r: np.ndarray, c: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
         reach, n = int(radius), len(ids)
         _, rank = np.unique(sign * value, return_inverse=True)
-        at = np.full((r.max() + 1, c.max() + 1), -1, dtype=np.int64)
-        at[r, c] = np.arange(n)
+        at = np.full((np.ptp(r) + 1, np.ptp(c) + 1), -1, dtype=np.int64)
+        at[r - r.min(), c - c.min()] = np.arange(n)
         node, parent = grown(rank, *grid_edges(at, rank, radius))
         rim = np.zeros(n, dtype=bool)
         rim[node[(r < reach) | (c < reach) | (r >= side - reach) | (c >= side - reach)]] = True
@@ -138,9 +137,9 @@ def tile_trees(pixels: DataFrame, kinds: Kinds, bits: int) -> DataFrame:
 
     tile = [*KEY, "ti", "tj"]
     tiled = pixels.where(F.col("value").isNotNull()).select(*KEY, "pixel_id", "row", "col", "value", F.shiftright("row", bits).alias("ti"), F.shiftright("col", bits).alias("tj"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiled.select(*KEY).schema)
+    fields = ", ".join(f"{name} {kind}" for name, kind in tiled.withColumn("pixel_id", F.col("pixel_id").cast("long")).dtypes)
     # A task goes through its tiles one after the other, whole rasters of a few pixels many at a time.
-    return in_portions(tiled, tile).sortWithinPartitions(*tile, "pixel_id").mapInPandas(run, f"{fields}, pixel_id long, row int, col int, value {kind}, ti int, tj int, node_id long, parent_id long, n long, rim boolean")
+    return in_portions(tiled, tile).sortWithinPartitions(*tile, "pixel_id").mapInPandas(run, f"{fields}, node_id long, parent_id long, n long, rim boolean")
 
 
 def rim_edges(local: DataFrame, kinds: Kinds, bits: int) -> DataFrame:

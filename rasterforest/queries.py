@@ -2,7 +2,8 @@
 
 Raster E: events by type, hour of day and user; raster L: line items by return flag,
 quantity and discount; raster V: each embedding as 8 by 8 values. Values have 16 levels.
-Raster U: events by user and hour, one image that grows with the table; its values are numbers.
+Raster U: events by user and hour, one image that grows with the table; its values are numbers,
+cells without events are left out, as users times hours may be far more than events.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .operators import attributes, datasets, entries, filters, metrics, patches, preparation, scoring, stats, trees
 from .plans.components import components
 from .plans.trees import Forest, build, neighbours
-from .sources import quantize, rasterize
+from .sources import quantize, rasterize, rasterize_cells
 from .tables import KEY, settle, shared_dir
 
 NODE = trees.NODE
@@ -35,6 +36,13 @@ def once(spark: SparkSession, key: tuple, make: Callable[[], object]) -> object:
     return BUILT[key]
 
 
+def user_hours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int, int]:
+    """Users and hours of the events, the sides of their grid and its first hour."""
+    df = table(spark, sf_dir, "events").where("user_id >= 0").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour"))
+    size = once(spark, (sf_dir, "size", "U"), lambda: df.agg(F.max("user_id").alias("users"), F.min("hour").alias("first"), F.max("hour").alias("last")).first())
+    return (df, 1, 1, 0) if None in size else (df, size["users"] + 1, size["last"] - size["first"] + 1, size["first"])
+
+
 def raster(spark: SparkSession, sf_dir: str, name: str = "E") -> DataFrame:
     def make() -> DataFrame:
         if name == "E":
@@ -47,10 +55,8 @@ def raster(spark: SparkSession, sf_dir: str, name: str = "E") -> DataFrame:
             df = table(spark, sf_dir, "lineitem")
             return quantize(rasterize(df, F.col("l_returnflag"), F.col("l_quantity").cast("int") % 32, F.round(F.col("l_discount") * 100).cast("int"), 32, 11))
         if name == "U":
-            df = table(spark, sf_dir, "events").where("user_id >= 0").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour"))
-            size = df.agg(F.max("user_id").alias("users"), F.min("hour").alias("first"), F.max("hour").alias("last")).first()
-            n_rows, n_cols = ((size["users"] + 1, size["last"] - size["first"] + 1) if size["users"] is not None else (1, 1))
-            return rasterize(df, F.lit("events"), F.col("user_id"), F.col("hour") - F.lit(size["first"]), n_rows, n_cols)
+            df, n_rows, n_cols, first = user_hours(spark, sf_dir)
+            return rasterize_cells(df, F.lit("events"), F.col("user_id"), F.col("hour") - F.lit(first), n_rows, n_cols)
         v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), F.col("embedding").cast("array<double>").alias("e")).where("size(e) = 64")
         v = v.select("image_id", F.array_min("e").alias("lo"), F.array_max("e").alias("hi"), F.posexplode("e").alias("at", "x"))
         value = F.when(F.col("hi") > F.col("lo"), F.floor(15 * (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(0).cast("int")
@@ -93,6 +99,23 @@ def _nodes(kind: str, radius: float = 1.5, name: str = "E") -> Callable[[SparkSe
     return run
 
 
+def user_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The max-tree of raster U: trees of the cells with events, under the cells without as the root."""
+    nodes, cells = _nodes("max", 1.5, "U")(spark, sf_dir), raster(spark, sf_dir, "U").select("pixel_id")
+    _, n_rows, n_cols, _ = user_hours(spark, sf_dir)
+    n = cells.count()
+    if n in (0, n_rows * n_cols):
+        return nodes
+    # The least pixel that is no cell is the first one, or comes right after a cell.
+    free = cells.select((F.col("pixel_id") + 1).alias("pixel_id")).unionByName(spark.range(1).withColumnRenamed("id", "pixel_id"))
+    root = free.join(cells, "pixel_id", "left_anti").agg(F.min("pixel_id")).first()[0]
+    at = F.lit(root).cast("long")
+    ground = {"node_id": at, "parent_id": at, "level": F.lit(0), "residue": F.lit(0), "proper_area": F.lit(n_rows * n_cols - n), "depth": F.lit(0)}
+    under = F.when(F.col("node_id") == F.col("parent_id"), at).otherwise(F.col("parent_id"))
+    nodes = nodes.withColumns({"parent_id": under, "depth": F.col("depth") + 1})
+    return nodes.unionByName(spark.range(1).select(F.lit("events").alias("image_id"), *[v.cast("long").alias(c) for c, v in ground.items()]))
+
+
 def shape_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = shapes(spark, sf_dir)
     n = f.nodes.join(filters.area_of(f).withColumnRenamed("area", "n"), NODE)
@@ -446,7 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "max_tree_nodes_4": _nodes("max", 1.0),
     "min_tree_nodes": _nodes("min"),
     "vector_tree_nodes": _nodes("max", 1.5, "V"),
-    "user_tree_nodes": _nodes("max", 1.5, "U"),
+    "user_tree_nodes": user_tree_nodes,
     "shape_tree_nodes": shape_tree_nodes,
     "grain_filter": grain_filter,
     "attributes_filled": _attributes(FILLED),

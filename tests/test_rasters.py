@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterforest import queries
 from rasterforest.operators import attributes, datasets, filters, metrics, patches, preparation, scoring, stats, trees
 from rasterforest.plans.components import components
 from rasterforest.plans.trees import STRIDE, ancestors, climbed, nearest, rolled, strides
@@ -452,3 +453,23 @@ def test_split_checks_are_dealt_by_rows(spark):
     assert {tuple(r) for r in found.collect()} == {("repeated in split", "1"), ("unknown", "x"), ("shared", "0"), ("group crosses", "hot"), ("no group", "7000")}
     assert found.count() == 5
     assert found.rdd.getNumPartitions() >= 24
+
+
+def user_nodes(spark, path, rows):
+    """user_tree_nodes over events (user_id, hour)."""
+    events = spark.createDataFrame(rows, "user_id long, hour long").select("user_id", F.timestamp_seconds(F.col("hour") * 3600).alias("ts"))
+    events.write.parquet(f"{path}/events.parquet")
+    out = queries.user_tree_nodes(spark, str(path))
+    return {tuple(r) for r in out.select("node_id", "parent_id", "level", "residue", "proper_area", "depth").collect()}
+
+
+def test_user_tree_leaves_out_empty_cells(spark, tmp_path):
+    # Two users side by side over the border of two tiles, one far beyond 32 bits, so that the grid can't be listed.
+    far = 3_000_000_000
+    rows = [(511, 10)] * 3 + [(512, 11)] * 2 + [(512, 12)] + [(far, 10)] * 2 + [(-1, 99), (None, 10), (4, None)]
+    a, b, c, d = 511 * 3, 512 * 3 + 1, 512 * 3 + 2, far * 3
+    want = {(0, 0, 0, 0, (far + 1) * 3 - 4, 0), (a, b, 3, 1, 1, 3), (b, c, 2, 1, 1, 2), (c, 0, 1, 1, 1, 1), (d, 0, 2, 2, 1, 1)}
+    assert user_nodes(spark, tmp_path / "far", rows) == want
+    # The first cells have events; then all cells have some.
+    assert user_nodes(spark, tmp_path / "first", [(0, 0), (0, 1), (1, 1)]) == {(2, 2, 0, 0, 1, 0), (0, 2, 1, 1, 3, 1)}
+    assert user_nodes(spark, tmp_path / "full", [(0, 0), (0, 1), (0, 1)]) == {(0, 0, 1, 1, 1, 0), (1, 0, 2, 1, 1, 1)}
